@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "quarry.operators.bm25",
     "quarry.plans.relational",
+    "quarry.plans.textq",
 )
 
 
