@@ -8,6 +8,8 @@ MODULES = (
     "quarry.operators.bm25",
     "quarry.plans.relational",
     "quarry.plans.textq",
+    "quarry.operators.compare",
+    "quarry.operators.dense",
 )
 
 
