@@ -1,0 +1,71 @@
+"""Substring containment join: which documents contain which passages.
+
+``contains(doc.text, passage.text)`` over all pairs is a cross join.  Here
+the passages (size-checked, chunked beyond the bound) are compiled into one
+Aho-Corasick automaton that is broadcast; every document is scanned once in
+an Arrow batch, emitting only the (doc, passage) pairs that occur.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .sizing import bounded, spread
+
+MAX_PATTERNS = 200_000
+
+
+def _automaton(rows):
+    import ahocorasick
+    a = ahocorasick.Automaton()
+    empties = []
+    for pid, text in rows:
+        if text is None:
+            continue
+        if text == "":
+            empties.append(pid)
+            continue
+        if text in a:
+            a.get(text).append(pid)
+        else:
+            a.add_word(text, [pid])
+    if len(a):
+        a.make_automaton()
+    return a, empties
+
+
+def contains_join(docs: DataFrame, did: str, dtext: str, pats: DataFrame, pid: str, ptext: str) -> DataFrame:
+    """(pid, did) for every passage contained in a document's text."""
+    spark = docs.sparkSession
+    chunks = [pats]
+    if not bounded(pats, MAX_PATTERNS):
+        n = pats.count() // MAX_PATTERNS + 1
+        keyed = pats.withColumn("_c", F.pmod(F.xxhash64(F.col(pid)), F.lit(n)))
+        chunks = [keyed.filter(F.col("_c") == i).drop("_c") for i in range(n)]
+    src = spread(docs.select(F.col(did).cast("long").alias("did"), F.col(dtext).alias("text")))
+    out = None
+    for ch in chunks:
+        rows = [(r[0], r[1]) for r in ch.select(pid, ptext).collect()]
+        bc = spark.sparkContext.broadcast(rows)
+
+        def scan(it, bc=bc):
+            auto, empties = _automaton(bc.value)
+            for pdf in it:
+                ps, ds = [], []
+                for d, text in zip(pdf["did"].to_numpy(), pdf["text"].to_numpy()):
+                    if text is None:
+                        continue
+                    hit = set(empties)
+                    if len(auto):
+                        for _, ids in auto.iter(text):
+                            hit.update(ids)
+                    for p in hit:
+                        ps.append(p)
+                        ds.append(d)
+                yield pd.DataFrame({"pid": pd.Series(ps, dtype="int64"), "did": pd.Series(ds, dtype="int64")})
+
+        part = src.mapInPandas(scan, "pid long, did long")
+        out = part if out is None else out.unionByName(part)
+    return out

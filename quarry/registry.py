@@ -10,6 +10,8 @@ MODULES = (
     "quarry.plans.textq",
     "quarry.operators.compare",
     "quarry.operators.dense",
+    "quarry.operators.hybrid",
+    "quarry.operators.retrieval_eval",
 )
 
 
