@@ -12,6 +12,7 @@ MODULES = (
     "quarry.operators.dense",
     "quarry.operators.hybrid",
     "quarry.operators.retrieval_eval",
+    "quarry.plans.reports",
 )
 
 
