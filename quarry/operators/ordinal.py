@@ -7,8 +7,12 @@ many partitions), each partition numbers its rows locally via
 ``monotonically_increasing_id`` (contiguous inside a partition), and a tiny
 table of per-(group, partition) counts gives every partition its offset.
 
-The order key must be unique inside a group: the numbering is then the same
-on every re-computation (executor loss re-runs give identical ids).
+The order key must be unique inside a group.  Range bounds are sampled with
+a seed taken from the RDD id, so two plan branches that each re-run the
+range shuffle may cut the data differently; the numbered rows are therefore
+written once with a reliable ``checkpoint()`` (to the cluster's checkpoint
+folder) and every later branch reads that one copy, which also survives the
+loss of executors.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 
 def with_ordinal(df: DataFrame, group: str, order: list[str], out: str = "ord",
@@ -26,6 +32,7 @@ def with_ordinal(df: DataFrame, group: str, order: list[str], out: str = "ord",
     s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
+    s = cut_lineage(s)
     counts = s.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
