@@ -13,6 +13,7 @@ MODULES = (
     "quarry.operators.hybrid",
     "quarry.operators.retrieval_eval",
     "quarry.plans.reports",
+    "quarry.sources.catalog",
 )
 
 
