@@ -173,31 +173,73 @@ def _kw_array() -> Column:
 def _aliases(u: Column) -> Column:
     a = F.regexp_extract_all(u, F.lit(r"\b(?:FROM|JOIN)\s+\w+\s+(?:AS\s+)?(\w+)"), 1)
     b = F.regexp_extract_all(u, F.lit(r"\bAS\s+(\w+)"), 1)
-    kw = _kw_array()
-    return F.filter(F.concat(a, b), lambda x: ~F.array_contains(kw, x))
+    # membership only: array_except also de-duplicates, which is fine here
+    return F.array_except(F.concat(a, b), _kw_array())
 
 
 def _identifiers(clause: Column, tables: Column, aliases: Column) -> Column:
+    """Distinct identifiers of a clause minus keywords, tables and aliases (sorted).
+
+    ``array_except`` is a built-in set difference (no interpreted lambda).
+    """
     s = F.regexp_replace(clause, r"\b\w+\s*\(", " ( ")
     s = F.regexp_replace(s, r"\b\w+\.", "")
     toks = F.regexp_extract_all(s, F.lit(r"\b[A-Z_][A-Z0-9_]*\b"), 0)
-    kw = _kw_array()
-    keep = F.filter(toks, lambda x: ~F.array_contains(kw, x) & ~F.array_contains(tables, x)
-                    & ~F.array_contains(aliases, x))
-    return F.array_sort(F.array_distinct(keep))
+    keep = F.array_except(F.array_except(F.array_except(toks, _kw_array()), tables), aliases)
+    return F.array_sort(keep)
 
 
-def sql_parts(sql) -> Column:
-    """Clause pieces used by C8, C10 and C19 (upper case, literals blanked)."""
-    u = _no_literals(F.upper(col_(sql)))
-    tables = F.regexp_extract_all(u, F.lit(r"\b(?:FROM|JOIN)\s+(\w+)"), 1)
-    aliases = _aliases(u)
+PART_FIELDS = ("tables", "columns", "has_where", "where_cols", "has_group", "group_cols",
+               "has_order", "order_cols", "aggs")
+
+
+def _clauses(u: Column):
     where_ = F.regexp_extract(u, r"(?s)\bWHERE\b(.*?)(?:\bGROUP\s+BY\b|\bORDER\s+BY\b|\bHAVING\b|\bLIMIT\b"
                                  r"|\bUNION\b|\bINTERSECT\b|\bEXCEPT\b|;|$)", 1)
     group_ = F.regexp_extract(u, r"(?s)\bGROUP\s+BY\b(.*?)(?:\bHAVING\b|\bORDER\s+BY\b|\bLIMIT\b"
                                  r"|\bUNION\b|\bINTERSECT\b|\bEXCEPT\b|\)|;|$)", 1)
     order_ = F.regexp_extract(u, r"(?s)\bORDER\s+BY\b(.*?)(?:\bLIMIT\b|\bUNION\b|\bINTERSECT\b"
                                  r"|\bEXCEPT\b|\)|;|$)", 1)
+    return where_, group_, order_
+
+
+def with_sql_parts(df, sql: str, prefix: str):
+    """Add the clause pieces of ``sql`` as top-level columns ``<prefix>_<field>``.
+
+    Two projections: the blanked upper-case text, table and alias lists are
+    computed once per row, then every clause reads them (an expensive column
+    used many times is not inlined again by the optimizer).
+    """
+    u, tb, al = f"{prefix}__u", f"{prefix}__t", f"{prefix}__a"
+    base = _no_literals(F.upper(F.col(sql)))
+    df = df.withColumn(u, base)
+    df = df.withColumn(tb, F.regexp_extract_all(F.col(u), F.lit(r"\b(?:FROM|JOIN)\s+(\w+)"), 1)) \
+           .withColumn(al, _aliases(F.col(u)))
+    where_, group_, order_ = _clauses(F.col(u))
+    t_, a_ = F.col(tb), F.col(al)
+    cols = {
+        "tables": F.array_sort(F.array_distinct(t_)),
+        "columns": _identifiers(F.col(u), t_, a_),
+        "has_where": F.col(u).rlike(r"\bWHERE\b"),
+        "where_cols": _identifiers(where_, t_, a_),
+        "has_group": F.col(u).rlike(r"\bGROUP\s+BY\b"),
+        "group_cols": _identifiers(group_, t_, a_),
+        "has_order": F.col(u).rlike(r"\bORDER\s+BY\b"),
+        "order_cols": _identifiers(order_, t_, a_),
+        "aggs": F.array_sort(F.array_distinct(
+            F.regexp_extract_all(F.col(u), F.lit(r"\b(COUNT|SUM|AVG|MIN|MAX)\s*\("), 1))),
+    }
+    for k, v in cols.items():
+        df = df.withColumn(f"{prefix}_{k}", v)
+    return df.drop(u, tb, al)
+
+
+def sql_parts(sql) -> Column:
+    """Clause pieces used by C8, C10 and C19 (upper case, literals blanked)."""
+    u = _no_literals(F.upper(col_(sql)))
+    tables = F.regexp_extract_all(u, F.lit(r"\b(?:FROM|JOIN)\s+(\w+)"), 1)
+    aliases = _aliases(u)
+    where_, group_, order_ = _clauses(u)
     aggs = F.array_sort(F.array_distinct(
         F.regexp_extract_all(u, F.lit(r"\b(COUNT|SUM|AVG|MIN|MAX)\s*\("), 1)))
     return F.struct(
@@ -328,6 +370,36 @@ def parse_ok(sql) -> Column:
             & (count_sub(s, "'") % 2 == 0))
 
 
+def component_flags(gen: str, gold: str, g: str = "g", o: str = "o"):
+    """C19 over columns added by ``with_sql_parts`` (prefixes ``g`` / ``o``)."""
+    ok = parse_ok(gen) & parse_ok(gold)
+
+    def fld(p, k):
+        return F.col(f"{p}_{k}")
+
+    def clause(has, cols):
+        return (F.when(fld(g, has) & fld(o, has), fld(g, cols) == fld(o, cols))
+                .otherwise(~fld(g, has) & ~fld(o, has)))
+
+    raw = [fld(g, "aggs") == fld(o, "aggs"), fld(g, "tables") == fld(o, "tables"),
+           clause("has_where", "where_cols"), clause("has_group", "group_cols"),
+           clause("has_order", "order_cols")]
+    flags = [F.when(ok, x).otherwise(F.lit(False)) for x in raw]
+    names = ["select_match", "from_match", "where_match", "groupby_match", "orderby_match"]
+    return dict(zip(names, flags))
+
+
+def component_match_df(df, gen: str, gold: str):
+    """C19 as columns: five clause matches and their mean (``component_score``)."""
+    df = with_sql_parts(with_sql_parts(df, gen, "g"), gold, "o")
+    flags = component_flags(gen, gold)
+    for k, v in flags.items():
+        df = df.withColumn(k, v)
+    score = sum(F.col(k).cast("int") for k in flags) / 5.0
+    df = df.withColumn("component_score", score)
+    return df.drop(*[f"{p}_{k}" for p in ("g", "o") for k in PART_FIELDS])
+
+
 def component_match(gen, gold) -> Column:
     """Five clause matches and their mean; unparsable side -> all false, 0.0."""
     g, o = sql_parts(gen), sql_parts(gold)

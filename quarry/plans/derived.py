@@ -186,7 +186,10 @@ FROM lineitem WHERE l_linestatus = 'F'
 
 
 def query_log(t: Tables) -> DataFrame:
-    return t.sql(QUERY_LOG_SQL)
+    # Text functions are CPU-heavy: give them every core even when the
+    # source is one file split (no-op on a many-split input).
+    from ..operators.sizing import spread
+    return spread(t.sql(QUERY_LOG_SQL))
 
 
 def eval_results(t: Tables) -> DataFrame:

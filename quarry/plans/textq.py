@@ -196,10 +196,9 @@ SELECT qid, select_match, from_match, where_match, groupby_match, orderby_match,
         + CAST(groupby_match AS INTEGER) + CAST(orderby_match AS INTEGER)) / 5.0, 6) AS component_score
 FROM cm""")
 def component_match(t):
-    m = ST.component_match(c("gen_sql"), c("gold_sql"))
-    return query_log(t).select("qid", m.alias("m")).select(
-        "qid", "m.select_match", "m.from_match", "m.where_match", "m.groupby_match", "m.orderby_match",
-        F.round("m.component_score", 6).alias("component_score"))
+    m = ST.component_match_df(query_log(t).select("qid", "gen_sql", "gold_sql"), "gen_sql", "gold_sql")
+    return m.select("qid", "select_match", "from_match", "where_match", "groupby_match", "orderby_match",
+                    F.round("component_score", 6).alias("component_score"))
 
 
 # ------------------------------------------------------------------ C20 - C25
@@ -253,10 +252,10 @@ SELECT q.qid, round(0.5 * CAST({D.normalize_sql('q.gen_sql')} = {D.normalize_sql
     AS DOUBLE), 6) AS final_score
 FROM query_log q JOIN cm ON cm.qid = q.qid""")
 def score_final(t):
-    m = ST.component_match(c("gen_sql"), c("gold_sql"))
+    m = ST.component_match_df(query_log(t).select("qid", "gen_sql", "gold_sql"), "gen_sql", "gold_sql")
     cmp_ = ST.compare_sql(c("gen_sql"), c("gold_sql"))
-    s = SC.score_final(cmp_["normalized_match"], m["component_score"], cmp_["semantic_similar"])
-    return query_log(t).select("qid", F.round(s, 6).alias("final_score"))
+    s = SC.score_final(cmp_["normalized_match"], c("component_score"), cmp_["semantic_similar"])
+    return m.select("qid", F.round(s, 6).alias("final_score"))
 
 
 # ------------------------------------------------------------------ C26
