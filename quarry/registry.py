@@ -14,6 +14,7 @@ MODULES = (
     "quarry.operators.retrieval_eval",
     "quarry.plans.reports",
     "quarry.sources.catalog",
+    "quarry.operators.schema_docs",
 )
 
 
