@@ -15,6 +15,7 @@ MODULES = (
     "quarry.plans.reports",
     "quarry.sources.catalog",
     "quarry.operators.schema_docs",
+    "quarry.operators.execute",
 )
 
 
