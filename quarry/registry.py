@@ -16,6 +16,7 @@ MODULES = (
     "quarry.sources.catalog",
     "quarry.operators.schema_docs",
     "quarry.operators.execute",
+    "quarry.sources.roundtrip",
 )
 
 
