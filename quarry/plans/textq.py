@@ -275,3 +275,36 @@ def search_query_text(t):
 
 QUERIES = R.queries
 ORACLES = R.oracles
+
+
+# ------------------------------------------------------------------ C27
+# The single-agent prompt template.
+PROMPT_HEAD = "You are a SQL expert. Generate a SQLite query to answer the question.\n\nDatabase Schema:\n"
+PROMPT_TAIL = ("\n\nRequirements:\n1. Output ONLY the SQL query, nothing else\n2. Use valid SQLite syntax\n"
+               "3. End with semicolon\n4. Use appropriate JOINs if needed\n\nSQL:")
+
+
+def prompt_text(question, schema) -> F.Column:
+    """The generation prompt of one question over its database schema text."""
+    return F.concat(F.lit(PROMPT_HEAD), schema, F.lit("\n\nQuestion: "), question, F.lit(PROMPT_TAIL))
+
+
+def _q_prompt_text(t):
+    from ..sources.catalog import schema_columns, schema_text
+    st = F.broadcast(schema_text(schema_columns(t)))  # one row per database
+    p = query_log(t).crossJoin(st).select("qid", prompt_text(c("question"), c("schema_text")).alias("p"))
+    return p.select("qid", F.length("p").cast("long").alias("n_chars"), F.md5("p").alias("prompt_md5"))
+
+
+def _prompt_oracle():
+    from ..sources.catalog import COLS_CTE
+    head = PROMPT_HEAD.replace("\n", "' || chr(10) || '")
+    tail = PROMPT_TAIL.replace("\n", "' || chr(10) || '")
+    p = f"'{head}' || st.schema_text || chr(10) || chr(10) || 'Question: ' || q.question || '{tail}'"
+    return (f"WITH query_log AS ({QUERY_LOG_SQL}),\n" + COLS_CTE +
+            f"\nSELECT q.qid, CAST(length({p}) AS BIGINT) AS n_chars, md5({p}) AS prompt_md5 FROM query_log q CROSS JOIN st")
+
+
+R.query("prompt_text", _prompt_oracle())(_q_prompt_text)
+QUERIES = R.queries
+ORACLES = R.oracles

@@ -17,6 +17,7 @@ MODULES = (
     "quarry.operators.schema_docs",
     "quarry.operators.execute",
     "quarry.sources.roundtrip",
+    "quarry.streaming.rollup",
 )
 
 
