@@ -163,13 +163,26 @@ SELECT doc_id, CAST(len({_DOC_TOKENS}) AS BIGINT) AS n_tokens,
 FROM documents
 """
 
+def _q_bm25_score(spark, sf_dir):
+    """Every positive BM25 score of the benchmark items over the corpus."""
+    from ..session import Tables
+    t = Tables(spark, sf_dir)
+    r = bm25_scores(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
+    return r.select(F.col("qid").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+SCORE_ORACLE = SPARSE_ORACLE.split("r AS (")[0].rstrip().rstrip(",") + """
+SELECT item_id, doc_id, round(score, 6) AS score FROM sc"""
+
 QUERIES = {
+    "bm25_score": _q_bm25_score,
     "tokenize": _q_tokenize,
     "bm25_index": _q_bm25_index,
     "sparse_topk": _q_sparse_topk,
 }
 
 ORACLES = {
+    "bm25_score": SCORE_ORACLE,
     "tokenize": TOKENIZE_ORACLE,
     "bm25_index": INDEX_ORACLE,
     "sparse_topk": SPARSE_ORACLE,
