@@ -56,21 +56,47 @@ def doc_freq(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def build_index(docs: DataFrame, did: str, text: str, vocab: DataFrame, vocab_small: bool):
+    """E2 in one pass: postings for ``vocab`` written once, corpus stats observed on the way.
+
+    Returns (postings read back from the shared folder, n_docs, avgdl).  The
+    documents are tokenized once; ``observe`` counts documents and tokens in
+    that same scan, and writing the (vocabulary-restricted, small) postings
+    cuts the lineage so later joins never re-read the corpus.
+    """
+    import uuid
+
+    from pyspark.sql import Observation
+
+    from ..session import scratch_path
+    spark = docs.sparkSession
+    obs = Observation(f"bm25_{uuid.uuid4().hex[:8]}")
+    tok = (spread(docs).select(F.col(did).alias("doc"), tokenize(text).alias("toks"))
+           .observe(obs, F.count(F.lit(1)).alias("n"), F.sum(F.size("toks")).alias("tokens")))
+    ex = tok.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    ex = ex.join(F.broadcast(vocab) if vocab_small else vocab, "term", "left_semi")
+    post = ex.groupBy("doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    path = scratch_path(spark, "bm25_postings")
+    post.write.mode("overwrite").parquet(path)
+    m = obs.get
+    n = int(m.get("n") or 0)
+    avgdl = float(m.get("tokens") or 0) / n if n else 0.0
+    return spark.read.parquet(path), n, avgdl
+
+
 def bm25_scores(docs: DataFrame, did: str, dtext: str, queries: DataFrame, qid: str, qtext: str,
                 k1: float = K1, b: float = B) -> DataFrame:
     """(qid, doc, score) for every document sharing a term with the query."""
     qt = query_terms(queries, qid, qtext)
     vocab = qt.select("term").distinct()
     small = bounded(vocab)
-    post = postings(docs, did, dtext, vocab, small)
+    post, n_docs, avgdl = build_index(docs, did, dtext, vocab, small)
     df_ = doc_freq(post)  # one row per vocabulary term: bounded when vocab is
-    stats = F.broadcast(corpus_stats(docs, dtext))  # exactly one row
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     norm = F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0)))
     return (maybe_broadcast(qt).join(post, "term")
             .join(F.broadcast(df_) if small else df_, "term")
-            .crossJoin(stats)
             .groupBy("qid", "doc")
             .agg(F.sum(F.col("qtf") * idf * norm).alias("score")))
 

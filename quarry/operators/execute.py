@@ -129,8 +129,12 @@ def benchmark_pairs() -> list[tuple[int, str, str]]:
 
 
 def _t(spark, sf_dir):
+    """Tables with every fixture view registered (the statements may name any of them)."""
     from ..session import Tables
-    return Tables(spark, sf_dir)
+    t = Tables(spark, sf_dir)
+    for n in t.available():
+        t[n]
+    return t
 
 
 def _q_exec(spark, sf_dir):

@@ -133,8 +133,7 @@ SELECT qid, array_to_string(list_sort(list_distinct(list_filter([{_REL_ARMS}], l
 def relevant_tables(t):
     # The table list is catalog metadata (bounded by the number of tables):
     # one regex per known table inside a single projection, no join.
-    names = [r.name for r in t.spark.catalog.listTables() if r.name in TABLE_NAMES and r.isTemporary]
-    names = [n for n in TABLE_NAMES if n in names]
+    names = t.available()
     return query_log(t).select("qid", _join(ST.relevant_tables("gold_sql", names)).alias("relevant_tables"))
 
 

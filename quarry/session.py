@@ -47,21 +47,27 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 class Tables:
-    """Lazy accessor for the fixture tables of one directory."""
+    """Lazy accessor for the fixture tables of one directory.
+
+    A table is read (file listing + footer) only when first used; SQL text
+    run through :meth:`sql` gets temp views for exactly the tables it names.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, register: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
-        if register:
-            for name in TABLE_NAMES:
-                path = f"{self.sf_dir}/{name}.parquet"
-                if os.path.exists(path) or "://" in path:
-                    self[name].createOrReplaceTempView(name)
+        self._register = register
+
+    def path(self, name: str) -> str:
+        return f"{self.sf_dir}/{name}.parquet"
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(self.path(name))
+            self._cache[name] = df
+            if self._register:
+                df.createOrReplaceTempView(name)
         return self._cache[name]
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -69,7 +75,15 @@ class Tables:
             return self[name]
         raise AttributeError(name)
 
+    def available(self) -> list[str]:
+        """Fixture tables that have a data file in this directory, in catalog order."""
+        return [n for n in TABLE_NAMES if path_exists(self.spark, self.path(n))]
+
     def sql(self, text: str) -> DataFrame:
+        import re
+        for name in TABLE_NAMES:
+            if re.search(rf"\b{name}\b", text):
+                self[name]
         return self.spark.sql(text)
 
 

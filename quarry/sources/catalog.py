@@ -153,7 +153,7 @@ def _q_fetch_one(spark, sf_dir):
 
 
 def _q_param(spark, sf_dir):
-    _t(spark, sf_dir)
+    _t(spark, sf_dir).orders  # registers the view the statement reads
     return spark.sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = :cust AND o_totalprice > :minp",
                      args={"cust": 7, "minp": 1000.0})
 
@@ -180,7 +180,7 @@ def _q_values(spark, sf_dir):
 
 def _q_list(spark, sf_dir):
     t = _t(spark, sf_dir)
-    names = sorted(r.name for r in spark.catalog.listTables() if r.isTemporary and r.name in TABLE_NAMES)
+    names = sorted(t.available())
     return spark.createDataFrame([(n,) for n in names], "table_name string")
 
 
