@@ -71,14 +71,17 @@ def score_overall(syntax, execution, semantic, efficiency) -> Column:
 
 
 def feedback(sql, question, success, error, n_rows) -> Column:
-    """C24 feedback list, in the order the checks run (NULL entries dropped)."""
+    """C24 feedback messages in the order the four checks run (NULL entries dropped)."""
     s = F.coalesce(col_(sql), F.lit(""))
     u = F.upper(s)
     q = F.lower(col_(question))
     ok = col_(success)
     err = col_(error)
+    el = F.lower(F.coalesce(err, F.lit("")))
     empty = s == ""
+    has_err = err.isNotNull() & (err != "")
     items = [
+        # syntax
         F.when(empty, F.lit("No SQL query provided")),
         F.when(~empty & ~starts_any(strip_ws(u), SYNTAX_STARTS),
                F.lit("Query doesn't start with a valid SQL keyword")),
@@ -86,10 +89,34 @@ def feedback(sql, question, success, error, n_rows) -> Column:
         F.when(~empty & (count_sub(s, "'") % 2 != 0), F.lit("Unbalanced single quotes")),
         F.when(~empty & ~strip_ws(s).endswith(";"), F.lit("Query should end with semicolon")),
         F.when(~empty & u.contains("AS ") & u.contains("JOIN"), F.lit("Good: Uses aliases with JOINs")),
+        # execution
         F.when(ok, F.lit("Query executed successfully")),
-        F.when(~ok & err.isNotNull() & (err != ""), F.concat(F.lit("Execution failed: "), err)),
+        F.when(~ok & has_err, F.concat(F.lit("Execution failed: "), err)),
+        F.when(~ok & has_err, F.when(el.contains("no such table"), F.lit("Table name might be incorrect"))
+               .when(el.contains("no such column"), F.lit("Column name might be incorrect"))
+               .when(el.contains("syntax error"), F.lit("SQL syntax needs correction"))),
     ]
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    # semantics (only after a successful run)
+    cnt = F.when(contains_any(q, COUNT_WORDS),
+                 F.when(u.contains("COUNT("), F.lit("Correctly uses COUNT for counting question"))
+                 .otherwise(F.lit("Question asks for count but query doesn't use COUNT")))
+    agg = F.lit(None).cast("string")
+    for word, fn in reversed(AGG_WORDS):
+        agg = F.when(q.contains(word), F.when(u.contains(fn), F.lit(f"Correctly uses {fn[:-1]} for {word} question"))
+                     ).otherwise(agg)
+    rows = F.when(col_(n_rows) > 0, F.concat(F.lit("Query returned "), col_(n_rows).cast("string"),
+                                             F.lit(" results"))).otherwise(F.lit("Query returned no results"))
+    items += [F.when(ok, cnt), F.when(ok, agg), F.when(ok, rows)]
+    # efficiency
+    items += [
+        F.when(u.contains("SELECT *"), F.lit("Consider selecting specific columns instead of *")),
+        F.when((u.contains("DELETE") | u.contains("UPDATE")) & ~u.contains("WHERE"),
+               F.lit("UPDATE/DELETE without WHERE clause is risky")),
+        F.when(u.contains("DISTINCT"), F.lit("Uses DISTINCT - ensure it's necessary")),
+        F.when(count_sub(u, "SELECT") - 1 > 2, F.lit("Multiple subqueries may impact performance")),
+        F.when(u.contains("LIMIT"), F.lit("Good: Uses LIMIT to restrict results")),
+    ]
+    return F.concat_ws(" | ", *items)
 
 
 def score_final(exec_correct, component, semantic_similar) -> Column:

@@ -261,3 +261,39 @@ def score_efficiency(s: str) -> str:
             f" THEN 0.5 ELSE 0.0 END)"
             f" - (CASE WHEN {cnt_word(u, 'SELECT')} - 1 > 2 THEN 0.2 ELSE 0.0 END))")
     return f"greatest(0.0, CASE WHEN contains({u}, 'LIMIT') THEN least(1.0, {base} + 0.1) ELSE {base} END)"
+
+
+def feedback(s: str, q: str, ok: str, err: str, n: str) -> str:
+    u = f"upper(coalesce({s}, ''))"
+    sx = f"coalesce({s}, '')"
+    ql = f"lower({q})"
+    el = f"lower(coalesce({err}, ''))"
+    empty = f"({sx} = '')"
+    has_err = f"({err} IS NOT NULL AND {err} <> '')"
+    items = [
+        f"CASE WHEN {empty} THEN 'No SQL query provided' END",
+        f"CASE WHEN NOT {empty} AND NOT {any_starts(strip(u), S.SYNTAX_STARTS)} THEN 'Query doesn''t start with a valid SQL keyword' END",
+        f"CASE WHEN NOT {empty} AND {cnt(sx, '(')} <> {cnt(sx, ')')} THEN 'Unbalanced parentheses' END",
+        f"CASE WHEN NOT {empty} AND {cnt(sx, chr(39))} % 2 <> 0 THEN 'Unbalanced single quotes' END",
+        f"CASE WHEN NOT {empty} AND NOT ends_with({strip(sx)}, ';') THEN 'Query should end with semicolon' END",
+        f"CASE WHEN NOT {empty} AND contains({u}, 'AS ') AND contains({u}, 'JOIN') THEN 'Good: Uses aliases with JOINs' END",
+        f"CASE WHEN {ok} THEN 'Query executed successfully' END",
+        f"CASE WHEN NOT {ok} AND {has_err} THEN 'Execution failed: ' || {err} END",
+        f"CASE WHEN NOT {ok} AND {has_err} THEN (CASE WHEN contains({el}, 'no such table') THEN 'Table name might be incorrect' "
+        f"WHEN contains({el}, 'no such column') THEN 'Column name might be incorrect' "
+        f"WHEN contains({el}, 'syntax error') THEN 'SQL syntax needs correction' END) END",
+        f"CASE WHEN {ok} AND {any_contains(ql, S.COUNT_WORDS)} THEN (CASE WHEN contains({u}, 'COUNT(') "
+        f"THEN 'Correctly uses COUNT for counting question' ELSE 'Question asks for count but query doesn''t use COUNT' END) END",
+        f"CASE WHEN {ok} THEN (CASE " + " ".join(
+            f"WHEN contains({ql}, {lit(w)}) THEN (CASE WHEN contains({u}, {lit(fn)}) THEN {lit('Correctly uses ' + fn[:-1] + ' for ' + w + ' question')} END)"
+            for w, fn in S.AGG_WORDS) + " END) END",
+        f"CASE WHEN {ok} THEN (CASE WHEN {n} > 0 THEN 'Query returned ' || CAST({n} AS VARCHAR) || ' results' "
+        f"ELSE 'Query returned no results' END) END",
+        f"CASE WHEN contains({u}, 'SELECT *') THEN 'Consider selecting specific columns instead of *' END",
+        f"CASE WHEN (contains({u}, 'DELETE') OR contains({u}, 'UPDATE')) AND NOT contains({u}, 'WHERE') "
+        f"THEN 'UPDATE/DELETE without WHERE clause is risky' END",
+        f"CASE WHEN contains({u}, 'DISTINCT') THEN 'Uses DISTINCT - ensure it''s necessary' END",
+        f"CASE WHEN {cnt_word(u, 'SELECT')} - 1 > 2 THEN 'Multiple subqueries may impact performance' END",
+        f"CASE WHEN contains({u}, 'LIMIT') THEN 'Good: Uses LIMIT to restrict results' END",
+    ]
+    return "concat_ws(' | ', " + ", ".join(items) + ")"

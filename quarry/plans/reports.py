@@ -340,8 +340,12 @@ def q_stratified_sample(t):
     cap = F.lit(STRATA[-1][1])
     for h, n in reversed(STRATA):
         cap = F.when(c("hardness") == h, F.lit(n)).otherwise(cap)
-    # row_number() <= n becomes a partial WindowGroupLimit: <= n rows per class leave each task.
-    return q.withColumn("rn", F.row_number().over(w)).filter(c("rn") <= cap).select("hardness", "qid")
+    # A literal bound (the largest cap) lets Spark insert a partial
+    # WindowGroupLimit before the shuffle: each task forwards at most that
+    # many rows per class, so a class holding most rows is never one sort.
+    top = max(n for _, n in STRATA)
+    return (q.withColumn("rn", F.row_number().over(w)).filter(c("rn") <= top).filter(c("rn") <= cap)
+            .select("hardness", "qid"))
 
 
 # ------------------------------------------------------------------ registry (events)

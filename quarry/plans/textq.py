@@ -305,5 +305,13 @@ def _prompt_oracle():
 
 
 R.query("prompt_text", _prompt_oracle())(_q_prompt_text)
+
+
+@R.query("score_feedback", QL + f"""
+SELECT qid, {D.feedback('gen_sql', 'question', _OK, 'exec_error', 'exec_rows')} AS feedback FROM query_log""")
+def score_feedback(t):
+    """C24 feedback list, one ' | '-joined text per question."""
+    f = SC.feedback("gen_sql", "question", c("exec_error").isNull(), "exec_error", "exec_rows")
+    return query_log(t).select("qid", f.alias("feedback"))
 QUERIES = R.queries
 ORACLES = R.oracles
