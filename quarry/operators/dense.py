@@ -67,26 +67,35 @@ def cosine(a, b) -> Column:
     return dot(l2_normalize(a), l2_normalize(b))
 
 
+def _local_topk(s: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int) -> pd.DataFrame:
+    """Top-k rows of every column of ``s`` (docs x queries), ties by doc id; O(n) per column.
+
+    The k-th best (rounded) score of each column is found with a partition;
+    every row at or above it is a candidate (so ties at the boundary are all
+    kept), and one lexsort over the candidates of all columns picks the k.
+    """
+    n = s.shape[0]
+    kk = min(k, n)
+    r = np.round(s, 9)
+    thr = -np.partition(-r, kk - 1, axis=0)[kk - 1]          # k-th best per column
+    q_idx, d_idx = np.nonzero((r >= thr).T)                   # candidates, grouped by column
+    order = np.lexsort((ids[d_idx], -r[d_idx, q_idx], q_idx))
+    q_idx, d_idx = q_idx[order], d_idx[order]
+    first = np.searchsorted(q_idx, q_idx, side="left")        # start of each column's run
+    keep = (np.arange(len(q_idx)) - first) < kk
+    q_idx, d_idx = q_idx[keep], d_idx[keep]
+    return pd.DataFrame({"qid": qids[q_idx], "doc": ids[d_idx], "score": s[d_idx, q_idx]})
+
+
 def _score_batches(bq, k: int, id_col: str, vec_col: str):
     def run(it):
         qids, qmat = bq.value
         for pdf in it:
-            if len(pdf) == 0:
+            if len(pdf) == 0 or len(qids) == 0:
                 continue
             d = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
             d = d / (np.linalg.norm(d, axis=1, keepdims=True) + EPS)
-            s = d @ qmat.T
-            ids = pdf[id_col].to_numpy()
-            kk = min(k, len(ids))
-            out_q, out_d, out_s = [], [], []
-            for j, q in enumerate(qids):
-                col = s[:, j]
-                order = np.lexsort((ids, -np.round(col, 9)))[:kk]
-                out_q.append(np.full(kk, q))
-                out_d.append(ids[order])
-                out_s.append(col[order])
-            yield pd.DataFrame({"qid": np.concatenate(out_q), "doc": np.concatenate(out_d),
-                                "score": np.concatenate(out_s)})
+            yield _local_topk(d @ qmat.T, pdf[id_col].to_numpy(), qids, k)
     return run
 
 
@@ -119,9 +128,9 @@ def dense_topk(docs: DataFrame, did: str, dvec: str, queries: DataFrame, qid: st
     return top_k(scored, k)
 
 
-def dense_topk_threshold(docs, did, dvec, queries, qid, qvec, k=5, threshold=0.0) -> DataFrame:
+def dense_topk_threshold(docs, did, dvec, queries, qid, qvec, k=5, threshold=0.0, id_type="long") -> DataFrame:
     """Top-k first, then drop hits under the threshold."""
-    return dense_topk(docs, did, dvec, queries, qid, qvec, k).filter(F.col("score") >= threshold)
+    return dense_topk(docs, did, dvec, queries, qid, qvec, k, id_type).filter(F.col("score") >= threshold)
 
 
 # ---------------------------------------------------------------- registry
@@ -174,7 +183,7 @@ def _q_dense_topk(spark, sf_dir):
 def _q_dense_threshold(spark, sf_dir):
     t = _t(spark, sf_dir)
     r = dense_topk_threshold(t.embeddings, "vec_id", "embedding", label_centroids(t), "label", "c",
-                             k=10, threshold=0.3)
+                             k=10, threshold=0.3, id_type="int")
     return r.select(F.col("qid").alias("query_label"), F.col("doc").alias("vec_id"),
                     F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
