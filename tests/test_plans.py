@@ -39,3 +39,16 @@ def test_dimension_join_is_broadcast(spark):
     df = Q["multi_join_hard"](spark, SF_SMALL)
     df.collect()
     assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_per_group_limits_are_partial(spark):
+    for key in ("stratified_sample", "first_success_attempt", "dense_topk"):
+        p = _plan(Q[key](spark, SF_SMALL))
+        assert "WindowGroupLimit" in p, key
+
+
+def test_bm25_scores_read_written_postings(spark):
+    df = Q["sparse_topk"](spark, SF_SMALL)
+    p = _plan(df)
+    # the corpus is tokenized once into the written index; scoring reads it back
+    assert "bm25_postin" in p and "documents.parquet" not in p  # paths are truncated in plan text

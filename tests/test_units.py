@@ -128,3 +128,21 @@ def test_ordinal_hot_group_is_split(spark):
     hot = o.filter(F.col("g") == 99)
     assert hot.agg(F.min("ord"), F.max("ord"), F.countDistinct("ord")).first() == (1, 18000, 18000)
     assert hot.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_feedback_order(spark):
+    df = spark.createDataFrame([("SELECT * FROM t LIMIT 3", "What is the average age?", True, None, 2),
+                                ("", "How many?", False, "no such table: x", 0)],
+                               "s string, q string, ok boolean, e string, n long")
+    got = [r[0] for r in df.select(SC.feedback("s", "q", "ok", "e", "n")).collect()]
+    assert got[0] == ("Query should end with semicolon | Query executed successfully | Query returned 2 results"
+                      " | Consider selecting specific columns instead of * | Good: Uses LIMIT to restrict results")
+    assert got[1] == "No SQL query provided | Execution failed: no such table: x | Table name might be incorrect"
+
+
+def test_dense_local_topk_ties():
+    import numpy as np
+    from quarry.operators.dense import _local_topk
+    s = np.array([[1, 0.5], [1, 0.5], [0.2, 0.9], [1, 0.1]])
+    out = _local_topk(s, np.array([30, 10, 20, 5]), np.array([7, 8]), 2)
+    assert list(zip(out["qid"], out["doc"])) == [(7, 5), (7, 10), (8, 20), (8, 10)]
