@@ -21,6 +21,9 @@ from quarry.registry import all_oracles, all_queries  # noqa: E402
 from quarry.session import TABLE_NAMES, build_session  # noqa: E402
 
 
+STRICT = False
+
+
 def norm(v):
     if v is None:
         return None
@@ -33,7 +36,8 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        v = round(v, 6)
+        if not STRICT:
+            v = round(v, 6)
         return 0.0 if v == 0 else v
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
@@ -84,8 +88,11 @@ def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     ap.add_argument("-v", action="store_true")
+    ap.add_argument("--strict", action="store_true", help="compare floats exactly")
     ap.add_argument("keys", nargs="*")
     a = ap.parse_args()
+    global STRICT
+    STRICT = a.strict
     spark = build_session()
     con = duck(a.sf_dir)
     qs, os_ = all_queries(), all_oracles()
@@ -96,7 +103,7 @@ def main():
             r = check(spark, con, a.sf_dir, k, qs[k], os_.get(k), a.v)
         except Exception as e:  # report and go on
             r = dict(key=k, error=f"{type(e).__name__}: {str(e)[:300]}")
-        if r.get("ok") is False or "error" in r:
+        if r.get("ok") is False or "error" in r or r.get("dtypes") is False:
             bad += 1
         print(r, flush=True)
     print(f"bad={bad} of {len(keys)}")
