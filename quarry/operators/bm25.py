@@ -133,12 +133,10 @@ def _q_bm25_index(spark, sf_dir):
     from ..session import Tables
     t = Tables(spark, sf_dir)
     vocab = query_terms(t.benchmark, "item_id", "text").select("term").distinct()
-    post = postings(t.documents, "doc_id", "text", vocab)
-    stats = F.broadcast(corpus_stats(t.documents, "text"))
-    return (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"),
-                                     F.sum("tf").alias("ctf"))
-            .crossJoin(stats)
-            .select("term", "df", "ctf", "n_docs", F.round("avgdl", 6).alias("avgdl")))
+    post, n_docs, avgdl = build_index(t.documents, "doc_id", "text", vocab, bounded(vocab))
+    return (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
+            .select("term", "df", "ctf", F.lit(n_docs).cast("long").alias("n_docs"),
+                    F.round(F.lit(avgdl), 6).alias("avgdl")))
 
 
 def _q_tokenize(spark, sf_dir):

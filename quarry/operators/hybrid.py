@@ -38,14 +38,10 @@ def dense_side(docs, did, dtext, queries, qid, qtext, k2):
     return dense_topk(dv, "doc_id", "v", qv, "qid", "qv", k2, id_type="long")
 
 
-def hybrid_topk(docs: DataFrame, did: str, dtext: str, queries: DataFrame, qid: str, qtext: str,
-                k: int = 5) -> DataFrame:
-    """(qid, doc, score, dense_score, sparse_score, rank)."""
-    k2 = 2 * k
-    s = minmax_normalize(sparse_side(docs, did, dtext, queries, qid, qtext, k2)).select(
-        "qid", "doc", F.col("norm").alias("sparse_score"))
-    d = minmax_normalize(dense_side(docs, did, dtext, queries, qid, qtext, k2)).select(
-        "qid", "doc", F.col("norm").alias("dense_score"))
+def fuse(sparse2k: DataFrame, dense2k: DataFrame, k: int) -> DataFrame:
+    """E11 from the two ranked 2k lists: normalise each, full-outer join, weight, rank."""
+    s = minmax_normalize(sparse2k).select("qid", "doc", F.col("norm").alias("sparse_score"))
+    d = minmax_normalize(dense2k).select("qid", "doc", F.col("norm").alias("dense_score"))
     j = d.join(s, ["qid", "doc"], "full_outer").select(
         "qid", "doc", F.coalesce("dense_score", F.lit(0.0)).alias("dense_score"),
         F.coalesce("sparse_score", F.lit(0.0)).alias("sparse_score"))
@@ -53,6 +49,14 @@ def hybrid_topk(docs: DataFrame, did: str, dtext: str, queries: DataFrame, qid:
     return top_k(fused, k)
 
 
+def hybrid_topk(docs: DataFrame, did: str, dtext: str, queries: DataFrame, qid: str, qtext: str,
+                k: int = 5) -> DataFrame:
+    """(qid, doc, score, dense_score, sparse_score, rank)."""
+    k2 = 2 * k
+    return fuse(sparse_side(docs, did, dtext, queries, qid, qtext, k2),
+                dense_side(docs, did, dtext, queries, qid, qtext, k2), k)
+
+
 # ---------------------------------------------------------------- registry
 
 def _t(spark, sf_dir):

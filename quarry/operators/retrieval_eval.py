@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import question_type
-from .bm25 import bm25_scores, top_k
-from .hybrid import DENSE_WEIGHT, SPARSE_WEIGHT, dense_side, hybrid_topk
+from ..session import cut_lineage
+from .hybrid import DENSE_WEIGHT, SPARSE_WEIGHT, dense_side, fuse, sparse_side
 from .matching import contains_join
 
 # Method names in their report order.
@@ -23,10 +23,19 @@ METHODS = ("dense", "sparse", "hybrid")
 
 
 def runs(t, k: int = 5) -> DataFrame:
+    """Sparse, dense and hybrid top-k of every query.
+
+    Each side is ranked once to 2k (what the fusion needs); the plain top-k
+    lists are the first k of those.  The 2k lists are tiny (#queries x 2k) and
+    are checkpointed so the three methods reuse them instead of re-scoring
+    the corpus.
+    """
     docs, q = t.documents, t.benchmark
-    sp = top_k(bm25_scores(docs, "doc_id", "text", q, "item_id", "text"), k)
-    de = dense_side(docs, "doc_id", "text", q, "item_id", "text", k)
-    hy = hybrid_topk(docs, "doc_id", "text", q, "item_id", "text", k)
+    sp2 = cut_lineage(sparse_side(docs, "doc_id", "text", q, "item_id", "text", 2 * k))
+    de2 = cut_lineage(dense_side(docs, "doc_id", "text", q, "item_id", "text", 2 * k))
+    sp = sp2.filter(F.col("rank") <= k)
+    de = de2.filter(F.col("rank") <= k)
+    hy = fuse(sp2, de2, k)
     cols = ["qid", "doc", "rank", "score"]
     return (sp.select(F.lit("sparse").alias("method"), *cols)
             .unionByName(de.select(F.lit("dense").alias("method"), *cols))

@@ -36,7 +36,8 @@ def load_split(spark: SparkSession, path: str, known_dbs: DataFrame, limit: int
     ex = ex.withColumn("hardness", F.coalesce("hardness", F.lit("unknown")))
     if limit is not None:
         ex = ex.limit(limit)
-    return ex.join(F.broadcast(known_dbs.select("db_id").distinct()), "db_id", "left_semi")
+    from ..operators.sizing import maybe_broadcast
+    return ex.join(maybe_broadcast(known_dbs.select("db_id").distinct()), "db_id", "left_semi")
 
 
 def load_schema_json(spark: SparkSession, path: str) -> DataFrame:
