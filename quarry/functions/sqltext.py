@@ -186,7 +186,7 @@ def _identifiers(clause: Column, tables: Column, aliases: Column) -> Column:
     s = F.regexp_replace(s, r"\b\w+\.", "")
     toks = F.regexp_extract_all(s, F.lit(r"\b[A-Z_][A-Z0-9_]*\b"), 0)
     keep = F.array_except(F.array_except(F.array_except(toks, _kw_array()), tables), aliases)
-    return F.array_sort(keep)
+    return F.sort_array(keep)
 
 
 PART_FIELDS = ("tables", "columns", "has_where", "where_cols", "has_group", "group_cols",
@@ -218,7 +218,7 @@ def with_sql_parts(df, sql: str, prefix: str):
     where_, group_, order_ = _clauses(F.col(u))
     t_, a_ = F.col(tb), F.col(al)
     cols = {
-        "tables": F.array_sort(F.array_distinct(t_)),
+        "tables": F.sort_array(F.array_distinct(t_)),
         "columns": _identifiers(F.col(u), t_, a_),
         "has_where": F.col(u).rlike(r"\bWHERE\b"),
         "where_cols": _identifiers(where_, t_, a_),
@@ -226,7 +226,7 @@ def with_sql_parts(df, sql: str, prefix: str):
         "group_cols": _identifiers(group_, t_, a_),
         "has_order": F.col(u).rlike(r"\bORDER\s+BY\b"),
         "order_cols": _identifiers(order_, t_, a_),
-        "aggs": F.array_sort(F.array_distinct(
+        "aggs": F.sort_array(F.array_distinct(
             F.regexp_extract_all(F.col(u), F.lit(r"\b(COUNT|SUM|AVG|MIN|MAX)\s*\("), 1))),
     }
     for k, v in cols.items():
@@ -240,10 +240,10 @@ def sql_parts(sql) -> Column:
     tables = F.regexp_extract_all(u, F.lit(r"\b(?:FROM|JOIN)\s+(\w+)"), 1)
     aliases = _aliases(u)
     where_, group_, order_ = _clauses(u)
-    aggs = F.array_sort(F.array_distinct(
+    aggs = F.sort_array(F.array_distinct(
         F.regexp_extract_all(u, F.lit(r"\b(COUNT|SUM|AVG|MIN|MAX)\s*\("), 1)))
     return F.struct(
-        F.array_sort(F.array_distinct(tables)).alias("tables"),
+        F.sort_array(F.array_distinct(tables)).alias("tables"),
         _identifiers(u, tables, aliases).alias("columns"),
         u.rlike(r"\bWHERE\b").alias("has_where"),
         _identifiers(where_, tables, aliases).alias("where_cols"),
@@ -269,8 +269,8 @@ def statement_kind(sql) -> Column:
 
 def compare_sql(a, b) -> Column:
     """Exact / normalized match, same statement kind and same table set."""
-    ta = F.array_sort(F.array_distinct(extract_tables(a)))
-    tb = F.array_sort(F.array_distinct(extract_tables(b)))
+    ta = F.sort_array(F.array_distinct(extract_tables(a)))
+    tb = F.sort_array(F.array_distinct(extract_tables(b)))
     pa, pb = sql_parts(a), sql_parts(b)
     return F.struct(
         (strip_ws(a) == strip_ws(b)).alias("exact_match"),
@@ -288,12 +288,12 @@ def relevant_tables(sql, table_names) -> Column:
         tl = t.lower()
         pat = rf"\bfrom\s+{tl}\b|\bjoin\s+{tl}\b|\b{tl}\s+as\b|\b{tl}\."
         hits.append(F.when(low.rlike(pat), F.lit(tl)))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
+    return F.sort_array(F.array_distinct(F.array_compact(F.array(*hits))))
 
 
 def ddl_table_names(text) -> Column:
     """Distinct names of ``CREATE TABLE x`` statements."""
-    return F.array_sort(F.array_distinct(
+    return F.sort_array(F.array_distinct(
         F.regexp_extract_all(col_(text), F.lit(r"(?i)CREATE TABLE\s+(\w+)"), 1)))
 
 

@@ -22,7 +22,7 @@ SEP = "\u0001"
 def set_key(cols: list[str]) -> Column:
     """D1 row key: the row's values as text ('None' for NULL), sorted."""
     vals = [F.coalesce(F.col(x).cast("string"), F.lit("None")) for x in cols]
-    return F.array_join(F.array_sort(F.array(*vals)), SEP)
+    return F.array_join(F.sort_array(F.array(*vals)), SEP)
 
 
 def named_key(cols: list[str]) -> Column:

@@ -145,7 +145,7 @@ def label_centroids(t) -> DataFrame:
     per = (u.select("label", F.posexplode("v").alias("i", "x"))
            .groupBy("label", "i").agg(F.avg("x").alias("x")))
     return (per.groupBy("label")
-            .agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
+            .agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("p"))
             .select("label", F.transform("p", lambda s: s["x"]).alias("c")))
 
 

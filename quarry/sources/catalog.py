@@ -64,7 +64,7 @@ def table_ddl(cols: DataFrame) -> DataFrame:
                     F.when(F.col("primary_key"), F.lit(" PRIMARY KEY")).otherwise(F.lit("")),
                     F.when(F.col("not_null"), F.lit(" NOT NULL")).otherwise(F.lit("")))
     per = cols.groupBy("db_name", "table_order", "table").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("ls"))
+        F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("ls"))
     return per.select("db_name", "table_order", "table", F.concat(
         F.lit("CREATE TABLE "), "table", F.lit(" (\n"),
         F.array_join(F.transform("ls", lambda x: x["line"]), ",\n"), F.lit("\n);")).alias("ddl"))
@@ -74,7 +74,7 @@ def schema_text(cols: DataFrame) -> DataFrame:
     """Whole-database DDL text, tables in catalog order (one row per database)."""
     d = table_ddl(cols)
     return d.groupBy("db_name").agg(F.concat(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("table_order", "ddl"))), lambda x: x["ddl"]), "\n\n"),
+        F.sort_array(F.collect_list(F.struct("table_order", "ddl"))), lambda x: x["ddl"]), "\n\n"),
         F.lit("\n")).alias("schema_text"))
 
 
@@ -129,7 +129,7 @@ def column_value_sample(t: Tables, n: int = SAMPLE_SIZE) -> DataFrame:
 def schema_context(cols: DataFrame, spark) -> DataFrame:
     """Schema text plus ``t.c -> t2.c2`` foreign-key lines."""
     fk = foreign_keys_df(spark)
-    lines = fk.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+    lines = fk.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
         "i", F.concat("table", F.lit("."), "from_column", F.lit(" -> "), "to_table", F.lit("."), "to_column")
         .alias("l")))), lambda x: x["l"]), "\n").alias("fk_lines"))
     st = schema_text(cols)
