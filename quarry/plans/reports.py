@@ -376,8 +376,11 @@ FROM o WHERE prev IS NOT NULL GROUP BY event_type""")
 def q_stage_timings(t):
     # lag() over a user would sort a whole user in one task; instead number
     # the events (distributed ordinal) and join each event to its predecessor.
+    # microseconds since the epoch of the zone-free timestamp: independent of
+    # the session time zone (a cast to TIMESTAMP would shift across DST changes)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     ev = t.events.select("user_id", "event_id", "ts", "event_type",
-                         F.unix_micros(c("ts").cast("timestamp")).alias("us"))
+                         F.timestamp_diff("MICROSECOND", epoch, c("ts")).alias("us"))
     o = with_ordinal(ev, "user_id", ["ts", "event_id"])
     prev = o.select("user_id", (c("ord") + 1).alias("ord"), c("us").alias("prev"))
     j = o.join(prev, ["user_id", "ord"])
