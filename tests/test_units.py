@@ -146,3 +146,61 @@ def test_dense_local_topk_ties():
     s = np.array([[1, 0.5], [1, 0.5], [0.2, 0.9], [1, 0.1]])
     out = _local_topk(s, np.array([30, 10, 20, 5]), np.array([7, 8]), 2)
     assert list(zip(out["qid"], out["doc"])) == [(7, 5), (7, 10), (8, 20), (8, 10)]
+
+
+def test_split_text_always_advances():
+    from quarry.operators.schema_docs import split_text
+    text = "a\n" + "x" * 600 + "\nend"
+    chunks = split_text(text, size=500, overlap=50)
+    # the newline at position 1 would make the original step back before its start
+    assert chunks[0] == "a"
+    assert "".join(c for c in chunks).count("end") == 1
+    assert len(chunks) < 10
+
+
+def test_contains_join_empty_and_repeated(spark):
+    from quarry.operators.matching import contains_join
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "a dog"), (3, "cat cat")], "d long, t string")
+    pats = spark.createDataFrame([(10, "cat"), (11, ""), (12, "cat"), (13, "zebra")], "p long, s string")
+    got = _rows(contains_join(docs, "d", "t", pats, "p", "s"), "pid", "did")
+    assert got == [(10, 1), (10, 3), (11, 1), (11, 2), (11, 3), (12, 1), (12, 3)]
+
+
+def test_vector_store_ids_and_last_wins(spark):
+    from quarry.sources import files as FL
+    a = spark.createDataFrame([(1, "one", "db", [1.0, 0.0]), (2, "two", "db", [0.0, 2.0])],
+                              "i long, c string, db string, v array<double>")
+    b = spark.createDataFrame([("x", "db", [3.0, 4.0], 1), ("y", "db", [1.0, 1.0], 2)],
+                              "c string, db string, v array<double>, o long")
+    c = spark.createDataFrame([(2, "two-again", "db", [5.0, 0.0])], "i long, c string, db string, v array<double>")
+    s = FL.store_add(None, a, "i", "c", "db", "v", "i")
+    s = FL.store_add(s, b, None, "c", "db", "v", "o")
+    s = FL.store_add(s, c, "i", "c", "db", "v", "i")
+    got = {r["id"]: (r["seq"], r["content"]) for r in FL.store_get(s).collect()}
+    assert got == {"1": (0, "one"), "doc_2": (2, "x"), "doc_3": (3, "y"), "2": (4, "two-again")}
+    v = {r["id"]: r["vector"] for r in FL.store_get(s).collect()}
+    assert v["doc_2"] == pytest.approx([0.6, 0.8])
+
+
+def test_execution_accuracy_outcomes(spark):
+    from quarry.operators.execute import execution_accuracy
+    spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, v string").createOrReplaceTempView("t_exec")
+    pairs = [(1, "SELECT v FROM t_exec", "SELECT DISTINCT v FROM t_exec"),      # set match
+             (2, "SELECT k FROM t_exec", "SELECT v FROM t_exec"),               # different values
+             (3, "SELECT nope FROM t_exec", "SELECT v FROM t_exec"),            # generated fails
+             (4, "SELECT v FROM t_exec", "SELECT FROM WHERE")]                  # gold fails
+    got = {r["question"]: (r["valid"], r["correct"], (r["error"] or "")[:18])
+           for r in execution_accuracy(spark, pairs).collect()}
+    assert got[1] == (True, True, "") and got[2] == (True, False, "")
+    assert got[3][:2] == (False, False) and got[3][2].startswith("Generated SQL")
+    assert got[4][:2] == (False, False) and got[4][2].startswith("Database error")
+
+
+def test_ordinal_self_join_is_consistent(spark):
+    # two plan branches over one numbering must agree (predecessor join finds n - groups pairs)
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
+    o = with_ordinal(df, "g", ["k"], partitions=8)
+    prev = o.select("g", (F.col("ord") + 1).alias("ord"), F.col("k").alias("pk"))
+    j = o.join(prev, ["g", "ord"])
+    assert j.count() == 5000 - 3
+    assert j.filter(F.col("pk") >= F.col("k")).count() == 0
