@@ -141,6 +141,23 @@ def _q_store_roundtrip(spark, sf_dir):
                        .alias("sum_v"))
 
 
+def _q_store_save(spark, sf_dir):
+    """A19 save: the store written partitioned by database; per-partition counts read from the files."""
+    t = _t(spark, sf_dir)
+    path = FL.store_save(_store(t), scratch_path(spark, "store"))
+    return spark.read.parquet(path).groupBy("db_name").agg(F.count(F.lit(1)).alias("n_docs"),
+                                                          F.min("seq").alias("first_seq"))
+
+
+def _q_store_load(spark, sf_dir):
+    """A19 load: the saved store read back (None only when nothing was saved there)."""
+    t = _t(spark, sf_dir)
+    path = FL.store_save(_store(t), scratch_path(spark, "store"))
+    back = FL.store_load(spark, path)
+    return back.select("id", "seq", "db_name", "content",
+                       F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("sum_v"))
+
+
 def _added(t):
     s1 = _store(t)
     b = t.benchmark.select("item_id", F.lit("bench").alias("db_name"), "text",
@@ -181,6 +198,14 @@ SELECT id, question, hardness, """ + ", ".join(
         f"first(CASE WHEN generated_sql <> '' AND correct THEN 'Yes' ELSE 'No' END) FILTER (WHERE pipeline = '{p}') AS {p}_Correct, "
         f"round(first(execution_time) FILTER (WHERE pipeline = '{p}'), 6) AS {p}_Time" for p in PIPELINES) + """
 FROM er GROUP BY id, question, hardness""",
+    "vector_store_save": """
+SELECT 'label_' || CAST(label AS VARCHAR) AS db_name, count(*) AS n_docs,
+       CAST(min(rn) AS BIGINT) AS first_seq
+FROM (SELECT label, row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM embeddings) z GROUP BY label""",
+    "vector_store_load": f"""
+SELECT CAST(vec_id AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS seq,
+       'label_' || CAST(label AS VARCHAR) AS db_name, 'label ' || CAST(label AS VARCHAR) AS content, {_UNIT_SUM} AS sum_v
+FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e""",
     "vector_store_roundtrip": f"""
 SELECT CAST(vec_id AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS seq,
        'label_' || CAST(label AS VARCHAR) AS db_name, {_UNIT_SUM} AS sum_v
@@ -219,6 +244,8 @@ QUERIES = {
     "sink_json_detail": _q_detail_json,
     "sink_json_combined": _q_combined_json,
     "result_csv_export": _q_result_csv,
+    "vector_store_save": _q_store_save,
+    "vector_store_load": _q_store_load,
     "vector_store_roundtrip": _q_store_roundtrip,
     "vector_store_add": _q_store_add,
     "vector_store_get": _q_store_get,
