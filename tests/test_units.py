@@ -204,3 +204,16 @@ def test_ordinal_self_join_is_consistent(spark):
     j = o.join(prev, ["g", "ord"])
     assert j.count() == 5000 - 3
     assert j.filter(F.col("pk") >= F.col("k")).count() == 0
+
+
+def test_execution_runtime_error_is_captured(spark):
+    from quarry.operators.execute import execution_accuracy, guarded_execute
+    spark.createDataFrame([("1",), ("x",)], "s string").createOrReplaceTempView("t_rt")
+    pairs = [(1, "SELECT CAST(s AS INT) AS v FROM t_rt", "SELECT s FROM t_rt"),   # fails only at run time (ANSI)
+             (2, "SELECT s FROM t_rt", "SELECT s FROM t_rt")]
+    got = {r["question"]: (r["valid"], r["correct"], r["error"] or "") for r in execution_accuracy(spark, pairs).collect()}
+    assert got[2] == (True, True, "")
+    assert got[1][0] is False and got[1][2].startswith("Execution error")
+    g = {r["question"]: (r["success"], r["n_rows"]) for r in
+         guarded_execute(spark, [(1, "SELECT CAST(s AS INT) FROM t_rt"), (2, "SELECT s FROM t_rt")]).collect()}
+    assert g == {1: (False, 0), 2: (True, 2)}
