@@ -131,8 +131,9 @@ def guarded_execute(spark: SparkSession, items: list[tuple[int, str]]) -> DataFr
                 # hash every column so the statement really runs (a bare count
                 # would let the optimizer prune the projection and skip errors)
                 h = F.max(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])) if df.columns else F.lit(0)
-                parts.append((q, df.groupBy().agg(F.count(F.lit(1)).alias("n_rows"), h.alias("_h"))
-                              .select(F.lit(q).cast("long").alias("question"), "n_rows")))
+                # ``_h`` stays in the materialized rows, so it cannot be pruned away
+                parts.append((q, df.groupBy().agg(F.count(F.lit(1)).alias("n_rows"), h.cast("long").alias("_h"))
+                              .select(F.lit(q).cast("long").alias("question"), "n_rows", "_h")))
     rows, run_errors = _materialize(parts)
     for q, err in run_errors.items():
         status[q] = (False, f"Execution error: {err}")
