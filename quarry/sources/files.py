@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.formatting import py_format
 from ..operators.dense import l2_normalize
 from ..operators.ordinal import with_ordinal
 
@@ -79,7 +80,7 @@ def write_detail_csv(wide: DataFrame, pipelines, path: str) -> str:
     cols = [F.col("id").alias("ID"), F.col("question").alias("Question"), F.col("hardness").alias("Hardness")]
     for p in pipelines:
         cols += [F.col(f"{p}_SQL").alias(f"{p}_SQL"), F.col(f"{p}_Correct").alias(f"{p}_Correct"),
-                 F.format_string("%.1f", F.col(f"{p}_Time")).alias(f"{p}_Time")]
+                 py_format(F.col(f"{p}_Time"), ".1f").alias(f"{p}_Time")]
     wide.select(*cols).write.mode("overwrite").option("header", True).option("quoteAll", True) \
         .option("escape", '"').csv(path)
     return path
@@ -92,16 +93,16 @@ def read_detail_csv(spark: SparkSession, path: str) -> DataFrame:
 def summary_text(summary: DataFrame) -> DataFrame:
     """The 12-column summary with percentages as text."""
     def pct(c):
-        return F.format_string("%.1f%%", F.col(c) * 100)
+        return py_format(c, ".1%")
     return summary.select(
         F.col("pipeline").alias("Pipeline"), F.col("total_questions").alias("Total Questions"),
         pct("execution_accuracy").alias("Execution Accuracy"), pct("exact_set_match_rate").alias("Exact Set Match"),
-        F.format_string("%.3f", "avg_component_score").alias("Component Score"),
+        py_format("avg_component_score", ".3f").alias("Component Score"),
         pct("select_match_rate").alias("SELECT Match"), pct("from_match_rate").alias("FROM Match"),
         pct("where_match_rate").alias("WHERE Match"), pct("groupby_match_rate").alias("GROUP BY Match"),
         pct("orderby_match_rate").alias("ORDER BY Match"),
-        F.format_string("%.2f", "avg_time_per_question").alias("Avg Time (s)"),
-        F.format_string("%.2f", "total_time").alias("Total Time (s)"))
+        py_format("avg_time_per_question", ".2f").alias("Avg Time (s)"),
+        py_format("total_time", ".2f").alias("Total Time (s)"))
 
 
 def combined_text(totals: DataFrame) -> DataFrame:
@@ -109,8 +110,8 @@ def combined_text(totals: DataFrame) -> DataFrame:
     return totals.select(F.col("database").alias("Database"),
                          F.regexp_replace("pipeline", "_", " ").alias("Pipeline"),
                          F.col("total").alias("Total Questions"), F.col("correct").alias("Correct"),
-                         F.format_string("%.1f%%", F.col("accuracy") * 100).alias("Accuracy"),
-                         F.format_string("%.1f", "avg_time").alias("Avg Time (s)"))
+                         py_format("accuracy", ".1%").alias("Accuracy"),
+                         py_format("avg_time", ".1f").alias("Avg Time (s)"))
 
 
 def write_csv(df: DataFrame, path: str) -> str:
