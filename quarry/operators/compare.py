@@ -107,10 +107,10 @@ def overlap_prf(rows: DataFrame, cols: list[str], questions: DataFrame) -> DataF
 def ordered_match(rows: DataFrame, cols: list[str], order: list[str], questions: DataFrame) -> DataFrame:
     """Same rows in the same order; an empty side never matches."""
     keyed = rows.select(F.col("side"), F.col("question"), value_key(cols).alias("k"), *order)
-    gen = with_ordinal(keyed.filter(F.col("side") == "gen"), "question", order).select(
-        "question", "ord", F.col("k").alias("kg"))
-    gold = with_ordinal(keyed.filter(F.col("side") == "gold"), "question", order).select(
-        "question", "ord", F.col("k").alias("ko"))
+    # both sides numbered in one pass (one range shuffle, one checkpoint)
+    numbered = with_ordinal(keyed, ["side", "question"], order)
+    gen = numbered.filter(F.col("side") == "gen").select("question", "ord", F.col("k").alias("kg"))
+    gold = numbered.filter(F.col("side") == "gold").select("question", "ord", F.col("k").alias("ko"))
     j = gen.join(gold, ["question", "ord"], "full_outer")
     per_q = j.groupBy("question").agg(
         F.count("kg").alias("ng"), F.count("ko").alias("no"),
@@ -143,9 +143,6 @@ def _q(fn, *extra):
     return run
 
 
-_RR = None
-
-
 def _oracle_prefix():
     from ..plans.derived import RESULT_ROWS_SQL
     return f"WITH rr AS ({RESULT_ROWS_SQL}), qs AS (SELECT s_suppkey AS question FROM supplier)\n"

@@ -24,21 +24,23 @@ from ..session import cut_lineage
 
 
 
-def with_ordinal(df: DataFrame, group: str, order: list[str], out: str = "ord",
+def with_ordinal(df: DataFrame, group, order: list[str], out: str = "ord",
                  partitions: int | None = None) -> DataFrame:
+    """1-based position of each row inside its group (one or several columns), by ``order``."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [group] + list(order)
+    groups = [group] if isinstance(group, str) else list(group)
+    keys = groups + list(order)
     s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
     s = cut_lineage(s)
-    counts = s.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = s.groupBy(*groups, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     # offs has (#groups x #partitions) rows at most and each of its window
     # groups at most #partitions rows.  Its size is not known up front, so
     # the join is left to AQE, which broadcasts it from the real shuffle size.
-    return (s.join(offs, [group, "_pid"])
+    return (s.join(offs, groups + ["_pid"])
             .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("long"))
             .drop("_pid", "_mid", "_n", "_m0", "_off"))
