@@ -27,6 +27,7 @@ from .sizing import bounded, spread
 DIM = 64
 EPS = 1e-10
 MAX_QUERIES = 20_000  # rows of the broadcast query matrix per chunk
+MAX_DOCS = 20_000     # a document side this small is broadcast instead (exact, no global top-k step)
 
 
 def token_buckets(text, dim: int = DIM) -> Column:
@@ -83,8 +84,10 @@ def _local_topk(s: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int) -> pd.
     q_idx, d_idx = q_idx[order], d_idx[order]
     first = np.searchsorted(q_idx, q_idx, side="left")        # start of each column's run
     keep = (np.arange(len(q_idx)) - first) < kk
+    pos = (np.arange(len(q_idx)) - first)[keep]
     q_idx, d_idx = q_idx[keep], d_idx[keep]
-    return pd.DataFrame({"qid": qids[q_idx], "doc": ids[d_idx], "score": s[d_idx, q_idx]})
+    return pd.DataFrame({"qid": qids[q_idx], "doc": ids[d_idx], "score": s[d_idx, q_idx],
+                         "rank": (pos + 1).astype(np.int32)})
 
 
 def _score_batches(bq, k: int, id_col: str, vec_col: str):
@@ -99,6 +102,18 @@ def _score_batches(bq, k: int, id_col: str, vec_col: str):
     return run
 
 
+def _score_queries(bd, k: int, qid_col: str, qvec_col: str):
+    def run(it):
+        ids, dmat = bd.value
+        for pdf in it:
+            if len(pdf) == 0 or len(ids) == 0:
+                continue
+            q = np.stack(pdf[qvec_col].to_numpy()).astype(np.float64)
+            q = q / (np.linalg.norm(q, axis=1, keepdims=True) + EPS)
+            yield _local_topk(dmat @ q.T, ids, pdf[qid_col].to_numpy(), k)
+    return run
+
+
 def _collect_queries(queries: DataFrame, qid: str, qvec: str):
     rows = queries.select(qid, qvec).collect()
     qids = np.array([r[0] for r in rows])
@@ -111,7 +126,14 @@ def dense_topk(docs: DataFrame, did: str, dvec: str, queries: DataFrame, qid: st
                k: int = 5, id_type: str = "long") -> DataFrame:
     """(qid, doc, score, rank) - exact top-k by cosine, ties by doc id."""
     spark = docs.sparkSession
-    schema = f"qid {id_type}, doc long, score double"
+    schema = f"qid {id_type}, doc long, score double, rank int"
+    if bounded(docs, MAX_DOCS):
+        # few documents, any number of queries: broadcast the (checked) document
+        # matrix and score each query batch against all of it - the per-query
+        # top-k is final inside the batch, so no shuffle and no global step
+        d = docs.select(F.col(did).cast("long"), dvec)
+        bd = spark.sparkContext.broadcast(_collect_queries(d, did, dvec))
+        return spread(queries.select(qid, qvec)).mapInPandas(_score_queries(bd, k, qid, qvec), schema)
     chunks = [queries]
     if not bounded(queries, MAX_QUERIES):
         n = queries.count() // MAX_QUERIES + 1

@@ -79,14 +79,18 @@ def _q_minmax(spark, sf_dir):
                     F.round("norm", 6).alias("norm_score"))
 
 
-_TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
-SPARSE_CTE = f"""
-d AS (SELECT doc_id, {_TOK} AS toks FROM documents),
+def retrieval_ctes(docs: str, dkey: str, dtext: str, qs: str, qkey: str, qtext: str, k2: int = 10) -> str:
+    """Oracle CTEs: BM25 (``bm``, top-2k ``sp``, normalised ``spn``) and hashed-vector cosine
+    (``ds``, top-2k ``dk``, normalised ``dkn``); keys come out as item_id / doc_id."""
+    tok = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+    bucket = r"CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64"
+    return f"""
+d AS (SELECT {dkey} AS doc_id, {tok.format(dtext)} AS toks FROM {docs}),
 stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
 post AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d),
 tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM post GROUP BY doc_id, term, dl),
 dfreq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-q AS (SELECT item_id, unnest({_TOK}) AS term FROM benchmark),
+q AS (SELECT {qkey} AS item_id, unnest({tok.format(qtext)}) AS term FROM {qs}),
 qt AS (SELECT item_id, term, count(*) AS qtf FROM q GROUP BY item_id, term),
 bm AS (
   SELECT qt.item_id, tf.doc_id,
@@ -95,28 +99,32 @@ bm AS (
   FROM qt JOIN tf ON qt.term = tf.term JOIN dfreq f ON f.term = qt.term CROSS JOIN stats s
   GROUP BY qt.item_id, tf.doc_id),
 sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rk
-                      FROM bm) z WHERE rk <= 10),
+                      FROM bm) z WHERE rk <= {k2}),
 spn AS (SELECT item_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0
           ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS sparse_score
-        FROM sp WINDOW w AS (PARTITION BY item_id))"""
-
-_BUCKET = r"CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64"
-DENSE_CTE = f"""
-dt AS (SELECT doc_id, unnest({_TOK}) AS tok FROM documents),
-db AS (SELECT doc_id, {_BUCKET} AS b, count(*) AS n FROM dt GROUP BY doc_id, b),
-dn AS (SELECT d.doc_id, coalesce(sqrt(sum(n * n)), 0.0) AS nrm FROM documents d LEFT JOIN db USING (doc_id) GROUP BY d.doc_id),
-qtok AS (SELECT item_id, unnest({_TOK}) AS tok FROM benchmark),
-qb AS (SELECT item_id, {_BUCKET} AS b, count(*) AS n FROM qtok GROUP BY item_id, b),
-qn AS (SELECT bq.item_id, coalesce(sqrt(sum(n * n)), 0.0) AS nrm FROM benchmark bq LEFT JOIN qb USING (item_id) GROUP BY bq.item_id),
+        FROM sp WINDOW w AS (PARTITION BY item_id)),
+dt AS (SELECT {dkey} AS doc_id, unnest({tok.format(dtext)}) AS tok FROM {docs}),
+db AS (SELECT doc_id, {bucket} AS b, count(*) AS n FROM dt GROUP BY doc_id, b),
+dn AS (SELECT dd.{dkey} AS doc_id, coalesce(sqrt(sum(n * n)), 0.0) AS nrm FROM {docs} dd LEFT JOIN db ON db.doc_id = dd.{dkey}
+       GROUP BY dd.{dkey}),
+qtok AS (SELECT {qkey} AS item_id, unnest({tok.format(qtext)}) AS tok FROM {qs}),
+qb AS (SELECT item_id, {bucket} AS b, count(*) AS n FROM qtok GROUP BY item_id, b),
+qn AS (SELECT qq.{qkey} AS item_id, coalesce(sqrt(sum(n * n)), 0.0) AS nrm FROM {qs} qq LEFT JOIN qb ON qb.item_id = qq.{qkey}
+       GROUP BY qq.{qkey}),
 dots AS (SELECT qb.item_id, db.doc_id, sum(qb.n * db.n) AS dp FROM qb JOIN db ON qb.b = db.b GROUP BY qb.item_id, db.doc_id),
 ds AS (SELECT qn.item_id, dn.doc_id, coalesce(dots.dp, 0.0) / ((qn.nrm + 1e-10) * (dn.nrm + 1e-10)) AS score
        FROM qn CROSS JOIN dn LEFT JOIN dots ON dots.item_id = qn.item_id AND dots.doc_id = dn.doc_id),
 dk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rk
-                      FROM ds) z WHERE rk <= 10),
+                      FROM ds) z WHERE rk <= {k2}),
 dkn AS (SELECT item_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0
           ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS dense_score
         FROM dk WINDOW w AS (PARTITION BY item_id))"""
 
+
+_ALL = retrieval_ctes("documents", "doc_id", "text", "benchmark", "item_id", "text")
+SPARSE_CTE = _ALL[:_ALL.index("dt AS (")].rstrip().rstrip(",")
+DENSE_CTE = _ALL[_ALL.index("dt AS ("):]
+
 HYBRID_ORACLE = "WITH " + SPARSE_CTE + "," + DENSE_CTE + """,
 fz AS (SELECT coalesce(dkn.item_id, spn.item_id) AS item_id, coalesce(dkn.doc_id, spn.doc_id) AS doc_id,
               coalesce(dense_score, 0.0) AS dense_score, coalesce(sparse_score, 0.0) AS sparse_score

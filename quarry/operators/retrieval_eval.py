@@ -22,17 +22,18 @@ from .matching import contains_join
 METHODS = ("dense", "sparse", "hybrid")
 
 
-def runs(t, k: int = 5) -> DataFrame:
+def runs(t, k: int = 5, docs=None, did="doc_id", dtext="text", q=None, qid="item_id", qtext="text") -> DataFrame:
     """Sparse, dense and hybrid top-k of every query.
 
     Each side is ranked once to 2k (what the fusion needs); the plain top-k
-    lists are the first k of those.  The 2k lists are tiny (#queries x 2k) and
+    lists are the first k of those.  The 2k lists are small (#queries x 2k) and
     are checkpointed so the three methods reuse them instead of re-scoring
     the corpus.
     """
-    docs, q = t.documents, t.benchmark
-    sp2 = cut_lineage(sparse_side(docs, "doc_id", "text", q, "item_id", "text", 2 * k))
-    de2 = cut_lineage(dense_side(docs, "doc_id", "text", q, "item_id", "text", 2 * k))
+    docs = t.documents if docs is None else docs
+    q = t.benchmark if q is None else q
+    sp2 = cut_lineage(sparse_side(docs, did, dtext, q, qid, qtext, 2 * k))
+    de2 = cut_lineage(dense_side(docs, did, dtext, q, qid, qtext, 2 * k))
     sp = sp2.filter(F.col("rank") <= k)
     de = de2.filter(F.col("rank") <= k)
     hy = fuse(sp2, de2, k)
@@ -94,6 +95,31 @@ def compare_retrievers(run: DataFrame, queries: DataFrame) -> DataFrame:
     return j.groupBy("method").agg(F.avg("ms").alias("avg_score"), F.avg("nh").alias("avg_results"))
 
 
+def schema_retrieval_prf(run: DataFrame, doc_tables: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
+    """E18 on schema retrieval: retrieved tables (lower-cased, blanks dropped) vs the gold SQL's tables.
+
+    ``doc_tables(doc, table)``, ``truth(qid, table)``; an empty relevant set scores 0.
+    """
+    spark = run.sparkSession
+    got = (run.join(doc_tables, "doc").select("method", "qid", F.lower("table").alias("table"))
+           .filter(F.col("table").isNotNull() & (F.col("table") != "")).distinct())
+    n_ret = run.groupBy("method", "qid").agg(F.count(F.lit(1)).alias("num_retrieved"))
+    n_set = got.groupBy("method", "qid").agg(F.count(F.lit(1)).alias("n_set"))
+    n_rel = truth.groupBy("qid").agg(F.count(F.lit(1)).alias("n_rel"))
+    both = got.join(truth, ["qid", "table"]).groupBy("method", "qid").agg(F.count(F.lit(1)).alias("rr"))
+    grid = F.broadcast(_methods(spark)).crossJoin(queries)  # #methods x #queries rows
+    j = (grid.join(n_ret, ["method", "qid"], "left").join(n_set, ["method", "qid"], "left")
+         .join(n_rel, "qid", "left").join(both, ["method", "qid"], "left")
+         .fillna(0, ["num_retrieved", "n_set", "n_rel", "rr"]))
+    has = F.col("n_rel") > 0
+    p = F.when(has & (F.col("n_set") > 0), F.col("rr") / F.col("n_set")).otherwise(0.0)
+    r = F.when(has, F.col("rr") / F.col("n_rel")).otherwise(0.0)
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    return j.select("method", "method_order", "qid", p.alias("precision"), r.alias("recall"), f1.alias("f1"),
+                    F.col("num_retrieved").cast("long").alias("num_retrieved"),
+                    F.when(has, F.col("rr")).otherwise(0).cast("long").alias("relevant_retrieved"))
+
+
 # ---------------------------------------------------------------- registry
 
 def _t(spark, sf_dir):
@@ -213,7 +239,83 @@ SELECT method, (SELECT count(*) FROM documents) AS num_documents,
 FROM (VALUES ('dense'), ('sparse'), ('hybrid')) v(method)""",
 }
 
+def _schema_prf(t):
+    from ..functions.sqltext import relevant_tables
+    from ..plans.derived import query_log
+    from .schema_docs import schema_docs
+    # the schema documents are tiny but costly to derive (value samples scan every
+    # text column): materialize them once for the index, the size check and the join
+    docs = cut_lineage(schema_docs(t).select(F.col("pos").alias("doc"), "content", "table"))
+    ql = query_log(t)
+    q = ql.select("qid", "question")
+    run = runs(t, 5, docs.select("doc", "content"), "doc", "content", q, "qid", "question")
+    truth = ql.select("qid", F.explode(relevant_tables("gold_sql", t.available())).alias("table"))
+    return schema_retrieval_prf(run, docs.select("doc", "table"), truth, ql.select("qid"))
+
+
+def _q_schema_prf(spark, sf_dir):
+    p = _schema_prf(_t(spark, sf_dir))
+    return p.select("method", "qid", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"),
+                    F.round("f1", 6).alias("f1"), "num_retrieved", "relevant_retrieved")
+
+
+def _q_schema_summary(spark, sf_dir):
+    s = retrieval_summary(_schema_prf(_t(spark, sf_dir)))
+    return s.select("method", *[F.round(x, 6).alias(x) for x in ("avg_precision", "avg_recall", "avg_f1")],
+                    "total_cases")
+
+
+def _schema_oracle_runs():
+    from ..plans.derived import QUERY_LOG_SQL
+    from ..session import TABLE_NAMES
+    from .hybrid import retrieval_ctes
+    from .schema_docs import ORACLES as SD
+    docs_sql = SD["schema_docs"]
+    docs_body = docs_sql[len("WITH "):docs_sql.rindex("SELECT pos, id, type")]
+    rel = ", ".join(
+        rf"CASE WHEN regexp_matches(lower(gold_sql), '\bfrom\s+{n}\b|\bjoin\s+{n}\b|\b{n}\s+as\b|\b{n}\.') "
+        f"THEN '{n}' END" for n in TABLE_NAMES)
+    return ("WITH " + docs_body.rstrip().rstrip(",") + f",\nquery_log AS ({QUERY_LOG_SQL}),"
+            + retrieval_ctes("docs", "pos", "content", "query_log", "qid", "question") + f""",
+fz AS (SELECT coalesce(dkn.item_id, spn.item_id) AS item_id, coalesce(dkn.doc_id, spn.doc_id) AS doc_id,
+              coalesce(dense_score, 0.0) * 0.6 + coalesce(sparse_score, 0.0) * 0.4 AS score
+       FROM dkn FULL OUTER JOIN spn ON dkn.item_id = spn.item_id AND dkn.doc_id = spn.doc_id),
+hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rk FROM fz) z WHERE rk <= 5),
+runs AS (SELECT 'sparse' AS method, item_id, doc_id FROM sp WHERE rk <= 5
+         UNION ALL SELECT 'dense', item_id, doc_id FROM dk WHERE rk <= 5
+         UNION ALL SELECT 'hybrid', item_id, doc_id FROM hy),
+truth AS (SELECT DISTINCT qid AS item_id, unnest(list_filter([{rel}], lambda x: x IS NOT NULL)) AS tbl FROM query_log),
+got AS (SELECT DISTINCT r.method, r.item_id, lower(d."table") AS tbl FROM runs r JOIN docs d ON d.pos = r.doc_id
+        WHERE d."table" IS NOT NULL AND d."table" <> ''),
+m AS (SELECT * FROM (VALUES ('dense', 0), ('sparse', 1), ('hybrid', 2)) v(method, method_order)),
+grid AS (SELECT method, method_order, qid AS item_id FROM m CROSS JOIN query_log),
+nret AS (SELECT method, item_id, count(*) AS num_retrieved FROM runs GROUP BY method, item_id),
+nset AS (SELECT method, item_id, count(*) AS n_set FROM got GROUP BY method, item_id),
+nrel AS (SELECT item_id, count(*) AS n_rel FROM truth GROUP BY item_id),
+bth AS (SELECT g.method, g.item_id, count(*) AS rr FROM got g JOIN truth t ON t.item_id = g.item_id AND t.tbl = g.tbl
+        GROUP BY g.method, g.item_id),
+j AS (SELECT grid.method, grid.method_order, grid.item_id, coalesce(num_retrieved, 0) AS num_retrieved,
+             coalesce(n_set, 0) AS n_set, coalesce(n_rel, 0) AS n_rel, coalesce(rr, 0) AS rr
+      FROM grid LEFT JOIN nret USING (method, item_id) LEFT JOIN nset USING (method, item_id)
+      LEFT JOIN nrel USING (item_id) LEFT JOIN bth USING (method, item_id)),
+pr AS (SELECT *, CASE WHEN n_rel > 0 AND n_set > 0 THEN rr / n_set ELSE 0.0 END AS p,
+              CASE WHEN n_rel > 0 THEN rr / n_rel ELSE 0.0 END AS r FROM j),
+prf AS (SELECT method, item_id, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1,
+               CAST(num_retrieved AS BIGINT) AS num_retrieved,
+               CAST(CASE WHEN n_rel > 0 THEN rr ELSE 0 END AS BIGINT) AS relevant_retrieved FROM pr)
+""")
+
+
+ORACLES["schema_retrieval_prf"] = _schema_oracle_runs() + """
+SELECT method, item_id AS qid, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       num_retrieved, relevant_retrieved FROM prf"""
+ORACLES["schema_retrieval_summary"] = _schema_oracle_runs() + """
+SELECT method, round(avg(precision), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall,
+       round(avg(f1), 6) AS avg_f1, count(*) AS total_cases FROM prf GROUP BY method"""
+
 QUERIES = {
+    "schema_retrieval_prf": _q_schema_prf,
+    "schema_retrieval_summary": _q_schema_summary,
     "relevance_join": _q_relevance,
     "retrieval_prf": _q_prf,
     "retrieval_summary": _q_summary,

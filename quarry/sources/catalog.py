@@ -93,35 +93,42 @@ def fk_check(t: Tables) -> DataFrame:
     return out
 
 
-def _local_smallest(n: int):
+def _local_smallest(n: int, cols: list[str]):
+    """Per task: the n smallest distinct values of each column (bounded state per column)."""
     def run(it):
-        best: set = set()
+        best: dict = {c: set() for c in cols}
         for pdf in it:
-            v = pdf["value"].dropna()
-            best.update(v.tolist())
-            if len(best) > 4 * n:
-                best = set(sorted(best)[:n])
-        vals = sorted(best)[:n]
-        yield pd.DataFrame({"value": pd.Series(vals, dtype="object")})
+            for c in cols:
+                b = best[c]
+                b.update(pdf[c].dropna().tolist())
+                if len(b) > 4 * n:
+                    best[c] = set(sorted(b)[:n])
+        rows_c, rows_v = [], []
+        for c in cols:
+            for v in sorted(best[c])[:n]:
+                rows_c.append(c)
+                rows_v.append(v)
+        yield pd.DataFrame({"column": pd.Series(rows_c, dtype="object"), "value": pd.Series(rows_v, dtype="object")})
     return run
 
 
 def column_value_sample(t: Tables, n: int = SAMPLE_SIZE) -> DataFrame:
     """The n smallest distinct values of every text column.
 
-    Each task keeps only its own n smallest distinct values (pre-aggregation
-    before the shuffle), so at most n rows per column per task are shuffled.
+    One pass per table covers all its text columns; each task keeps only its
+    own n smallest distinct values per column (pre-aggregation before the
+    shuffle), so at most n rows per column per task are shuffled.
     """
     out = None
     w = Window.partitionBy("table", "column").orderBy("value")
     for name in TABLE_NAMES:
-        for f in t[name].schema.fields:
-            if f.dataType.simpleString() not in TEXT_TYPES:
-                continue
-            local = (spread(t[name]).select(F.col(f.name).alias("value"))
-                     .mapInPandas(_local_smallest(n), "value string"))
-            part = local.select(F.lit(name).alias("table"), F.lit(f.name).alias("column"), "value")
-            out = part if out is None else out.unionByName(part)
+        cols = [f.name for f in t[name].schema.fields if f.dataType.simpleString() in TEXT_TYPES]
+        if not cols:
+            continue
+        local = (spread(t[name]).select(*cols)
+                 .mapInPandas(_local_smallest(n, cols), "column string, value string"))
+        part = local.select(F.lit(name).alias("table"), "column", "value")
+        out = part if out is None else out.unionByName(part)
     d = out.distinct()
     return d.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")
 

@@ -217,3 +217,17 @@ def test_execution_runtime_error_is_captured(spark):
     g = {r["question"]: (r["success"], r["n_rows"]) for r in
          guarded_execute(spark, [(1, "SELECT CAST(s AS INT) FROM t_rt"), (2, "SELECT s FROM t_rt")]).collect()}
     assert g == {1: (False, 0), 2: (True, 2)}
+
+
+def test_dense_topk_both_strategies_agree(spark, monkeypatch):
+    from quarry.operators import dense as DN
+    from quarry.session import Tables
+    from .conftest import SF_SMALL
+    t = Tables(spark, SF_SMALL)
+    q = DN.label_centroids(t)
+    doc_side = _rows(DN.dense_topk(t.embeddings, "vec_id", "embedding", q, "label", "c", 5, "int"),
+                     "qid", "doc", "rank")
+    monkeypatch.setattr(DN, "MAX_DOCS", 0)          # force: broadcast queries, global top-k
+    query_side = _rows(DN.dense_topk(t.embeddings, "vec_id", "embedding", q, "label", "c", 5, "int"),
+                       "qid", "doc", "rank")
+    assert doc_side == query_side and len(doc_side) == 50
