@@ -42,11 +42,17 @@ def test_dimension_join_is_broadcast(spark):
 
 
 def test_per_group_limits_are_partial(spark):
-    for key in ("stratified_sample", "first_success_attempt", "dense_topk"):
+    for key in ("stratified_sample", "first_success_attempt", "sparse_topk"):
         p = _plan(Q[key](spark, SF_SMALL))
         assert "WindowGroupLimit" in p, key
 
 
+def test_dense_topk_with_small_document_side_needs_no_global_step(spark):
+    # the checked-small document matrix is broadcast; each query batch's top-k is final
+    p = _plan(Q["dense_topk"](spark, SF_SMALL))
+    assert "MapInPandas" in p and "Window" not in p
+
+
 def test_bm25_scores_read_written_postings(spark):
     df = Q["sparse_topk"](spark, SF_SMALL)
     p = _plan(df)
