@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .sizing import bounded, maybe_broadcast, spread
+from .sizing import bounded, spread
 
 # BM25 defaults.
 K1 = 1.5
@@ -89,13 +89,15 @@ def bm25_scores(docs: DataFrame, did: str, dtext: str, queries: DataFrame, qid:
     """(qid, doc, score) for every document sharing a term with the query."""
     qt = query_terms(queries, qid, qtext)
     vocab = qt.select("term").distinct()
-    small = bounded(vocab)
+    # one size check: the vocabulary has no more rows than the query terms
+    qt_small = bounded(qt)
+    small = True if qt_small else bounded(vocab)
     post, n_docs, avgdl = build_index(docs, did, dtext, vocab, small)
     df_ = doc_freq(post)  # one row per vocabulary term: bounded when vocab is
     idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     norm = F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0)))
-    return (maybe_broadcast(qt).join(post, "term")
+    return ((F.broadcast(qt) if qt_small else qt).join(post, "term")
             .join(F.broadcast(df_) if small else df_, "term")
             .groupBy("qid", "doc")
             .agg(F.sum(F.col("qtf") * idf * norm).alias("score")))
