@@ -213,8 +213,8 @@ def with_sql_parts(df, sql: str, prefix: str):
     u, tb, al = f"{prefix}__u", f"{prefix}__t", f"{prefix}__a"
     base = _no_literals(F.upper(F.col(sql)))
     df = df.withColumn(u, base)
-    df = df.withColumn(tb, F.regexp_extract_all(F.col(u), F.lit(r"\b(?:FROM|JOIN)\s+(\w+)"), 1)) \
-           .withColumn(al, _aliases(F.col(u)))
+    df = df.withColumns({tb: F.regexp_extract_all(F.col(u), F.lit(r"\b(?:FROM|JOIN)\s+(\w+)"), 1),
+                         al: _aliases(F.col(u))})
     where_, group_, order_ = _clauses(F.col(u))
     t_, a_ = F.col(tb), F.col(al)
     cols = {
@@ -229,8 +229,8 @@ def with_sql_parts(df, sql: str, prefix: str):
         "aggs": F.sort_array(F.array_distinct(
             F.regexp_extract_all(F.col(u), F.lit(r"\b(COUNT|SUM|AVG|MIN|MAX)\s*\("), 1))),
     }
-    for k, v in cols.items():
-        df = df.withColumn(f"{prefix}_{k}", v)
+    # one projection per stage (a withColumn per field would re-analyse the plan each time)
+    df = df.withColumns({f"{prefix}_{k}": v for k, v in cols.items()})
     return df.drop(u, tb, al)
 
 
@@ -393,8 +393,7 @@ def component_match_df(df, gen: str, gold: str):
     """C19 as columns: five clause matches and their mean (``component_score``)."""
     df = with_sql_parts(with_sql_parts(df, gen, "g"), gold, "o")
     flags = component_flags(gen, gold)
-    for k, v in flags.items():
-        df = df.withColumn(k, v)
+    df = df.withColumns(flags)
     score = sum(F.col(k).cast("int") for k in flags) / 5.0
     df = df.withColumn("component_score", score)
     return df.drop(*[f"{p}_{k}" for p in ("g", "o") for k in PART_FIELDS])
