@@ -1,0 +1,9 @@
+"""SQL-generation evaluation, retrieval and corpus operators on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so workers need
+# not have the package on their own path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
