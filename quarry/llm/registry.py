@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-    "decontaminate", "secrets", "mixing", "toxicity",
+    "decontaminate", "secrets", "mixing", "toxicity", "quality",
 )
 
 
