@@ -28,6 +28,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import crc_mod, materialize, small_batches, table
 from quarry.llm.labelled import SAMPLE_ROWS, base_rate, both_classes, labelled_sample
@@ -170,20 +171,19 @@ def _upper(text: str) -> int:
     return int(((a >= 65) & (a <= 90)).sum())
 
 
-def featurize(docs: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``x``, the dense features of ``text``."""
+def featurize(docs: DataFrame, lexicon: dict[str, float], keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` columns and ``x``, the dense features of the text column."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
         lex = shared.value
         for b in batches:
-            x = [features_of(t or "", lex) for t in b.column("text").to_pylist()]
+            x = [features_of(t or "", lex) for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(x, pa.list_(pa.float64()))],
                                              names=[*keep, "x"])
 
-    from pyspark.sql import types as T
-    need = list(dict.fromkeys([*keep, "text"]))
+    need = list(dict.fromkeys([*keep, text_col]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("x", T.ArrayType(T.DoubleType()))])
     return docs.select(*[F.col(f"`{c}`") for c in need]).mapInArrow(run, schema)
 
@@ -219,9 +219,9 @@ class ToxicityModel:
         if self.trees is None:
             return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(self.constant).alias("__score"))
         names = {c: f"k{i}" for i, c in enumerate(keep)}
-        d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()],
-                        F.col("text") if "text" not in names else F.col(f"`{'text'}`").alias("text"))
-        x = featurize(d, self.lexicon, list(names.values())).withColumn("v", array_to_vector("x"))
+        text = names.get("text", "text")
+        d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *(["text"] if text == "text" else []))
+        x = featurize(d, self.lexicon, list(names.values()), text).withColumn("v", array_to_vector("x"))
         m = self.curve.transform(self._margin(self.trees, x).drop("prediction"))
         return m.select(*[F.col(n).alias(c) for c, n in names.items()],
                         F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))).alias("__score"))
