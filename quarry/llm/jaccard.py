@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, small_batches, table
+from quarry.llm.common import fresh, materialize, small_batches, table
 from quarry.llm.graph import components
 
 SHINGLE = 5
@@ -408,15 +408,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Documents without words and rows without id stay; of several rows with one
     id and one text one stays.
     """
+    name = fresh(docs, "id")
     c = materialize(jaccard_components(docs).where(F.col("n_shingles") > 0), "components")
-    lost = c.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("l_id")).distinct()
+    lost = c.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
     lost = shared_if_small(materialize(lost, "lost"))
     again = c.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where(
-        F.col("m") > 1).select(F.col("doc_id").alias("l_id"))
+        F.col("m") > 1).select(F.col("doc_id").alias(name))
     again = shared_if_small(materialize(again, "again"))
-    kept = docs.join(lost, F.col("doc_id") == F.col("l_id"), "left_anti")
-    once = kept.join(again, F.col("doc_id") == F.col("l_id"), "left_anti")
-    more = kept.join(again, F.col("doc_id") == F.col("l_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = docs.join(lost, F.col("doc_id") == F.col(name), "left_anti")
+    once = kept.join(again, F.col("doc_id") == F.col(name), "left_anti")
+    more = kept.join(again, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(more)
 
 
