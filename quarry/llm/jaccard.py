@@ -6,15 +6,17 @@ document.  No link between different texts is lost.
 
 1. Documents with equal sets are one node from the start.
 2. Similar nodes are partitioned into groups: nodes that share a minimum hash
-   meet the smallest node of that bucket only, checked links make clusters,
-   and clusters are cut into groups of about ``GROUP`` nodes.
+   meet one node of that bucket only, the one whose tokens are most common
+   (of edited copies the least edited); checked links make clusters, and
+   clusters are cut into groups of about ``GROUP`` nodes.
 3. The token-group matrix holds for every group the union of its members'
    tokens: tokens hashed to columns, the largest count of any member in each.
 4. A query node meets a group if they share a prefix token and their sizes
    allow a link.  Tokens are ordered from rare to frequent by a fixed-size
    sketch of their counts; any common order keeps prefixes exact, rare tokens
    first keep the meetings few.  A node meets no group of its own cluster: it
-   is connected already.
+   is connected already.  The number of prefix tokens they share bounds the
+   overlap a first time.
 5. The overlap of query and group is bounded by the matrix; only groups whose
    bound reaches the needed overlap are opened, and their members' exact sets,
    hashed again from the texts, are compared.
@@ -130,16 +132,10 @@ def probe_length(n):
     return n - -(-4 * n // 5) + 1
 
 
-def index_length(n):
-    return n - -(-8 * n // 9) + 1
-
-
-def in_order(s: np.ndarray, sketch: np.ndarray, cells: int) -> np.ndarray:
-    """The set from rare to frequent tokens, ties by hash."""
+def estimates(s: np.ndarray, sketch: np.ndarray, cells: int) -> np.ndarray:
+    """Count of every token, never too low."""
     i, j = cells_of(s, cells)
-    est = np.minimum(sketch[0, i], sketch[1, j])
-    level = np.frexp(est.astype(np.float64))[1]
-    return s[np.lexsort((s, level))]
+    return np.minimum(sketch[0, i], sketch[1, j]).astype(np.float64)
 
 
 def columns_of(s: np.ndarray) -> bytes:
@@ -173,7 +169,7 @@ def union_columns(all_cols: list[bytes]) -> bytes:
 
 
 def digest(docs: DataFrame, cells: int) -> tuple[DataFrame, np.ndarray]:
-    """Per document (doc_id, sid, n, cols, keys), and the token count sketch."""
+    """Per document (doc_id, sid, n, keys), and the token count sketch."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     step = cells // SLICES
@@ -184,12 +180,11 @@ def digest(docs: DataFrame, cells: int) -> tuple[DataFrame, np.ndarray]:
         id_type = None
         for b in batches:
             id_type = b.schema.field("doc_id").type
-            sid, n, cols, keys = [], [], [], []
+            sid, n, keys = [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 s = shingle_set(t or b"", cache)
                 sid.append(set_id(s))
                 n.append(len(s))
-                cols.append(columns_of(s))
                 keys.append([int((mix(s * _MULT[k] + _MULT[k])).min().view(np.int64)) for k in range(KEYS)]
                             if len(s) else [])
                 i, j = cells_of(s, cells)
@@ -197,20 +192,20 @@ def digest(docs: DataFrame, cells: int) -> tuple[DataFrame, np.ndarray]:
                 np.add.at(total[1], j, 1)
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(cols, pa.binary()),
+                [b.column("doc_id"), pa.array(sid, pa.int64()), pa.array(n, pa.int64()),
                  pa.array(keys, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())],
-                names=["doc_id", "sid", "n", "cols", "keys", "slice", "blob"])
+                names=["doc_id", "sid", "n", "keys", "slice", "blob"])
         if id_type is None:
             return
         blobs = [total[:, k * step:(k + 1) * step].tobytes() for k in range(SLICES)]
         none = pa.nulls(SLICES)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(SLICES, id_type), none.cast(pa.int64()), none.cast(pa.int64()),
-             none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())],
-            names=["doc_id", "sid", "n", "cols", "keys", "slice", "blob"])
+             none.cast(pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())],
+            names=["doc_id", "sid", "n", "keys", "slice", "blob"])
 
     rows = materialize(docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, sid long, n long, cols binary, keys array<long>, slice int, blob binary"), "shingles")
+        run, f"doc_id {kind}, sid long, n long, keys array<long>, slice int, blob binary"), "shingles")
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -231,7 +226,7 @@ def digest(docs: DataFrame, cells: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, cells: int) -> DataFrame:
-    """(doc_id, sid, probe array<long>): the rarest tokens of every document."""
+    """(doc_id, sid, probe, cols, common): rarest tokens, hashed columns, mean token count."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -239,16 +234,21 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, cells: int) -> DataFrame:
         cache = WordHashes()
         counts = shared.value
         for b in batches:
-            sid, probe = [], []
+            sid, probe, cols, common = [], [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 s = shingle_set(t or b"", cache)
+                est = estimates(s, counts, cells)
                 sid.append(set_id(s))
-                probe.append(in_order(s, counts, cells)[:probe_length(len(s))].view(np.int64) if len(s) else [])
+                probe.append(s[np.lexsort((s, np.frexp(est)[1]))][:probe_length(len(s))].view(np.int64))
+                cols.append(columns_of(s))
+                common.append(float(est.mean()) if len(s) else 0.0)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sid, pa.int64()), pa.array(probe, pa.list_(pa.int64()))],
-                names=["doc_id", "sid", "probe"])
+                [b.column("doc_id"), pa.array(sid, pa.int64()), pa.array(probe, pa.list_(pa.int64())),
+                 pa.array(cols, pa.binary()), pa.array(common, pa.float64())],
+                names=["doc_id", "sid", "probe", "cols", "common"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sid long, probe array<long>")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, sid long, probe array<long>, cols binary, common double")
 
 
 def shared_if_small(df: DataFrame, rows: int = SHARE_ROWS) -> DataFrame:
@@ -298,25 +298,44 @@ def checked_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def matrix(nodes: DataFrame) -> DataFrame:
-    """Token-group matrix: (g, cl, low, high, members, cols) a group."""
-    single = nodes.where(F.col("size") == 1).select(
-        "g", "cl", F.col("n").alias("low"), F.col("n").alias("high"), "cols")
+    """Token-group matrix of groups of several nodes: (g, cols)."""
 
     def union(t: pa.Table) -> pa.Table:
-        n = t.column("n").to_numpy()
-        return pa.table({"g": t.column("g")[:1], "cl": t.column("cl")[:1],
-                         "low": pa.array([int(n.min())], pa.int64()), "high": pa.array([int(n.max())], pa.int64()),
+        return pa.table({"g": t.column("g")[:1],
                          "cols": pa.array([union_columns(t.column("cols").to_pylist())], pa.binary())})
 
-    many = nodes.where(F.col("size") > 1).select("g", "cl", "n", "cols").groupBy("g").applyInArrow(
-        union, "g long, cl long, low long, high long, cols binary")
-    return single.unionByName(many)
+    return nodes.where(F.col("size") > 1).select("g", "cols").groupBy("g").applyInArrow(union, "g long, cols binary")
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """(q, g, qn, low): queries and groups of other clusters that can still link by their prefixes.
+
+    One table holds both sides, so that it is shuffled once: a lone node is a
+    query and a group (kind 3), a node of a cluster is a query (1), the union
+    of a group's prefixes is a group (2).
+    """
+    p = nodes.select("sid", "n", "cl", "g", "size", F.explode("probe").alias("token"))
+    sides = p.select("token", F.col("sid").alias("id"), "cl", F.col("n").alias("low"), F.col("n").alias("high"),
+                     F.when(F.col("size") > 1, 1).otherwise(3).alias("kind")).unionByName(
+        p.where(F.col("size") > 1).groupBy("token", "g").agg(
+            F.first("cl").alias("cl"), F.min("n").alias("low"), F.max("n").alias("high")).select(
+            "token", F.col("g").alias("id"), "cl", "low", "high", F.lit(2).alias("kind")))
+    m = sides.alias("q").join(sides.alias("g"), "token").where(
+        (F.col("q.kind") * 4 + F.col("g.kind")).isin(6, 7, 14, 15) & (F.col("q.cl") != F.col("g.cl"))
+        & (F.col("q.low") >= F.col("g.low")) & (5 * F.col("g.high") >= 4 * F.col("q.high")))
+    m = m.groupBy(F.col("q.id").alias("q"), F.col("g.id").alias("g"), F.col("q.high").alias("qn"),
+                  F.col("g.low").alias("low"), F.col("g.high").alias("high")).agg(F.count(F.lit(1)).alias("shared"))
+    # beyond the prefixes no more tokens can be shared than the larger set has there
+    least = F.greatest("low", F.ceil(4 * F.col("qn") / 5))
+    beyond = F.ceil(4 * F.greatest("qn", "high") / 5) - 1
+    return m.where(F.col("shared") + beyond >= F.ceil(4 * (F.col("qn") + least) / 9)).select("q", "g", "qn", "low")
 
 
 def qualifying(met: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """The meetings (q, g) whose overlap bound reaches what a link needs."""
-    q = nodes.select(F.col("sid").alias("q"), F.col("n").alias("qn"), F.col("cols").alias("qc"))
-    g = groups.select("g", F.col("cols").alias("gc"), "low")
+    q = nodes.select(F.col("sid").alias("q"), F.col("cols").alias("qc"))
+    g = nodes.where(F.col("size") == 1).select("g", F.col("cols").alias("gc")).unionByName(
+        groups.select("g", F.col("cols").alias("gc")))
     p = met.join(q, "q").join(g, "g").select("q", "g", "qn", "qc", "gc", "low")
 
     def run(batches):
@@ -335,14 +354,17 @@ def jaccard_components(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     seen, sketch = digest(docs, cells)
-    nodes = seen.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sid").agg(
-        F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("cols").alias("cols"),
-        F.first("keys").alias("keys"))
-    nodes = materialize(nodes, "nodes")
-
-    # groups: a node meets the smallest node of each of its minimum-hash buckets
-    keyed = nodes.select("sid", "n", F.posexplode("keys").alias("k", "key"))
-    center = keyed.groupBy("k", "key").agg(F.min(F.struct("sid", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where(
+    first_of = seen.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sid").agg(
+        F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("keys").alias("keys")).withColumnRenamed(
+        "sid", "n_sid")
+    nodes = prefixes(docs, sketch, cells).join(
+        first_of, (F.col("sid") == F.col("n_sid")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["sid"])
+    nodes = materialize(nodes.select("sid", "rep", "n", "keys", "common", "probe", "cols"), "nodes")
+
+    # groups: a node meets the most common node of each of its minimum-hash buckets
+    keyed = nodes.select("sid", "n", "common", F.posexplode("keys").alias("k", "key"))
+    center = keyed.groupBy("k", "key").agg(
+        F.max(F.struct("common", "sid", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where(
         F.col("m") > 1).select("k", "key", F.col("c.sid").alias("b"), F.col("c.n").alias("bn"))
     near = keyed.join(center, ["k", "key"]).where(
         (F.col("sid") != F.col("b")) & (5 * F.least("n", "bn") >= 4 * F.greatest("n", "bn"))).select(
@@ -353,31 +375,16 @@ def jaccard_components(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     first = materialize(checked_links(near, sets), "links-1")
     cluster = components(first).select(F.col("node").alias("c_sid"), F.col("root"))
     size = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("size")).select(F.col("root").alias("r"), "size")
-    cluster = cluster.join(size, F.col("root") == F.col("r")).drop("r")
-    nodes = (nodes.join(cluster, F.col("sid") == F.col("c_sid"), "left")
+    cluster = materialize(cluster.join(size, F.col("root") == F.col("r")).drop("r"), "clusters")
+    nodes = (nodes.join(shared_if_small(cluster), F.col("sid") == F.col("c_sid"), "left")
              .withColumn("cl", F.coalesce("root", "sid")).withColumn("size", F.coalesce("size", F.lit(1)))
              .withColumn("g", F.when(F.col("size") == 1, F.col("sid")).otherwise(F.xxhash64(
                  "cl", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / GROUP)))))
-             .select("sid", "rep", "n", "cols", "cl", "size", "g"))
-    nodes = materialize(nodes, "grouped")
+             .select("sid", "rep", "n", "probe", "cols", "cl", "size", "g"))
     groups = materialize(matrix(nodes), "matrix")
 
-    # meetings of queries and groups on a prefix token
-    p = prefixes(docs, sketch, cells).join(nodes.select(
-        F.col("sid").alias("n_sid"), "rep", "n", "cl", "g", "size"),
-        (F.col("sid") == F.col("n_sid")) & (F.col("doc_id") == F.col("rep")))
-    p = materialize(p.dropDuplicates(["sid"]).select("sid", "n", "cl", "g", "size", "probe"), "prefixes")
-    queries = p.select(F.col("sid").alias("q"), F.col("n").alias("qn"), F.col("cl").alias("qcl"),
-                       F.explode("probe").alias("token"))
-    index_n = (F.col("n") - F.ceil(8 * F.col("n") / 9) + 1).cast("int")
-    head = p.select("g", "cl", "n", "size", F.explode(F.slice("probe", F.lit(1), index_n)).alias("token"))
-    lone = head.where(F.col("size") == 1).select("token", "g", "cl", F.col("n").alias("low"), F.col("n").alias("high"))
-    union = head.where(F.col("size") > 1).groupBy("token", "g").agg(
-        F.first("cl").alias("cl"), F.min("n").alias("low"), F.max("n").alias("high"))
-    met = (queries.join(lone.unionByName(union), "token")
-           .where((F.col("qcl") != F.col("cl")) & (F.col("qn") >= F.col("low"))
-                  & (5 * F.col("high") >= 4 * F.col("qn")))
-           .groupBy("q", "g").agg(F.count(F.lit(1)).alias("shared")).select("q", "g"))
+    # groups that can hold a partner of a query are opened, their members compared
+    met = meetings(nodes)
     opened = materialize(qualifying(met, nodes, groups), "opened")
     members = nodes.select(F.col("sid").alias("b"), "g", F.col("n").alias("bn"))
     q_size = nodes.select(F.col("sid").alias("q"), F.col("n").alias("qn"))

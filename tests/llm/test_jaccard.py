@@ -86,7 +86,6 @@ def test_edges_and_one_of_each(spark):
 @pytest.mark.parametrize("n", [1, 2, 5, 9, 10, 100, 1001])
 def test_prefix_lengths(n):
     assert jaccard.probe_length(n) == n - (4 * n + 4) // 5 + 1
-    assert jaccard.index_length(n) == n - (8 * n + 8) // 9 + 1
 
 
 def test_overlap_bound_is_never_below_the_overlap():
