@@ -10,12 +10,13 @@ documents; it is the log10 probability of the normalised text: words (A-Z
 lower-cased) joined by one space, then an end byte.
 
 The model is never held whole.  Texts are cut into blocks; a block sends its
-distinct byte runs of DEPTH + 1 with their training counts.  Runs are summed
-over the corpus and dealt by their two nearest context bytes, so a task owns
-whole subtrees from depth two down.  Depth one and zero are at most 256 x 255
-nodes, weighted from partial sums and shared with every task.  Each block gets
-back the log probabilities of its own runs only.  A token unigram with
-add-0.1 counts is scored the same way, as base.
+distinct byte runs of DEPTH + 1 with their training counts, packed by bucket
+of their two nearest context bytes.  A bucket is summed over the corpus in two
+steps (first over a share of the blocks, so that a bucket with much traffic is
+split) and then owns whole subtrees from depth two down.  Depth one and zero
+are at most 256 x 255 nodes, weighted from partial sums and shared with every
+task.  Each block gets back the log probabilities of its own runs only.  A
+token unigram with add-0.1 counts is scored the same way, as base.
 
 Defined results: null text is empty, one end token and one end byte; a null id
 hashes as the empty text (remainder 0: held out); without training documents
@@ -25,10 +26,12 @@ as often as they stand; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +41,9 @@ from quarry.llm.common import crc_mod, materialize, small_batches, table
 DEPTH = 5
 BLOCK_BYTES = 32 << 20
 CHUNK_BYTES = 2 << 20
-END = 10
+# Buckets of runs and tokens, at most; and the shares a bucket's traffic is split into.
+BUCKETS = 1024
+SHARES = 4
 _HALF = float(np.log(0.5))
 
 
@@ -74,6 +79,38 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return uniq, np.bincount(inv, weights=np.concatenate([n for _, n in parts]), minlength=len(uniq)).astype(np.int64)
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers of 4 or 8 bytes, byte plane by byte plane."""
+    return squeeze(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes())
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def run_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a run: a hash of its two nearest context bytes."""
+    near = keys >> np.uint64(8 * (DEPTH - 1))
+    return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
+
+
 class Block:
     """Distinct runs and tokens of up to BLOCK_BYTES of text, with training counts."""
 
@@ -105,69 +142,142 @@ class Block:
         if len(self.parts) > 6:
             self.parts = [merge_counts(self.parts)]
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+    def packed(self, buckets: int):
+        """(kind, bucket, keys or words, counts) of all buckets that hold any."""
         self.flush()
-        return merge_counts(self.parts)
+        keys, n = merge_counts(self.parts)
+        at = run_buckets(keys, buckets)
+        order = np.argsort(at, kind="stable")
+        keys, n, at = keys[order], n[order], at[order]
+        for i, j in zip(*_runs(at), strict=True):
+            yield 1, int(at[i]), pack_sorted(keys[i:j]), pack(n[i:j])
+        by: dict[int, list[tuple[bytes, int]]] = {}
+        for w in self.other:
+            self.words.setdefault(w, 0)
+        for w, c in self.words.items():
+            by.setdefault(zlib.crc32(w) % buckets, []).append((w, c))
+        for b, pairs in by.items():
+            pairs.sort()
+            yield 2, b, squeeze(b"\n".join(w for w, _ in pairs)), pack(np.array([c for _, c in pairs], np.int64))
 
 
-_COLS = ["block", "kind", "doc_id", "train", "text", "tokens", "key", "word", "n"]
+def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches of equal values."""
+    cut = np.flatnonzero(np.diff(a)) + 1
+    return np.concatenate([[0], cut]), np.concatenate([cut, [len(a)]])
 
 
-def _rows(size: int, id_type, **cols) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), id_type, pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(cols[c], t) if c in cols else pa.nulls(size, t) for c, t in zip(_COLS, types, strict=True)],
-        names=_COLS)
+_COLS = ["block", "kind", "bucket", "ids", "train", "tokens", "a", "b"]
 
 
-def _block_rows(block: int, b: Block, id_type):
-    keys, n = b.runs()
-    step = 50_000
-    for i in range(0, len(keys), step):
-        k = keys[i:i + step]
-        yield _rows(len(k), id_type, block=np.full(len(k), block), kind=np.full(len(k), 1, np.int32),
-                    key=k.view(np.int64), n=n[i:i + step])
-    words = list(b.words.items()) + [(w, 0) for w in b.other if w not in b.words]
-    for i in range(0, len(words), step):
-        part = words[i:i + step]
-        yield _rows(len(part), id_type, block=np.full(len(part), block), kind=np.full(len(part), 2, np.int32),
-                    word=[w for w, _ in part], n=[c for _, c in part])
+def _table(rows: list[tuple], id_type) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int64()),
+             pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=_COLS)
 
 
-def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of kind 0 (normalised documents), 1 (runs) and 2 (tokens), by block; written once."""
+def blocks_of(docs: DataFrame, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Packed rows of kind 0 (normalised texts), 1 (runs) and 2 (tokens), by block; written once."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        b, id_type = Block(), None
+        block, texts, ids, train, tokens, held, id_type = Block(), [], [], [], [], 0, None
+
+        def text_row():
+            return ((part << 20) | seq, 0, None, list(ids), list(train), list(tokens), squeeze(b"".join(texts)), None)
+
+        def block_rows():
+            for kind, bucket, a, b in block.packed(buckets):
+                yield ((part << 20) | seq, kind, bucket, None, None, None, a, b)
+
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            ids, texts, tokens, train, where = batch.column("doc_id"), [], [], [], []
-            full = []
-            for t, tr in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("train").to_pylist(),
-                             strict=True):
+            for i, t, tr in zip(batch.column("doc_id").to_pylist(),
+                                batch.column("text").cast(pa.binary()).to_pylist(),
+                                batch.column("train").to_pylist(), strict=True):
                 text, words = normal(t or b"")
-                b.add(text, words, tr)
+                block.add(text, words, tr)
                 texts.append(text)
-                tokens.append(len(words) + 1)
+                ids.append(i)
                 train.append(tr)
-                where.append((part << 20) | seq)
-                if b.bytes >= block_bytes:
-                    full.append(((part << 20) | seq, b))
-                    b, seq = Block(), seq + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(where, pa.int64()), pa.array(np.zeros(len(texts), np.int32)), ids, pa.array(train),
-                 pa.array(texts, pa.binary()), pa.array(tokens, pa.int64()), pa.nulls(len(texts), pa.int64()),
-                 pa.nulls(len(texts), pa.binary()), pa.nulls(len(texts), pa.int64())], names=_COLS)
-            for at, done in full:
-                yield from _block_rows(at, done, id_type)
-        if b.bytes:
-            yield from _block_rows((part << 20) | seq, b, id_type)
+                tokens.append(len(words) + 1)
+                held += len(text)
+                full = block.bytes >= block_bytes
+                if full or held >= CHUNK_BYTES:
+                    yield _table([text_row()], id_type)
+                    texts, ids, train, tokens, held = [], [], [], [], 0
+                if full:
+                    for r in block_rows():
+                        yield _table([r], id_type)
+                    block, seq = Block(), seq + 1
+        if texts:
+            yield _table([text_row()], id_type)
+        if block.bytes:
+            rows = list(block_rows())
+            for i in range(0, len(rows), 100):
+                yield _table(rows[i:i + 100], id_type)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return materialize(docs.select("doc_id", "text", "train").mapInArrow(
-        run, f"block long, kind int, doc_id {kind}, train boolean, text binary, tokens long, key long, "
-             "word binary, n long"), "lm-blocks")
+        run, f"block long, kind int, bucket int, ids array<{kind}>, train array<boolean>, tokens array<long>, "
+             "a binary, b binary"), "lm-blocks")
+
+
+def _rows(batches, *cols):
+    for b in batches:
+        yield from zip(*[b.column(c).to_pylist() for c in cols], strict=True)
+
+
+class Summed:
+    """Counts of one bucket: runs as sorted arrays, tokens as a dictionary."""
+
+    def __init__(self, kind: int):
+        self.kind, self.parts, self.waiting, self.words = kind, [], 0, Counter()
+
+    def add(self, a: bytes, b: bytes) -> None:
+        n = unpack(b, np.int64)
+        if self.kind == 1:
+            self.parts.append((unpack_sorted(a), n))
+            self.waiting += len(n)
+            if self.waiting > 2 * len(self.parts[0][1]) + 1_000_000:
+                self.parts = [merge_counts(self.parts)]
+                self.waiting = 0
+        else:
+            c = self.words
+            for w, k in zip(expand(a).split(b"\n"), n.tolist(), strict=True):
+                c[w] = c.get(w, 0) + k
+
+    def packed(self) -> tuple[bytes, bytes]:
+        if self.kind == 1:
+            k, n = merge_counts(self.parts)
+            return pack_sorted(k), pack(n)
+        pairs = sorted(self.words.items())
+        return squeeze(b"\n".join(w for w, _ in pairs)), pack(np.array([c for _, c in pairs], np.int64))
+
+
+def summed(rows: DataFrame, *by: str) -> DataFrame:
+    """(kind, bucket, a, b): counts added over all rows with equal ``by`` columns."""
+
+    def run(batches):
+        at, total = None, None
+        for key in _rows(batches, *by, "a", "b"):
+            if key[:-2] != at:
+                if total is not None:
+                    yield _sum_row(at, total)
+                at, total = key[:-2], Summed(key[0])
+            total.add(key[-2], key[-1])
+        if total is not None:
+            yield _sum_row(at, total)
+
+    return rows.select(*by, "a", "b").repartition(*by).sortWithinPartitions(*by).mapInArrow(
+        run, "kind int, bucket int, a binary, b binary")
+
+
+def _sum_row(at, total: Summed) -> pa.RecordBatch:
+    a, b = total.packed()
+    return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()),
+                                       pa.array([a], pa.binary()), pa.array([b], pa.binary())],
+                                      names=["kind", "bucket", "a", "b"])
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -282,43 +392,27 @@ def top_levels(rows) -> np.ndarray:
     return top
 
 
-def _gather(batches):
-    ks, ns = [], []
-    for b in batches:
-        ks.append(b.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
-        ns.append(b.column("n").to_numpy(zero_copy_only=False))
-    if not ks:
-        return None
-    k, n = np.concatenate(ks), np.concatenate(ns)
-    o = np.argsort(k)
-    return Subtrees(k[o], n[o])
-
-
-def context_tree(runs: DataFrame) -> DataFrame:
-    """(key, logp) of all runs from (key, n training occurrences)."""
-    dealt = materialize(runs.groupBy("key").agg(F.sum("n").alias("n")), "lm-runs").repartition(
-        F.shiftright("key", 8 * (DEPTH - 1)))
+def context_tree(counts: DataFrame) -> DataFrame:
+    """(kind, bucket, a runs, b log10 probabilities) from summed rows of kind 1."""
 
     def partial(batches):
-        t = _gather(batches)
-        if t is not None:
-            for code, zeros, ones, weighted in t.partial():
+        for a, b in _rows(batches, "a", "b"):
+            for code, zeros, ones, weighted in Subtrees(unpack_sorted(a), unpack(b, np.int64)).partial():
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, (code, zeros, ones, weighted))),
                                                  names=["code", "zeros", "ones", "weighted"])
 
-    sums = dealt.mapInArrow(partial, "code long, zeros double, ones double, weighted double").groupBy("code").agg(
+    sums = counts.mapInArrow(partial, "code long, zeros double, ones double, weighted double").groupBy("code").agg(
         F.sum("zeros"), F.sum("ones"), F.sum("weighted"))
-    shared = runs.sparkSession.sparkContext.broadcast(top_levels(sums.collect()))  # at most 256 x 255 rows
+    shared = counts.sparkSession.sparkContext.broadcast(top_levels(sums.collect()))  # at most 256 x 255 rows
 
     def finish(batches):
-        t = _gather(batches)
-        if t is not None:
-            keys, logp = t.keys[DEPTH].view(np.int64), t.log_p(shared.value)
-            for i in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i:i + 50_000]), pa.array(logp[i:i + 50_000])],
-                                                 names=["key", "logp"])
+        for kind, bucket, a, b in _rows(batches, "kind", "bucket", "a", "b"):
+            logp = Subtrees(unpack_sorted(a), unpack(b, np.int64)).log_p(shared.value).astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([a], pa.binary()),
+                 pa.array([pack(logp)], pa.binary())], names=["kind", "bucket", "a", "b"])
 
-    return dealt.mapInArrow(finish, "key long, logp double")
+    return counts.mapInArrow(finish, "kind int, bucket int, a binary, b binary")
 
 
 class Lookup:
@@ -349,63 +443,117 @@ class Lookup:
         return self.values[i]
 
 
+def replies(sent: DataFrame, model: DataFrame) -> DataFrame:
+    """(block, kind, a, b): every block's runs and tokens with their values from ``model``.
+
+    The model of a bucket goes to each share of the bucket's rows and is read
+    before them, so only one bucket's model and one row are in memory.
+    """
+    rows = sent.select("kind", "bucket", F.pmod("block", F.lit(SHARES)).cast("int").alias("share"),
+                       F.lit(1).alias("turn"), "block", "a", "b").unionByName(
+        model.select("kind", "bucket", F.explode(F.array(*map(F.lit, range(SHARES)))).alias("share"),
+                     F.lit(0).alias("turn"), F.lit(None).cast("long").alias("block"), "a", "b"))
+
+    def run(batches):
+        find = None
+        for kind, turn, block, a, b in _rows(batches, "kind", "turn", "block", "a", "b"):
+            if turn == 0:
+                if kind == 1:
+                    keys, values = unpack_sorted(a), unpack(b, np.float32)
+                    find = lambda x, k=keys, v=values: v[np.searchsorted(k, unpack_sorted(x))]
+                else:
+                    d = dict(zip(expand(a).split(b"\n"), unpack(b, np.int64).tolist(), strict=True))
+                    find = lambda x, d=d: np.array([d[w] for w in expand(x).split(b"\n")], np.int64)
+                continue
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([a], pa.binary()),
+                 pa.array([pack(find(a))], pa.binary())], names=["block", "kind", "a", "b"])
+
+    by = ["kind", "bucket", "share"]
+    return rows.repartition(*by).sortWithinPartitions(*by, "turn").mapInArrow(
+        run, "block long, kind int, a binary, b binary")
+
+
+class BlockModel:
+    """Values of one block's runs and tokens, and the scores of its texts."""
+
+    def __init__(self, n: int, v: int, ends: int):
+        self.floor, self.ends, self.n = n + 0.1 * (v + 1), ends, n
+        self.end = float(np.log10((ends + 0.1) / self.floor))
+        self.known = float(np.log10(0.6 / self.floor))  # between the logs of counts 0 and 1
+        self.keys, self.values, self.base, self.runs = [], [], {}, None
+
+    def add(self, kind: int, a: bytes, b: bytes) -> None:
+        if kind == 1:
+            self.keys.append(unpack_sorted(a))
+            self.values.append(unpack(b, np.float32))
+        else:
+            logs = np.log10((unpack(b, np.int64) + 0.1) / self.floor)
+            self.base.update(zip(expand(a).split(b"\n"), logs.tolist(), strict=True))
+
+    def score(self, texts: list[bytes]):
+        """(base score, known tokens, score, bytes) of every text."""
+        if self.runs is None:
+            self.runs = Lookup(np.concatenate(self.keys), np.concatenate(self.values).astype(np.float64))
+            self.keys, self.values = [], []
+        k, sizes = run_keys(texts)
+        score = np.add.reduceat(self.runs[k], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        base, known = [], []
+        for x in texts:
+            p = np.array([self.base[w] for w in x.split()])
+            base.append(float(p.sum()) + self.end)
+            known.append(int((p > self.known).sum()) + (self.ends > 0))
+        return base, known, score, sizes
+
+
 def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, text, train boolean) -> doc_id, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
     spark = docs.sparkSession
-    small_batches(spark)
-    t = blocks_of(docs, block_bytes)
-    runs, words = t.where(F.col("kind") == 1), t.where(F.col("kind") == 2)
-    model = context_tree(runs.select("key", "n")).withColumnRenamed("key", "m_key")
-    counts = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-    total = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).head()
-    ends = t.where((F.col("kind") == 0) & F.col("train")).count()
+    small_batches(spark, 100)
+    buckets = min(BUCKETS, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    t = blocks_of(docs, buckets, block_bytes)
+    sent = t.where(F.col("kind") > 0).select("block", "kind", "bucket", "a", "b")
+    part = summed(sent.withColumn("share", F.pmod("block", F.lit(SHARES))), "kind", "bucket", "share")
+    counts = materialize(summed(part, "kind", "bucket"), "lm-counts")
+    runs, words = counts.where(F.col("kind") == 1), counts.where(F.col("kind") == 2)
+
+    def sizes(batches):
+        for (b,) in _rows(batches, "b"):
+            n = unpack(b, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])],
+                                             names=["n", "v"])
+
+    total = words.mapInArrow(sizes, "n long, v long").agg(F.sum("n"), F.sum("v")).head()
+    ends = t.where(F.col("kind") == 0).agg(F.sum(F.size(F.filter("train", lambda x: x)))).head()[0] or 0
     n, v = int(total[0] or 0) + ends, int(total[1] or 0) + (ends > 0)
-    floor = n + 0.1 * (v + 1)
-    counts = counts.withColumnRenamed("word", "m_word")
-    reply = (runs.select("block", "key").join(model, F.col("key") == F.col("m_key"))
-             .select(F.col("block").alias("r_block"), "key", F.col("logp").alias("value"),
-                     F.lit(None).cast("binary").alias("word"))
-             .unionByName(words.select("block", "word").join(counts, F.col("word") == F.col("m_word"))
-                          .select(F.col("block").alias("r_block"), F.lit(None).cast("long").alias("key"),
-                                  F.col("c").cast("double").alias("value"), "word")))
-    texts = t.where(F.col("kind") == 0).select("block", "doc_id", "train", "text", "tokens")
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_run = right.column("word").is_null().to_numpy()
-        keys = right.column("key").filter(pa.array(is_run)).to_numpy().astype(np.int64).view(np.uint64)
-        values = right.column("value").to_numpy()
-        runs = Lookup(keys, values[is_run])
-        logs = np.log10((values[~is_run] + 0.1) / floor)
-        words = right.column("word").filter(pa.array(~is_run)).to_pylist()
-        base = dict(zip(words, logs.tolist(), strict=True))
-        known = float(np.log10(0.6 / floor))  # between the logs of counts 0 and 1
-        end = float(np.log10((ends + 0.1) / floor))
-        scores, bases, n_known, sizes = [], [], [], []
-        texts = left.column("text").to_pylist()
-        i = 0
-        while i < len(texts):
-            part, size = [], 0
-            while i < len(texts) and (not part or size + len(texts[i]) <= CHUNK_BYTES):
-                part.append(texts[i])
-                size += len(texts[i])
-                i += 1
-            k, lens = run_keys(part)
-            scores.append(np.add.reduceat(runs[k], np.concatenate([[0], np.cumsum(lens)[:-1]])))
-            sizes.append(lens)
-            for x in part:
-                p = np.array([base[w] for w in x.split()])
-                bases.append(float(p.sum()) + end)
-                n_known.append(int((p > known).sum()) + (ends > 0))
-        return pa.table({
-            "doc_id": left.column("doc_id"), "train": left.column("train"), "n_tokens": left.column("tokens"),
-            "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(texts), n, np.int64)),
-            "base_score": pa.array(bases, pa.float64()), "score": pa.array(np.concatenate(scores)),
-            "n_bytes": pa.array(np.concatenate(sizes), pa.int64())})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts.groupBy("block").cogroup(reply.groupBy("r_block")).applyInArrow(
-        score, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
-               "score double, n_bytes long")
+    model = materialize(context_tree(runs), "lm-model").unionByName(words)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    none = {c: F.lit(None).cast(t.schema[c].dataType).alias(c) for c in ("ids", "train", "tokens")}
+    rows = replies(sent, model).select("block", "kind", *none.values(), "a", "b").unionByName(
+        t.where(F.col("kind") == 0).select("block", F.lit(9).alias("kind"), "ids", "train", "tokens", "a", "b"))
+
+    def score(batches):
+        at, m = None, None
+        for b in batches:
+            ids_col = b.column("ids")
+            for i, (block, kind, train, tokens, a, x) in enumerate(
+                    _rows([b], "block", "kind", "train", "tokens", "a", "b")):
+                if block != at:
+                    at, m = block, BlockModel(n, v, ends)
+                if kind != 9:
+                    m.add(kind, a, x)
+                    continue
+                texts = [y + b"\n" for y in expand(a).split(b"\n")[:-1]]
+                base, known, got, size = m.score(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [ids_col[i].values, pa.array(train), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
+                     pa.array(np.full(len(texts), n, np.int64)), pa.array(base, pa.float64()), pa.array(got),
+                     pa.array(size, pa.int64())],
+                    names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
+
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
+        score, f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, "
+               "base_score double, score double, n_bytes long")
 
 
 def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
