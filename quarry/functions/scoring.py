@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from .text import col_, contains_any, count_sub, starts_any, strip_ws
 
-# Score weights and keyword tables of the evaluator.
+# Score weights, keyword tables and error classes of the
+# evaluator; the message texts in ``feedback`` are fixed values too.
+TABLE_ERRORS = ["no such table", "table_or_view_not_found"]
+COLUMN_ERRORS = ["no such column", "unresolved_column"]
+SYNTAX_ERRORS = ["syntax error", "parse_syntax_error"]
 SYNTAX_STARTS = ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE"]
 WEIGHTS = {"syntax": 0.15, "execution": 0.35, "semantic": 0.35, "efficiency": 0.15}
 COUNT_WORDS = ["how many", "count", "number of"]
@@ -33,9 +37,9 @@ def score_execution(success, error) -> Column:
     """1.0 on success, partial credit by error class."""
     e = F.lower(F.coalesce(col_(error), F.lit("")))
     return (F.when(col_(success), 1.0)
-            .when(e.contains("no such table") | e.contains("table_or_view_not_found"), 0.2)
-            .when(e.contains("no such column") | e.contains("unresolved_column"), 0.3)
-            .when(e.contains("syntax error") | e.contains("parse_syntax_error"), 0.1)
+            .when(contains_any(e, TABLE_ERRORS), 0.2)
+            .when(contains_any(e, COLUMN_ERRORS), 0.3)
+            .when(contains_any(e, SYNTAX_ERRORS), 0.1)
             .otherwise(0.0))
 
 
@@ -92,9 +96,9 @@ def feedback(sql, question, success, error, n_rows) -> Column:
         # execution
         F.when(ok, F.lit("Query executed successfully")),
         F.when(~ok & has_err, F.concat(F.lit("Execution failed: "), err)),
-        F.when(~ok & has_err, F.when(el.contains("no such table"), F.lit("Table name might be incorrect"))
-               .when(el.contains("no such column"), F.lit("Column name might be incorrect"))
-               .when(el.contains("syntax error"), F.lit("SQL syntax needs correction"))),
+        F.when(~ok & has_err, F.when(contains_any(el, TABLE_ERRORS), F.lit("Table name might be incorrect"))
+               .when(contains_any(el, COLUMN_ERRORS), F.lit("Column name might be incorrect"))
+               .when(contains_any(el, SYNTAX_ERRORS), F.lit("SQL syntax needs correction"))),
     ]
     # semantics (only after a successful run)
     cnt = F.when(contains_any(q, COUNT_WORDS),

@@ -161,9 +161,25 @@ def _no_literals(upper_sql: Column) -> Column:
     return F.regexp_replace(s, r'"[^"]*"', "''")
 
 
+# A FROM list ends at these words; JOIN starts a list of its own.
+LIST_END = (r"(?i)\b(?:where|on|using|group|order|having|limit|union|intersect|except|set|values|select|"
+            r"inner|left|right|full|cross|outer|natural)\b")
+NAME = r'"[^"]*"|`[^`]*`|\[[^\]]*\]|\w+'
+TABLE_NAME = rf"^\s*(?:(?:{NAME})\s*\.\s*)*({NAME})"
+
+
 def extract_tables(sql) -> Column:
-    """Table names after FROM / JOIN, in order, repeats kept."""
-    return F.regexp_extract_all(col_(sql), F.lit(r"(?i)\b(?:from|join)\s+(\w+)"), 1)
+    """Table names after FROM / JOIN, in order, repeats kept.
+
+    Comma lists give every table; a qualified name gives its last part;
+    quotes around a name are dropped.
+    """
+    s = F.regexp_replace(col_(sql), r"'[^']*'", "''")
+    s = F.regexp_replace(F.regexp_replace(s, LIST_END, ";"), r"(?i)\bjoin\b", "; from")
+    lists = F.regexp_extract_all(s, F.lit(r"(?i)\bfrom\s+([^;()]+)"), 1)
+    pieces = F.flatten(F.transform(lists, lambda x: F.split(x, ",")))
+    names = F.transform(pieces, lambda x: F.translate(F.regexp_extract(x, TABLE_NAME, 1), '"`[]', ""))
+    return F.filter(names, lambda x: x != "")
 
 
 def _kw_array() -> Column:
@@ -213,7 +229,7 @@ def with_sql_parts(df, sql: str, prefix: str):
     u, tb, al = f"{prefix}__u", f"{prefix}__t", f"{prefix}__a"
     base = _no_literals(F.upper(F.col(sql)))
     df = df.withColumn(u, base)
-    df = df.withColumns({tb: F.regexp_extract_all(F.col(u), F.lit(r"\b(?:FROM|JOIN)\s+(\w+)"), 1),
+    df = df.withColumns({tb: extract_tables(F.upper(F.col(sql))),
                          al: _aliases(F.col(u))})
     where_, group_, order_ = _clauses(F.col(u))
     t_, a_ = F.col(tb), F.col(al)
@@ -234,29 +250,19 @@ def with_sql_parts(df, sql: str, prefix: str):
     return df.drop(u, tb, al)
 
 
-def sql_parts(sql) -> Column:
-    """Clause pieces used by C8, C10 and C19 (upper case, literals blanked)."""
-    u = _no_literals(F.upper(col_(sql)))
-    tables = F.regexp_extract_all(u, F.lit(r"\b(?:FROM|JOIN)\s+(\w+)"), 1)
-    aliases = _aliases(u)
-    where_, group_, order_ = _clauses(u)
-    aggs = F.sort_array(F.array_distinct(
-        F.regexp_extract_all(u, F.lit(r"\b(COUNT|SUM|AVG|MIN|MAX)\s*\("), 1)))
-    return F.struct(
-        F.sort_array(F.array_distinct(tables)).alias("tables"),
-        _identifiers(u, tables, aliases).alias("columns"),
-        u.rlike(r"\bWHERE\b").alias("has_where"),
-        _identifiers(where_, tables, aliases).alias("where_cols"),
-        u.rlike(r"\bGROUP\s+BY\b").alias("has_group"),
-        _identifiers(group_, tables, aliases).alias("group_cols"),
-        u.rlike(r"\bORDER\s+BY\b").alias("has_order"),
-        _identifiers(order_, tables, aliases).alias("order_cols"),
-        aggs.alias("aggs"))
-
+def with_columns_of(df, sql: str, out: str):
+    """Column names referenced, in their own case and in text order, repeats kept.
 
-def extract_columns(sql) -> Column:
-    """Column names referenced (upper case, sorted, distinct)."""
-    return sql_parts(sql)["columns"]
+    Adds the array column ``out``; the upper-case word lists are computed once
+    in a first projection.
+    """
+    drop, text = f"{out}__w", f"{out}__s"
+    s = F.regexp_replace(F.regexp_replace(F.col(sql), r"'[^']*'", "''"), r'"[^"]*"', "''")
+    body = F.regexp_replace(F.regexp_replace(s, r"\b\w+\s*\(", " ( "), r"\b\w+\.", "")
+    u = _no_literals(F.upper(F.col(sql)))
+    df = df.withColumns({drop: F.concat(_kw_array(), extract_tables(F.upper(F.col(sql))), _aliases(u)), text: body})
+    names = F.regexp_extract_all(F.col(text), F.lit(r"\b[A-Za-z_][A-Za-z0-9_]*\b"), 0)
+    return df.withColumn(out, F.filter(names, lambda x: ~F.array_contains(F.col(drop), F.upper(x)))).drop(drop, text)
 
 
 def statement_kind(sql) -> Column:
@@ -267,17 +273,39 @@ def statement_kind(sql) -> Column:
             .when(u.rlike(r"\bEXCEPT\b"), "EXCEPT").when(first == "WITH", "SELECT").otherwise(first))
 
 
-def compare_sql(a, b) -> Column:
-    """Exact / normalized match, same statement kind and same table set."""
+def semantic_similar(a, b) -> Column:
+    """Same statement kind and same table set."""
     ta = F.sort_array(F.array_distinct(extract_tables(a)))
     tb = F.sort_array(F.array_distinct(extract_tables(b)))
-    pa, pb = sql_parts(a), sql_parts(b)
-    return F.struct(
-        (strip_ws(a) == strip_ws(b)).alias("exact_match"),
-        (normalize_sql(a) == normalize_sql(b)).alias("normalized_match"),
-        ((statement_kind(a) == statement_kind(b)) & (ta == tb)).alias("semantic_similar"),
-        (ta != tb).alias("tables_differ"),
-        (pa["columns"] != pb["columns"]).alias("columns_differ"))
+    return (statement_kind(a) == statement_kind(b)) & (ta == tb)
+
+
+COMPARE_FIELDS = ("exact_match", "normalized_match", "semantic_similar", "sql1_normalized", "sql2_normalized",
+                  "differences")
+
+
+def compare_sql_df(df, a: str, b: str):
+    """C8 as columns: matches, both normalized texts and the list of differences.
+
+    Table and column lists are computed once in a first projection.
+    """
+    def text(x):
+        return F.concat(F.lit("["), F.array_join(x, ", "), F.lit("]"))
+
+    for name, sql in (("_1", a), ("_2", b)):
+        df = with_columns_of(df, sql, name + "c")
+        df = df.withColumns({name + "t": F.sort_array(F.array_distinct(extract_tables(sql))),
+                             name + "c": F.sort_array(F.array_distinct(F.col(name + "c"))),
+                             name + "n": normalize_sql(sql), name + "k": statement_kind(sql)})
+    c = F.col
+    diff = F.array_compact(F.array(
+        F.when(c("_1t") != c("_2t"), F.concat(F.lit("Tables: "), text(c("_1t")), F.lit(" vs "), text(c("_2t")))),
+        F.when(c("_1c") != c("_2c"), F.concat(F.lit("Columns: "), text(c("_1c")), F.lit(" vs "), text(c("_2c"))))))
+    df = df.withColumns({
+        "exact_match": strip_ws(c(a)) == strip_ws(c(b)), "normalized_match": c("_1n") == c("_2n"),
+        "semantic_similar": (c("_1k") == c("_2k")) & (c("_1t") == c("_2t")),
+        "sql1_normalized": c("_1n"), "sql2_normalized": c("_2n"), "differences": diff})
+    return df.drop(*[p + k for p in ("_1", "_2") for k in "tcnk"])
 
 
 def relevant_tables(sql, table_names) -> Column:
@@ -397,24 +425,3 @@ def component_match_df(df, gen: str, gold: str):
     score = sum(F.col(k).cast("int") for k in flags) / 5.0
     df = df.withColumn("component_score", score)
     return df.drop(*[f"{p}_{k}" for p in ("g", "o") for k in PART_FIELDS])
-
-
-def component_match(gen, gold) -> Column:
-    """Five clause matches and their mean; unparsable side -> all false, 0.0."""
-    g, o = sql_parts(gen), sql_parts(gold)
-    ok = parse_ok(gen) & parse_ok(gold)
-
-    def clause(has, cols):
-        return (F.when(g[has] & o[has], g[cols] == o[cols])
-                .otherwise(~g[has] & ~o[has]))
-
-    sel = g["aggs"] == o["aggs"]
-    frm = g["tables"] == o["tables"]
-    whr = clause("has_where", "where_cols")
-    grp = clause("has_group", "group_cols")
-    odr = clause("has_order", "order_cols")
-    flags = [F.when(ok, x).otherwise(F.lit(False)) for x in (sel, frm, whr, grp, odr)]
-    score = sum(f.cast("int") for f in flags) / 5.0
-    return F.struct(flags[0].alias("select_match"), flags[1].alias("from_match"),
-                    flags[2].alias("where_match"), flags[3].alias("groupby_match"),
-                    flags[4].alias("orderby_match"), score.alias("component_score"))

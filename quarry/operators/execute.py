@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sqltext import compare_sql, component_match_df, read_only_guard
+from ..functions.sqltext import semantic_similar, component_match_df, read_only_guard
 from .compare import _with_universe, set_key, side_counts
 
 
@@ -104,7 +104,7 @@ def full_evaluation(spark: SparkSession, pairs) -> DataFrame:
     ex = execution_accuracy(spark, pairs)
     texts = spark.createDataFrame(pairs, "question long, gen string, gold string")
     cm = component_match_df(texts, "gen", "gold")
-    sim = compare_sql(F.col("gen"), F.col("gold"))["semantic_similar"]
+    sim = semantic_similar("gen", "gold")
     feats = cm.select("question", "component_score", sim.alias("semantic_similar"))
     return ex.join(feats, "question").select(
         "question", F.col("valid").alias("execution_valid"), F.col("correct").alias("execution_correct"),

@@ -26,16 +26,16 @@ TEMPLATES = [
      "SELECT COUNT(*) FROM orders WHERE o_custkey = {k};"),
     ("What is the average total price of orders for customer {k}?",
      "SELECT avg(o_totalprice) FROM orders WHERE o_custkey = {k}",
-     "select avg(o_totalprice)  from orders\nwhere o_custkey = {k}"),
+     "select avg(o_totalprice)  from main.orders\nwhere o_custkey = {k}"),
     ("Show the number of orders for each priority",
      "SELECT o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority",
      "SELECT o_orderpriority, COUNT(o_orderkey) FROM orders GROUP BY o_orderpriority ORDER BY o_orderpriority"),
     ("List the names of customers along with their nation",
      "SELECT c.c_name, n.n_name FROM customer AS c JOIN nation AS n ON c.c_nationkey = n.n_nationkey",
-     "SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = {k}"),
+     "SELECT c_name, n_name FROM \"customer\" JOIN `nation` ON c_nationkey = n_nationkey WHERE c_custkey = {k}"),
     ("Which customers have orders with total price above {x}000?",
      "SELECT c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > {x}000)",
-     "SELECT DISTINCT c.c_name FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > {x}000;"),
+     "SELECT DISTINCT c.c_name FROM customer c, orders AS o WHERE c.c_custkey = o.o_custkey AND o.o_totalprice > {x}000;"),
     ("What are the top 5 most expensive parts?",
      "SELECT p_name FROM part ORDER BY p_retailprice DESC LIMIT 5",
      "SELECT * FROM part ORDER BY p_retailprice DESC LIMIT 5;"),
@@ -136,7 +136,8 @@ SELECT qid, db_id, question, gold_sql, gen_sql,
     WHEN 4 THEN '[TABLE_OR_VIEW_NOT_FOUND] The table or view `ordrs` cannot be found.'
     ELSE NULL
   END AS exec_error,
-  CASE WHEN qid % 7 IN (1, 2, 3, 4) THEN 0 ELSE qid % 5 END AS exec_rows
+  CASE WHEN qid % 7 IN (1, 2, 3, 4) THEN 0 ELSE qid % 5 END AS exec_rows,
+  qid % 7 NOT IN (1, 2, 3, 4) AND qid % 5 > 1 AS exec_correct
 FROM (
   SELECT o_orderkey AS qid, o_orderpriority AS db_id,
   {_case(0)} AS question,
@@ -170,7 +171,9 @@ SELECT
   o.o_custkey % 32 >= 16 AS orderby_match,
   o.o_totalprice / 10000 AS execution_time,
   CASE WHEN o.o_orderkey % 97 = 0 THEN '' ELSE 'SELECT ' || CAST(o.o_custkey AS STRING) END AS generated_sql,
-  'Question ' || CAST(o.o_orderkey - o.o_orderkey % 3 AS STRING) AS question
+  'Question ' || CAST(o.o_orderkey - o.o_orderkey % 3 AS STRING) AS question,
+  'SELECT name FROM t WHERE id = ' || CAST(o.o_orderkey - o.o_orderkey % 3 AS STRING) AS gold_sql,
+  CASE WHEN o.o_orderstatus = 'F' OR c.c_acctbal > 0 THEN NULL ELSE 'no such column: t.' || CAST(o.o_custkey AS STRING) END AS error
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 """
 

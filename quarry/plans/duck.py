@@ -114,8 +114,8 @@ def no_literals_upper(s: str) -> str:
 KW_LIST = "[" + ", ".join(lit(w) for w in T.SQL_WORDS) + "]"
 
 
-def tables_of(u: str) -> str:
-    return rf"regexp_extract_all({u}, '\b(?:FROM|JOIN)\s+(\w+)', 1)"
+def tables_of(sql: str) -> str:
+    return extract_tables(f"upper({sql})")
 
 
 def aliases_of(u: str) -> str:
@@ -152,8 +152,8 @@ SELECT {key}, list_sort(list_distinct(t)) AS {prefix}_tables,
   regexp_matches(u, '\\bORDER\\s+BY\\b') AS {prefix}_has_order,
   {identifiers(f"regexp_extract(u, {lit(ORDER_RE)}, 1)", 't', 'a')} AS {prefix}_order_cols,
   list_sort(list_distinct(regexp_extract_all(u, '\\b(COUNT|SUM|AVG|MIN|MAX)\\s*\\(', 1))) AS {prefix}_aggs
-FROM (SELECT {key}, u, {tables_of('u')} AS t, {aliases_of('u')} AS a
-      FROM (SELECT {key}, {u} AS u FROM {src}) z0) z1
+FROM (SELECT {key}, u, t, {aliases_of('u')} AS a
+      FROM (SELECT {key}, {u} AS u, {tables_of(sql_col)} AS t FROM {src}) z0) z1
 """
 
 
@@ -167,7 +167,21 @@ def statement_kind(s: str) -> str:
 
 
 def extract_tables(s: str) -> str:
-    return rf"regexp_extract_all({s}, '(?i)\b(?:from|join)\s+(\w+)', 1)"
+    x = f"regexp_replace({s}, '''[^'']*''', '''''', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, {lit(T.LIST_END)}, ';', 'g'), '(?i)\\bjoin\\b', '; from', 'g')"
+    lists = f"regexp_extract_all({x}, '(?i)\\bfrom\\s+([^;()]+)', 1)"
+    pieces = f"flatten(list_transform({lists}, lambda y: string_split(y, ',')))"
+    names = f"list_transform({pieces}, lambda y: translate(regexp_extract(y, {lit(T.TABLE_NAME)}, 1), '\"`[]', ''))"
+    return f"list_filter({names}, lambda y: y <> '')"
+
+
+def columns_of(s: str) -> str:
+    """Column names in their own case and in text order."""
+    x = f"regexp_replace(regexp_replace({s}, '''[^'']*''', '''''', 'g'), '\"[^\"]*\"', '''''', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '\\b\\w+\\s*\\(', ' ( ', 'g'), '\\b\\w+\\.', '', 'g')"
+    u = no_literals_upper(s)
+    return (f"list_filter(regexp_extract_all({x}, '\\b[A-Za-z_][A-Za-z0-9_]*\\b', 0), lambda y: NOT list_contains("
+            f"list_concat(list_concat({KW_LIST}, {tables_of(s)}), {aliases_of(u)}), upper(y)))")
 
 
 def query_type(s: str) -> str:
@@ -279,9 +293,9 @@ def feedback(s: str, q: str, ok: str, err: str, n: str) -> str:
         f"CASE WHEN NOT {empty} AND contains({u}, 'AS ') AND contains({u}, 'JOIN') THEN 'Good: Uses aliases with JOINs' END",
         f"CASE WHEN {ok} THEN 'Query executed successfully' END",
         f"CASE WHEN NOT {ok} AND {has_err} THEN 'Execution failed: ' || {err} END",
-        f"CASE WHEN NOT {ok} AND {has_err} THEN (CASE WHEN contains({el}, 'no such table') THEN 'Table name might be incorrect' "
-        f"WHEN contains({el}, 'no such column') THEN 'Column name might be incorrect' "
-        f"WHEN contains({el}, 'syntax error') THEN 'SQL syntax needs correction' END) END",
+        f"CASE WHEN NOT {ok} AND {has_err} THEN (CASE WHEN {any_contains(el, S.TABLE_ERRORS)} THEN 'Table name might be incorrect' "
+        f"WHEN {any_contains(el, S.COLUMN_ERRORS)} THEN 'Column name might be incorrect' "
+        f"WHEN {any_contains(el, S.SYNTAX_ERRORS)} THEN 'SQL syntax needs correction' END) END",
         f"CASE WHEN {ok} AND {any_contains(ql, S.COUNT_WORDS)} THEN (CASE WHEN contains({u}, 'COUNT(') "
         f"THEN 'Correctly uses COUNT for counting question' ELSE 'Question asks for count but query doesn''t use COUNT' END) END",
         f"CASE WHEN {ok} THEN (CASE " + " ".join(

@@ -94,20 +94,24 @@ _PARTS = (QL + f", g AS ({D.parts_cte('query_log', 'qid', 'gen_sql', 'g')}),"
           f" o AS ({D.parts_cte('query_log', 'qid', 'gold_sql', 'o')})\n")
 
 
-@R.query("compare_sql", _PARTS + f"""
-SELECT q.qid,
-  {D.strip('q.gen_sql')} = {D.strip('q.gold_sql')} AS exact_match,
-  {D.normalize_sql('q.gen_sql')} = {D.normalize_sql('q.gold_sql')} AS normalized_match,
-  ({D.statement_kind('q.gen_sql')} = {D.statement_kind('q.gold_sql')})
-    AND list_sort(list_distinct({D.extract_tables('q.gen_sql')})) = list_sort(list_distinct({D.extract_tables('q.gold_sql')}))
-    AS semantic_similar,
-  list_sort(list_distinct({D.extract_tables('q.gen_sql')})) <> list_sort(list_distinct({D.extract_tables('q.gold_sql')}))
-    AS tables_differ,
-  g.g_columns <> o.o_columns AS columns_differ
-FROM query_log q JOIN g ON g.qid = q.qid JOIN o ON o.qid = q.qid""")
+def _listed(x: str) -> str:
+    return f"'[' || array_to_string({x}, ', ') || ']'"
+
+
+@R.query("compare_sql", QL + f""", l AS (
+SELECT *, list_sort(list_distinct({D.extract_tables('gen_sql')})) AS t1,
+  list_sort(list_distinct({D.extract_tables('gold_sql')})) AS t2,
+  list_sort(list_distinct({D.columns_of('gen_sql')})) AS c1, list_sort(list_distinct({D.columns_of('gold_sql')})) AS c2
+FROM query_log)
+SELECT qid, {D.strip('gen_sql')} = {D.strip('gold_sql')} AS exact_match,
+  {D.normalize_sql('gen_sql')} = {D.normalize_sql('gold_sql')} AS normalized_match,
+  {D.statement_kind('gen_sql')} = {D.statement_kind('gold_sql')} AND t1 = t2 AS semantic_similar,
+  {D.normalize_sql('gen_sql')} AS sql1_normalized, {D.normalize_sql('gold_sql')} AS sql2_normalized,
+  concat_ws(' | ', CASE WHEN t1 <> t2 THEN 'Tables: ' || {_listed('t1')} || ' vs ' || {_listed('t2')} END,
+    CASE WHEN c1 <> c2 THEN 'Columns: ' || {_listed('c1')} || ' vs ' || {_listed('c2')} END) AS differences FROM l""")
 def compare_sql(t):
-    r = ST.compare_sql(c("gen_sql"), c("gold_sql"))
-    return query_log(t).select("qid", r.alias("r")).select("qid", "r.*")
+    r = ST.compare_sql_df(query_log(t).select("qid", "gen_sql", "gold_sql"), "gen_sql", "gold_sql")
+    return r.select("qid", *ST.COMPARE_FIELDS).withColumn("differences", F.concat_ws(" | ", "differences"))
 
 
 @R.query("extract_tables", QL + f"""
@@ -116,10 +120,10 @@ def extract_tables(t):
     return query_log(t).select("qid", _join(ST.extract_tables("gold_sql")).alias("tables"))
 
 
-@R.query("extract_columns", QL + f", o AS ({D.parts_cte('query_log', 'qid', 'gold_sql', 'o')})\n"
-         "SELECT qid, array_to_string(o_columns, ',') AS columns FROM o")
+@R.query("extract_columns", QL + f"SELECT qid, array_to_string({D.columns_of('gold_sql')}, ',') AS columns FROM query_log")
 def extract_columns(t):
-    return query_log(t).select("qid", _join(ST.extract_columns("gold_sql")).alias("columns"))
+    return ST.with_columns_of(query_log(t).select("qid", "gold_sql"), "gold_sql", "c").select(
+        "qid", _join(c("c")).alias("columns"))
 
 
 _REL_ARMS = ", ".join(
@@ -243,7 +247,7 @@ def score_overall(t):
 
 
 @R.query("score_final", _CM_SQL + f"""
-SELECT q.qid, round(0.5 * CAST({D.normalize_sql('q.gen_sql')} = {D.normalize_sql('q.gold_sql')} AS DOUBLE)
+SELECT q.qid, round(0.5 * CAST(q.exec_correct AS DOUBLE)
   + 0.3 * (CAST(select_match AS INTEGER) + CAST(from_match AS INTEGER) + CAST(where_match AS INTEGER)
            + CAST(groupby_match AS INTEGER) + CAST(orderby_match AS INTEGER)) / 5.0
   + 0.2 * CAST(({D.statement_kind('q.gen_sql')} = {D.statement_kind('q.gold_sql')})
@@ -251,9 +255,8 @@ SELECT q.qid, round(0.5 * CAST({D.normalize_sql('q.gen_sql')} = {D.normalize_sql
     AS DOUBLE), 6) AS final_score
 FROM query_log q JOIN cm ON cm.qid = q.qid""")
 def score_final(t):
-    m = ST.component_match_df(query_log(t).select("qid", "gen_sql", "gold_sql"), "gen_sql", "gold_sql")
-    cmp_ = ST.compare_sql(c("gen_sql"), c("gold_sql"))
-    s = SC.score_final(cmp_["normalized_match"], c("component_score"), cmp_["semantic_similar"])
+    m = ST.component_match_df(query_log(t).select("qid", "gen_sql", "gold_sql", "exec_correct"), "gen_sql", "gold_sql")
+    s = SC.score_final(c("exec_correct"), c("component_score"), ST.semantic_similar("gen_sql", "gold_sql"))
     return m.select("qid", F.round(s, 6).alias("final_score"))
 
 

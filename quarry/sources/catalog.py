@@ -82,10 +82,11 @@ def fk_check(t: Tables) -> DataFrame:
     """Every declared edge with its child row count and orphan count (anti join)."""
     out = None
     for child, fc, parent, pc in FOREIGN_KEYS:
-        c = t[child].select(F.col(fc).alias("k"))
+        # a NULL key refers to nothing, so it is no orphan
+        c = t[child].select(F.col(fc).alias("k")).where(F.col("k").isNotNull())
         p = t[parent].select(F.col(pc).alias("k"))
         orphans = c.join(p, "k", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
-        total = c.agg(F.count(F.lit(1)).alias("child_rows"))
+        total = t[child].agg(F.count(F.lit(1)).alias("child_rows"))
         row = total.crossJoin(orphans).select(
             F.lit(child).alias("table"), F.lit(fc).alias("from_column"), F.lit(parent).alias("to_table"),
             F.lit(pc).alias("to_column"), "child_rows", "orphans")
@@ -233,7 +234,7 @@ st AS (SELECT db_name, string_agg(ddl, chr(10) || chr(10) ORDER BY table_order)
 _FK_ORACLE_PARTS = " UNION ALL ".join(
     f"SELECT '{a}' AS \"table\", '{b}' AS from_column, '{c}' AS to_table, '{d}' AS to_column, "
     f"(SELECT count(*) FROM {a}) AS child_rows, "
-    f"(SELECT count(*) FROM {a} x WHERE NOT EXISTS (SELECT 1 FROM {c} y WHERE y.{d} = x.{b})) AS orphans"
+    f"(SELECT count(*) FROM {a} x WHERE x.{b} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {c} y WHERE y.{d} = x.{b})) AS orphans"
     for a, b, c, d in FOREIGN_KEYS)
 
 # The text columns of the fixture tables (from FIXTURES.md).
