@@ -42,8 +42,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents taken into the mix, with size, source_size, target and taken words."""
-    rest = tuple(c for c in ("text", "lang", "n_chars") if c in docs.columns)
+    """Operator 9: the documents of the mix by id, with size, source_size, target and taken words.
+
+    A list of what to take, without the texts: a document may be taken up to
+    three times, and its text is found by its id in the stage before.
+    """
+    rest = tuple(c for c in ("lang", "n_chars") if c in docs.columns)
     return mixing.mix_documents(docs, table(spark, sf_dir, "labels"), keep=rest).drop("key").where(
         F.col("taken") > 0)
 
