@@ -61,7 +61,7 @@ def test_stages_on_planted_cases(spark, tmp_path):
 
 def test_run_on_given_and_empty_tables(spark, tmp_path):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert {"doc_id", "text", "source", "size", "source_size", "target", "taken"} <= set(out.columns)
+    assert {"doc_id", "lang", "source", "size", "source_size", "target", "taken"} <= set(out.columns)
     assert out.count() > 0
     assert corpus_pipeline.run(spark, sf_folder(spark, tmp_path, [], [], [])).collect() == []
     assert corpus_pipeline.ORACLE_SQL is None
