@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterable
+import contextlib
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,28 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
+_collecting: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Notes in ``paths`` the tables that ``materialize`` writes meanwhile."""
+    _collecting.append(paths)
+    try:
+        yield
+    finally:
+        _collecting.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these written tables and empty the list."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        p = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
     Cuts lineage with a table every executor can read, so a lost executor
@@ -34,10 +55,9 @@ def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> D
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    w = df.write
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    if _collecting:
+        _collecting[-1].append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,7 +72,3 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
     return name
-
-
-def run_id() -> str:
-    return uuid.uuid4().hex[:12]
