@@ -12,35 +12,59 @@ brute-force versions.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, jaccard, linededup, mixing, toxicity
-from quarry.llm.common import materialize, table
+from quarry.llm.common import collecting, drop_tables, materialize, table
 
 ORACLE_SQL = None
 
+# Working tables of the stage called last.
+_working: list[str] = []
+
+
+def stage(f):
+    """A stage first deletes the working tables of the stage before.
+
+    That stage's result has been written by then, as this one's ``docs`` are
+    read from it.
+    """
+    @functools.wraps(f)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _working)
+        with collecting(_working):
+            return f(spark, docs, sf_dir)
+    return call
+
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents scored toxic go."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: lines frequent within their source go; every document stays."""
     return linededup.clean(docs)
 
 
+@stage
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: one document of each group of near copies stays."""
     return jaccard.one_of_each(docs)
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents that hold benchmark windows go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: the documents of the mix by id, with size, source_size, target and taken words.
 
@@ -63,6 +87,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, f in STAGES:
+        docs = materialize(f(spark, docs, sf_dir), f"stage-{name}")
+    drop_tables(spark, _working)
     return docs
