@@ -39,7 +39,8 @@ def scored(er: DataFrame) -> DataFrame:
     ok = c("generated_sql") != ""
     cols = {x: (ok & c(x)) for x in ["valid", "correct", "exact_set_match"] + FLAGS}
     comp = sum(F.when(ok & c(x), 1).otherwise(0) for x in FLAGS) / 5.0
-    return er.select("db_id", "id", "pipeline", "hardness", "execution_time", "generated_sql", "question",
+    texts = [x for x in ("gold_sql", "error") if x in er.columns]
+    return er.select("db_id", "id", "pipeline", "hardness", "execution_time", "generated_sql", "question", *texts,
                      *[v.alias(k) for k, v in cols.items()], comp.alias("component_score"))
 
 

@@ -8,7 +8,7 @@ already-aggregated rows, so nothing is assembled on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formatting import py_format
@@ -16,7 +16,7 @@ from ..operators.dense import l2_normalize
 from ..operators.ordinal import with_ordinal
 
 EXAMPLE_SCHEMA = "db_id string, question string, query string, hardness string"
-SCHEMA_JSON_SCHEMA = "db_id string, table_names_original array<string>, seq long"
+SCHEMA_JSON_SCHEMA = "db_id string, table_names_original array<string>"
 TEST_CASE_SCHEMA = ("question string, db_path string, gold_sql string, db_id string, hardness string, "
                     "relevant_tables array<string>, query_type string")
 
@@ -37,15 +37,27 @@ def load_split(spark: SparkSession, path: str, known_dbs: DataFrame, limit: int
     ex = ex.withColumn("hardness", F.coalesce("hardness", F.lit("unknown")))
     if limit is not None:
         ex = ex.limit(limit)
-    from ..operators.sizing import maybe_broadcast
-    return ex.join(maybe_broadcast(known_dbs.select("db_id").distinct()), "db_id", "left_semi")
+    return ex.join(known_dbs.select("db_id").distinct(), "db_id", "left_semi")
 
 
 def load_schema_json(spark: SparkSession, path: str) -> DataFrame:
-    """A10: schema entries keyed by db_id; the last duplicate (highest seq) wins."""
-    s = read_json(spark, path, SCHEMA_JSON_SCHEMA)
-    w = Window.partitionBy("db_id").orderBy(F.col("seq").desc())  # a handful of rows per db
-    return s.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn", "seq")
+    """A10: schema entries keyed by db_id; the last of several entries in the file wins.
+
+    The file is one JSON array, so an entry's place is its position in it.
+    """
+    f = spark.read.text(path, wholetext=True).select(
+        F.from_json("value", f"array<struct<{SCHEMA_JSON_SCHEMA.replace(' ', ':').replace(',:', ',')}>>").alias("e"))
+    s = f.select(F.posexplode("e").alias("pos", "x"))
+    return s.groupBy(F.col("x.db_id").alias("db_id")).agg(
+        F.max_by("x.table_names_original", "pos").alias("table_names_original"))
+
+
+def write_json_array(df: DataFrame, order: str, path: str) -> str:
+    """One JSON array file of a small metadata table, in the given order."""
+    cols = [c for c in df.columns if c != order]
+    df.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(order, F.struct(*cols).alias("x")))),
+                                 lambda e: e["x"])).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return path
 
 
 def load_test_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -68,16 +80,19 @@ def to_test_cases(examples: DataFrame, table_names, include_relevant_tables: boo
 
 def detail_wide(scored: DataFrame, pipelines) -> DataFrame:
     """A14 data: one row per question, SQL / Yes-No / time per pipeline (pivot of tiny groups)."""
-    p = (scored.groupBy("id", "question", "hardness").pivot("pipeline", list(pipelines))
+    p = (scored.groupBy("id", "question", "hardness", "gold_sql").pivot("pipeline", list(pipelines))
          .agg(F.first("generated_sql").alias("SQL"),
               F.first(F.when(F.col("correct"), "Yes").otherwise("No")).alias("Correct"),
               F.first("execution_time").alias("Time")))
-    return p
+    # a pipeline without an outcome reads as an empty, wrong answer that took no time
+    return p.fillna({f"{n}_SQL": "" for n in pipelines} | {f"{n}_Correct": "No" for n in pipelines}
+                    | {f"{n}_Time": 0.0 for n in pipelines})
 
 
 def write_detail_csv(wide: DataFrame, pipelines, path: str) -> str:
     """CSV with quoted multi-line SQL and one-decimal times."""
-    cols = [F.col("id").alias("ID"), F.col("question").alias("Question"), F.col("hardness").alias("Hardness")]
+    cols = [F.col("id").alias("ID"), F.col("question").alias("Question"), F.col("hardness").alias("Hardness"),
+            F.col("gold_sql").alias("Gold SQL")]
     for p in pipelines:
         cols += [F.col(f"{p}_SQL").alias(f"{p}_SQL"), F.col(f"{p}_Correct").alias(f"{p}_Correct"),
                  py_format(F.col(f"{p}_Time"), ".1f").alias(f"{p}_Time")]
@@ -95,23 +110,28 @@ def summary_text(summary: DataFrame) -> DataFrame:
     def pct(c):
         return py_format(c, ".1%")
     return summary.select(
-        F.col("pipeline").alias("Pipeline"), F.col("total_questions").alias("Total Questions"),
+        F.replace("pipeline", F.lit("_"), F.lit(" ")).alias("Pipeline"), F.col("total_questions").alias("Total Questions"),
         pct("execution_accuracy").alias("Execution Accuracy"), pct("exact_set_match_rate").alias("Exact Set Match"),
-        py_format("avg_component_score", ".3f").alias("Component Score"),
+        pct("avg_component_score").alias("Component Score"),
         pct("select_match_rate").alias("SELECT Match"), pct("from_match_rate").alias("FROM Match"),
         pct("where_match_rate").alias("WHERE Match"), pct("groupby_match_rate").alias("GROUP BY Match"),
         pct("orderby_match_rate").alias("ORDER BY Match"),
-        py_format("avg_time_per_question", ".2f").alias("Avg Time (s)"),
-        py_format("total_time", ".2f").alias("Total Time (s)"))
+        py_format("avg_time_per_question", ".1f").alias("Avg Time (s)"),
+        py_format("total_time", ".1f").alias("Total Time (s)"))
 
 
 def combined_text(totals: DataFrame) -> DataFrame:
-    """Per-DB rows and ALL DATABASES totals with formatted accuracy and time."""
-    return totals.select(F.col("database").alias("Database"),
-                         F.regexp_replace("pipeline", "_", " ").alias("Pipeline"),
-                         F.col("total").alias("Total Questions"), F.col("correct").alias("Correct"),
-                         py_format("accuracy", ".1%").alias("Accuracy"),
-                         py_format("avg_time", ".1f").alias("Avg Time (s)"))
+    """Per-DB rows, an empty row, a title row and the ALL DATABASES totals, in file order."""
+    last = F.col("database") == "ALL DATABASES"
+    rows = totals.select(
+        F.when(last, 3).otherwise(0).alias("part"), F.col("database").alias("Database"),
+        F.replace("pipeline", F.lit("_"), F.lit(" ")).alias("Pipeline"),
+        F.col("total").cast("string").alias("Total Questions"), F.col("correct").cast("string").alias("Correct"),
+        py_format("accuracy", ".1%").alias("Accuracy"), py_format("avg_time", ".1f").alias("Avg Time (s)"))
+    between = totals.sparkSession.createDataFrame(
+        [(1, None), (2, "COMBINED TOTALS")], "part int, Database string")
+    # a report of databases x pipelines rows: one sorted file
+    return rows.unionByName(between, allowMissingColumns=True).orderBy("part", "Database", "Pipeline").drop("part")
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -121,13 +141,13 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 DETAIL_FIELDS = ["generated_sql", "execution_time", "valid", "correct", "exact_set_match", "component_score",
-                 "select_match", "from_match", "where_match", "groupby_match", "orderby_match"]
+                 "select_match", "from_match", "where_match", "groupby_match", "orderby_match", "error"]
 
 
 def detail_json(scored: DataFrame) -> DataFrame:
     """A17 shape: one record per question, ``pipelines`` = map(pipeline -> outcome struct)."""
     inner = F.struct(*[F.col(c) for c in DETAIL_FIELDS])
-    return scored.groupBy("db_id", "id", "question", "hardness").agg(
+    return scored.groupBy("db_id", "id", "question", "gold_sql", "hardness").agg(
         F.map_from_entries(F.collect_list(F.struct("pipeline", inner))).alias("pipelines"))
 
 
@@ -158,7 +178,10 @@ def store_add(store: DataFrame | None, batch: DataFrame, id_col: str | None, con
     ``order`` is the batch's own row order (position = ordinal by it, computed
     without a single-partition window).
     """
-    base = 0 if store is None else (store.agg(F.max("seq")).first()[0] or -1) + 1
+    last = None if store is None else store.agg(F.max("seq")).first()[0]
+    base = 0 if last is None else last + 1
+    # as many vectors as documents: a document without one is an error, not a gap
+    vec = F.when(F.col(vec).isNull(), F.raise_error(F.lit("a document has no vector"))).otherwise(F.col(vec))
     b = batch.select((F.col(id_col).cast("string") if id_col else F.lit(None).cast("string")).alias("id"),
                      F.col(content).alias("content"), F.col(db_name).alias("db_name"),
                      l2_normalize(vec).alias("vector"), F.lit(1).alias("_g"), F.col(order).alias("_o"))

@@ -12,7 +12,7 @@ from ..functions.sqltext import hardness
 from ..operators.dense import hashed_vector
 from ..plans import duck as D
 from ..plans.derived import EVAL_RESULTS_SQL, PIPELINES, QUERY_LOG_SQL, eval_results, query_log
-from ..plans.reports import combined_totals, pipeline_summary, scored
+from ..plans.reports import ER, combined_totals, pipeline_summary, scored
 from ..session import TABLE_NAMES, Tables, scratch_path
 from . import files as FL
 
@@ -30,10 +30,10 @@ def _schema_entries(t):
     """Schema JSON entries: every db of the split but the last one; the first db twice (later copy wins)."""
     dbs = query_log(t).select("db_id").distinct()
     keep = dbs.filter(F.col("db_id") != "5-LOW")
-    full = keep.select("db_id", F.array(*[F.lit(n) for n in TABLE_NAMES]).alias("table_names_original"),
-                       F.lit(1).cast("long").alias("seq"))
+    full = keep.select(F.concat(F.lit("1"), "db_id").alias("place"), "db_id",
+                       F.array(*[F.lit(n) for n in TABLE_NAMES]).alias("table_names_original"))
     stale = keep.filter(F.col("db_id") == "1-URGENT").select(
-        "db_id", F.array(F.lit("orders")).alias("table_names_original"), F.lit(0).cast("long").alias("seq"))
+        F.lit("0").alias("place"), "db_id", F.array(F.lit("orders")).alias("table_names_original"))
     return full.unionByName(stale)
 
 
@@ -41,7 +41,7 @@ def _q_load_split(spark, sf_dir):
     t = _t(spark, sf_dir)
     base = scratch_path(spark, "split")
     FL.write_json(_examples(t), base + "/dev")
-    FL.write_json(_schema_entries(t), base + "/tables")
+    FL.write_json_array(_schema_entries(t), "place", base + "/tables")
     known = FL.load_schema_json(spark, base + "/tables")
     return FL.load_split(spark, base + "/dev", known)
 
@@ -49,7 +49,7 @@ def _q_load_split(spark, sf_dir):
 def _q_load_schema_json(spark, sf_dir):
     t = _t(spark, sf_dir)
     path = scratch_path(spark, "tables")
-    FL.write_json(_schema_entries(t), path)
+    FL.write_json_array(_schema_entries(t), "place", path)
     s = FL.load_schema_json(spark, path)
     return s.select("db_id", F.explode("table_names_original").alias("table_name"))
 
@@ -65,7 +65,7 @@ def _q_load_test_cases(spark, sf_dir):
     t = _t(spark, sf_dir)
     path = scratch_path(spark, "cases")
     FL.write_json(FL.to_test_cases(_examples(t), list(TABLE_NAMES)), path)
-    return FL.load_test_cases(spark, path)
+    return FL.load_test_cases(spark, path).withColumn("relevant_tables", F.array_join("relevant_tables", ","))
 
 
 def _wide(t):
@@ -74,7 +74,7 @@ def _wide(t):
 
 def _q_detail(spark, sf_dir):
     w = _wide(_t(spark, sf_dir))
-    cols = ["id", "question", "hardness"]
+    cols = ["id", "question", "hardness", "gold_sql"]
     for p in PIPELINES:
         cols += [F.col(f"{p}_SQL"), F.col(f"{p}_Correct"), F.round(f"{p}_Time", 6).alias(f"{p}_Time")]
     return w.select(*cols)
@@ -108,8 +108,10 @@ def _q_detail_json(spark, sf_dir):
     path = scratch_path(spark, "detail_json")
     d.write.mode("overwrite").json(path)
     back = spark.read.schema(d.schema).json(path)
-    return back.select("db_id", "id", F.size("pipelines").alias("n_pipelines"),
-                       F.col("pipelines")["Multi_Agent_RAG"]["correct"].alias("rag_correct"))
+    rows = back.select("db_id", "id", "question", "gold_sql", "hardness", F.explode("pipelines").alias("pipeline", "o"))
+    return rows.select("db_id", "id", "question", "gold_sql", "hardness", "pipeline", *[
+        F.round(f"o.{f}", 6).alias(f) if f in ("execution_time", "component_score") else F.col(f"o.{f}")
+        for f in FL.DETAIL_FIELDS])
 
 
 def _q_combined_json(spark, sf_dir):
@@ -117,8 +119,13 @@ def _q_combined_json(spark, sf_dir):
     c = FL.combined_json(pipeline_summary(eval_results(t)))
     path = scratch_path(spark, "combined_json")
     c.write.mode("overwrite").json(path)
-    return spark.read.schema(c.schema).json(path).select(
-        "pipeline", "total_questions", "correct_answers", F.size("per_database").alias("n_databases"))
+    rows = spark.read.schema(c.schema).json(path).select("*", F.explode("per_database").alias("db_id", "d"))
+    return rows.select("pipeline", "total_questions", "correct_answers",
+                       F.round("execution_accuracy", 6).alias("execution_accuracy"),
+                       F.round("total_time_seconds", 4).alias("total_time_seconds"), "db_id",
+                       F.col("d.total_questions").alias("db_questions"),
+                       F.round("d.execution_accuracy", 6).alias("db_accuracy"),
+                       F.round("d.avg_time_per_question", 6).alias("db_avg_time"))
 
 
 def _q_result_csv(spark, sf_dir):
@@ -193,11 +200,56 @@ SELECT question, db_id, {D.hardness('gold_sql')} AS hardness, gold_sql,
       for n in TABLE_NAMES)}], lambda x: x IS NOT NULL))), ',') AS relevant_tables
 FROM query_log""",
     "sink_csv_detail": f"WITH er AS ({EVAL_RESULTS_SQL})\n" + """
-SELECT id, question, hardness, """ + ", ".join(
-        f"first(generated_sql) FILTER (WHERE pipeline = '{p}') AS {p}_SQL, "
-        f"first(CASE WHEN generated_sql <> '' AND correct THEN 'Yes' ELSE 'No' END) FILTER (WHERE pipeline = '{p}') AS {p}_Correct, "
-        f"round(first(execution_time) FILTER (WHERE pipeline = '{p}'), 6) AS {p}_Time" for p in PIPELINES) + """
-FROM er GROUP BY id, question, hardness""",
+SELECT id, question, hardness, gold_sql, """ + ", ".join(
+        f"coalesce(first(generated_sql) FILTER (WHERE pipeline = '{p}'), '') AS {p}_SQL, "
+        f"coalesce(first(CASE WHEN generated_sql <> '' AND correct THEN 'Yes' ELSE 'No' END) FILTER (WHERE pipeline = '{p}'), 'No') AS {p}_Correct, "
+        f"round(coalesce(first(execution_time) FILTER (WHERE pipeline = '{p}'), 0.0), 6) AS {p}_Time" for p in PIPELINES) + """
+FROM er GROUP BY id, question, hardness, gold_sql""",
+    "sink_csv_detail_roundtrip": f"WITH er AS ({EVAL_RESULTS_SQL})\n" + """
+SELECT CAST(id AS VARCHAR) AS "ID", question AS "Question", hardness AS "Hardness", gold_sql AS "Gold SQL", """ + ", ".join(
+        f"nullif(coalesce(first(generated_sql) FILTER (WHERE pipeline = '{p}'), ''), '') AS {p}_SQL, "
+        f"coalesce(first(CASE WHEN generated_sql <> '' AND correct THEN 'Yes' ELSE 'No' END) FILTER (WHERE pipeline = '{p}'), 'No') AS {p}_Correct, "
+        f"printf('%.1f', coalesce(first(execution_time) FILTER (WHERE pipeline = '{p}'), 0.0)) AS {p}_Time" for p in PIPELINES) + """
+FROM er GROUP BY id, question, hardness, gold_sql""",
+    "load_split": f"WITH query_log AS ({QUERY_LOG_SQL})\n" + f"""
+SELECT db_id, question, gold_sql AS query, {D.hardness('gold_sql')} AS hardness FROM query_log WHERE db_id <> '5-LOW'""",
+    "load_schema_json": f"WITH query_log AS ({QUERY_LOG_SQL})\n" + f"""
+SELECT db_id, unnest([{', '.join(f"'{n}'" for n in TABLE_NAMES)}]) AS table_name
+FROM (SELECT DISTINCT db_id FROM query_log WHERE db_id <> '5-LOW') z""",
+    "load_test_cases": f"WITH query_log AS ({QUERY_LOG_SQL})\n" + f"""
+SELECT question, 'db/' || db_id AS db_path, gold_sql, db_id, {D.hardness('gold_sql')} AS hardness,
+  array_to_string(list_sort(list_distinct(list_filter([{', '.join(
+      rf"CASE WHEN regexp_matches(lower(gold_sql), '\bfrom\s+{n}\b|\bjoin\s+{n}\b|\b{n}\s+as\b|\b{n}\.') THEN '{n}' END"
+      for n in TABLE_NAMES)}], lambda x: x IS NOT NULL))), ',') AS relevant_tables, 'unknown' AS query_type
+FROM query_log""",
+    "sink_csv_summary": ER + """
+SELECT replace(pipeline, '_', ' ') AS "Pipeline", CAST(count(*) AS VARCHAR) AS "Total Questions", """ + ", ".join(
+        f"printf('%.1f%%', avg(CAST({c} AS DOUBLE)) * 100) AS \"{n}\"" for c, n in (
+            ("correct", "Execution Accuracy"), ("exact_set_match", "Exact Set Match"),
+            ("component_score", "Component Score"), ("select_match", "SELECT Match"), ("from_match", "FROM Match"),
+            ("where_match", "WHERE Match"), ("groupby_match", "GROUP BY Match"), ("orderby_match", "ORDER BY Match"))) + """,
+  printf('%.1f', avg(execution_time)) AS "Avg Time (s)", printf('%.1f', sum(execution_time)) AS "Total Time (s)"
+FROM sc GROUP BY pipeline""",
+    "sink_csv_combined": ER + """
+SELECT CASE WHEN grouping(db_id) = 0 THEN db_id ELSE 'ALL DATABASES' END AS "Database", replace(pipeline, '_', ' ') AS "Pipeline",
+  CAST(count(*) AS VARCHAR) AS "Total Questions", CAST(count(*) FILTER (WHERE correct) AS VARCHAR) AS "Correct",
+  printf('%.1f%%', count(*) FILTER (WHERE correct) / count(*) * 100) AS "Accuracy", printf('%.1f', avg(execution_time)) AS "Avg Time (s)"
+FROM sc GROUP BY GROUPING SETS ((db_id, pipeline), (pipeline))
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'COMBINED TOTALS', NULL, NULL, NULL, NULL, NULL""",
+    "sink_json_detail": ER + """
+SELECT sc.db_id, sc.id, sc.question, e.gold_sql, sc.hardness, sc.pipeline, sc.generated_sql,
+  round(sc.execution_time, 6) AS execution_time, sc.valid, sc.correct, sc.exact_set_match,
+  round(sc.component_score, 6) AS component_score, sc.select_match, sc.from_match, sc.where_match, sc.groupby_match,
+  sc.orderby_match, e.error
+FROM sc JOIN er e ON e.id = sc.id AND e.pipeline = sc.pipeline""",
+    "sink_json_combined": ER + """,
+p AS (SELECT pipeline, count(*) AS total_questions, count(*) FILTER (WHERE correct) AS correct_answers,
+             round(avg(CAST(correct AS DOUBLE)), 6) AS execution_accuracy, round(sum(execution_time), 4) AS total_time_seconds
+      FROM sc GROUP BY pipeline)
+SELECT p.*, db_id, count(*) AS db_questions, round(avg(CAST(correct AS DOUBLE)), 6) AS db_accuracy,
+  round(avg(execution_time), 6) AS db_avg_time
+FROM sc JOIN p USING (pipeline) GROUP BY ALL""",
+    "result_csv_export": "SELECT o_orderpriority, CAST(count(*) AS VARCHAR) AS n FROM orders GROUP BY 1",
     "vector_store_save": """
 SELECT 'label_' || CAST(label AS VARCHAR) AS db_name, count(*) AS n_docs,
        CAST(min(rn) AS BIGINT) AS first_seq
