@@ -7,9 +7,10 @@ sharing no term with a query never appear, which is the same as keeping
 only positive scores.
 
 Scale notes
-* the query vocabulary is broadcast only after a row-count check;
-* postings are aggregated map-side per document before the shuffle, so a
+* postings are combined map-side per document before the shuffle, so a
   very frequent term ("the") costs one row per document, not per token;
+* joins carry no hints: Spark shares the query terms with all tasks where
+  their measured size allows, and splits a frequent term's rows where not;
 * the per-query top-k is ``row_number() <= k`` which Spark turns into a
   partial ``WindowGroupLimit`` ahead of the shuffle: a query that matches a
   third of the corpus still sends only k rows per map task.
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .sizing import bounded, spread
+from ..session import scratch_path
+from .sizing import spread
 
 # BM25 defaults.
 K1 = 1.5
@@ -34,73 +36,56 @@ def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
             .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
-    """One row: n_docs, avgdl (documents with no token count, with length 0)."""
-    return spread(docs).agg(F.count(F.lit(1)).alias("n_docs"),
-                    F.avg(F.size(tokenize(text)).cast("double")).alias("avgdl"))
+def tokens_of(docs: DataFrame, did: str, text: str) -> DataFrame:
+    """(doc, toks) written once: postings, statistics and hashed vectors all read this table."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "tokens")
+    tok = spread(docs).select(F.col(did).alias("doc"), tokenize(text).alias("toks"))
+    tok.write.parquet(path)
+    return spark.read.schema(tok.schema).parquet(path)
 
 
-def postings(docs: DataFrame, did: str, text: str, vocab: DataFrame | None = None,
-             vocab_small: bool | None = None) -> DataFrame:
-    """(doc, term, tf, dl); restricted to ``vocab(term)`` when given."""
-    tok = spread(docs).select(F.col(did).alias("doc"), tokenize(text).alias("toks"))
-    ex = tok.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    if vocab is not None:
-        if vocab_small is None:
-            vocab_small = bounded(vocab)
-        ex = ex.join(F.broadcast(vocab) if vocab_small else vocab, "term", "left_semi")
+def postings(tokens: DataFrame) -> DataFrame:
+    """(doc, term, dl, tf) of every term of every document."""
+    ex = tokens.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
     return ex.groupBy("doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_freq(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def corpus_stats(tokens: DataFrame) -> tuple[int, float]:
+    """Number of documents and mean length; a document without tokens has length 0."""
+    r = tokens.agg(F.count(F.lit(1)), F.sum(F.size("toks"))).head()
+    return r[0], (r[1] / r[0] if r[0] else 0.0)
 
 
-def build_index(docs: DataFrame, did: str, text: str, vocab: DataFrame, vocab_small: bool):
-    """E2 in one pass: postings for ``vocab`` written once, corpus stats observed on the way.
+def bm25_scores(tokens: DataFrame, queries: DataFrame, qid: str, qtext: str, pairs: DataFrame | None = None,
+                k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, doc, score) for every document sharing a term with the query.
 
-    Returns (postings read back from the shared folder, n_docs, avgdl).  The
-    documents are tokenized once; ``observe`` counts documents and tokens in
-    that same scan, and writing the (vocabulary-restricted, small) postings
-    cuts the lineage so later joins never re-read the corpus.
+    ``tokens`` comes from :func:`tokens_of`.  With ``pairs`` (qid, doc) only
+    those pairs are scored, 0 where they share no term.
     """
-    import uuid
-
-    from pyspark.sql import Observation
-
-    from ..session import scratch_path
-    spark = docs.sparkSession
-    obs = Observation(f"bm25_{uuid.uuid4().hex[:8]}")
-    tok = (spread(docs).select(F.col(did).alias("doc"), tokenize(text).alias("toks"))
-           .observe(obs, F.count(F.lit(1)).alias("n"), F.sum(F.size("toks")).alias("tokens")))
-    ex = tok.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    ex = ex.join(F.broadcast(vocab) if vocab_small else vocab, "term", "left_semi")
-    post = ex.groupBy("doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    path = scratch_path(spark, "bm25_postings")
-    post.write.mode("overwrite").parquet(path)
-    m = obs.get
-    n = int(m.get("n") or 0)
-    avgdl = float(m.get("tokens") or 0) / n if n else 0.0
-    return spark.read.parquet(path), n, avgdl
-
-
-def bm25_scores(docs: DataFrame, did: str, dtext: str, queries: DataFrame, qid: str, qtext: str,
-                k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, doc, score) for every document sharing a term with the query."""
     qt = query_terms(queries, qid, qtext)
     vocab = qt.select("term").distinct()
-    # one size check: the vocabulary has no more rows than the query terms
-    qt_small = bounded(qt)
-    small = True if qt_small else bounded(vocab)
-    post, n_docs, avgdl = build_index(docs, did, dtext, vocab, small)
-    df_ = doc_freq(post)  # one row per vocabulary term: bounded when vocab is
+    n_docs, avgdl = corpus_stats(tokens)
+    ex = tokens.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(
+        vocab, "term", "left_semi")
+    post = ex.groupBy("doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    path = scratch_path(tokens.sparkSession, "bm25_postings")
+    post.write.parquet(path)
+    post = tokens.sparkSession.read.schema(post.schema).parquet(path)
+    df_ = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     norm = F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0)))
-    return ((F.broadcast(qt) if qt_small else qt).join(post, "term")
-            .join(F.broadcast(df_) if small else df_, "term")
-            .groupBy("qid", "doc")
-            .agg(F.sum(F.col("qtf") * idf * norm).alias("score")))
+    weighted = qt.join(df_, "term").select("qid", "term", (F.col("qtf") * idf).alias("w"))
+    if pairs is None:
+        hit = weighted.join(post, "term")
+    else:
+        hit = weighted.join(pairs.select("qid", "doc"), "qid").join(post, ["doc", "term"])
+    scored = hit.groupBy("qid", "doc").agg(F.sum(F.col("w") * norm).alias("score"))
+    if pairs is None:
+        return scored
+    return pairs.select("qid", "doc").join(scored, ["qid", "doc"], "left").fillna(0.0, ["score"])
 
 
 def top_k(scored: DataFrame, k: int, part: str = "qid", score: str = "score",
@@ -116,7 +101,7 @@ def top_k(scored: DataFrame, k: int, part: str = "qid", score: str = "score",
 def sparse_topk(docs: DataFrame, did: str, dtext: str, queries: DataFrame, qid: str, qtext: str,
                 k: int = 5) -> DataFrame:
     """Top-k documents by BM25 per query, positive scores only."""
-    return top_k(bm25_scores(docs, did, dtext, queries, qid, qtext), k)
+    return top_k(bm25_scores(tokens_of(docs, did, dtext), queries, qid, qtext), k)
 
 
 # ---------------------------------------------------------------- registry
@@ -131,12 +116,12 @@ def _q_sparse_topk(spark, sf_dir):
 
 
 def _q_bm25_index(spark, sf_dir):
-    """E2 summary: per term of the benchmark vocabulary, df and total tf, plus corpus stats."""
+    """Per term of the corpus, document frequency and total count, plus corpus statistics."""
     from ..session import Tables
     t = Tables(spark, sf_dir)
-    vocab = query_terms(t.benchmark, "item_id", "text").select("term").distinct()
-    post, n_docs, avgdl = build_index(t.documents, "doc_id", "text", vocab, bounded(vocab))
-    return (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
+    tokens = tokens_of(t.documents, "doc_id", "text")
+    n_docs, avgdl = corpus_stats(tokens)
+    return (postings(tokens).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
             .select("term", "df", "ctf", F.lit(n_docs).cast("long").alias("n_docs"),
                     F.round(F.lit(avgdl), 6).alias("avgdl")))
 
@@ -174,10 +159,8 @@ SELECT item_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score F
 INDEX_ORACLE = f"""
 WITH d AS (SELECT doc_id, {_DOC_TOKENS} AS toks FROM documents),
 stats AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM d),
-vocab AS (SELECT DISTINCT unnest({_DOC_TOKENS}) AS term FROM benchmark),
 post AS (SELECT doc_id, unnest(toks) AS term FROM d),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM post WHERE term IN (SELECT term FROM vocab)
-       GROUP BY doc_id, term)
+tf AS (SELECT doc_id, term, count(*) AS tf FROM post GROUP BY doc_id, term)
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ctf, s.n_docs, round(s.avgdl, 6) AS avgdl
 FROM tf CROSS JOIN stats s GROUP BY term, s.n_docs, s.avgdl
 """
@@ -189,26 +172,13 @@ SELECT doc_id, CAST(len({_DOC_TOKENS}) AS BIGINT) AS n_tokens,
 FROM documents
 """
 
-def _q_bm25_score(spark, sf_dir):
-    """Every positive BM25 score of the benchmark items over the corpus."""
-    from ..session import Tables
-    t = Tables(spark, sf_dir)
-    r = bm25_scores(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
-    return r.select(F.col("qid").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
-
-
-SCORE_ORACLE = SPARSE_ORACLE.split("r AS (")[0].rstrip().rstrip(",") + """
-SELECT item_id, doc_id, round(score, 6) AS score FROM sc"""
-
 QUERIES = {
-    "bm25_score": _q_bm25_score,
     "tokenize": _q_tokenize,
     "bm25_index": _q_bm25_index,
     "sparse_topk": _q_sparse_topk,
 }
 
 ORACLES = {
-    "bm25_score": SCORE_ORACLE,
     "tokenize": TOKENIZE_ORACLE,
     "bm25_index": INDEX_ORACLE,
     "sparse_topk": SPARSE_ORACLE,

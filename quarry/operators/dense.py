@@ -5,12 +5,13 @@
   with ``numpy.bincount`` - the only Python step, vectorised per batch.
 * E6/E7 are pure column expressions (``transform`` / ``zip_with`` /
   ``aggregate``), no Python.
-* E8 ``dense_topk``: exact inner-product search.  The query matrix is
-  collected only after its row count is checked against a bound and then
-  broadcast; beyond the bound the queries are processed in bounded chunks.
-  Documents stay where they are: each Arrow batch is scored with one matrix
-  multiply and reduced to its local top-k per query, so only
-  (#batches x #queries x k) rows reach the final per-query top-k.
+* E8 ``dense_topk``: exact inner-product search of a query set against all
+  documents, in blocks.  Both sides are packed into blocks of a fixed number
+  of unit vectors; every document block meets every query block in one matrix
+  multiply and sends its k best rows per query to the final per-query top-k.
+  The plan is the same at every size: Spark shares the written query blocks
+  with all tasks where their measured size allows and pairs partitions where
+  not; nothing is collected on the driver.
 """
 
 from __future__ import annotations
@@ -21,31 +22,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_, tokenize
+from ..session import scratch_path
 from .bm25 import top_k
-from .sizing import bounded, spread
+from .sizing import spread
 
 DIM = 64
 EPS = 1e-10
-MAX_QUERIES = 20_000  # rows of the broadcast query matrix per chunk
-MAX_DOCS = 20_000     # a document side this small is broadcast instead (exact, no global top-k step)
+# Vectors of a document block and of a query block: 4096 x 512 scores are 16 MB.
+DOC_BLOCK = 4096
+QUERY_BLOCK = 512
 
 
-def token_buckets(text, dim: int = DIM) -> Column:
+def token_buckets(tokens, dim: int = DIM) -> Column:
     """Bucket of every token: first 32 bits of its md5, modulo ``dim``."""
-    return F.transform(tokenize(text),
+    return F.transform(col_(tokens),
                        lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int"))
 
 
 def _bincount_udf(dim: int):
     @F.pandas_udf("array<double>")
     def bincount(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: np.bincount(np.asarray(a, dtype=np.int64), minlength=dim).astype(np.float64))
+        # one count of (row, bucket) cells for the whole batch
+        sizes = s.map(len).to_numpy(dtype=np.int64)
+        cells = np.concatenate([np.asarray(a, dtype=np.int64) for a in s]) if len(s) else np.zeros(0, np.int64)
+        cells = cells + np.repeat(np.arange(len(s)) * dim, sizes)
+        return pd.Series(list(np.bincount(cells, minlength=len(s) * dim).astype(np.float64).reshape(-1, dim)))
     return bincount
 
 
 def hashed_vector(text, dim: int = DIM) -> Column:
     """E5 built-in embedder: term counts hashed into ``dim`` buckets."""
-    return _bincount_udf(dim)(token_buckets(text, dim))
+    return bucket_vector(tokenize(text), dim)
+
+
+def bucket_vector(tokens, dim: int = DIM) -> Column:
+    """The embedder over a column of tokens."""
+    return _bincount_udf(dim)(token_buckets(tokens, dim))
 
 
 def l2_norm(v) -> Column:
@@ -90,69 +102,49 @@ def _local_topk(s: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int) -> pd.
                          "rank": (pos + 1).astype(np.int32)})
 
 
-def _score_batches(bq, k: int, id_col: str, vec_col: str):
-    def run(it):
-        qids, qmat = bq.value
-        for pdf in it:
-            if len(pdf) == 0 or len(qids) == 0:
-                continue
-            d = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            d = d / (np.linalg.norm(d, axis=1, keepdims=True) + EPS)
-            yield _local_topk(d @ qmat.T, pdf[id_col].to_numpy(), qids, k)
-    return run
-
+def vector_blocks(df: DataFrame, key: str, vec: str, rows: int) -> DataFrame:
+    """(ids array, m binary): unit vectors of up to ``rows`` rows a block, written once."""
+    kind = df.schema[key].dataType.simpleString()
 
-def _score_queries(bd, k: int, qid_col: str, qvec_col: str):
-    def run(it):
-        ids, dmat = bd.value
+    def pack(it):
         for pdf in it:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            q = np.stack(pdf[qvec_col].to_numpy()).astype(np.float64)
-            q = q / (np.linalg.norm(q, axis=1, keepdims=True) + EPS)
-            yield _local_topk(dmat @ q.T, ids, pdf[qid_col].to_numpy(), k)
-    return run
-
-
-def _collect_queries(queries: DataFrame, qid: str, qvec: str):
-    rows = queries.select(qid, qvec).collect()
-    qids = np.array([r[0] for r in rows])
-    qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]).reshape(len(rows), -1)
-    qmat = qmat / (np.linalg.norm(qmat, axis=1, keepdims=True) + EPS)
-    return qids, qmat
-
-
-def dense_topk(docs: DataFrame, did: str, dvec: str, queries: DataFrame, qid: str, qvec: str,
-               k: int = 5, id_type: str = "long") -> DataFrame:
-    """(qid, doc, score, rank) - exact top-k by cosine, ties by doc id."""
-    spark = docs.sparkSession
-    schema = f"qid {id_type}, doc long, score double, rank int"
-    if bounded(docs, MAX_DOCS):
-        # few documents, any number of queries: broadcast the (checked) document
-        # matrix and score each query batch against all of it - the per-query
-        # top-k is final inside the batch, so no shuffle and no global step
-        d = docs.select(F.col(did).cast("long"), dvec)
-        bd = spark.sparkContext.broadcast(_collect_queries(d, did, dvec))
-        return spread(queries.select(qid, qvec)).mapInPandas(_score_queries(bd, k, qid, qvec), schema)
-    chunks = [queries]
-    if not bounded(queries, MAX_QUERIES):
-        n = queries.count() // MAX_QUERIES + 1
-        keyed = queries.withColumn("_c", F.pmod(F.xxhash64(F.col(qid)), F.lit(n)))
-        chunks = [keyed.filter(F.col("_c") == i).drop("_c") for i in range(n)]
-    src = spread(docs.select(F.col(did).cast("long").alias(did), F.col(dvec)))
-    parts = []
-    for ch in chunks:
-        bq = spark.sparkContext.broadcast(_collect_queries(ch, qid, qvec))
-        parts.append(src.mapInPandas(_score_batches(bq, k, did, dvec), schema))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+            for i in range(0, len(pdf), rows):
+                part = pdf.iloc[i:i + rows]
+                v = np.stack(part[vec].to_numpy()).astype(np.float64)
+                v = v / (np.linalg.norm(v, axis=1, keepdims=True) + EPS)
+                yield pd.DataFrame({"ids": [part[key].to_numpy()], "m": [v.tobytes()]})
+
+    blocks = df.select(key, vec).where(F.col(vec).isNotNull()).mapInPandas(pack, f"ids array<{kind}>, m binary")
+    path = scratch_path(df.sparkSession, "vector_blocks")
+    blocks.write.parquet(path)
+    return df.sparkSession.read.schema(blocks.schema).parquet(path)
+
+
+def dense_topk(docs: DataFrame, did: str, dvec: str, queries: DataFrame, qid: str, qvec: str, k: int = 5) -> DataFrame:
+    """(qid, doc, score, rank) - exact top-k by cosine, ties by doc id; ids keep their types."""
+    d_kind, q_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, did), (queries, qid)))
+    d = vector_blocks(spread(docs), did, dvec, DOC_BLOCK)
+    q = vector_blocks(queries, qid, qvec, QUERY_BLOCK)
+    met = d.crossJoin(q.select(F.col("ids").alias("qids"), F.col("m").alias("qm")))
+
+    def score(it):
+        for pdf in it:
+            for ids, m, qids, qm in pdf.itertuples(index=False):
+                a = np.frombuffer(m).reshape(len(ids), -1)
+                b = np.frombuffer(qm).reshape(len(qids), -1)
+                yield _local_topk(a @ b.T, _sortable(ids), _sortable(qids), k)
+
+    scored = met.mapInPandas(score, f"qid {q_kind}, doc {d_kind}, score double, rank int")
     return top_k(scored, k)
 
 
-def dense_topk_threshold(docs, did, dvec, queries, qid, qvec, k=5, threshold=0.0, id_type="long") -> DataFrame:
+def _sortable(ids) -> np.ndarray:
+    return np.array(list(ids))
+
+
+def dense_topk_threshold(docs, did, dvec, queries, qid, qvec, k=5, threshold=0.0) -> DataFrame:
     """Top-k first, then drop hits under the threshold."""
-    return dense_topk(docs, did, dvec, queries, qid, qvec, k, id_type).filter(F.col("score") >= threshold)
+    return dense_topk(docs, did, dvec, queries, qid, qvec, k).filter(F.col("score") >= threshold)
 
 
 # ---------------------------------------------------------------- registry
@@ -185,19 +177,17 @@ def _q_l2_normalize(spark, sf_dir):
 
 
 def _q_cosine(spark, sf_dir):
+    """E7 over a table of pairs: every vector with the centroid of its own label."""
     t = _t(spark, sf_dir)
-    cents = label_centroids(t)
-    if not bounded(cents, MAX_QUERIES):
-        raise ValueError("too many labels to broadcast")
-    cents = cents.select(F.col("label").alias("query_label"), "c")
-    return (t.embeddings.crossJoin(F.broadcast(cents))
+    cents = label_centroids(t).select(F.col("label").alias("query_label"), "c")
+    return (t.embeddings.join(cents, F.col("label") == F.col("query_label"))
             .select("query_label", "vec_id",
                     F.round(cosine("c", "embedding"), 6).alias("cosine")))
 
 
 def _q_dense_topk(spark, sf_dir):
     t = _t(spark, sf_dir)
-    r = dense_topk(t.embeddings, "vec_id", "embedding", label_centroids(t), "label", "c", k=5, id_type="int")
+    r = dense_topk(t.embeddings, "vec_id", "embedding", label_centroids(t), "label", "c", k=5)
     return r.select(F.col("qid").alias("query_label"), F.col("doc").alias("vec_id"),
                     F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
@@ -205,7 +195,7 @@ def _q_dense_topk(spark, sf_dir):
 def _q_dense_threshold(spark, sf_dir):
     t = _t(spark, sf_dir)
     r = dense_topk_threshold(t.embeddings, "vec_id", "embedding", label_centroids(t), "label", "c",
-                             k=10, threshold=0.3, id_type="int")
+                             k=10, threshold=0.3)
     return r.select(F.col("qid").alias("query_label"), F.col("doc").alias("vec_id"),
                     F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
@@ -235,7 +225,7 @@ ORACLES = {
     "l2_normalize": "WITH " + _UNIT + """
 SELECT vec_id, round(list_sum(v), 6) AS sum_v, round(v[1], 6) AS v1,
        round(sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS norm FROM u""",
-    "cosine_similarity": "WITH " + _CENT + "\nSELECT query_label, vec_id, round(s, 6) AS cosine FROM sc",
+    "cosine_similarity": "WITH " + _CENT + "\nSELECT query_label, vec_id, round(s, 6) AS cosine FROM sc JOIN e USING (vec_id) WHERE e.label = query_label",
     "dense_topk": "WITH " + _CENT + """,
 r AS (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY round(s, 9) DESC, vec_id) AS rank FROM sc)
 SELECT query_label, vec_id, CAST(rank AS BIGINT) AS rank, round(s, 6) AS score FROM r WHERE rank <= 5""",

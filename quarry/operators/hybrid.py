@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bm25 import bm25_scores, top_k
-from .dense import dense_topk, hashed_vector
-from .sizing import spread
+from .bm25 import bm25_scores, tokens_of, top_k
+from .dense import bucket_vector, dense_topk, hashed_vector
 
 # Fusion weights.
 DENSE_WEIGHT = 0.6
@@ -28,14 +27,14 @@ def minmax_normalize(hits: DataFrame, part: str = "qid", score: str = "score", o
     return hits.withColumn(out, F.when(hi == lo, F.lit(1.0)).otherwise((F.col(score) - lo) / (hi - lo)))
 
 
-def sparse_side(docs, did, dtext, queries, qid, qtext, k2):
-    return top_k(bm25_scores(docs, did, dtext, queries, qid, qtext), k2)
+def sparse_side(tokens, queries, qid, qtext, k2):
+    return top_k(bm25_scores(tokens, queries, qid, qtext), k2)
 
 
-def dense_side(docs, did, dtext, queries, qid, qtext, k2):
-    dv = spread(docs).select(F.col(did).cast("long").alias("doc_id"), hashed_vector(dtext).alias("v"))
+def dense_side(tokens, queries, qid, qtext, k2):
+    dv = tokens.select("doc", bucket_vector("toks").alias("v"))
     qv = queries.select(F.col(qid).alias("qid"), hashed_vector(qtext).alias("qv"))
-    return dense_topk(dv, "doc_id", "v", qv, "qid", "qv", k2, id_type="long")
+    return dense_topk(dv, "doc", "v", qv, "qid", "qv", k2)
 
 
 def fuse(sparse2k: DataFrame, dense2k: DataFrame, k: int) -> DataFrame:
@@ -53,8 +52,8 @@ def hybrid_topk(docs: DataFrame, did: str, dtext: str, queries: DataFrame, qid:
                 k: int = 5) -> DataFrame:
     """(qid, doc, score, dense_score, sparse_score, rank)."""
     k2 = 2 * k
-    return fuse(sparse_side(docs, did, dtext, queries, qid, qtext, k2),
-                dense_side(docs, did, dtext, queries, qid, qtext, k2), k)
+    tokens = tokens_of(docs, did, dtext)  # the corpus is tokenized once for both sides
+    return fuse(sparse_side(tokens, queries, qid, qtext, k2), dense_side(tokens, queries, qid, qtext, k2), k)
 
 
 # ---------------------------------------------------------------- registry
@@ -74,11 +73,21 @@ def _q_hybrid(spark, sf_dir):
 
 def _q_minmax(spark, sf_dir):
     t = _t(spark, sf_dir)
-    s = minmax_normalize(sparse_side(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", 10))
+    tokens = tokens_of(t.documents, "doc_id", "text")
+    s = minmax_normalize(sparse_side(tokens, t.benchmark, "item_id", "text", 10))
     return s.select(F.col("qid").alias("item_id"), F.col("doc").alias("doc_id"),
                     F.round("norm", 6).alias("norm_score"))
 
 
+def _q_bm25_score(spark, sf_dir):
+    """E3 over a candidate table: the ten nearest documents by vector, scored by BM25."""
+    t = _t(spark, sf_dir)
+    tokens = tokens_of(t.documents, "doc_id", "text")
+    near = dense_side(tokens, t.benchmark, "item_id", "text", 10).select("qid", "doc")
+    r = bm25_scores(tokens, t.benchmark, "item_id", "text", pairs=near)
+    return r.select(F.col("qid").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def retrieval_ctes(docs: str, dkey: str, dtext: str, qs: str, qkey: str, qtext: str, k2: int = 10) -> str:
     """Oracle CTEs: BM25 (``bm``, top-2k ``sp``, normalised ``spn``) and hashed-vector cosine
     (``ds``, top-2k ``dk``, normalised ``dkn``); keys come out as item_id / doc_id."""
@@ -137,5 +146,9 @@ SELECT item_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score,
 
 MINMAX_ORACLE = "WITH " + SPARSE_CTE + "\nSELECT item_id, doc_id, round(sparse_score, 6) AS norm_score FROM spn"
 
-QUERIES = {"minmax_normalize": _q_minmax, "hybrid_topk": _q_hybrid}
-ORACLES = {"minmax_normalize": MINMAX_ORACLE, "hybrid_topk": HYBRID_ORACLE}
+SCORE_ORACLE = "WITH " + SPARSE_CTE + "," + DENSE_CTE + """
+SELECT dk.item_id, dk.doc_id, round(coalesce(bm.score, 0.0), 6) AS score
+FROM dk LEFT JOIN bm ON bm.item_id = dk.item_id AND bm.doc_id = dk.doc_id"""
+
+QUERIES = {"minmax_normalize": _q_minmax, "hybrid_topk": _q_hybrid, "bm25_score": _q_bm25_score}
+ORACLES = {"minmax_normalize": MINMAX_ORACLE, "hybrid_topk": HYBRID_ORACLE, "bm25_score": SCORE_ORACLE}

@@ -1,11 +1,11 @@
 """Scoring retrieval runs of all methods in one job.
 
-A *run* is the long table ``(method, qid, doc, rank, score)`` of the
-sparse, dense and hybrid top-k for every query.  Relevance comes from a
-containment join (the document contains the query passage).  Metrics are
-then joins and group-bys over these two tables; nothing is per-query Python.
-Per-query wall-clock time is not modelled (one distributed job scores all
-queries), so the time columns of the summaries are not produced.
+A *run* is the long table ``(method, qid, doc, rank, score)`` of the sparse,
+dense and hybrid top-k for every query.  The corpus is the schema documents
+(tables, descriptions, SQL patterns); relevant are the tables named by a
+question's gold SQL.  Metrics are joins and group-bys over these tables;
+nothing is per-query Python.  Recorded retrieval times enter as a table
+``(method, qid, seconds)``.
 """
 
 from __future__ import annotations
@@ -14,26 +14,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import question_type
-from ..session import cut_lineage
+from ..session import scratch_path
+from .bm25 import tokens_of
 from .hybrid import DENSE_WEIGHT, SPARSE_WEIGHT, dense_side, fuse, sparse_side
-from .matching import contains_join
 
 # Method names in their report order.
 METHODS = ("dense", "sparse", "hybrid")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def runs(t, k: int = 5, docs=None, did="doc_id", dtext="text", q=None, qid="item_id", qtext="text") -> DataFrame:
     """Sparse, dense and hybrid top-k of every query.
 
     Each side is ranked once to 2k (what the fusion needs); the plain top-k
-    lists are the first k of those.  The 2k lists are small (#queries x 2k) and
-    are checkpointed so the three methods reuse them instead of re-scoring
-    the corpus.
+    lists are the first k of those.  The corpus is tokenized once; the 2k
+    lists (#queries x 2k rows) are written and read by all three methods.
     """
     docs = t.documents if docs is None else docs
     q = t.benchmark if q is None else q
-    sp2 = cut_lineage(sparse_side(docs, did, dtext, q, qid, qtext, 2 * k))
-    de2 = cut_lineage(dense_side(docs, did, dtext, q, qid, qtext, 2 * k))
+    tokens = tokens_of(docs, did, dtext)
+    sp2 = _written(sparse_side(tokens, q, qid, qtext, 2 * k), "run_sparse")
+    de2 = _written(dense_side(tokens, q, qid, qtext, 2 * k), "run_dense")
     sp = sp2.filter(F.col("rank") <= k)
     de = de2.filter(F.col("rank") <= k)
     hy = fuse(sp2, de2, k)
@@ -43,47 +49,37 @@ def runs(t, k: int = 5, docs=None, did="doc_id", dtext="text", q=None, qid="item
             .unionByName(hy.select(F.lit("hybrid").alias("method"), *cols)))
 
 
-def relevance(t) -> DataFrame:
-    return contains_join(t.documents, "doc_id", "text", t.benchmark, "item_id", "text").select(
-        F.col("pid").alias("qid"), F.col("did").alias("doc")).distinct()
-
-
 def _methods(spark) -> DataFrame:
     return spark.createDataFrame([(m, i) for i, m in enumerate(METHODS)], "method string, method_order int")
 
 
-def retrieval_prf(run: DataFrame, rel: DataFrame, queries: DataFrame) -> DataFrame:
-    """Per (method, query) precision / recall / F1 of the retrieved set."""
-    spark = run.sparkSession
-    hits = run.select("method", "qid", "doc").distinct()
-    n_ret = run.groupBy("method", "qid").agg(F.count(F.lit(1)).alias("num_retrieved"),
-                                            F.countDistinct("doc").alias("n_set"))
-    n_rel = rel.groupBy("qid").agg(F.count(F.lit(1)).alias("n_rel"))
-    both = hits.join(rel, ["qid", "doc"]).groupBy("method", "qid").agg(F.count(F.lit(1)).alias("rr"))
-    grid = F.broadcast(_methods(spark)).crossJoin(queries)  # #methods x #queries rows
-    j = (grid.join(n_ret, ["method", "qid"], "left").join(n_rel, "qid", "left")
-         .join(both, ["method", "qid"], "left").fillna(0, ["num_retrieved", "n_set", "n_rel", "rr"]))
-    p = F.when(F.col("n_set") > 0, F.col("rr") / F.col("n_set")).otherwise(0.0)
-    r = F.col("rr") / F.col("n_rel")
-    has = F.col("n_rel") > 0
-    p, r = F.when(has, p).otherwise(0.0), F.when(has, r).otherwise(0.0)
-    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    return j.select("method", "method_order", "qid", p.alias("precision"), r.alias("recall"), f1.alias("f1"),
-                    F.col("num_retrieved").cast("long").alias("num_retrieved"),
-                    F.when(has, F.col("rr")).otherwise(0).cast("long").alias("relevant_retrieved"))
+def retrieval_summary(prf: DataFrame, by: list[str] | None = None, times: DataFrame | None = None) -> DataFrame:
+    """Mean precision, recall, F1 and case count per method (and group).
 
-
-def retrieval_summary(prf: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Mean precision, recall, F1 and case count per method (and group)."""
+    With ``times`` (method, qid, seconds) also their mean and population
+    standard deviation.
+    """
     keys = (by or []) + ["method"]
-    return prf.groupBy(*keys).agg(F.avg("precision").alias("avg_precision"), F.avg("recall").alias("avg_recall"),
-                                  F.avg("f1").alias("avg_f1"), F.count(F.lit(1)).alias("total_cases"))
+    aggs = [F.avg("precision").alias("avg_precision"), F.avg("recall").alias("avg_recall"),
+            F.avg("f1").alias("avg_f1"), F.count(F.lit(1)).alias("total_cases")]
+    if times is not None:
+        prf = prf.join(times, ["method", "qid"], "left")
+        aggs += [F.avg("seconds").alias("avg_time"), F.stddev_pop("seconds").alias("std_time")]
+    return prf.groupBy(*keys).agg(*aggs)
 
 
-def best_method(prf: DataFrame) -> DataFrame:
-    """Method with the highest mean F1 (first in report order on ties)."""
+def best_method(prf: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """Method with the highest mean F1 (first in report order on ties), and the fastest one."""
     s = prf.groupBy("method", "method_order").agg(F.avg("f1").alias("avg_f1"))
-    return s.orderBy(F.col("avg_f1").desc(), "method_order").limit(1).select("method", "avg_f1")
+    best = s.agg(F.min_by(F.struct("method", "avg_f1"), F.struct(-F.col("avg_f1"), "method_order")).alias("b")).select(
+        F.col("b.method").alias("method"), F.col("b.avg_f1").alias("avg_f1"))
+    if times is None:
+        return best
+    fast = times.join(_methods(prf.sparkSession), "method").groupBy("method", "method_order").agg(
+        F.avg("seconds").alias("t"))
+    fast = fast.agg(F.min_by(F.struct("method", "t"), F.struct("t", "method_order")).alias("f")).select(
+        F.col("f.method").alias("fastest"), F.col("f.t").alias("fastest_time"))
+    return best.crossJoin(fast)  # one row against one row
 
 
 def compare_retrievers(run: DataFrame, queries: DataFrame) -> DataFrame:
@@ -127,41 +123,51 @@ def _t(spark, sf_dir):
     return Tables(spark, sf_dir)
 
 
-def _prf(t):
-    return retrieval_prf(runs(t), relevance(t), t.benchmark.select(F.col("item_id").alias("qid")))
+# Recorded seconds of every query and method: ONE SQL text run by both engines.
+TIMES_SQL = """
+SELECT method, qid, CAST(qid % 100 + method_order * 7 + 1 AS DOUBLE) / 1000 AS seconds
+FROM query_log CROSS JOIN (SELECT 'dense' AS method, 0 AS method_order UNION ALL SELECT 'sparse', 1
+                           UNION ALL SELECT 'hybrid', 2) m"""
 
 
-def _q_relevance(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return relevance(t).select(F.col("qid").alias("item_id"), F.col("doc").alias("doc_id"))
+def _times(t) -> DataFrame:
+    from ..plans.derived import query_log
+    m = _methods(t.spark)
+    return query_log(t).select("qid").crossJoin(F.broadcast(m)).select(  # three methods
+        "method", "qid",
+        ((F.col("qid") % 100 + F.col("method_order") * 7 + 1).cast("double") / 1000).alias("seconds"))
+
+
+_METRICS = ("avg_precision", "avg_recall", "avg_f1")
 
 
 def _q_prf(spark, sf_dir):
-    p = _prf(_t(spark, sf_dir))
-    return p.select("method", F.col("qid").alias("item_id"), F.round("precision", 6).alias("precision"),
+    p = _schema_prf(_t(spark, sf_dir), values=False)
+    return p.select("method", "qid", F.round("precision", 6).alias("precision"),
                     F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"),
                     "num_retrieved", "relevant_retrieved")
 
 
 def _q_summary(spark, sf_dir):
-    s = retrieval_summary(_prf(_t(spark, sf_dir)))
-    return s.select("method", *[F.round(x, 6).alias(x) for x in ("avg_precision", "avg_recall", "avg_f1")],
-                    "total_cases")
+    t = _t(spark, sf_dir)
+    s = retrieval_summary(_schema_prf(t, values=False), times=_times(t))
+    return s.select("method", *[F.round(x, 6).alias(x) for x in (*_METRICS, "avg_time", "std_time")], "total_cases")
 
 
 def _q_by_type(spark, sf_dir):
+    from ..plans.derived import query_log
     t = _t(spark, sf_dir)
-    types = t.benchmark.select(F.col("item_id").alias("qid"),
-                               F.coalesce(question_type("text"), F.lit("unknown")).alias("query_type"))
-    p = _prf(t).join(types, "qid")
-    s = retrieval_summary(p, ["query_type"])
-    return s.select("query_type", "method",
-                    *[F.round(x, 6).alias(x) for x in ("avg_precision", "avg_recall", "avg_f1")], "total_cases")
+    types = query_log(t).select("qid", F.coalesce(question_type("question"), F.lit("unknown")).alias("query_type"))
+    s = retrieval_summary(_schema_prf(t, values=False).join(types, "qid"), ["query_type"], _times(t))
+    return s.select("query_type", "method", *[F.round(x, 6).alias(x) for x in (*_METRICS, "avg_time", "std_time")],
+                    "total_cases")
 
 
 def _q_best(spark, sf_dir):
-    b = best_method(_prf(_t(spark, sf_dir)))
-    return b.select("method", F.round("avg_f1", 6).alias("avg_f1"))
+    t = _t(spark, sf_dir)
+    b = best_method(_schema_prf(t, values=False), _times(t))
+    return b.select("method", F.round("avg_f1", 6).alias("avg_f1"), "fastest",
+                    F.round("fastest_time", 6).alias("fastest_time"))
 
 
 def _q_compare(spark, sf_dir):
@@ -190,45 +196,12 @@ hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY
 runs AS (SELECT 'sparse' AS method, item_id, doc_id, score FROM sp WHERE rk <= 5
          UNION ALL SELECT 'dense', item_id, doc_id, score FROM dk WHERE rk <= 5
          UNION ALL SELECT 'hybrid', item_id, doc_id, score FROM hy),
-rel AS (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 m AS (SELECT * FROM (VALUES ('dense', 0), ('sparse', 1), ('hybrid', 2)) v(method, method_order)),
-grid AS (SELECT method, method_order, item_id FROM m CROSS JOIN benchmark),
-nret AS (SELECT method, item_id, count(*) AS num_retrieved, count(DISTINCT doc_id) AS n_set FROM runs GROUP BY method, item_id),
-nrel AS (SELECT item_id, count(*) AS n_rel FROM rel GROUP BY item_id),
-bth AS (SELECT r.method, r.item_id, count(*) AS rr FROM (SELECT DISTINCT method, item_id, doc_id FROM runs) r
-        JOIN rel ON rel.item_id = r.item_id AND rel.doc_id = r.doc_id GROUP BY r.method, r.item_id),
-j AS (SELECT g.method, g.method_order, g.item_id, coalesce(num_retrieved, 0) AS num_retrieved, coalesce(n_set, 0) AS n_set,
-             coalesce(n_rel, 0) AS n_rel, coalesce(rr, 0) AS rr
-      FROM grid g LEFT JOIN nret USING (method, item_id) LEFT JOIN nrel USING (item_id) LEFT JOIN bth USING (method, item_id)),
-pr AS (SELECT *, CASE WHEN n_rel > 0 AND n_set > 0 THEN rr / n_set ELSE 0.0 END AS p,
-              CASE WHEN n_rel > 0 THEN rr / n_rel ELSE 0.0 END AS r FROM j),
-prf AS (SELECT method, method_order, item_id, p AS precision, r AS recall,
-               CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1,
-               CAST(num_retrieved AS BIGINT) AS num_retrieved,
-               CAST(CASE WHEN n_rel > 0 THEN rr ELSE 0 END AS BIGINT) AS relevant_retrieved FROM pr)
+grid AS (SELECT method, method_order, item_id FROM m CROSS JOIN benchmark)
 """
 
 
-def _qtype_sql():
-    from ..plans import duck as D
-    return D.question_type("text")
-
-
 ORACLES = {
-    "relevance_join": "SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
-    "retrieval_prf": _oracle_runs() + """
-SELECT method, item_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
-       num_retrieved, relevant_retrieved FROM prf""",
-    "retrieval_summary": _oracle_runs() + """
-SELECT method, round(avg(precision), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall,
-       round(avg(f1), 6) AS avg_f1, count(*) AS total_cases FROM prf GROUP BY method""",
-    "retrieval_by_type": _oracle_runs() + f""",
-ty AS (SELECT item_id, coalesce({_qtype_sql()}, 'unknown') AS query_type FROM benchmark)
-SELECT query_type, method, round(avg(precision), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall,
-       round(avg(f1), 6) AS avg_f1, count(*) AS total_cases FROM prf JOIN ty USING (item_id) GROUP BY query_type, method""",
-    "retrieval_best": _oracle_runs() + """
-SELECT method, round(avg_f1, 6) AS avg_f1 FROM (SELECT method, method_order, avg(f1) AS avg_f1 FROM prf GROUP BY method, method_order)
-ORDER BY avg_f1 DESC, method_order LIMIT 1""",
     "compare_retrievers": _oracle_runs() + """,
 pq AS (SELECT method, item_id, avg(score) AS ms, count(*) AS nh FROM runs GROUP BY method, item_id)
 SELECT g.method, round(avg(coalesce(ms, 0.0)), 6) AS avg_score, round(avg(coalesce(nh, 0)), 6) AS avg_results
@@ -239,13 +212,11 @@ SELECT method, (SELECT count(*) FROM documents) AS num_documents,
 FROM (VALUES ('dense'), ('sparse'), ('hybrid')) v(method)""",
 }
 
-def _schema_prf(t):
+def _schema_prf(t, values: bool = True):
     from ..functions.sqltext import relevant_tables
     from ..plans.derived import query_log
     from .schema_docs import schema_docs
-    # the schema documents are tiny but costly to derive (value samples scan every
-    # text column): materialize them once for the index, the size check and the join
-    docs = cut_lineage(schema_docs(t).select(F.col("pos").alias("doc"), "content", "table"))
+    docs = _written(schema_docs(t, values).select(F.col("pos").alias("doc"), "content", "table"), "schema_docs")
     ql = query_log(t)
     q = ql.select("qid", "question")
     run = runs(t, 5, docs.select("doc", "content"), "doc", "content", q, "qid", "question")
@@ -265,17 +236,20 @@ def _q_schema_summary(spark, sf_dir):
                     "total_cases")
 
 
-def _schema_oracle_runs():
+def _schema_oracle_runs(values: bool = True):
     from ..plans.derived import QUERY_LOG_SQL
     from ..session import TABLE_NAMES
     from .hybrid import retrieval_ctes
     from .schema_docs import ORACLES as SD
     docs_sql = SD["schema_docs"]
-    docs_body = docs_sql[len("WITH "):docs_sql.rindex("SELECT pos, id, type")]
+    docs_body = docs_sql[len("WITH "):docs_sql.rindex("SELECT pos, id, type")].rstrip().rstrip(",")
+    if not values:
+        docs_body = docs_body.replace("\ndocs AS (", "\nall_docs AS (") + (
+            ",\ndocs AS (SELECT * FROM all_docs WHERE type <> 'column_values')")
     rel = ", ".join(
         rf"CASE WHEN regexp_matches(lower(gold_sql), '\bfrom\s+{n}\b|\bjoin\s+{n}\b|\b{n}\s+as\b|\b{n}\.') "
         f"THEN '{n}' END" for n in TABLE_NAMES)
-    return ("WITH " + docs_body.rstrip().rstrip(",") + f",\nquery_log AS ({QUERY_LOG_SQL}),"
+    return ("WITH " + docs_body + f",\nquery_log AS ({QUERY_LOG_SQL}),"
             + retrieval_ctes("docs", "pos", "content", "query_log", "qid", "question") + f""",
 fz AS (SELECT coalesce(dkn.item_id, spn.item_id) AS item_id, coalesce(dkn.doc_id, spn.doc_id) AS doc_id,
               coalesce(dense_score, 0.0) * 0.6 + coalesce(sparse_score, 0.0) * 0.4 AS score
@@ -300,7 +274,7 @@ j AS (SELECT grid.method, grid.method_order, grid.item_id, coalesce(num_retrieve
       LEFT JOIN nrel USING (item_id) LEFT JOIN bth USING (method, item_id)),
 pr AS (SELECT *, CASE WHEN n_rel > 0 AND n_set > 0 THEN rr / n_set ELSE 0.0 END AS p,
               CASE WHEN n_rel > 0 THEN rr / n_rel ELSE 0.0 END AS r FROM j),
-prf AS (SELECT method, item_id, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1,
+prf AS (SELECT method, method_order, item_id, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1,
                CAST(num_retrieved AS BIGINT) AS num_retrieved,
                CAST(CASE WHEN n_rel > 0 THEN rr ELSE 0 END AS BIGINT) AS relevant_retrieved FROM pr)
 """)
@@ -313,10 +287,36 @@ ORACLES["schema_retrieval_summary"] = _schema_oracle_runs() + """
 SELECT method, round(avg(precision), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall,
        round(avg(f1), 6) AS avg_f1, count(*) AS total_cases FROM prf GROUP BY method"""
 
+_TIMED = _schema_oracle_runs(False) + f""", tm AS ({TIMES_SQL}),
+pt AS (SELECT prf.*, seconds FROM prf JOIN tm ON tm.method = prf.method AND tm.qid = prf.item_id)
+"""
+_MEANS = """round(avg(precision), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall, round(avg(f1), 6) AS avg_f1,
+  round(avg(seconds), 6) AS avg_time, round(stddev_pop(seconds), 6) AS std_time, count(*) AS total_cases"""
+
+
+def _type_sql():
+    from ..plans import duck as D
+    return D.question_type("question")
+
+
+ORACLES |= {
+    "retrieval_prf": _schema_oracle_runs(False) + """
+SELECT method, item_id AS qid, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       num_retrieved, relevant_retrieved FROM prf""",
+    "retrieval_summary": _TIMED + f"SELECT method, {_MEANS} FROM pt GROUP BY method",
+    "retrieval_by_type": _TIMED + f"""
+SELECT query_type, method, {_MEANS}
+FROM pt JOIN (SELECT qid, coalesce({_type_sql()}, 'unknown') AS query_type FROM query_log) ty ON ty.qid = pt.item_id
+GROUP BY query_type, method""",
+    "retrieval_best": _TIMED + """
+SELECT b.method, round(b.avg_f1, 6) AS avg_f1, f.method AS fastest, round(f.t, 6) AS fastest_time
+FROM (SELECT method, method_order, avg(f1) AS avg_f1 FROM prf GROUP BY ALL ORDER BY avg_f1 DESC, method_order LIMIT 1) b,
+     (SELECT method, avg(seconds) AS t FROM tm GROUP BY method ORDER BY t LIMIT 1) f""",
+}
+
 QUERIES = {
     "schema_retrieval_prf": _q_schema_prf,
     "schema_retrieval_summary": _q_schema_summary,
-    "relevance_join": _q_relevance,
     "retrieval_prf": _q_prf,
     "retrieval_summary": _q_summary,
     "retrieval_by_type": _q_by_type,

@@ -1,35 +1,19 @@
-"""Size checks that gate broadcasts.
+"""Parallelism for inputs that arrive in few splits.
 
-A side is broadcast only after its row count has been measured and found
-under a bound; beyond the bound the join stays a shuffle join (AQE may still
-convert it at run time from real map-output sizes).
+Joins carry no broadcast hints: Spark decides from measured sizes (file
+statistics, and map output at run time), so no row count is taken for a size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Rows we are willing to ship to every executor for a small side.
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
-def bounded(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` has at most ``limit`` rows (counts at most limit+1 rows)."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    return F.broadcast(df) if bounded(df, limit) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work at least one partition per core.
+    """Deal CPU-heavy text work over all cores when the input is a few files.
 
-    Small inputs arrive as a single file split; a real corpus already has
-    many splits and is left untouched (no shuffle is added).
+    Looks at the input's file list only, nothing runs.  A corpus of many files
+    is left where it is and no shuffle is added.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    return df.repartition(want) if len(df.inputFiles()) < want else df

@@ -8,7 +8,9 @@ under its own name, so derived-table SQL can refer to it.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -90,7 +92,8 @@ class Tables:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a scratch folder is made.
+    Only when the session has none and runs in one process (local tests) a
+    scratch folder is made; it goes when the process ends.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -98,7 +101,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="quarry-ckpt-")
+        atexit.register(shutil.rmtree, conf, ignore_errors=True)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
