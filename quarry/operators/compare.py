@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sqltext import normalize_sql
 from .ordinal import with_ordinal
 
 SEP = "\u0001"
@@ -87,8 +88,12 @@ def jaccard_match(rows: DataFrame, cols: list[str], questions: DataFrame) -> Dat
                     F.col("gen_rows").alias("result1_count"), F.col("gold_rows").alias("result2_count"))
 
 
-def overlap_prf(rows: DataFrame, cols: list[str], questions: DataFrame) -> DataFrame:
-    """Bag equality, then precision / recall / F1 over row sets."""
+def overlap_prf(rows: DataFrame, cols: list[str], questions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Bag equality, then precision / recall / F1 over row sets.
+
+    With ``texts`` (question, gen_sql, gold_sql) also whether the normalized
+    statements are equal; a question without texts has none.
+    """
     s = _with_universe(side_counts(rows, named_key(cols)), questions)
     both = (F.col("gen_rows") > 0) & (F.col("gold_rows") > 0)
     none = (F.col("gen_rows") == 0) & (F.col("gold_rows") == 0)
@@ -96,30 +101,41 @@ def overlap_prf(rows: DataFrame, cols: list[str], questions: DataFrame) -> DataF
     r = F.col("both_set") / F.col("gold_set")
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
     fallback = F.when(none, 1.0).otherwise(0.0)
-    return s.select(
+    out = s.select(
         "question",
         ((F.col("gen_rows") == F.col("gold_rows")) & (F.col("bag_diff") == 0)).alias("execution_match"),
         F.round(F.when(both, p).otherwise(fallback), 6).alias("precision"),
         F.round(F.when(both, r).otherwise(fallback), 6).alias("recall"),
         F.round(F.when(both, f1).otherwise(fallback), 6).alias("f1"))
+    if texts is None:
+        return out
+    same = texts.select("question", (normalize_sql("gen_sql") == normalize_sql("gold_sql")).alias("exact_sql_match"))
+    return out.join(same, "question", "left")
 
 
 def ordered_match(rows: DataFrame, cols: list[str], order: list[str], questions: DataFrame) -> DataFrame:
-    """Same rows in the same order; an empty side never matches."""
-    keyed = rows.select(F.col("side"), F.col("question"), value_key(cols).alias("k"), *order)
-    # both sides numbered in one pass (one range shuffle, one checkpoint)
-    numbered = with_ordinal(keyed, ["side", "question"], order)
-    gen = numbered.filter(F.col("side") == "gen").select("question", "ord", F.col("k").alias("kg"))
-    gold = numbered.filter(F.col("side") == "gold").select("question", "ord", F.col("k").alias("ko"))
-    j = gen.join(gold, ["question", "ord"], "full_outer")
-    per_q = j.groupBy("question").agg(
-        F.count("kg").alias("ng"), F.count("ko").alias("no"),
-        F.count(F.when(F.col("kg").isNull() | F.col("ko").isNull() | (F.col("kg") != F.col("ko")), 1))
-        .alias("bad"))
+    """Same rows in the same order, by values and by names with values; an empty side never matches.
+
+    Counts and an order-free hash settle most questions; only rows of the
+    questions still open are numbered.
+    """
+    keyed = rows.select("side", "question", value_key(cols).alias("k"), named_key(cols).alias("nk"), *order)
+    gen, gold = F.col("side") == "gen", F.col("side") == "gold"
+    h = F.xxhash64("k").cast("decimal(38,0)")
+    alike = keyed.groupBy("question").agg(
+        F.count(F.when(gen, 1)).alias("ng"), F.count(F.when(gold, 1)).alias("no"),
+        F.sum(F.when(gen, h)).alias("hg"), F.sum(F.when(gold, h)).alias("ho"))
+    open_ = alike.where((F.col("ng") > 0) & (F.col("ng") == F.col("no")) & (F.col("hg") == F.col("ho"))).select("question")
+    # both sides numbered in one pass (one range shuffle, one written copy)
+    numbered = with_ordinal(keyed.join(open_, "question", "left_semi"), ["side", "question"], order)
+    g = numbered.filter(gen).select("question", "ord", F.col("k").alias("kg"), F.col("nk").alias("nkg"))
+    o = numbered.filter(gold).select("question", "ord", F.col("k").alias("ko"), F.col("nk").alias("nko"))
+    per_q = g.join(o, ["question", "ord"], "full_outer").groupBy("question").agg(
+        F.bool_and(F.coalesce(F.col("kg") == F.col("ko"), F.lit(False))).alias("v"),
+        F.bool_and(F.coalesce(F.col("nkg") == F.col("nko"), F.lit(False))).alias("n"))
     out = questions.select(F.col(questions.columns[0]).alias("question")).join(per_q, "question", "left")
-    ok = (F.coalesce(F.col("ng"), F.lit(0)) > 0) & (F.coalesce(F.col("no"), F.lit(0)) > 0) \
-        & (F.coalesce(F.col("bad"), F.lit(0)) == 0)
-    return out.select("question", ok.alias("ordered_match"))
+    return out.select("question", F.coalesce("v", F.lit(False)).alias("ordered_match"),
+                      F.coalesce("n", F.lit(False)).alias("ordered_named_match"))
 
 
 # ---------------------------------------------------------------- registry
@@ -143,6 +159,16 @@ def _q(fn, *extra):
     return run
 
 
+def _q_overlap(spark, sf_dir):
+    """D4 with the statement texts of the question of the same number."""
+    from ..plans.derived import query_log
+    from ..session import Tables
+    rows, qs = _inputs(spark, sf_dir)
+    log = query_log(Tables(spark, sf_dir)).select(F.col("qid").alias("question"), "gen_sql", "gold_sql")
+    return overlap_prf(rows, ROW_COLS, qs, log.join(
+        qs.select(F.col("s_suppkey").alias("question")), "question", "left_semi"))
+
+
 def _oracle_prefix():
     from ..plans.derived import RESULT_ROWS_SQL
     return f"WITH rr AS ({RESULT_ROWS_SQL}), qs AS (SELECT s_suppkey AS question FROM supplier)\n"
@@ -165,6 +191,9 @@ st AS (SELECT qs.question, coalesce(gen_set, 0) AS gen_set, coalesce(gold_set, 0
 _SET_KEY = "array_to_string(list_sort([CAST(l_partkey AS VARCHAR), CAST(l_quantity AS VARCHAR)]), chr(1))"
 _NAMED_KEY = "'l_partkey=' || CAST(l_partkey AS VARCHAR) || chr(1) || 'l_quantity=' || CAST(l_quantity AS VARCHAR)"
 
+from ..plans import duck as D  # noqa: E402
+from ..plans.derived import QUERY_LOG_SQL  # noqa: E402
+
 ORACLES = {
     "exact_set_match": _oracle_prefix() + _stats_sql(_SET_KEY) + """
 SELECT question, (gen_rows = 0 AND gold_rows = 0)
@@ -177,13 +206,15 @@ SELECT question, gen_set = both_set AND gold_set = both_set AS exact_match,
   round(CASE WHEN gen_set > 0 AND gold_set > 0 THEN both_set / (gen_set + gold_set - both_set)
              WHEN gen_set = both_set AND gold_set = both_set THEN 1.0 ELSE 0.0 END, 6) AS jaccard,
   gen_rows AS result1_count, gold_rows AS result2_count FROM st""",
-    "overlap_prf": _oracle_prefix() + _stats_sql(_NAMED_KEY) + """
-SELECT question, gen_rows = gold_rows AND bag_diff = 0 AS execution_match,
+    "overlap_prf": _oracle_prefix() + _stats_sql(_NAMED_KEY) + f""",
+query_log AS ({QUERY_LOG_SQL}),
+tx AS (SELECT qid, {D.normalize_sql('gen_sql')} = {D.normalize_sql('gold_sql')} AS exact_sql_match FROM query_log)
+SELECT question, exact_sql_match, gen_rows = gold_rows AND bag_diff = 0 AS execution_match,
   round(CASE WHEN gen_rows > 0 AND gold_rows > 0 THEN p WHEN gen_rows = 0 AND gold_rows = 0 THEN 1.0 ELSE 0.0 END, 6) AS precision,
   round(CASE WHEN gen_rows > 0 AND gold_rows > 0 THEN r WHEN gen_rows = 0 AND gold_rows = 0 THEN 1.0 ELSE 0.0 END, 6) AS recall,
   round(CASE WHEN gen_rows > 0 AND gold_rows > 0 THEN (CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END)
              WHEN gen_rows = 0 AND gold_rows = 0 THEN 1.0 ELSE 0.0 END, 6) AS f1
-FROM (SELECT *, both_set / gen_set AS p, both_set / gold_set AS r FROM st) z""",
+FROM (SELECT *, both_set / gen_set AS p, both_set / gold_set AS r FROM st) z LEFT JOIN tx ON qid = question""",
     "ordered_match": _oracle_prefix() + """
 , o AS (SELECT side, question, CAST(l_partkey AS VARCHAR) || chr(1) || CAST(l_quantity AS VARCHAR) AS k,
                row_number() OVER (PARTITION BY side, question ORDER BY l_orderkey, l_linenumber) AS ord FROM rr),
@@ -192,7 +223,8 @@ j AS (SELECT coalesce(g.question, d.question) AS question, g.k AS kg, d.k AS ko
       FULL OUTER JOIN (SELECT * FROM o WHERE side = 'gold') d ON g.question = d.question AND g.ord = d.ord),
 pq AS (SELECT question, count(kg) AS ng, count(ko) AS no,
               count(*) FILTER (WHERE kg IS NULL OR ko IS NULL OR kg <> ko) AS bad FROM j GROUP BY question)
-SELECT qs.question, coalesce(ng, 0) > 0 AND coalesce(no, 0) > 0 AND coalesce(bad, 0) = 0 AS ordered_match
+SELECT qs.question, coalesce(ng, 0) > 0 AND coalesce(no, 0) > 0 AND coalesce(bad, 0) = 0 AS ordered_match,
+  coalesce(ng, 0) > 0 AND coalesce(no, 0) > 0 AND coalesce(bad, 0) = 0 AS ordered_named_match  -- both sides have one set of names
 FROM qs LEFT JOIN pq USING (question)""",
 }
 
@@ -200,6 +232,6 @@ QUERIES = {
     "exact_set_match": _q(exact_set_match),
     "multiset_match": _q(multiset_match),
     "jaccard_match": _q(jaccard_match),
-    "overlap_prf": _q(overlap_prf),
+    "overlap_prf": _q_overlap,
     "ordered_match": _q(ordered_match, ORDER),
 }

@@ -13,8 +13,6 @@ others are still compared.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +25,7 @@ def plan_sql(spark: SparkSession, sql: str):
     try:
         return spark.sql(sql), None
     except Exception as e:  # AnalysisException, ParseException, ...
-        msg = str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__
-        return None, f"{type(e).__name__}: {msg[:200]}"
+        return None, f"{type(e).__name__}: {str(e).strip()}"
 
 
 def _materialize(parts: list[tuple[int, DataFrame]]):
@@ -49,8 +46,7 @@ def _materialize(parts: list[tuple[int, DataFrame]]):
             try:
                 ok.append(cut_lineage(p))
             except Exception as e:  # run-time failure of this statement only
-                msg = str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__
-                errors[q] = f"{type(e).__name__}: {msg[:200]}"
+                errors[q] = f"{type(e).__name__}: {str(e).strip()}"
         ok = [d for d in ok]
         if not ok:
             return None, errors
@@ -146,59 +142,3 @@ def guarded_execute(spark: SparkSession, items: list[tuple[int, str]]) -> DataFr
     return st.join(counts, "question", "left").select(
         "question", "success", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
         F.coalesce("error", F.lit("")).alias("error"))
-
-
-# ---------------------------------------------------------------- registry
-
-def benchmark_pairs() -> list[tuple[int, str, str]]:
-    """Gold SQL = the relational oracle texts; generated = a rule-based variant of each.
-
-    i % 3 == 0: identical; 1: same query with every row filtered out; 2: first table misspelled.
-    """
-    from ..plans.relational import ORACLES
-    out = []
-    for i, key in enumerate(sorted(ORACLES)):
-        gold = ORACLES[key].strip()
-        if i % 3 == 0:
-            gen = gold
-        elif i % 3 == 1:
-            gen = f"SELECT * FROM ({gold}) z WHERE 1 = 0"
-        else:
-            gen = re.sub(r"(?i)\bFROM\s+(\w+)", lambda m: f"FROM {m.group(1)}_x", gold, count=1)
-        out.append((i, gen, gold))
-    return out
-
-
-def _t(spark, sf_dir):
-    """Tables with every fixture view registered (the statements may name any of them)."""
-    from ..session import Tables
-    t = Tables(spark, sf_dir)
-    for n in t.available():
-        t[n]
-    return t
-
-
-def _q_exec(spark, sf_dir):
-    _t(spark, sf_dir)
-    return execution_accuracy(spark, benchmark_pairs()).select(
-        "question", "valid", "correct", F.coalesce("error", F.lit("")).alias("error"))
-
-
-def _q_full(spark, sf_dir):
-    _t(spark, sf_dir)
-    return full_evaluation(spark, benchmark_pairs())
-
-
-def _q_guarded(spark, sf_dir):
-    _t(spark, sf_dir)
-    items = [(q, gen) for q, gen, _ in benchmark_pairs()]
-    items += [(1000, ""), (1001, "DELETE FROM orders"), (1002, "WITH t AS (SELECT 1) SELECT * FROM t")]
-    return guarded_execute(spark, items)
-
-
-QUERIES = {
-    "execution_accuracy": _q_exec,
-    "full_evaluation": _q_full,
-    "guarded_execute": _q_guarded,
-}
-ORACLES: dict = {}

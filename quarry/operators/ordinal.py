@@ -10,9 +10,9 @@ table of per-(group, partition) counts gives every partition its offset.
 The order key must be unique inside a group.  Range bounds are sampled with
 a seed taken from the RDD id, so two plan branches that each re-run the
 range shuffle may cut the data differently; the numbered rows are therefore
-written once with a reliable ``checkpoint()`` (to the cluster's checkpoint
-folder) and every later branch reads that one copy, which also survives the
-loss of executors.
+written once as Parquet in the cluster's checkpoint folder, and every later
+branch reads the columns it needs from that one copy, which also survives
+the loss of executors.
 """
 
 from __future__ import annotations
@@ -20,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
+from ..session import scratch_path
 
 
 def with_ordinal(df: DataFrame, group, order: list[str], out: str = "ord",
@@ -34,7 +33,9 @@ def with_ordinal(df: DataFrame, group, order: list[str], out: str = "ord",
     s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
-    s = cut_lineage(s)
+    path = scratch_path(spark, "ordinal")
+    s.write.parquet(path)
+    s = spark.read.schema(s.schema).parquet(path)
     counts = s.groupBy(*groups, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -324,11 +324,17 @@ def q_hardness_distribution(t):
 @R.query("load_questions", QLH + """
 SELECT row_number() OVER (ORDER BY qid) AS id, qid, hardness FROM qh WHERE db_id = '1-URGENT' AND hardness <> 'hard'""")
 def q_load_questions(t):
-    # 1-based position in file order without a single-partition window.
-    q = (query_log(t).filter(c("db_id") == "1-URGENT")
+    return load_questions(query_log(t), "1-URGENT")
+
+
+def load_questions(log: DataFrame, db_id: str, limit: int | None = None) -> DataFrame:
+    """numbered questions of one database, the first ``limit`` if given."""
+    # 1-based position in file order without a single-partition window
+    q = (log.filter(c("db_id") == db_id)
          .select("qid", "db_id", hardness_of("gold_sql").alias("hardness"))
          .filter(c("hardness") != "hard"))
-    return with_ordinal(q, "db_id", ["qid"], out="id").select("id", "qid", "hardness")
+    out = with_ordinal(q, "db_id", ["qid"], out="id").select("id", "qid", "hardness")
+    return out if limit is None else out.filter(c("id") <= limit)
 
 
 @R.query("stratified_sample", QLH + """

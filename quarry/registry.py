@@ -15,7 +15,6 @@ MODULES = (
     "quarry.plans.reports",
     "quarry.sources.catalog",
     "quarry.operators.schema_docs",
-    "quarry.operators.execute",
     "quarry.sources.roundtrip",
     "quarry.streaming.rollup",
 )

@@ -47,10 +47,10 @@ def test_per_group_limits_are_partial(spark):
         assert "WindowGroupLimit" in p, key
 
 
-def test_dense_topk_with_small_document_side_needs_no_global_step(spark):
-    # the checked-small document matrix is broadcast; each query batch's top-k is final
+def test_dense_topk_meets_written_blocks(spark):
+    # both sides are written in blocks; the source is read once, for the blocks
     p = _plan(Q["dense_topk"](spark, SF_SMALL))
-    assert "MapInPandas" in p and "Window" not in p
+    assert p.count("MapInPandas") == 1 and "embeddings.parquet" not in p and "WindowGroupLimit" in p
 
 
 def test_bm25_scores_read_written_postings(spark):

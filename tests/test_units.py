@@ -158,14 +158,6 @@ def test_split_text_always_advances():
     assert len(chunks) < 10
 
 
-def test_contains_join_empty_and_repeated(spark):
-    from quarry.operators.matching import contains_join
-    docs = spark.createDataFrame([(1, "the cat sat"), (2, "a dog"), (3, "cat cat")], "d long, t string")
-    pats = spark.createDataFrame([(10, "cat"), (11, ""), (12, "cat"), (13, "zebra")], "p long, s string")
-    got = _rows(contains_join(docs, "d", "t", pats, "p", "s"), "pid", "did")
-    assert got == [(10, 1), (10, 3), (11, 1), (11, 2), (11, 3), (12, 1), (12, 3)]
-
-
 def test_vector_store_ids_and_last_wins(spark):
     from quarry.sources import files as FL
     a = spark.createDataFrame([(1, "one", "db", [1.0, 0.0]), (2, "two", "db", [0.0, 2.0])],
@@ -219,15 +211,111 @@ def test_execution_runtime_error_is_captured(spark):
     assert g == {1: (False, 0), 2: (True, 2)}
 
 
-def test_dense_topk_both_strategies_agree(spark, monkeypatch):
+def test_dense_topk_string_ids_and_many_query_blocks(spark, monkeypatch):
+    import numpy as np
     from quarry.operators import dense as DN
+    monkeypatch.setattr(DN, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(DN, "DOC_BLOCK", 7)
+    rnd = np.random.default_rng(3)
+    d, q = rnd.normal(size=(40, 8)), rnd.normal(size=(11, 8))
+    d[5] = d[6]  # a tie, broken by id
+    docs = spark.createDataFrame([(f"db:{i}", [float(x) for x in v]) for i, v in enumerate(d)], "id string, v array<double>")
+    qs = spark.createDataFrame([(f"q{i}", [float(x) for x in v]) for i, v in enumerate(q)], "q string, w array<double>")
+    got = {}
+    for r in DN.dense_topk(docs, "id", "v", qs, "q", "w", 4).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["doc"]))
+    u = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u(q) @ u(d).T, 9)
+    for i in range(len(q)):
+        want = sorted(range(40), key=lambda j: (-s[i, j], f"db:{j}"))[:4]
+        assert sorted(got[f"q{i}"]) == [(k + 1, f"db:{j}") for k, j in enumerate(want)]
+
+
+def test_store_of_one_document_goes_on_at_one(spark):
+    import pytest
+    from quarry.sources import files as FL
+    a = spark.createDataFrame([("x", "db", [1.0, 0.0], 1)], "c string, db string, v array<double>, o long")
+    one = FL.store_add(None, a, None, "c", "db", "v", "o")
+    two = FL.store_add(one, a, None, "c", "db", "v", "o")
+    assert _rows(two, "id", "seq") == [("doc_0", 0), ("doc_1", 1)]
+    bad = spark.createDataFrame([("x", "db", None, 1)], "c string, db string, v array<double>, o long")
+    with pytest.raises(Exception, match="no vector"):
+        FL.store_add(None, bad, None, "c", "db", "v", "o").collect()
+
+
+def test_summary_texts_follow_the_published_report(spark):
+    from quarry.sources import files as FL
+    names = ["total_questions", "execution_accuracy", "exact_set_match_rate", "avg_component_score", "select_match_rate",
+             "from_match_rate", "where_match_rate", "groupby_match_rate", "orderby_match_rate", "avg_time_per_question",
+             "total_time"]
+    row = [84, 37 / 84, 37 / 84, 0.6071428571428571, 67 / 84, 37 / 84, 19 / 84, 70 / 84, 62 / 84, 2.934, 246.46]
+    s = spark.createDataFrame([("Single_Agent", *row)], "pipeline string, total_questions long, " + ", ".join(
+        f"{n} double" for n in names[1:]))
+    assert list(FL.summary_text(s).head()) == ["Single Agent", 84, "44.0%", "44.0%", "60.7%", "79.8%", "44.0%", "22.6%",
+                                               "83.3%", "73.8%", "2.9", "246.5"]
+
+
+def test_table_names_of_lists_quotes_and_qualifiers(spark):
+    from pyspark.sql import functions as F
+    from quarry.functions.sqltext import extract_tables
+    cases = {"SELECT 1 FROM a, b AS x WHERE y = 1": ["a", "b"], 'SELECT 1 FROM "my_t" t': ["my_t"],
+             "SELECT 1 FROM main.t1 JOIN `s`.[t2] ON 1": ["t1", "t2"], "SELECT 1 FROM (SELECT 2 FROM z) q": ["z"],
+             "SELECT 'from x' FROM a LEFT JOIN b USING (k)": ["a", "b"], "": [], "DELETE FROM o WHERE k": ["o"]}
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    got = {r["s"]: r["t"] for r in df.select("s", extract_tables("s").alias("t")).collect()}
+    assert got == cases
+    assert spark.range(1).select(extract_tables(F.lit(None).cast("string"))).head()[0] is None
+
+
+def test_last_schema_entry_of_a_file_wins(spark, tmp_path):
+    from quarry.sources import files as FL
+    (tmp_path / "tables.json").write_text(
+        '[{"db_id": "a", "table_names_original": ["x"], "more": 1},\n {"db_id": "b", "table_names_original": []},\n'
+        ' {"db_id": "a", "table_names_original": ["y", "z"]}]')
+    got = {r["db_id"]: r["table_names_original"] for r in FL.load_schema_json(spark, str(tmp_path)).collect()}
+    assert got == {"a": ["y", "z"], "b": []}
+
+
+def test_question_limit(spark):
+    from quarry.plans.derived import query_log
+    from quarry.plans.reports import load_questions
     from quarry.session import Tables
     from .conftest import SF_SMALL
-    t = Tables(spark, SF_SMALL)
-    q = DN.label_centroids(t)
-    doc_side = _rows(DN.dense_topk(t.embeddings, "vec_id", "embedding", q, "label", "c", 5, "int"),
-                     "qid", "doc", "rank")
-    monkeypatch.setattr(DN, "MAX_DOCS", 0)          # force: broadcast queries, global top-k
-    query_side = _rows(DN.dense_topk(t.embeddings, "vec_id", "embedding", q, "label", "c", 5, "int"),
-                       "qid", "doc", "rank")
-    assert doc_side == query_side and len(doc_side) == 50
+    log = query_log(Tables(spark, SF_SMALL))
+    assert [r["id"] for r in load_questions(log, "1-URGENT", 3).orderBy("id").collect()] == [1, 2, 3]
+
+
+def test_cluster_without_shared_folder_is_refused():
+    import pytest
+    from quarry.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
+
+
+def test_functions_travel_by_value():
+    """A task's function unpickles where the package cannot be imported."""
+    import pickle
+    import subprocess
+    import sys
+    from pyspark import cloudpickle
+    from quarry.operators.schema_docs import split_text
+    code = "import pickle, sys; f = pickle.loads(bytes.fromhex(sys.argv[1])); print(f('a\\nb'))"
+    data = cloudpickle.dumps(split_text)
+    assert pickle.loads(data)("a") == ["a"]
+    out = subprocess.run([sys.executable, "-c", code, data.hex()], capture_output=True, text=True, cwd="/", env={
+        "PATH": "/usr/bin"})
+    assert out.stdout.strip() == str(["a\nb"]), out.stderr
