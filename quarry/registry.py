@@ -13,6 +13,7 @@ MODULES = (
     "quarry.operators.hybrid",
     "quarry.operators.retrieval_eval",
     "quarry.plans.reports",
+    "quarry.plans.evaluation",
     "quarry.sources.catalog",
     "quarry.operators.schema_docs",
     "quarry.sources.roundtrip",
