@@ -53,6 +53,26 @@ def schema_columns(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, COLUMNS_SCHEMA)
 
 
+def column_profile(t: Tables) -> DataFrame:
+    """(table, name, n_rows, n_nulls): rows and nulls of every column, one aggregate per table."""
+    out = None
+    for name in TABLE_NAMES:
+        cols = t[name].columns
+        one = t[name].agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(f"`{c}`").alias(f"k{i}")
+                                                              for i, c in enumerate(cols)])
+        long = one.select(F.lit(name).alias("table"), "n_rows", F.explode(F.array(*[
+            F.struct(F.lit(c).alias("name"), (F.col("n_rows") - F.col(f"k{i}")).alias("n_nulls"))
+            for i, c in enumerate(cols)])).alias("x")).select("table", "x.name", "n_rows", "x.n_nulls")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def profiled_columns(t: Tables) -> DataFrame:
+    """A4 with the data's own counts: a column of a filled table without nulls reads as NOT NULL."""
+    return schema_columns(t).drop("not_null").join(column_profile(t), ["table", "name"]).withColumn(
+        "not_null", (F.col("n_rows") > 0) & (F.col("n_nulls") == 0))
+
+
 def foreign_keys_df(spark) -> DataFrame:
     return spark.createDataFrame([(i, *e) for i, e in enumerate(FOREIGN_KEYS)],
                                  "i int, table string, from_column string, to_table string, to_column string")
@@ -167,11 +187,12 @@ def _q_param(spark, sf_dir):
 
 
 def _q_schema(spark, sf_dir):
-    return schema_columns(_t(spark, sf_dir)).select("table", "ordinal", "name", "type", "not_null", "primary_key")
+    return profiled_columns(_t(spark, sf_dir)).select(
+        "table", "ordinal", "name", "type", "not_null", "primary_key", "n_rows", "n_nulls")
 
 
 def _q_ddl(spark, sf_dir):
-    return table_ddl(schema_columns(_t(spark, sf_dir))).select("table", "ddl")
+    return table_ddl(profiled_columns(_t(spark, sf_dir))).select("table", "ddl")
 
 
 def _q_fk(spark, sf_dir):
@@ -187,25 +208,33 @@ def _q_values(spark, sf_dir):
 
 
 def _q_list(spark, sf_dir):
+    """The tables there are, with their rows."""
     t = _t(spark, sf_dir)
-    names = sorted(t.available())
-    return spark.createDataFrame([(n,) for n in names], "table_name string")
+    out = None
+    for n in sorted(t.available()):
+        one = t[n].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _q_stats(spark, sf_dir):
-    cols = schema_columns(_t(spark, sf_dir))
-    return cols.agg(F.countDistinct("table").alias("num_tables"), F.count(F.lit(1)).alias("total_columns"))
+    """Tables, columns, rows and values that are there."""
+    p = column_profile(_t(spark, sf_dir))
+    per = p.groupBy("table").agg(F.count(F.lit(1)).alias("c"), F.max("n_rows").alias("r"),
+                                 F.sum(F.col("n_rows") - F.col("n_nulls")).alias("v"))
+    return per.agg(F.count(F.lit(1)).alias("num_tables"), F.sum("c").alias("total_columns"),
+                   F.sum("r").alias("total_rows"), F.sum("v").alias("total_values"))
 
 
 def _q_ddl_names(spark, sf_dir):
     from ..functions.sqltext import ddl_table_names
-    st = schema_text(schema_columns(_t(spark, sf_dir)))
+    st = schema_text(profiled_columns(_t(spark, sf_dir)))
     return st.select("db_name", F.array_join(ddl_table_names("schema_text"), ",").alias("tables"))
 
 
 def _q_context(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return schema_context(schema_columns(t), spark)
+    return schema_context(profiled_columns(t), spark)
 
 
 _NAMES_SQL = ", ".join(f"('{n}', {i})" for i, n in enumerate(TABLE_NAMES))
@@ -231,6 +260,26 @@ ddl AS (
   FROM cols GROUP BY db_name, table_order, "table"),
 st AS (SELECT db_name, string_agg(ddl, chr(10) || chr(10) ORDER BY table_order) || chr(10) AS schema_text FROM ddl GROUP BY db_name)"""
 
+# The columns of the fixture tables (from FIXTURES.md).
+TABLE_COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
+                "l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label", "pages": "page_id url html", "benchmark": "item_id text",
+    "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+_PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM {t}"
+    for t, cs in TABLE_COLUMNS.items() for c in cs.split())
+PROFILED_CTE = f"prof AS ({_PROFILE_SQL})," + COLS_CTE.replace(
+    "FALSE AS not_null", "prof.n_rows > 0 AND prof.n_nulls = 0 AS not_null, prof.n_rows, prof.n_nulls").replace(
+    "LEFT JOIN pk ON", "JOIN prof ON prof.t = c.table_name AND prof.c = c.column_name\n  LEFT JOIN pk ON")
+
 _FK_ORACLE_PARTS = " UNION ALL ".join(
     f"SELECT '{a}' AS \"table\", '{b}' AS from_column, '{c}' AS to_table, '{d}' AS to_column, "
     f"(SELECT count(*) FROM {a}) AS child_rows, "
@@ -254,15 +303,19 @@ ORACLES = {
     "scan_table": "SELECT * FROM customer",
     "fetch_one": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1",
     "param_query": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000.0",
-    "schema_extract": "WITH " + COLS_CTE + '\nSELECT "table", ordinal, name, type, not_null, primary_key FROM cols',
-    "schema_ddl_text": "WITH " + COLS_CTE + '\nSELECT "table", ddl FROM ddl',
+    "schema_extract": "WITH " + PROFILED_CTE + '\nSELECT "table", ordinal, name, type, not_null, primary_key, n_rows, n_nulls FROM cols',
+    "schema_ddl_text": "WITH " + PROFILED_CTE + '\nSELECT "table", ddl FROM ddl',
     "foreign_keys": _FK_ORACLE_PARTS,
     "sample_rows": "SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 3",
-    "list_databases": f"SELECT table_name FROM (VALUES {_NAMES_SQL}) v(table_name, o)",
-    "quick_stats": "WITH " + COLS_CTE + '\nSELECT count(DISTINCT "table") AS num_tables, count(*) AS total_columns FROM cols',
-    "ddl_table_names": "WITH " + COLS_CTE + r"""
+    "list_databases": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in TABLE_NAMES),
+    "quick_stats": f"""
+WITH prof AS ({_PROFILE_SQL}),
+p AS (SELECT t, count(*) AS c, max(n_rows) AS r, sum(n_rows - n_nulls) AS v FROM prof GROUP BY t)
+SELECT count(*) AS num_tables, CAST(sum(c) AS BIGINT) AS total_columns, CAST(sum(r) AS BIGINT) AS total_rows,
+       CAST(sum(v) AS BIGINT) AS total_values FROM p""",
+    "ddl_table_names": "WITH " + PROFILED_CTE + r"""
 SELECT db_name, array_to_string(list_sort(list_distinct(regexp_extract_all(schema_text, '(?i)CREATE TABLE\s+(\w+)', 1))), ',') AS tables FROM st""",
-    "schema_context_text": "WITH " + COLS_CTE + f""",
+    "schema_context_text": "WITH " + PROFILED_CTE + f""",
 fk AS (SELECT * FROM (VALUES {_FK_SQL}) v(i, t, fc, tt, tc))
 SELECT db_name, '=== DATABASE SCHEMA ===' || chr(10) || chr(10) || schema_text || chr(10) || chr(10)
   || '=== FOREIGN KEY RELATIONSHIPS ===' || chr(10) || chr(10)
