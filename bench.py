@@ -3,9 +3,8 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Runs each headline query to completion (a ``noop`` sink forces every row and
-column to be computed, unlike ``count()`` which lets Catalyst prune), twice,
-and reports the faster run (the first run of a plan also pays JIT and code
-generation).  Prints ONE JSON line:
+column to be computed, unlike ``count()`` which lets Catalyst prune), three
+times, and reports the median.  Prints ONE JSON line:
 {"metric", "value", "unit", "queries": {name: sec}, "sf", "runs"}.
 """
 
@@ -14,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import statistics
 import sys
 import tempfile
 import time
@@ -56,16 +56,15 @@ def main():
     if os.path.isdir(warm_dir):
         qs["sparse_topk"](spark, warm_dir).write.format("noop").mode("overwrite").save()
     qs["agg_count_star"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     times = {}
     for n in names:
-        best = None
+        took = []
         for _ in range(runs):
             t0 = time.time()
             qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            el = time.time() - t0
-            best = el if best is None else min(best, el)
-        times[n] = round(best, 3)
+            took.append(time.time() - t0)
+        times[n] = round(statistics.median(took), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "headline_total_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(m.group(1)) if m else sf_dir, "runs": runs}

@@ -342,19 +342,36 @@ SELECT hardness, qid FROM (
   SELECT *, row_number() OVER (PARTITION BY hardness ORDER BY md5(CAST(qid AS VARCHAR) || '42'), qid) AS rn FROM qh) z
 WHERE rn <= CASE hardness WHEN 'easy' THEN 10 WHEN 'medium' THEN 10 WHEN 'hard' THEN 10 WHEN 'extra' THEN 5 ELSE 0 END""")
 def q_stratified_sample(t):
-    q = query_log(t).select("qid", hardness_of("gold_sql").alias("hardness"))
-    w = Window.partitionBy("hardness").orderBy(F.md5(F.concat(c("qid").cast("string"), F.lit(SAMPLE_SEED))), "qid")
-    cap = F.lit(0)  # a class outside the list gives nothing
-    for h, n in reversed(STRATA):
+    return stratified_sample(query_log(t).select("qid", hardness_of("gold_sql").alias("hardness")), STRATA)
+
+
+def stratified_sample(q: DataFrame, strata, seed: str = SAMPLE_SEED) -> DataFrame:
+    """up to n questions (qid, hardness) of each listed class, in hash order; others give nothing."""
+    w = Window.partitionBy("hardness").orderBy(F.md5(F.concat(c("qid").cast("string"), F.lit(seed))), "qid")
+    cap = F.lit(0)
+    for h, n in reversed(strata):
         cap = F.when(c("hardness") == h, F.lit(n)).otherwise(cap)
     # A literal bound (the largest cap) lets Spark insert a partial
     # WindowGroupLimit before the shuffle: each task forwards at most that
     # many rows per class, so a class holding most rows is never one sort.
-    top = max(n for _, n in STRATA)
+    top = max(n for _, n in strata)
     return (q.withColumn("rn", F.row_number().over(w)).filter(c("rn") <= top).filter(c("rn") <= cap)
             .select("hardness", "qid"))
 
 
+def evaluation_dataset(q: DataFrame, size: int = 100) -> DataFrame:
+    """a sample of ``size`` questions, a quarter from each class."""
+    return stratified_sample(q, [(h, size // 4) for h, _ in STRATA])
+
+
+@R.query("evaluation_dataset", QLH + """
+SELECT hardness, qid FROM (
+  SELECT *, row_number() OVER (PARTITION BY hardness ORDER BY md5(CAST(qid AS VARCHAR) || '42'), qid) AS rn FROM qh) z
+WHERE rn <= 25 AND hardness IN ('easy', 'medium', 'hard', 'extra')""")
+def q_evaluation_dataset(t):
+    return evaluation_dataset(query_log(t).select("qid", hardness_of("gold_sql").alias("hardness")))
+
+
 # ------------------------------------------------------------------ registry (events)
 @R.query("first_success_attempt", f"""
 WITH a AS (SELECT user_id, event_type = 'purchase' AS success, value,
