@@ -121,3 +121,33 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_secrets": op7_secrets}
+
+_FOUND_SQL = " UNION ALL ".join(
+    f"SELECT r, doc_id, source, t, '{kind}' AS kind, {rank} AS rk, unnest(x) AS m, "
+    f"unnest(list_slice(string_split_regex(t, '{pattern}'), 1, len(x))) AS gap, generate_subscripts(x, 1) AS i "
+    f"FROM (SELECT *, regexp_extract_all(t, '{pattern}') AS x FROM d) z"
+    for rank, (kind, pattern) in enumerate((("assign", ASSIGN.replace("'", "''")), ("access", ACCESS), ("hex", HEX),
+                                            ("owner", BARE))))
+ORACLES = {"op7_secrets": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+f AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS e FROM ({_FOUND_SQL}) u),
+s AS (SELECT r, doc_id, source, t, kind, rk, e - length(m) AS b, e,
+             CASE WHEN kind = 'assign' THEN regexp_extract(m, '{ASSIGN.replace("'", "''")}', 2) ELSE m END AS v FROM f),
+base AS (SELECT * FROM s WHERE (kind = 'assign' AND length(v) >= 12) OR (kind = 'access' AND length(v) >= 18) OR kind = 'hex'),
+bare AS (SELECT * FROM s WHERE kind = 'owner' AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+         AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = s.r AND base.b < s.e AND s.b < base.e)),
+seen AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
+owned AS (SELECT v, count(*) AS n_owners, sum(n) AS n_docs FROM (
+            SELECT v, source, count(DISTINCT (doc_id, t)) AS n FROM seen GROUP BY v, source) o GROUP BY v),
+live AS (SELECT v FROM owned WHERE n_owners <= {MAX_OWNERS} AND n_docs <= {MAX_DOCS}),
+marked AS (SELECT seen.*, live.v IS NOT NULL AS alive FROM seen LEFT JOIN live ON seen.v = live.v),
+per AS (
+  SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+         count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE alive) AS n_live,
+         string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rk, e) FILTER (WHERE kind <> 'owner') AS base,
+         string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rk, e) FILTER (WHERE kind <> 'owner' OR alive) AS spans
+  FROM marked GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN per USING (r)
+"""}
