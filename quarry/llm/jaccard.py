@@ -15,8 +15,7 @@ document.  No link between different texts is lost.
    allow a link.  Tokens are ordered from rare to frequent by a fixed-size
    sketch of their counts; any common order keeps prefixes exact, rare tokens
    first keep the meetings few.  A node meets no group of its own cluster: it
-   is connected already.  The number of prefix tokens they share bounds the
-   overlap a first time.
+   is connected already.
 5. The overlap of query and group is bounded by the matrix; only groups whose
    bound reaches the needed overlap are opened, and their members' exact sets,
    hashed again from the texts, are compared.
@@ -312,23 +311,26 @@ def meetings(nodes: DataFrame) -> DataFrame:
 
     One table holds both sides, so that it is shuffled once: a lone node is a
     query and a group (kind 3), a node of a cluster is a query (1), the union
-    of a group's prefixes is a group (2).
+    of a group's prefixes is a group (2).  Sets of sizes a and b that link
+    share a token within the first a - o + 1 and b - o + 1 of their orders,
+    where o is the overlap they need; a token met further back does not count.
     """
-    p = nodes.select("sid", "n", "cl", "g", "size", F.explode("probe").alias("token"))
-    sides = p.select("token", F.col("sid").alias("id"), "cl", F.col("n").alias("low"), F.col("n").alias("high"),
+    p = nodes.select("sid", "n", "cl", "g", "size", F.posexplode("probe").alias("at", "token"))
+    sides = p.select("token", F.col("sid").alias("id"), "cl", F.col("n").alias("low"), F.col("n").alias("high"), "at",
                      F.when(F.col("size") > 1, 1).otherwise(3).alias("kind")).unionByName(
         p.where(F.col("size") > 1).groupBy("token", "g").agg(
-            F.first("cl").alias("cl"), F.min("n").alias("low"), F.max("n").alias("high")).select(
-            "token", F.col("g").alias("id"), "cl", "low", "high", F.lit(2).alias("kind")))
+            F.first("cl").alias("cl"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("at").alias("at")).select(
+            "token", F.col("g").alias("id"), "cl", "low", "high", "at", F.lit(2).alias("kind")))
+    # the query's own size is low and high alike; the least overlap goes with the
+    # group's smallest member that can link, the longest prefix with its largest
+    q_need = F.ceil(4 * (F.col("q.low") + F.greatest("g.low", F.ceil(4 * F.col("q.high") / 5))) / 9)
+    g_need = F.ceil(4 * (F.col("q.low") + F.col("g.high")) / 9)
     m = sides.alias("q").join(sides.alias("g"), "token").where(
         (F.col("q.kind") * 4 + F.col("g.kind")).isin(6, 7, 14, 15) & (F.col("q.cl") != F.col("g.cl"))
-        & (F.col("q.low") >= F.col("g.low")) & (5 * F.col("g.high") >= 4 * F.col("q.high")))
-    m = m.groupBy(F.col("q.id").alias("q"), F.col("g.id").alias("g"), F.col("q.high").alias("qn"),
-                  F.col("g.low").alias("low"), F.col("g.high").alias("high")).agg(F.count(F.lit(1)).alias("shared"))
-    # beyond the prefixes no more tokens can be shared than the larger set has there
-    least = F.greatest("low", F.ceil(4 * F.col("qn") / 5))
-    beyond = F.ceil(4 * F.greatest("qn", "high") / 5) - 1
-    return m.where(F.col("shared") + beyond >= F.ceil(4 * (F.col("qn") + least) / 9)).select("q", "g", "qn", "low")
+        & (F.col("q.low") >= F.col("g.low")) & (5 * F.col("g.high") >= 4 * F.col("q.high"))
+        & (F.col("q.at") + q_need <= F.col("q.high")) & (F.col("g.at") + g_need <= F.col("g.high")))
+    return m.groupBy(F.col("q.id").alias("q"), F.col("g.id").alias("g"), F.col("q.high").alias("qn"),
+                     F.col("g.low").alias("low")).agg(F.count(F.lit(1)).alias("shared")).drop("shared")
 
 
 def qualifying(met: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
