@@ -57,37 +57,85 @@ def corpus_stats(tokens: DataFrame) -> tuple[int, float]:
     return r[0], (r[1] / r[0] if r[0] else 0.0)
 
 
-def bm25_scores(tokens: DataFrame, queries: DataFrame, qid: str, qtext: str, pairs: DataFrame | None = None,
-                k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, doc, score) for every document sharing a term with the query.
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    ``tokens`` comes from :func:`tokens_of`.  With ``pairs`` (qid, doc) only
-    those pairs are scored, 0 where they share no term.
+
+def _weights(tokens: DataFrame, queries: DataFrame, qid: str, qtext: str, k1: float, b: float):
+    """(query term weights, postings with their part of the score, number of documents).
+
+    Weights are (qid, term, w, df); postings (doc, term, p) hold the terms of
+    the queries only; a term gives a document ``w * p``, with ``p < k1 + 1``.
     """
     qt = query_terms(queries, qid, qtext)
-    vocab = qt.select("term").distinct()
     n_docs, avgdl = corpus_stats(tokens)
     ex = tokens.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(
-        vocab, "term", "left_semi")
-    post = ex.groupBy("doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    path = scratch_path(tokens.sparkSession, "bm25_postings")
-    post.write.parquet(path)
-    post = tokens.sparkSession.read.schema(post.schema).parquet(path)
+        qt.select("term").distinct(), "term", "left_semi")
+    p = F.col("tf") * (k1 + 1) / (
+        F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0)))
+    post = ex.groupBy("doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select("doc", "term", p.alias("p"))
+    post = _written(post, "bm25_postings")
     df_ = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    norm = F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0)))
-    weighted = qt.join(df_, "term").select("qid", "term", (F.col("qtf") * idf).alias("w"))
-    if pairs is None:
-        hit = weighted.join(post, "term")
-    else:
-        hit = weighted.join(pairs.select("qid", "doc"), "qid").join(post, ["doc", "term"])
-    scored = hit.groupBy("qid", "doc").agg(F.sum(F.col("w") * norm).alias("score"))
+    w = qt.join(df_, "term").select("qid", "term", (F.col("qtf") * idf).alias("w"), "df")
+    return _written(w, "bm25_weights"), post, n_docs
+
+
+def bm25_scores(tokens: DataFrame, queries: DataFrame, qid: str, qtext: str, pairs: DataFrame | None = None,
+                k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, doc, score) for every document sharing a term with the query.
+
+    ``tokens`` comes from :func:`tokens_of`.  With ``pairs`` (qid, doc) only
+    those pairs are scored, 0 where they share no term.
+    """
+    w, post, _ = _weights(tokens, queries, qid, qtext, k1, b)
     if pairs is None:
-        return scored
+        return _sum(w.join(post, "term"))
+    scored = _sum(w.join(pairs.select("qid", "doc"), "qid").join(post, ["doc", "term"]))
     return pairs.select("qid", "doc").join(scored, ["qid", "doc"], "left").fillna(0.0, ["score"])
 
 
+def _sum(hit: DataFrame) -> DataFrame:
+    return hit.groupBy("qid", "doc").agg(F.sum(F.col("w") * F.col("p")).alias("score"))
+
+
+# A term in more than this share of the documents is left for the second step.
+FREQUENT = 0.1
+# Slack of the bounds, above the rounding of sums and of the ranking.
+SLACK = 1e-6
+
+
+def bm25_topk(tokens: DataFrame, queries: DataFrame, qid: str, qtext: str, k: int,
+              k1: float = K1, b: float = B) -> DataFrame:
+    """Exact top-k without scoring every pair that shares a frequent word.
+
+    Rare terms are scored first.  A query's k-th best of these is a lower
+    bound of its result; a document stays only if its rare terms plus the most
+    that the frequent terms can give reach the bound, and just these are
+    completed.  A query whose frequent terms alone could reach its bound, or
+    with fewer than k documents, is scored in full.
+    """
+    w, post, n_docs = _weights(tokens, queries, qid, qtext, k1, b)
+    rare, often = w.where(F.col("df") <= FREQUENT * n_docs), w.where(F.col("df") > FREQUENT * n_docs)
+    part = _written(_sum(rare.join(post, "term")), "bm25_partial")
+    low = top_k(part, k).groupBy("qid").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("m")).where(
+        F.col("m") == k)
+    more = often.groupBy("qid").agg((F.sum("w") * (k1 + 1)).alias("more"))
+    state = (w.select("qid").distinct().join(low, "qid", "left").join(more, "qid", "left")
+             .select("qid", "low", F.coalesce("more", F.lit(0.0)).alias("more"))
+             .withColumn("bounded", F.coalesce(F.col("more") < F.col("low") - SLACK, F.lit(False))))
+    state = _written(state, "bm25_bounds")
+    stay = part.join(state.where("bounded"), "qid").where(
+        F.col("score") + F.col("more") >= F.col("low") - SLACK).select("qid", "doc", F.col("score").alias("partial"))
+    rest = _sum(stay.join(often, "qid").join(post, ["doc", "term"])).withColumnRenamed("score", "rest")
+    done = stay.join(rest, ["qid", "doc"], "left").select(
+        "qid", "doc", (F.col("partial") + F.coalesce("rest", F.lit(0.0))).alias("score"))
+    full = _sum(w.join(state.where(~F.col("bounded")).select("qid"), "qid", "left_semi").join(post, "term"))
+    return top_k(done.unionByName(full), k)
+
+
 def top_k(scored: DataFrame, k: int, part: str = "qid", score: str = "score",
           tie: str = "doc", rank: str = "rank") -> DataFrame:
     """Per-partition top-k, ties broken by ``tie`` ascending (index order)."""
@@ -101,7 +149,7 @@ def top_k(scored: DataFrame, k: int, part: str = "qid", score: str = "score",
 def sparse_topk(docs: DataFrame, did: str, dtext: str, queries: DataFrame, qid: str, qtext: str,
                 k: int = 5) -> DataFrame:
     """Top-k documents by BM25 per query, positive scores only."""
-    return top_k(bm25_scores(tokens_of(docs, did, dtext), queries, qid, qtext), k)
+    return bm25_topk(tokens_of(docs, did, dtext), queries, qid, qtext, k)
 
 
 # ---------------------------------------------------------------- registry

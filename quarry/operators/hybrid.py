@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bm25 import bm25_scores, tokens_of, top_k
+from .bm25 import bm25_scores, bm25_topk, tokens_of, top_k
 from .dense import bucket_vector, dense_topk, hashed_vector
 
 # Fusion weights.
@@ -28,7 +28,7 @@ def minmax_normalize(hits: DataFrame, part: str = "qid", score: str = "score", o
 
 
 def sparse_side(tokens, queries, qid, qtext, k2):
-    return top_k(bm25_scores(tokens, queries, qid, qtext), k2)
+    return bm25_topk(tokens, queries, qid, qtext, k2)
 
 
 def dense_side(tokens, queries, qid, qtext, k2):

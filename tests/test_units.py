@@ -319,3 +319,34 @@ def test_functions_travel_by_value():
     out = subprocess.run([sys.executable, "-c", code, data.hex()], capture_output=True, text=True, cwd="/", env={
         "PATH": "/usr/bin"})
     assert out.stdout.strip() == str(["a\nb"]), out.stderr
+
+
+def test_bounded_topk_equals_scoring_all_pairs(spark):
+    import random
+    from quarry.operators import bm25 as B
+    rnd = random.Random(4)
+    words = ["the", "of", "and"] * 12 + [f"w{i}" for i in range(150)]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 40)))) for i in range(400)],
+                                 "id long, t string")
+    qs = spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9)))) for i in range(60)]
+                               + [(100, "the of and"), (101, "absent"), (102, "")], "q long, t string")
+    tokens = B.tokens_of(docs, "id", "t")
+    every = _rows(B.top_k(B.bm25_scores(tokens, qs, "q", "t"), 5), "qid", "doc", "rank")
+    assert _rows(B.bm25_topk(tokens, qs, "q", "t", 5), "qid", "doc", "rank") == every
+
+
+def test_frequent_words_do_not_make_a_pair_table(spark):
+    """Completed pairs grow with queries x k, not with queries x documents."""
+    from pyspark.sql import functions as F
+    from quarry.operators import bm25 as B
+    docs = spark.range(3000).select(F.col("id"), F.concat(
+        F.lit("the of "), F.concat(F.lit("w"), (F.col("id") % 600).cast("string"))).alias("t"))
+    qs = spark.range(50).select(F.col("id").alias("q"), F.concat(F.lit("the of w"), F.col("id").cast("string")).alias("t"))
+    seen = []
+    total = B._sum
+    try:
+        B._sum = lambda hit: (seen.append(hit.count()), total(hit))[1]
+        assert B.bm25_topk(B.tokens_of(docs, "id", "t"), qs, "q", "t", 5).count() == 250
+    finally:
+        B._sum = total
+    assert max(seen) <= 50 * 5 * 2  # rare terms, two frequent terms of the survivors, no full queries
