@@ -31,6 +31,8 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,7 +46,7 @@ SHINGLE = 5
 KEYS = 4
 GROUP = 32
 # Cells in each of the two rows of the count sketch, and its slices.
-CELLS = 1 << 19
+CELLS = 1 << 21
 SLICES = 8
 # Rows of (id, id) shared with every task at most; beyond it texts are shuffled.
 SHARE_ROWS = 500_000
@@ -187,8 +189,8 @@ def digest(docs: DataFrame, cells: int) -> tuple[DataFrame, np.ndarray]:
                 keys.append([int((mix(s * _MULT[k] + _MULT[k])).min().view(np.int64)) for k in range(KEYS)]
                             if len(s) else [])
                 i, j = cells_of(s, cells)
-                np.add.at(total[0], i, 1)
-                np.add.at(total[1], j, 1)
+                total[0][i] += 1  # colliding tokens of one text count once
+                total[1][j] += 1
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(sid, pa.int64()), pa.array(n, pa.int64()),
@@ -196,7 +198,9 @@ def digest(docs: DataFrame, cells: int) -> tuple[DataFrame, np.ndarray]:
                 names=["doc_id", "sid", "n", "keys", "slice", "blob"])
         if id_type is None:
             return
-        blobs = [total[:, k * step:(k + 1) * step].tobytes() for k in range(SLICES)]
+        # a task's counts end at 255: enough to tell rare from frequent
+        total = np.minimum(total, 255).astype(np.uint8)
+        blobs = [zlib.compress(total[:, k * step:(k + 1) * step].tobytes(), 1) for k in range(SLICES)]
         none = pa.nulls(SLICES)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(SLICES, id_type), none.cast(pa.int64()), none.cast(pa.int64()),
@@ -210,23 +214,26 @@ def digest(docs: DataFrame, cells: int) -> tuple[DataFrame, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(blob, np.uint32).astype(np.uint64)
+                x = np.frombuffer(zlib.decompress(blob), np.uint8).astype(np.uint32)
                 sums[k] = sums[k] + x if k in sums else x
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
             names=["slice", "blob"])
 
     parts = rows.where(F.col("slice").isNotNull()).select("slice", "blob").repartition(SLICES, "slice").mapInArrow(
-        add, "slice int, blob binary").collect()  # fixed size: 16 * cells bytes
-    sketch = np.zeros((2, cells), dtype=np.uint64)
+        add, "slice int, blob binary").collect()  # fixed size: 8 * cells bytes
+    sketch = np.zeros((2, cells), dtype=np.uint32)
     for r in parts:
-        sketch[:, r["slice"] * step:(r["slice"] + 1) * step] += np.frombuffer(r["blob"], np.uint64).reshape(2, step)
-    return rows.where(F.col("slice").isNull()).drop("slice", "blob"), np.minimum(sketch, 2 ** 32 - 1).astype(np.uint32)
+        sketch[:, r["slice"] * step:(r["slice"] + 1) * step] += np.frombuffer(r["blob"], np.uint32).reshape(2, step)
+    return rows.where(F.col("slice").isNull()).drop("slice", "blob"), sketch
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, cells: int) -> DataFrame:
     """(doc_id, sid, probe, cols, common): rarest tokens, hashed columns, mean token count."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    # what other tokens put into a cell: counts within three deviations of it are all rare
+    noise = float(np.median(sketch))
+    unit = 3 * np.sqrt(noise) + 1
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -238,7 +245,8 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, cells: int) -> DataFrame:
                 s = shingle_set(t or b"", cache)
                 est = estimates(s, counts, cells)
                 sid.append(set_id(s))
-                probe.append(s[np.lexsort((s, np.frexp(est)[1]))][:probe_length(len(s))].view(np.int64))
+                level = np.frexp(np.maximum(est - noise, 0) / unit)[1].clip(0)
+                probe.append(s[np.lexsort((s, level))][:probe_length(len(s))].view(np.int64))
                 cols.append(columns_of(s))
                 common.append(float(est.mean()) if len(s) else 0.0)
             yield pa.RecordBatch.from_arrays(
