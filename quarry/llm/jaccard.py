@@ -177,7 +177,7 @@ def digest(docs: DataFrame, cells: int) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches):
         cache = WordHashes()
-        total = np.zeros((2, cells), dtype=np.uint32)
+        total = np.zeros((2, cells), dtype=np.uint8)
         id_type = None
         for b in batches:
             id_type = b.schema.field("doc_id").type
@@ -189,8 +189,10 @@ def digest(docs: DataFrame, cells: int) -> tuple[DataFrame, np.ndarray]:
                 keys.append([int((mix(s * _MULT[k] + _MULT[k])).min().view(np.int64)) for k in range(KEYS)]
                             if len(s) else [])
                 i, j = cells_of(s, cells)
-                total[0][i] += 1  # colliding tokens of one text count once
-                total[1][j] += 1
+                # colliding tokens of one text count once; a task's counts end
+                # at 255, enough to tell rare from frequent
+                total[0][i] += total[0][i] < 255
+                total[1][j] += total[1][j] < 255
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(sid, pa.int64()), pa.array(n, pa.int64()),
@@ -198,8 +200,6 @@ def digest(docs: DataFrame, cells: int) -> tuple[DataFrame, np.ndarray]:
                 names=["doc_id", "sid", "n", "keys", "slice", "blob"])
         if id_type is None:
             return
-        # a task's counts end at 255: enough to tell rare from frequent
-        total = np.minimum(total, 255).astype(np.uint8)
         blobs = [zlib.compress(total[:, k * step:(k + 1) * step].tobytes(), 1) for k in range(SLICES)]
         none = pa.nulls(SLICES)
         yield pa.RecordBatch.from_arrays(
@@ -225,7 +225,8 @@ def digest(docs: DataFrame, cells: int) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros((2, cells), dtype=np.uint32)
     for r in parts:
         sketch[:, r["slice"] * step:(r["slice"] + 1) * step] += np.frombuffer(r["blob"], np.uint32).reshape(2, step)
-    return rows.where(F.col("slice").isNull()).drop("slice", "blob"), sketch
+    # two bytes a cell for the tasks: what is more frequent than that is last anyway
+    return rows.where(F.col("slice").isNull()).drop("slice", "blob"), np.minimum(sketch, 65535).astype(np.uint16)
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, cells: int) -> DataFrame:
