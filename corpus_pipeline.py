@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and works on all documents that the
 stage before kept; its result is written as Parquet and read again for the
 next.  All but the last return the columns of ``documents``.  The last returns
-the mix: every document taken, with the words it contributes.
+the mix: every document taken, with its text and the words it contributes.
 
 ORACLE_SQL is None: trees, calibration and similarity components are not
 expressible in SQL; tests/llm/test_pipeline.py checks the stages against
@@ -66,12 +66,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: the documents of the mix by id, with size, source_size, target and taken words.
+    """Operator 9: the documents of the mix with their text, size, source_size, target and taken words.
 
-    A list of what to take, without the texts: a document may be taken up to
-    three times, and its text is found by its id in the stage before.
+    The text is that of the stage before, once a row; ``taken`` may count its
+    words up to three times.
     """
-    rest = tuple(c for c in ("lang", "n_chars") if c in docs.columns)
+    rest = tuple(c for c in ("text", "lang", "n_chars") if c in docs.columns)
     return mixing.mix_documents(docs, table(spark, sf_dir, "labels"), keep=rest).drop("key").where(
         F.col("taken") > 0)
 

@@ -81,6 +81,12 @@ def mix(docs: DataFrame, quality: Column | None = None, seed: str = SEED, weight
     ``size`` is the document's word count, ``quality`` its sampling weight.
     The document at the edge of a budget is taken in part, so a source takes
     ``floor(target)`` words.
+
+    The columns of ``keep`` may be texts: they are written once and never
+    shuffled here.  The rows without them give each source's edge, the last
+    row that its budget reaches; a second read compares every row with the
+    edge of its source.  Rows equal in key, id and size are told apart by
+    their place in the written table.
     """
     w = F.lit(1.0) if quality is None else F.when(quality > 0, quality).otherwise(F.lit(1.0))
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
@@ -89,6 +95,10 @@ def mix(docs: DataFrame, quality: Column | None = None, seed: str = SEED, weight
     kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     d = materialize(docs.select("doc_id", "source", "size", (-F.log(u) / w).alias("key"), *kept),
                     "mix-docs")
+    place = ("file", "row") if keep else ()
+    if keep:
+        full = d.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        d = full.select("doc_id", "source", "size", "key", *place)
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"),
                                     F.count(F.lit(1)).alias("n_docs"))
     targets = (source_targets(sizes, weights, max_epochs)
@@ -109,16 +119,28 @@ def mix(docs: DataFrame, quality: Column | None = None, seed: str = SEED, weight
         F.coalesce(F.sum("bucket_size").over(
             W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)),
             F.lit(0).cast("long")).alias("offset"))
-    inside = (W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
+    inside = (W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *place)
               .rowsBetween(W.unboundedPreceding, -1))
     d = (d.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
          .join(offsets, F.col("source").eqNullSafe(F.col("o_source"))
                & (F.col("bucket") == F.col("o_bucket"))).drop("o_source", "o_bucket"))
     part = F.greatest(F.lit(0).cast("long"),
                       F.least(F.col("size"), F.col("budget") - F.col("before") - F.col("offset")))
-    return d.select("doc_id", "size", "source", "source_size", "target", "key",
-                    (F.col("epochs") * F.col("size") + part).alias("taken"),
-                    *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
+    if not keep:
+        return d.select("doc_id", "size", "source", "source_size", "target", "key",
+                        (F.col("epochs") * F.col("size") + part).alias("taken"))
+    at = F.struct("key", "doc_id", "size", *place)
+    reached = F.when(F.col("part") > 0, at)
+    # written, so that its size is known and the rows with texts need not move to meet it
+    edges = materialize(
+        d.withColumn("part", part).groupBy(F.col("source").alias("e_source"), "source_size", "target", "epochs")
+        .agg(F.max(reached).alias("edge"), F.max_by("part", reached).alias("edge_part")), "mix-edges")
+    part = (F.when(at < F.col("edge"), F.col("size")).when(at > F.col("edge"), F.lit(0).cast("long"))
+            .otherwise(F.coalesce("edge_part", F.lit(0).cast("long"))))
+    return full.join(edges, F.col("source").eqNullSafe(F.col("e_source"))).select(
+        "doc_id", "size", "source", "source_size", "target", "key",
+        (F.col("epochs") * F.col("size") + part).alias("taken"),
+        *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def label_weights(labels: DataFrame) -> DataFrame:

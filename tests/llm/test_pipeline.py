@@ -68,3 +68,20 @@ def test_run_on_given_and_empty_tables(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "line_dedup", "jaccard_join", "decontamination", "mixing"]
     assert decontaminate.WINDOW == 10 and jaccard.SHINGLE == 5
+
+
+def test_mix_returns_the_cleaned_texts(spark, tmp_path):
+    """Null and repeated ids, repeated rows and equal keys: every taken row has its own text."""
+    rnd = random.Random(4)
+    text = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    rows = [(i, f"{text(25)}\nshared menu line\n{text(20)}", "en", f"s{i % 3}", 0) for i in range(90)]
+    rows += [(None, text(30), "en", "s0", 0) for _ in range(30)] + [(7, text(30), "en", "s1", 0) for _ in range(9)]
+    labels = [(i, i % 2, 0) for i in range(0, 90)]
+    sf = sf_folder(spark, tmp_path, rows, labels, [(1, text(30))])
+    out = [r for r in corpus_pipeline.run(spark, sf).collect()]
+    clean = {t.replace("\nshared menu line", "") for _, t, *_ in rows}
+    assert out and {r["text"] for r in out} <= clean and len({r["text"] for r in out}) == len(out)
+    assert all(r["size"] == len(r["text"].split()) and r["n_chars"] == len(r["text"]) for r in out)
+    for s in {r["source"] for r in out}:
+        of = [r for r in out if r["source"] == s]
+        assert sum(r["taken"] for r in of) == int(of[0]["target"])
