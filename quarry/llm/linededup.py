@@ -11,7 +11,8 @@ hot.  Lines are compared by a 64-bit hash within a host.
 
 Defined results: a null or host-less url (or null source) is one site of its
 own; null text stays null and has no lines; blank lines are kept and never
-counted; a repeated row is a page of its own; a line must stand on at least
+counted; a repeated row is a page of its own, but ``clean`` counts exact
+copies within a source as one page; a line must stand on at least
 ``MIN_PAGES`` pages, so small sites lose nothing by chance; a page that loses
 all lines stays, with empty text; an empty table gives no rows.
 """
@@ -48,10 +49,12 @@ def visible_text(html: Column) -> Column:
     return t
 
 
-def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+                     copies: bool = True) -> DataFrame:
     """(host, text, ...) -> the same columns with cleaned ``text``, and n_lines, n_dropped long.
 
-    All other columns pass through unchanged.
+    All other columns pass through unchanged.  Without ``copies``, rows of one
+    host with the same text count as one page, in a line's pages and the host's.
     """
     names = pages.columns
     n_lines, n_dropped = fresh(pages, "n_lines"), fresh(pages, "n_dropped")
@@ -66,9 +69,12 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
         F.length(F.trim("line")) > 0).select("rid", "rid2", "host", "pos", F.xxhash64("line").alias("h"))
     hashes = F.array_distinct(F.transform(F.filter("lines", lambda x: F.length(F.trim(x)) > 0),
                                           lambda x: F.xxhash64(x)))
-    counts = (d.select("host", F.explode(hashes).alias("h")).groupBy("host", "h")
+    seen = d.select("host", "rid", "rid2", hashes.alias("hs"))
+    if not copies:
+        seen = seen.dropDuplicates(["host", "rid", "rid2"])
+    counts = (seen.select("host", F.explode("hs").alias("h")).groupBy("host", "h")
               .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
-    totals = d.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).select(F.col("host").alias("t_host"), "pages")
+    totals = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).select(F.col("host").alias("t_host"), "pages")
     bad = (counts.join(totals, F.col("host") == F.col("t_host"))
            .where(F.col("n") > F.col("pages") * F.lit(max_ratio)).select("host", "h"))
     dropped = (real.join(bad, ["host", "h"], "left_semi").groupBy("rid", "rid2")
@@ -90,14 +96,18 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
 
 
 def clean(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Documents with the boilerplate lines of their source removed; n_chars follows the text."""
+    """Documents with the boilerplate lines of their source removed; n_chars follows the text.
+
+    Exact copies within a source count as one page, so a document does not
+    lose its own lines for being copied.
+    """
     host = fresh(docs, "h")
     names = docs.columns
     d = docs.withColumn(host, F.col("source"))
     if host != "host":
         taken = fresh(d, "kept_host") if "host" in names else None
         d = d.withColumnsRenamed(({"host": taken} if taken else {}) | {host: "host"})
-    out = drop_boilerplate(d, max_ratio, min_pages).drop("host")
+    out = drop_boilerplate(d, max_ratio, min_pages, copies=False).drop("host")
     if "host" in names:
         out = out.withColumnRenamed(taken, "host")
     if "n_chars" in names:

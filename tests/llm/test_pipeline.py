@@ -85,3 +85,19 @@ def test_mix_returns_the_cleaned_texts(spark, tmp_path):
     for s in {r["source"] for r in out}:
         of = [r for r in out if r["source"] == s]
         assert sum(r["taken"] for r in of) == int(of[0]["target"])
+
+
+def test_copies_within_a_source_leave_one(spark, tmp_path):
+    rnd = random.Random(6)
+    text = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    page = f"{text(20)}\n{text(20)}"
+    rows = [(i, f"{text(25)}\nshared menu line\n{text(20)}", "en", "s0", 0) for i in range(60)]
+    rows += [(100 + i, page, "en", "s0", 0) for i in range(30)]
+    sf = sf_folder(spark, tmp_path, rows, [], [(1, text(30))])
+    out = corpus_pipeline.drop_boilerplate_lines(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()
+    assert [r["text"] for r in out if r["doc_id"] >= 100] == [page] * 30
+    assert not any("shared menu line" in r["text"] for r in out)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = materialize(stage(spark, docs, sf), "c-" + name)
+    assert [r["doc_id"] for r in docs.collect() if r["text"] == page] == [100]
