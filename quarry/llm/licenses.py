@@ -1,16 +1,21 @@
-"""Operator 2: license scan with MinHash bands over overlapping windows.
+"""Operator 2: license scan with MinHash bands, then exact shingle containment.
 
-Texts are normalised to words.  For every template, windows of the template's
-own length slide over the document in steps of an eighth of it.  A window's
-MinHash signature (24 bands of 2 rows over five-word shingles) retrieves
-templates; an exact comparison of shingle sets then keeps matches that contain
-at least 80 % of the template.
+Texts are normalised to words.  A template's MinHash signature (24 bands of 2
+rows over five-word shingles) names its minimum shingles.  A stretch of a
+document that holds both shingles of one of the bands is a candidate; every
+candidate is then verified word by word, at any offset: spans from one shared
+shingle to another are matches if they contain at least 80 % of the template's
+shingles and are at most a quarter longer than the template, which leaves room
+for inserted words.
 
-A template that is contained to 80 % has, in the window that fits it best, a
-Jaccard similarity of about 0.58 or more: one of the 24 bands then matches
-with probability 1 - (1 - 0.58^2)^24 = 0.99995, and neighbouring windows add
-to that.  A band can only match if the window holds the template's own minimum
-shingles, so signatures are computed just for windows that hold one of them.
+A band is met wherever a window's own signature would match it, whatever the
+window's place.  With 80 % of the shingles left, one of the 24 bands is met
+with probability 1 - (1 - 0.8^2)^24, above 0.9999999999.
+
+A match starts and ends with a shared shingle.  Of the overlapping spans of a
+template the ones that together contain most are taken, whole copies first; of
+overlapping matches of one license the best contained, then the longest
+template.
 
 Templates are a parameter, by default the short notices below; they are
 shared with every task and must stay under ``MAX_TEMPLATE_WORDS`` in all.
@@ -22,6 +27,9 @@ give repeated results; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
+from collections import Counter
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +41,8 @@ from quarry.llm.decontaminate import _WORD, words_of
 SHINGLE = 5
 BANDS, ROWS = 24, 2
 CONTAINMENT = 0.8
+# a match may have this many times the template's words
+ROOM = 1.25
 MAX_TEMPLATE_WORDS = 500_000
 
 # fixed values: wording of common public license notices
@@ -73,62 +83,113 @@ def signature(grams) -> tuple[list[int], list[bytes]]:
 
 
 class Templates:
-    """Band table, key shingles and shingle sets of the templates."""
+    """Bands, key shingles and shingle sets of the templates."""
 
     def __init__(self, templates):
-        self.rows = []  # (name, words, shingle set)
-        self.bands: dict[tuple, list[int]] = {}
+        self.rows = []  # (name, words, shingle set, bands)
         self.keys: dict[bytes, set[int]] = {}
         for name, text in templates:
             words = words_of(text.encode())
             if not words:
                 raise ValueError(f"template {name!r} has no words")
-            t = len(self.rows)
             grams = shingles(words)
-            self.rows.append((name, len(words), frozenset(grams)))
-            low, who = signature(grams)
-            for b in range(BANDS):
-                self.bands.setdefault((len(words), b, *low[b * ROWS:(b + 1) * ROWS]), []).append(t)
+            _, who = signature(grams)
+            bands = {frozenset(who[b * ROWS:(b + 1) * ROWS]) for b in range(BANDS)}
             for g in who:
-                self.keys.setdefault(g, set()).add(len(words))
+                self.keys.setdefault(g, set()).add(len(self.rows))
+            self.rows.append((name, len(words), frozenset(grams), bands))
         # a short template is a shingle of its own length
-        self.lengths = sorted({min(SHINGLE, n) for _, n, _ in self.rows})
+        self.lengths = sorted({min(SHINGLE, n) for _, n, _, _ in self.rows})
         self.first = {g.split(b" ", 1)[0] for g in self.keys}
 
     def matches(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
         """(name, first word, last word, containment) of verified matches, best per place."""
-        starts: dict[int, set[int]] = {}
+        hits: dict[int, list[tuple[int, bytes]]] = {}
         for i, w in enumerate(words):
             if w in self.first:
                 for n in self.lengths:
-                    for size in self.keys.get(b" ".join(words[i:i + n]), ()):
-                        starts.setdefault(size, set()).add(i)
-        found: dict[tuple[str, int], tuple[float, int, int]] = {}
-        for size, at in starts.items():
-            step = max(1, size // 8)
-            lasts = max(0, len(words) - size)
-            wins = {s for i in at
-                    for s in range(max(0, -(-(i - size) // step) * step), i + 1, step) if s <= lasts}
-            wins |= {lasts} if any(i > lasts - step for i in at) else set()
-            for s in sorted(wins):
-                grams = shingles(words[s:s + size], min(SHINGLE, size))
-                if not any(g in self.keys for g in grams):
-                    continue
-                low, _ = signature(grams)
-                cand = {t for b in range(BANDS)
-                        for t in self.bands.get((size, b, *low[b * ROWS:(b + 1) * ROWS]), ())}
-                have = set(grams)
-                for t in cand:
-                    name, n, want = self.rows[t]
-                    c = len(want & have) / len(want)
-                    if c >= CONTAINMENT:
-                        place = next((k for k in found if k[0] == name and found[k][1] <= s + size - 1
-                                      and s <= found[k][2]), None)
-                        if place is None:
-                            found[(name, s)] = (c, s, s + size - 1)
-                        elif (c, size) > (found[place][0], found[place][2] - found[place][1] + 1):
-                            found[place] = (c, s, s + size - 1)
-        return sorted((name, a, b, c) for (name, _), (c, a, b) in found.items())
+                    g = b" ".join(words[i:i + n])
+                    for t in self.keys.get(g, ()):
+                        hits.setdefault(t, []).append((i, g))
+        found: dict[str, list[tuple[float, int, int, int]]] = {}
+        for t, at in hits.items():
+            name, n, want, bands = self.rows[t]
+            limit = int(n * ROOM)
+            for lo, hi, keys in stretches(at, limit):
+                if any(b <= keys for b in bands):
+                    lo = max(0, lo)
+                    found.setdefault(name, []).extend(
+                        (c, n, lo + a, lo + z) for c, a, z in verified(words[lo:hi], n, want, limit))
+        out = []
+        for name, spans in found.items():
+            taken: list[tuple[int, int]] = []  # in order and apart
+            for c, _, a, z in sorted(spans, key=lambda x: (-x[0], -x[1], x[2])):
+                k = bisect.bisect(taken, (a, z))
+                if not (k and taken[k - 1][1] >= a or k < len(taken) and taken[k][0] <= z):
+                    taken.insert(k, (a, z))
+                    out.append((name, a, z, c))
+        return sorted(out)
+
+
+def stretches(at: list[tuple[int, bytes]], limit: int):
+    """Word ranges around key shingles (place, shingle), and the shingles of each.
+
+    Every span of ``limit`` words that holds a key shingle lies in one range.
+    """
+    lo, last, keys = at[0][0] - limit, at[0][0], set()
+    for i, g in at:
+        if i - last > 2 * limit:
+            yield lo, last + limit + 1, keys
+            lo, keys = i - limit, set()
+        last = i
+        keys.add(g)
+    yield lo, last + limit + 1, keys
+
+
+def verified(words: list[bytes], n: int, want: frozenset, limit: int) -> list[tuple[float, int, int]]:
+    """(containment, first word, last word) of spans that contain enough of ``want``; none overlap."""
+    k = min(SHINGLE, n)
+    at = [(i, g) for i, g in enumerate(shingles(words, k)) if g in want]
+    spans, count, left = [], Counter(), 0
+    for i, g in at:
+        count[g] += 1
+        # the shortest span that ends here and holds as much as any within the limit
+        while i + k - at[left][0] > limit or count[at[left][1]] > 1:
+            count[at[left][1]] -= 1
+            if not count[at[left][1]]:
+                del count[at[left][1]]
+            left += 1
+        c = len(count) / len(want)
+        if c >= CONTAINMENT:
+            spans.append((c, at[left][0], i + k - 1))
+    whole, end = [], -1
+    for c, a, z in spans:
+        if c == 1.0 and z - a < n and a > end:
+            whole.append((c, a, z))
+            end = z
+    rest, j = [], 0
+    for s in spans:  # starts and ends both rise
+        while j < len(whole) and whole[j][2] < s[1]:
+            j += 1
+        if j == len(whole) or whole[j][1] > s[2]:
+            rest.append(s)
+    # best total containment of spans apart, then fewest words
+    ends = [z for _, _, z in rest]
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    back: list[int | None] = []
+    for q, (c, a, z) in enumerate(rest):
+        p = bisect.bisect_left(ends, a, 0, q)
+        with_it = (best[p][0] + c, best[p][1] - (z - a + 1))
+        back.append(p if with_it > best[q] else None)
+        best.append(max(with_it, best[q]))
+    q = len(rest)
+    while q:
+        if back[q - 1] is None:
+            q -= 1
+        else:
+            whole.append(rest[q - 1])
+            q = back[q - 1]
+    return whole
 
 
 _MATCH = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()),

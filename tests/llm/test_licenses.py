@@ -45,3 +45,40 @@ def test_edges(spark):
     assert licenses.scan(empty_docs(spark)).collect() == []
     with pytest.raises(ValueError):
         licenses.Templates([("x", "...")])
+
+
+def test_edited_notices_at_every_offset():
+    """Words changed or inserted, down to the bound: found wherever the notice starts."""
+    mit = licenses.TEMPLATES[3][1].split()
+    built = licenses.Templates(licenses.TEMPLATES)
+
+    def found(before, notice, after=40):
+        words = [f"p{i}" for i in range(before)] + notice + [f"q{i}" for i in range(after)]
+        return [m for m in built.matches(licenses.words_of(" ".join(words).encode())) if m[0] == "mit"]
+
+    n = len(licenses.words_of(" ".join(mit).encode()))
+    for start in range(12):
+        for k in range(5, len(mit) - 5):
+            m = found(start, mit[:k] + ["changed"] + mit[k + 1:])
+            assert [(a, z, round(c, 2)) for _, a, z, c in m] == [(start, start + n - 1, 0.8)], (start, k)
+            m = found(start, mit[:k] + ["put", "in", "here"] + mit[k:])
+            assert [(a, z, round(c, 2)) for _, a, z, c in m] == [(start, start + n + 2, 0.84)], (start, k)
+        assert found(start, mit[:8] + ["x"] + mit[9:20] + ["y"] + mit[21:]) == []
+
+
+def test_neighbouring_and_long_notices():
+    mit = licenses.TEMPLATES[3][1].split()
+    n = len(mit)
+    built = licenses.Templates(licenses.TEMPLATES)
+    head, tail = mit[:6] + ["x"] + mit[7:], mit[:20] + ["y"] + mit[21:]
+    words = licenses.words_of(" ".join(head + tail + mit + mit).encode())
+    assert [(a, z) for name, a, z, _ in built.matches(words) if name == "mit"] == [
+        (k * n, k * n + n - 1) for k in range(4)]
+    rnd = random.Random(8)
+    long = [f"t{rnd.randrange(3000)}" for _ in range(1500)]
+    built = licenses.Templates([("long", " ".join(long))])
+    for start in (0, 1, 95, 187):
+        edited = [f"e{i}" if i % 25 == 24 else w for i, w in enumerate(long)]
+        words = [b"p"] * start + [w.encode() for w in edited] + [b"q"] * 300
+        m = built.matches(words)
+        assert len(m) == 1 and m[0][3] >= 0.8 and abs(m[0][1] - start) < 25
