@@ -153,7 +153,7 @@ def features_of(text: str, lexicon: dict[str, float]) -> list[float]:
     total = hits + stems + hidden
     per = 1.0 / max(n, 1)
     ch = 1.0 / max(chars, 1)
-    upper = sum(map(str.isupper, text)) if chars < 200 else _upper(text)
+    upper = _upper(text)
     marks = text.count("!") + text.count("?")
     symbols = sum(text.count(c) for c in "@#$%&*|~^")
     punct = sum(text.count(c) for c in ".,;:") + marks
@@ -166,8 +166,10 @@ def features_of(text: str, lexicon: dict[str, float]) -> list[float]:
 
 
 def _upper(text: str) -> int:
-    """ASCII capitals, counted in bytes."""
-    a = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    """Unicode capitals; counted in bytes where all characters are ASCII."""
+    if not text.isascii():
+        return sum(map(str.isupper, text))
+    a = np.frombuffer(text.encode(), np.uint8)
     return int(((a >= 65) & (a <= 90)).sum())
 
 

@@ -81,3 +81,11 @@ def test_features_are_finite():
         assert len(x) == len(toxicity.FEATURES) and all(abs(v) < 1e6 for v in x)
         y = quality.features_of(t)
         assert len(y) == len(quality.FEATURES) and all(0 <= v <= 1 for v in y)
+
+
+@pytest.mark.parametrize("word", ["ПРИВЕТ", "ΚΑΛΗΜΕΡΑ", "ÉCOLE", "SHOUT", "Straße", "quiet"])
+def test_capitals_mean_the_same_at_every_length(word):
+    at = toxicity.FEATURES.index("capitals")
+    want = sum(c.isupper() for c in word) / (len(word) + 1)
+    for n in (1, 10, 1000):
+        assert toxicity.features_of(f"{word} " * n, {})[at] == pytest.approx(want)
