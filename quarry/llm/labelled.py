@@ -41,10 +41,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold_mod: in
                       F.when(F.pmod(F.xxhash64("copy", F.lit(7)), F.lit(10)) < 7, 0).otherwise(1).alias("part"))
 
 
-def both_classes(sample: DataFrame) -> bool:
-    """True when fitting and calibration rows hold both labels."""
-    r = sample.groupBy("part").agg(F.min("y").alias("a"), F.max("y").alias("b")).collect()
-    return len(r) == 2 and all(x["a"] == 0.0 and x["b"] == 1.0 for x in r)
+def in_both_parts(sample: DataFrame) -> DataFrame | None:
+    """``sample`` with rows of both labels in both parts; None without rows of both labels.
+
+    Where all rows of a label fell in one part, the one with the smallest text
+    hash changes to the other; the only row of a label is in both parts.
+    """
+    text = F.xxhash64("text")
+    have = {(r["y"], r["part"]): r for r in sample.groupBy("y", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min(text).alias("first")).collect()}
+    if {y for y, _ in have} != {0.0, 1.0}:
+        return None
+    for y, part in list(have):
+        if (y, 1 - part) in have:
+            continue
+        row = (F.col("y") == y) & (text == have[y, part]["first"])
+        if have[y, part]["n"] > 1:
+            sample = sample.withColumn("part", F.when(row, F.lit(1 - part)).otherwise(F.col("part")))
+        else:
+            sample = sample.unionByName(sample.where(row).withColumn("part", F.lit(1 - part)))
+    return sample
 
 
 def base_rate(sample: DataFrame) -> float:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.common import crc_mod, materialize, small_batches, table
-from quarry.llm.labelled import SAMPLE_ROWS, base_rate, both_classes, labelled_sample
+from quarry.llm.labelled import SAMPLE_ROWS, base_rate, in_both_parts, labelled_sample
 
 THRESHOLD = 0.3
 # Pairs a bad document takes part in.
@@ -120,9 +120,10 @@ class QualityModel:
     def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "quality", fold_mod: int = 5, held: int = 0,
             rows: int = SAMPLE_ROWS) -> QualityModel:
         sample = materialize(labelled_sample(docs, labels, label, fold_mod, held, rows), "quality-sample")
-        if not both_classes(sample):
+        parts = in_both_parts(sample)
+        if parts is None:
             return cls([], 0.0, 0.0, base_rate(sample) if sample.head(1) else 1.0)
-        x = materialize(featurize(sample, ["doc_id", "y", "part", "text"]).drop("text"), "quality-features")
+        x = materialize(featurize(parts, ["doc_id", "y", "part", "text"]).drop("text"), "quality-features")
         pairs = preference_pairs(x.where(F.col("part") == 0))
         rank = LogisticRegression(featuresCol="diff", labelCol="label", fitIntercept=False, regParam=1e-3,
                                   maxIter=60).fit(pairs)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.common import crc_mod, materialize, small_batches, table
-from quarry.llm.labelled import SAMPLE_ROWS, base_rate, both_classes, labelled_sample
+from quarry.llm.labelled import SAMPLE_ROWS, base_rate, in_both_parts, labelled_sample
 
 THRESHOLD = 0.7
 # Lexicon units kept, at most, by their test value.
@@ -200,10 +200,11 @@ class ToxicityModel:
     def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "toxic", fold_mod: int = 3, held: int = 1,
             rows: int = SAMPLE_ROWS, rounds: int = 20, depth: int = 3) -> ToxicityModel:
         sample = materialize(labelled_sample(docs, labels, label, fold_mod, held, rows), "tox-sample")
-        if not both_classes(sample):
+        parts = in_both_parts(sample)
+        if parts is None:
             return cls({}, None, None, base_rate(sample))
-        lexicon = learn_lexicon(sample)
-        x = featurize(sample, lexicon, ["y", "part"]).select("y", "part", array_to_vector("x").alias("v"))
+        lexicon = learn_lexicon(parts)
+        x = featurize(parts, lexicon, ["y", "part"]).select("y", "part", array_to_vector("x").alias("v"))
         x = materialize(x, "tox-features").coalesce(8)
         gbt = GBTClassifier(featuresCol="v", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=0.3,
                             minInstancesPerNode=3, seed=11)

@@ -89,3 +89,30 @@ def test_capitals_mean_the_same_at_every_length(word):
     want = sum(c.isupper() for c in word) / (len(word) + 1)
     for n in (1, 10, 1000):
         assert toxicity.features_of(f"{word} " * n, {})[at] == pytest.approx(want)
+
+
+def test_few_rows_of_a_label_are_in_both_parts(spark):
+    from quarry.llm.labelled import in_both_parts
+    sample = lambda toxic: spark.createDataFrame(
+        [(i, f"fine {i}", 0.0, int(i % 10 >= 7)) for i in range(60)] + toxic,
+        "doc_id long, text string, y double, part int")
+    parts = lambda d: sorted(((r["doc_id"], r["part"]) for r in in_both_parts(d).where("y = 1").collect()))
+    for part in (0, 1):
+        got = parts(sample([(100 + i, f"bad {i}", 1.0, part) for i in range(6)]))
+        assert [i for i, _ in got] == list(range(100, 106)) and sum(p != part for _, p in got) == 1
+        assert parts(sample([(100, "bad", 1.0, part)])) == [(100, 0), (100, 1)]
+    assert in_both_parts(sample([])) is None
+    same = sample([(100, "bad a", 1.0, 0), (101, "bad b", 1.0, 1)])
+    assert in_both_parts(same) is same
+
+
+def test_models_are_fitted_on_few_rows_of_a_label(spark):
+    """Toxic rows whose texts all hash to the fitting part."""
+    pick = spark.range(400).selectExpr("id", "concat('you idiot number ', id, ' total idiot') t").where(
+        "pmod(xxhash64(xxhash64(t), 7), 10) < 7").limit(12).collect()
+    rows = [(1000 + i, r["t"], "en", "a", 1) for i, r in enumerate(pick)]
+    rows += [(5000 + i, f"good plain sentence {i} of the day and night", "en", "a", 1) for i in range(300)]
+    d = docs(spark, rows)
+    lab = spark.createDataFrame([(i, int(i >= 5000), int(i < 5000)) for i, *_ in rows], LABEL)
+    assert toxicity.ToxicityModel.fit(d, lab).trees is not None
+    assert quality.QualityModel.fit(d, lab).constant is None
