@@ -30,6 +30,7 @@ from quarry.llm.common import fresh, materialize, small_batches, table
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
+BUCKETS = 16
 
 # every ASCII byte that is not a digit or a letter separates words; A-Z are lower-cased
 _NORM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
@@ -63,24 +64,29 @@ def window_list(text: str | None, window: int = WINDOW) -> list[tuple[bytes, ...
     return [tuple(w[i:i + n]) for i in range(len(w) - n + 1)]
 
 
-def item_blocks(items: DataFrame, block_words: int) -> list[list[tuple[str, str]]]:
+def item_blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
     """Items as (item_id, text) in blocks of at most ``block_words`` words each.
 
-    A block holds at least one item.  Item rows are numbered by a running sum
-    of their words; each block is fetched by its own bounded read.
+    Equal rows count once.  Rows are dealt to buckets by a hash, about
+    ``BUCKETS`` to a block; a block is a run of buckets within the bound, or one
+    bucket (an item is never cut).  Nothing of the texts is collected here.
     """
-    from pyspark.sql import Window as W
     n = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     d = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
                      F.coalesce(F.col("text"), F.lit("")).alias("text"), n.cast("long").alias("n"))
     total = d.agg(F.sum("n")).head()[0] or 0
     if total <= block_words:
-        return [[(r[0], r[1]) for r in d.select("item_id", "text").collect()]] if total else []
-    run = F.sum("n").over(W.orderBy("item_id", "text").rowsBetween(W.unboundedPreceding, 0))
-    d = materialize(d.withColumn("block", F.floor((run - F.col("n")) / block_words)), "decon-items")
-    ids = [r[0] for r in d.select("block").distinct().orderBy("block").collect()]
-    return [[(r[0], r[1]) for r in d.where(F.col("block") == b).select("item_id", "text").collect()]
-            for b in ids]
+        return [d.select("item_id", "text")] if total else []
+    buckets = BUCKETS * -(-total // block_words)
+    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(buckets))
+    d = materialize(d.distinct().withColumn("bucket", bucket), "decon-items")
+    runs: list[list[int]] = []  # first and last bucket, words
+    for k, words in d.groupBy("bucket").agg(F.sum("n")).orderBy("bucket").collect():
+        if runs and runs[-1][2] + words <= block_words:
+            runs[-1][1:] = [k, runs[-1][2] + words]
+        else:
+            runs.append([k, k, words])
+    return [d.where(F.col("bucket").between(x, y)).select("item_id", "text") for x, y, _ in runs]
 
 
 def build(items: list[tuple[str, str]], window: int):
@@ -144,11 +150,13 @@ def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int
     small_batches(spark)
     keep = docs.columns if keep is None else keep
     hit = fresh(docs, "hit")
-    blocks = item_blocks(items, block_words) or [[]]
+    blocks = item_blocks(items, block_words) or [None]
     df = docs
     for i, block in enumerate(blocks):
         last = i == len(blocks) - 1
-        shared = spark.sparkContext.broadcast({"items": block})
+        # one block at a time is on the driver
+        shared = spark.sparkContext.broadcast(
+            {"items": [] if block is None else [(r[0], r[1]) for r in block.collect()]})
         names = keep if last else list(dict.fromkeys([*keep, text_col]))
 
         def run(batches, shared=shared, names=names):
@@ -169,6 +177,7 @@ def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int
             run, T.StructType([*fields, T.StructField(hit, HIT_TYPE)]))
         if not last:
             df = materialize(df, "decon-pass")
+            shared.destroy()
     return df, hit
 
 

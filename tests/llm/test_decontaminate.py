@@ -70,3 +70,32 @@ def test_empty_tables(spark):
     assert dc.contaminated(empty_docs(spark), items(spark)).collect() == []
     assert dc.contaminated(docs(spark), none).where(F.col("contaminated")).count() == 0
     assert dc.contaminated(docs(spark), spark.createDataFrame([(1, "")], BENCH)).where("n_hit > 0").count() == 0
+
+
+def test_blocks_are_bounded_and_fetched_one_by_one(spark, monkeypatch):
+    """Many blocks: within the bound, all items once, none on the driver before its own pass."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(3 + i % 5))) for i in range(120)] + [(5, "w5x0 w5x1"), (5, "w5x0 w5x1")]
+    d = spark.createDataFrame(rows, BENCH)
+    blocks = dc.item_blocks(d, 60)
+    assert len(blocks) > 5 and not any(isinstance(b, list) for b in blocks)
+    got = [[(r["item_id"], r["text"]) for r in b.collect()] for b in blocks]
+    assert all(sum(len(t.split()) for _, t in b) <= 60 for b in got)
+    assert sorted(x for b in got for x in b) == sorted({(str(i), t) for i, t in rows})
+    live = []
+    cast = type(spark.sparkContext).broadcast
+
+    def note(self, value):
+        b = cast(self, value)
+        live.append(b)
+        assert len(live) - len(gone) == 1
+        return b
+
+    gone = []
+    kind = type(spark.sparkContext.broadcast({}))
+    end = kind.destroy
+    monkeypatch.setattr(kind, "destroy", lambda self, blocking=False: (gone.append(self), end(self, blocking))[1])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", note)
+    texts = [(1, rows[17][1], "en", "a", 1), (2, f"x {rows[88][1]} y", "en", "a", 1), (3, "clean", "en", "a", 1)]
+    out = dc.contaminated(docs(spark, texts), d, block_words=300).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in out} == {1: ["17"], 2: ["88"], 3: []}
+    assert len(live) > 1 and len(gone) == len(live) - 1
