@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "decontaminate", "secrets", "mixing", "toxicity", "quality",
-    "linededup", "licenses", "jaccard", "ctwlm", "neardup_vectors",
+    "linededup", "licenses", "jaccard", "ctwlm", "neardup_vectors", "ann",
 )
 
 
