@@ -18,10 +18,13 @@ COLUMNS = {
     "op9_mixing": {"doc_id", "size", "source_size", "target", "taken"},
     "op10_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op11_ann": {"query_id", "rank", "vec_id", "score"},
+    "op12_conversations": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                           "repaired_sha256"},
 }
 # Queries that do not return a row for each row of their table.
 ROWS = {
     "op11_ann": lambda spark: 20 * spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count(),
+    "op12_conversations": lambda spark: spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count(),
 }
 
 
@@ -44,7 +47,7 @@ def test_columns(spark, name):
 @pytest.mark.parametrize("name", sorted(registry.all_oracles()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(registry.all_oracles()[name])
     cols = [c[0] for c in want.description]
