@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "decontaminate", "secrets", "mixing", "toxicity", "quality",
     "linededup", "licenses", "jaccard", "ctwlm", "neardup_vectors", "ann", "conversations",
+    "collocations",
 )
 
 
