@@ -1,13 +1,14 @@
 """Operator 13: phrase collocations from FM-indexes over word ids, one index a shard.
 
-Tasks read documents into shards (one language, a bounded number of words) and
-give every word a number within its shard.  Words seen ``least`` times in the
+Tasks read documents into pieces (one language, a bounded number of words) and
+give every word a number within its piece.  Words seen ``LEAST`` times in the
 whole language get a number for good; all others part phrases just as piece
-ends do, as no frequent phrase holds them.  Each shard is then indexed once:
-the Burrows-Wheeler transforms of its word numbers read forwards and backwards,
+ends do, as no frequent phrase holds them.  Pieces of a language are dealt to
+shards of about ``SHARD_WORDS`` words, and each shard is indexed once: the
+Burrows-Wheeler transforms of its word numbers read forwards and backwards,
 sorted by the next four words, as no longer phrase is asked for.  A phrase is
 an interval in both; adding a word at either end is a step of the backward
-search in one transform and a shift in the other, done for all phrases of one
+search in one transform and a shift in the other, done for many phrases of one
 length at once, and gives the phrase's counts with each extension.
 
 First every shard extends its words to the right: the pairs.  Pairs are summed
@@ -22,13 +23,14 @@ is dropped.
 
 Defined results: a null text is empty and has no words; a null lang is ``und``;
 repeated rows count each; ties are broken as the contract says, down to the
-phrase itself.  A very long text is a shard of its own size.  An empty table
+phrase itself.  A very long text is a piece of its own size.  An empty table
 gives no rows.  Other columns, whatever their names, are not read.
 
-Scale: a shard holds at most about ``SHARD_WORDS`` words more than its last
-document; every table between is keyed by word, pair, phrase or shard, with one
-row a shard at most for a key, so neither a word, a pair nor a language gathers
-in one task.  Nothing is collected or broadcast by this code.
+Scale: a shard is bounded, so a language on a third of all rows has a third of
+the shards; every table between is keyed by word, pair, phrase or shard, with
+one row a shard (words: a piece) at most for a key, so neither a word, a pair
+nor a language gathers in one task.  Only the table of languages is numbered in
+one task.  Nothing is collected or broadcast by this code.
 """
 
 from __future__ import annotations
@@ -41,13 +43,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, table
+from quarry.llm.common import collecting, drop_tables, materialize, table
 from quarry.operators.ordinal import with_ordinal
 
 LEAST = 30            # occurrences of a phrase
 TOP = 2000            # phrases of a language
 INSIDE = 80           # per cent: a phrase is dropped if a longer one has as many of its occurrences
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 22
+PIECE_WORDS = 1 << 20
+ROWS = 1 << 19        # of a transform, extended at once
 DEPTH = 4             # words of a phrase
 # Every piece end becomes the first of them, every tab a space; upper case becomes lower.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -67,7 +71,15 @@ def tokens(text: str) -> list[bytes]:
     return [w for w in text.encode().translate(FOLD).replace(b".", b" . ").split(b" ") if w]
 
 
-class Shard:
+def packed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
+class Piece:
     def __init__(self):
         self.words, self.text = Words({b".": 0}), array("i", [0])
 
@@ -75,38 +87,37 @@ class Shard:
         self.text.extend(map(self.words.__getitem__, tokens(text)))
         self.text.append(0)
 
-    def row(self, lang: str) -> list:
-        t = np.frombuffer(self.text, np.int32)
-        counts = np.bincount(t, minlength=len(self.words))[1:]
-        return [lang, list(self.words)[1:], counts, t.tobytes()]
 
-
-def shards(docs: DataFrame, size: int = SHARD_WORDS) -> DataFrame:
-    """(shard, lang, words, counts, text): the numbered words of the documents."""
+def pieces(docs: DataFrame, size: int = PIECE_WORDS) -> DataFrame:
+    """(piece, lang, words, counts, total, size, text): the numbered words of the documents."""
+    kinds = "lang string, words array<binary>, counts array<long>, total long, size long, text binary"
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        open_: dict[str, Shard] = {}
+        open_: dict[str, Piece] = {}
 
         def close(lang: str) -> pa.RecordBatch:
-            lang, words, counts, text = open_.pop(lang).row(lang)
+            p = open_.pop(lang)
+            t = np.frombuffer(p.text, np.int32)
+            counts = np.bincount(t, minlength=len(p.words))[1:]
             return pa.RecordBatch.from_arrays(
-                [pa.array([lang]), pa.array([words], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())),
-                 pa.array([text], pa.binary())], names=["lang", "words", "counts", "text"])
+                [pa.array([lang]), pa.array([list(p.words)[1:]], pa.list_(pa.binary())),
+                 pa.array([counts], pa.list_(pa.int64())), pa.array([int(counts.sum())], pa.int64()),
+                 pa.array([len(t)], pa.int64()), pa.array([packed(t)], pa.binary())],
+                names=["lang", "words", "counts", "total", "size", "text"])
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                shard = open_.setdefault(lang, Shard())
-                shard.add(text)
-                if len(shard.text) >= size:
+                piece = open_.setdefault(lang, Piece())
+                piece.add(text)
+                if len(piece.text) >= size:
                     yield close(lang)
-                elif len(open_) > 4 and sum(len(s.text) for s in open_.values()) >= 2 * size:
+                elif len(open_) > 4 and sum(len(p.text) for p in open_.values()) >= 4 * size:
                     yield close(max(open_, key=lambda k: len(open_[k].text)))
         for lang in list(open_):
             yield close(lang)
 
     some = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where(F.col("text").isNotNull())
-    return some.mapInArrow(run, "lang string, words array<binary>, counts array<long>, text binary").withColumn(
-        "shard", F.monotonically_increasing_id())
+    return some.mapInArrow(run, kinds).withColumn("piece", F.monotonically_increasing_id())
 
 
 def ranks(x: np.ndarray) -> np.ndarray:
@@ -151,9 +162,15 @@ class FMIndex:
         ``other`` holds the starts in the opposite transform.  Returns (from
         which interval, word, low, other, size), words in order.
         """
-        ends = np.cumsum(size)
-        rows = np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        owner = np.repeat(np.arange(len(low)), size)
+        cuts = [0, *np.flatnonzero(np.diff((np.cumsum(size) - 1) // ROWS)) + 1, len(low)] if len(low) else [0, 0]
+        found = [self._extend(low, other, size, i, j) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _extend(self, low, other, size, i: int, j: int):
+        """Extensions of the intervals from the i-th to before the j-th."""
+        ends = np.cumsum(size[i:j])
+        rows = np.repeat(low[i:j] - (ends - size[i:j]), size[i:j]) + np.arange(ends[-1] if j > i else 0)
+        owner = np.repeat(np.arange(i, j), size[i:j])
         key, n = np.unique(owner * (self.sigma + 1) + self.bwt[rows], return_counts=True)
         owner, word = key // (self.sigma + 1), key % (self.sigma + 1)
         below = np.cumsum(n) - n
@@ -202,31 +219,38 @@ class Phrases:
         return [np.concatenate(x) for x in zip(three, four, strict=True)]
 
 
-def indexes(shards_: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(shard, ids, ahead, back): both transforms of every shard; ids[i] is the number for good of its word i + 1."""
+def indexes(pieces_: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(shard, ids, size, ahead, back): both transforms of every shard; ids[i] is the number for good of its word i + 1.
 
-    def run(batches):
-        for b in batches:
-            for shard, text, own in zip(*(b.column(c).to_pylist() for c in ("shard", "text", "own")), strict=True):
-                t = np.frombuffer(text, np.int32)
-                own = sorted((x["id"], x["j"]) for x in own)
-                new = np.zeros(int(t.max(initial=0)) + 1, np.uint16 if len(own) < 1 << 16 else np.uint32)
-                new[[j + 1 for _, j in own]] = np.arange(1, len(own) + 1)
-                t = new[t]
-                t = t[np.r_[True, (t[1:] != 0) | (t[:-1] != 0)]]  # one end is enough
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int64()), pa.array([np.array([i for i, _ in own], np.int64).tobytes()]),
-                     pa.array([transform(t).tobytes()]), pa.array([transform(t[::-1]).tobytes()])],
-                    names=["shard", "ids", "ahead", "back"])
-
-    return shards_.select("shard", "text").join(numbers, "shard").mapInArrow(
-        run, "shard long, ids binary, ahead binary, back binary")
+    ``numbers``: (shard, piece, j, id) of the frequent words of every piece.
+    """
+
+    def run(parts: pa.Table, known: pa.Table) -> pa.Table:
+        piece, j, own = (known.column(c).to_numpy() for c in ("piece", "j", "id"))
+        ids = np.unique(own)
+        kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
+        text = [np.zeros(1, kind)]
+        for r in parts.to_pylist():
+            t, mine = unpacked(r["text"], np.int32, r["size"]), piece == r["piece"]
+            new = np.zeros(int(t.max(initial=0)) + 1, kind)
+            new[j[mine] + 1] = np.searchsorted(ids, own[mine]) + 1
+            text.append(new[t])
+        t = np.concatenate(text)
+        t = t[np.r_[True, (t[1:] != 0) | (t[:-1] != 0)]]  # one end is enough
+        return pa.table({"shard": parts.column("shard")[:1], "ids": pa.array([packed(ids)]), "words": pa.array([len(ids)], pa.int64()),
+                         "size": pa.array([len(t)], pa.int64()), "ahead": pa.array([packed(transform(t))]),
+                         "back": pa.array([packed(transform(t[::-1]))])})
+
+    numbers = numbers.select(*(F.col(c).alias(c) for c in ("shard", "piece", "j", "id")))  # of their own in the plan
+    return pieces_.select("shard", "piece", "size", "text").groupBy("shard").cogroup(numbers.groupBy("shard")).applyInArrow(
+        run, "shard long, ids binary, words long, size long, ahead binary, back binary")
 
 
 def opened(row: dict) -> tuple[np.ndarray, Phrases]:
-    ids = np.frombuffer(row["ids"], np.int64)
-    kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
-    return np.r_[0, ids], Phrases(np.frombuffer(row["ahead"], kind), np.frombuffer(row["back"], kind), len(ids))
+    n = row["words"]
+    kind = np.uint16 if n < 1 << 16 else np.uint32
+    ahead, back = (unpacked(row[c], kind, row["size"]) for c in ("ahead", "back"))
+    return np.r_[0, unpacked(row["ids"], np.int64, n)], Phrases(ahead, back, n)
 
 
 def pair_counts(index: DataFrame) -> DataFrame:
@@ -234,7 +258,8 @@ def pair_counts(index: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
                 ids, phrases = opened(r)
                 a, c, n, _, _ = phrases.pairs()
                 for i in range(0, len(n), 1 << 16):
@@ -247,45 +272,52 @@ def pair_counts(index: DataFrame) -> DataFrame:
 
 
 def longer_counts(index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(w1, w2, w3, w4, f): the longer phrases of every shard whose pairs are all frequent; w4 is 0 where there are three."""
+    """(w1, w2, w3, w4, f): the longer phrases of every shard whose pairs are all frequent; w4 is 0 where there are three.
 
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ids, phrases = opened(r)
-                known = np.array([(p["w1"], p["w2"]) for p in r["pairs"]], np.int64).reshape(-1, 2)
-                known = np.searchsorted(ids, known)
-                *w, n = phrases.longer(np.sort(known[:, 0] * len(ids) + known[:, 1]))
-                for i in range(0, len(n), 1 << 16):
-                    part = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(ids[x[part]]) for x in w), pa.array(n[part])],
-                                                     names=["w1", "w2", "w3", "w4", "f"])
+    ``pairs``: (shard, w1, w2) of the frequent pairs in every shard.
+    """
+
+    def run(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+        if not len(rows) or not len(pairs):
+            return pa.table({c: pa.array([], pa.int64()) for c in (*W, "f")})
+        ids, phrases = opened(rows.to_pylist()[0])
+        a, b = (np.searchsorted(ids, pairs.column(c).to_numpy()) for c in ("w1", "w2"))
+        *w, n = phrases.longer(np.sort(a * len(ids) + b))
+        return pa.table({c: pa.array(x) for c, x in zip((*W, "f"), (*(ids[x] for x in w), n), strict=True)})
 
-    own = pairs.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2")).alias("pairs"))
-    return index.join(own, "shard").mapInArrow(run, "w1 long, w2 long, w3 long, w4 long, f long")
+    return index.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(
+        run, "w1 long, w2 long, w3 long, w4 long, f long")
 
 
 W = ("w1", "w2", "w3", "w4")
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, size: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = LEAST, size: int = SHARD_WORDS,
+                  piece: int = PIECE_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, n), (id, lang, word, f) of the frequent words and (w1..w4, f) of the frequent phrases, absent words 0."""
-    parts = materialize(shards(docs, size), "phrase-shards")
-    totals = parts.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
-    each = parts.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("j", "x")).select(
-        "shard", "lang", "j", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
+    with collecting(used := []):
+        parts = materialize(pieces(docs, piece), "phrase-pieces")
+    totals = parts.groupBy("lang").agg(F.sum("total").alias("n"), F.sum("size").alias("s"))
+    totals = totals.withColumn("shards", F.greatest(F.lit(1).cast("long"), F.round(F.col("s") / size).cast("long")))
+    before = Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)  # a row a language
+    totals = materialize(totals.withColumn("base", F.coalesce(F.sum("shards").over(before), F.lit(0))), "phrase-langs")
+    shard = (F.col("base") + F.pmod(F.xxhash64("piece"), F.col("shards"))).alias("shard")
+    parts = parts.join(totals.select("lang", "shards", "base"), "lang").select(
+        shard, "piece", "lang", "words", "counts", "size", "text")
+    each = parts.select("shard", "piece", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("j", "x")).select(
+        "shard", "piece", "lang", F.col("j").cast("long").alias("j"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     words = materialize(each.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
                         .withColumn("id", F.monotonically_increasing_id() + 1), "phrase-words")
-    own = each.select("shard", "lang", "j", "word").join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy(
-        "shard").agg(F.collect_list(F.struct("j", "id")).alias("own"))
+    own = each.drop("c").join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "piece", "j", "id")
     index = materialize(indexes(parts, own), "phrase-index")
+    drop_tables(docs.sparkSession, used)  # all that follows reads the index
     total = F.sum("f").over(Window.partitionBy("w1", "w2"))  # a row a shard at most
     pairs = materialize(pair_counts(index).withColumn("f", total).where(F.col("f") >= least), "phrase-pairs")
     longer = longer_counts(index, pairs.select("shard", "w1", "w2")).groupBy(*W).agg(F.sum("f").alias("f")).where(
         F.col("f") >= least)
     none = F.lit(0).cast("long")
     two = pairs.select("w1", "w2", "f").distinct().select("w1", "w2", none.alias("w3"), none.alias("w4"), "f")
-    return totals, words, materialize(two.unionByName(longer), "phrases")
+    return totals.select("lang", "n"), words, materialize(two.unionByName(longer), "phrases")
 
 
 def _phrase(*w: Column) -> Column:
@@ -294,9 +326,9 @@ def _phrase(*w: Column) -> Column:
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = INSIDE,
-                 size: int = SHARD_WORDS) -> DataFrame:
+                 size: int = SHARD_WORDS, piece: int = PIECE_WORDS) -> DataFrame:
     """(text, lang) -> lang, rank, phrase, a, l, r, n, score: each language's best phrases."""
-    totals, words, phrases = phrase_counts(docs, least, size)
+    totals, words, phrases = phrase_counts(docs, least, size, piece)
     w = [F.col(c) for c in W]
     long4, long3 = F.col("w4") > 0, F.col("w3") > 0
     # one-word extensions: the phrase without its last or its first word

@@ -56,10 +56,11 @@ def answers(df, **how):
         "lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
 
 
-@pytest.mark.parametrize("size", [300, 1 << 20])
-def test_against_counting_everything(spark, size):
+@pytest.mark.parametrize("size", [(900, 300), (1 << 20, 1 << 20)])
+def test_against_counting_everything(spark, size, monkeypatch):
+    monkeypatch.setattr(co, "ROWS", 500)
     rows = text_rows(1, 300)
-    assert answers(docs(spark, rows), least=6, top=50, size=size) == brute(rows, 6, 50)
+    assert answers(docs(spark, rows), least=6, top=50, size=size[0], piece=size[1]) == brute(rows, 6, 50)
 
 
 def test_nulls_long_texts_repeats_and_clashes(spark):
@@ -79,7 +80,8 @@ def naive(t, k):
 
 
 @pytest.mark.parametrize("sigma", [5, 70_000])
-def test_index_counts_every_phrase(sigma):
+def test_index_counts_every_phrase(sigma, monkeypatch):
+    monkeypatch.setattr(co, "ROWS", 700)
     rnd = np.random.default_rng(4)
     t = np.r_[0, np.where(rnd.random(4000) < 0.1, 0, rnd.integers(max(1, sigma - 4), sigma + 1, 4000)), 0].astype(
         np.uint16 if sigma < 1 << 16 else np.uint32)
