@@ -35,6 +35,8 @@ one task.  Nothing is collected or broadcast by this code.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from array import array
 from collections.abc import Iterator
 
@@ -49,7 +51,7 @@ from quarry.operators.ordinal import with_ordinal
 LEAST = 30            # occurrences of a phrase
 TOP = 2000            # phrases of a language
 INSIDE = 80           # per cent: a phrase is dropped if a longer one has as many of its occurrences
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 3 << 20
 PIECE_WORDS = 1 << 20
 ROWS = 1 << 19        # of a transform, extended at once
 DEPTH = 4             # words of a phrase
@@ -106,7 +108,8 @@ def pieces(docs: DataFrame, size: int = PIECE_WORDS) -> DataFrame:
                 names=["lang", "words", "counts", "total", "size", "text"])
 
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for r in (r for i in range(0, b.num_rows, 256) for r in b.slice(i, 256).to_pylist()):
+                lang, text = r["lang"], r["text"]
                 piece = open_.setdefault(lang, Piece())
                 piece.add(text)
                 if len(piece.text) >= size:
@@ -120,21 +123,14 @@ def pieces(docs: DataFrame, size: int = PIECE_WORDS) -> DataFrame:
     return some.mapInArrow(run, kinds).withColumn("piece", F.monotonically_increasing_id())
 
 
-def ranks(x: np.ndarray) -> np.ndarray:
-    return np.unique(x, return_inverse=True)[1]
-
-
 def by_next_words(t: np.ndarray) -> np.ndarray:
-    """Positions of the text by the ``DEPTH`` words from there on; equal ones by position."""
-    def ahead(x, n):
-        return np.r_[x[n:], np.zeros(min(n, len(x)), x.dtype)][:len(x)]
-    wide = t.astype(np.uint64)
-    if int(t.max(initial=0)) < 1 << 16:
-        key = wide << 48 | ahead(wide, 1) << 32 | ahead(wide, 2) << 16 | ahead(wide, 3)
-    else:
-        two = ranks(wide << 32 | ahead(wide, 1)).astype(np.uint64)
-        key = two << 32 | ahead(two, 2)
-    return np.argsort(key, kind="stable")
+    """Positions of the text by the ``DEPTH`` words from there on, equal ones by position: the last word is sorted first."""
+    order = np.arange(len(t))
+    for n in reversed(range(DEPTH)):
+        ahead = np.zeros(len(t), t.dtype)
+        ahead[:max(0, len(t) - n)] = t[n:]
+        order = order[np.argsort(ahead[order], kind="stable")]
+    return order
 
 
 def transform(t: np.ndarray) -> np.ndarray:
@@ -149,36 +145,50 @@ class FMIndex:
         self.bwt, self.sigma = bwt, sigma
         self.count = np.bincount(bwt, minlength=sigma + 1)
         self.start = np.cumsum(self.count) - self.count
-        at = np.argsort(bwt, kind="stable")
-        self.places = bwt[at].astype(np.int64) * len(bwt) + at  # of every word, in order
+
+    @functools.cached_property
+    def places(self) -> np.ndarray:
+        """Where every word stands in the transform: word * length + row, ascending."""
+        at = np.argsort(self.bwt, kind="stable")
+        out = self.bwt[at].astype(np.int64)
+        out *= len(at)
+        out += at
+        return out
 
     def before(self, word: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Occurrences of the words in the transform before the rows."""
         return np.searchsorted(self.places, word * len(self.bwt) + row) - self.start[word]
 
-    def extend(self, low: np.ndarray, other: np.ndarray, size: np.ndarray):
-        """All one-word extensions of the intervals at this transform's end.
+    def counts(self, low: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
+        """All one-word extensions of the intervals at this transform's end, some intervals at a time.
 
-        ``other`` holds the starts in the opposite transform.  Returns (from
-        which interval, word, low, other, size), words in order.
+        Yields (which interval, word, count, count of smaller words and ends in the interval), words in order.
+        """
+        cuts = [0, *np.flatnonzero(np.diff((np.cumsum(size) - 1) // ROWS)) + 1, len(low)] if len(low) else []
+        for i, j in itertools.pairwise(cuts):
+            ends = np.cumsum(size[i:j])
+            rows = np.repeat(low[i:j] - (ends - size[i:j]), size[i:j]) + np.arange(ends[-1])
+            owner = np.repeat(np.arange(i, j), size[i:j])
+            key, n = np.unique(owner * (self.sigma + 1) + self.bwt[rows], return_counts=True)
+            owner, word = key // (self.sigma + 1), key % (self.sigma + 1)
+            below = np.cumsum(n) - n
+            first = np.r_[True, owner[1:] != owner[:-1]][:len(owner)]
+            below = below - np.repeat(below[first], np.diff(np.r_[np.flatnonzero(first), len(owner)]))
+            real = word > 0
+            yield owner[real], word[real], n[real], below[real]
+
+    def extend(self, low: np.ndarray, other: np.ndarray, size: np.ndarray, keep) -> list[np.ndarray]:
+        """The extensions (which interval, word, count) that ``keep``, and their intervals.
+
+        ``other`` holds the starts in the opposite transform.  Returns (which
+        interval, word, count, low, other).
         """
-        cuts = [0, *np.flatnonzero(np.diff((np.cumsum(size) - 1) // ROWS)) + 1, len(low)] if len(low) else [0, 0]
-        found = [self._extend(low, other, size, i, j) for i, j in zip(cuts, cuts[1:], strict=False)]
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    def _extend(self, low, other, size, i: int, j: int):
-        """Extensions of the intervals from the i-th to before the j-th."""
-        ends = np.cumsum(size[i:j])
-        rows = np.repeat(low[i:j] - (ends - size[i:j]), size[i:j]) + np.arange(ends[-1] if j > i else 0)
-        owner = np.repeat(np.arange(i, j), size[i:j])
-        key, n = np.unique(owner * (self.sigma + 1) + self.bwt[rows], return_counts=True)
-        owner, word = key // (self.sigma + 1), key % (self.sigma + 1)
-        below = np.cumsum(n) - n
-        first = np.r_[True, owner[1:] != owner[:-1]][:len(owner)]
-        below = below - np.repeat(below[first], np.diff(np.r_[np.flatnonzero(first), len(owner)]))
-        real = word > 0
-        owner, word, n, below = owner[real], word[real], n[real], below[real]
-        return owner, word, self.start[word] + self.before(word, low[owner]), other[owner] + below, n
+        found = [(np.zeros(0, np.int64),) * 5]
+        for owner, word, n, below in self.counts(low, size):
+            ok = keep(owner, word)
+            owner, word, n, below = owner[ok], word[ok], n[ok], below[ok]
+            found.append((owner, word, n, self.start[word] + self.before(word, low[owner]), other[owner] + below))
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
 class Phrases:
@@ -187,36 +197,29 @@ class Phrases:
     def __init__(self, ahead: np.ndarray, back: np.ndarray, sigma: int):
         self.left, self.right, self.sigma = FMIndex(ahead, sigma), FMIndex(back, sigma), sigma
 
-    def words(self):
-        at = self.left.start[1:]
-        return at, at, self.left.count[1:]
-
-    def pairs(self):
-        """(first, second, count) of all pairs of words, and their intervals."""
-        low, back, n = self.words()
-        own, second, back, low, n = self.right.extend(back, low, n)
-        return own + 1, second, n, low, back
+    def pairs(self) -> Iterator[tuple]:
+        """(first, second, count) of all pairs of words, some at a time."""
+        for own, second, n, _ in self.right.counts(self.right.start[1:], self.right.count[1:]):
+            yield own + 1, second, n
 
-    def longer(self, frequent: np.ndarray):
-        """Words and counts of the three- and four-word phrases all of whose pairs are frequent.
+    def longer(self, frequent: np.ndarray) -> list[np.ndarray]:
+        """Four words (the last 0 if there are three) and counts of the phrases all of whose pairs are frequent.
 
         ``frequent``: sorted keys first * (sigma + 1) + second.
         """
         def known(a, b):
+            if not len(frequent):
+                return np.zeros(len(a), bool)
             key = a * (self.sigma + 1) + b
-            return frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key if len(frequent) else key < 0
-        a, b, n, low, back = self.pairs()
-        ok = known(a, b)
-        a, b, n, low, back = a[ok], b[ok], n[ok], low[ok], back[ok]
-        own, c, back, low, n = self.right.extend(back, low, n)
-        ok = known(b[own], c)
-        own, c, back, low, n = own[ok], c[ok], back[ok], low[ok], n[ok]
-        three = (a[own], b[own], c, np.zeros_like(c), n)
-        own, first, low, back, n = self.left.extend(low, back, n)
-        ok = known(first, three[0][own])
-        own, first, n = own[ok], first[ok], n[ok]
-        four = (first, *(x[own] for x in three[:3]), n)
-        return [np.concatenate(x) for x in zip(three, four, strict=True)]
+            return frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
+        at = self.left.start[1:]
+        a, b, n, back, low = self.right.extend(at, at, self.left.count[1:], lambda own, w: known(own + 1, w))
+        a += 1
+        own, c, n, back, low = self.right.extend(back, low, n, lambda own, w: known(b[own], w))
+        three = (a[own], b[own], c)
+        own, first, m, _, _ = self.left.extend(low, back, n, lambda own, w: known(w, three[0][own]))
+        rows = (*three, np.zeros_like(c), n), (first, *(x[own] for x in three), m)
+        return [np.concatenate(x) for x in zip(*rows, strict=True)]
 
 
 def indexes(pieces_: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -261,11 +264,9 @@ def pair_counts(index: DataFrame) -> DataFrame:
             for at in range(b.num_rows):
                 r = b.slice(at, 1).to_pylist()[0]
                 ids, phrases = opened(r)
-                a, c, n, _, _ = phrases.pairs()
-                for i in range(0, len(n), 1 << 16):
-                    part = slice(i, i + (1 << 16))
+                for a, c, n in phrases.pairs():
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(n[part]), r["shard"])), *(pa.array(x) for x in (ids[a[part]], ids[c[part]], n[part]))],
+                        [pa.array(np.full(len(n), r["shard"])), *(pa.array(x) for x in (ids[a], ids[c], n))],
                         names=["shard", "w1", "w2", "f"])
 
     return index.mapInArrow(run, "shard long, w1 long, w2 long, f long")

@@ -86,7 +86,7 @@ def test_index_counts_every_phrase(sigma, monkeypatch):
     t = np.r_[0, np.where(rnd.random(4000) < 0.1, 0, rnd.integers(max(1, sigma - 4), sigma + 1, 4000)), 0].astype(
         np.uint16 if sigma < 1 << 16 else np.uint32)
     p = co.Phrases(co.transform(t), co.transform(t[::-1]), sigma)
-    a, b, n, _, _ = p.pairs()
+    a, b, n = (np.concatenate(x) for x in zip(*p.pairs(), strict=True))
     plain = t.tolist()
     assert {(int(x), int(y)): int(c) for x, y, c in zip(a, b, n, strict=True)} == naive(plain, 2)
     *w, n = p.longer(np.sort(a * (sigma + 1) + b))
