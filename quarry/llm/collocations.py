@@ -51,9 +51,9 @@ from quarry.operators.ordinal import with_ordinal
 LEAST = 30            # occurrences of a phrase
 TOP = 2000            # phrases of a language
 INSIDE = 80           # per cent: a phrase is dropped if a longer one has as many of its occurrences
-SHARD_WORDS = 3 << 20
+SHARD_WORDS = 1 << 21
 PIECE_WORDS = 1 << 20
-ROWS = 1 << 19        # of a transform, extended at once
+ROWS = 1 << 18        # of a transform, extended at once
 DEPTH = 4             # words of a phrase
 # Every piece end becomes the first of them, every tab a space; upper case becomes lower.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -284,7 +284,8 @@ def longer_counts(index: DataFrame, pairs: DataFrame) -> DataFrame:
         ids, phrases = opened(rows.to_pylist()[0])
         a, b = (np.searchsorted(ids, pairs.column(c).to_numpy()) for c in ("w1", "w2"))
         *w, n = phrases.longer(np.sort(a * len(ids) + b))
-        return pa.table({c: pa.array(x) for c, x in zip((*W, "f"), (*(ids[x] for x in w), n), strict=True)})
+        found = pa.table({c: pa.array(x) for c, x in zip((*W, "f"), (*(ids[x] for x in w), n), strict=True)})
+        return pa.Table.from_batches(found.to_batches(1 << 16), found.schema)  # sent in small batches
 
     return index.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(
         run, "w1 long, w2 long, w3 long, w4 long, f long")
