@@ -1,12 +1,21 @@
 """Generated vs gold result sets, for every question in one job.
 
-Input is a long table ``(side, question, row columns...)`` holding the
-generated (``side='gen'``) and gold (``side='gold'``) rows of all
-questions.  Every comparison reduces to one kernel: group by
-``(question, row key)`` counting the rows of each side (one shuffle, with
-map-side partial aggregation), then group by question.  A question whose
-result has a billion rows is spread over all tasks by its row keys - no
-question is ever collected into one task or onto the driver.
+Input is a long table ``(side, question, row)`` holding the generated
+(``side='gen'``) and gold (``side='gold'``) rows of all questions.  Every
+question has columns of its own, so a row is an array of (name, VARIANT);
+``packed`` makes one from columns, and each comparison also takes a list of
+column names where all questions share them.  Every comparison reduces to one
+kernel: group by ``(question, row key)`` counting the rows of each side (one
+shuffle, with map-side partial aggregation), then group by question.  A
+question whose result has a billion rows is spread over all tasks by its row
+keys - no question is ever collected into one task or onto the driver.
+
+Values: D1 compares texts, as it is defined on stringified values (1 and 1.0
+differ, 1 and '1' do not).  D2-D5 compare values by type: numbers and booleans
+by value whatever their types (1 equals 1.0 and true), text with text only,
+NULL with NULL only; dates and timestamps count as text.  Numbers with
+fractions, or of 1e18 and more, compare as doubles unless they are integers.
+A result without a column differs from one that has it, NULL or not.
 """
 
 from __future__ import annotations
@@ -18,23 +27,44 @@ from ..functions.sqltext import normalize_sql
 from .ordinal import with_ordinal
 
 SEP = "\u0001"
+ROW = "array<struct<name:string,value:variant>>"
 
 
-def set_key(cols: list[str]) -> Column:
+def packed(columns: dict[str, Column]) -> Column:
+    """A result row: (name, VARIANT) of each column, in column order."""
+    cells = [F.struct(F.lit(n).alias("name"), v.cast("variant").alias("value")) for n, v in columns.items()]
+    return F.array(*cells).cast(ROW) if cells else F.array().cast(ROW)
+
+
+def _row(cols: list[str] | str) -> Column:
+    return F.col(cols) if isinstance(cols, str) else packed({x: F.col(x) for x in cols})
+
+
+def value_text(value: Column) -> Column:
+    """A typed value as text, the same for equal values: text is quoted, numbers are not."""
+    j = F.to_json(value)
+    d = j.cast("double")
+    whole = (F.abs(d) < 1e18) & (d == F.floor(d))
+    number = F.when(j.rlike("^-?[0-9]+$"), j).when(whole, d.cast("decimal(38,0)").cast("string")).otherwise(d.cast("string"))
+    return (F.when(value.isNull() | j.isNull() | (j == "null"), F.lit("null")).when(j.startswith('"'), j)
+            .when(j == "true", "1").when(j == "false", "0").otherwise(number))
+
+
+def set_key(cols: list[str] | str) -> Column:
     """D1 row key: the row's values as text ('None' for NULL), sorted."""
-    vals = [F.coalesce(F.col(x).cast("string"), F.lit("None")) for x in cols]
-    return F.array_join(F.sort_array(F.array(*vals)), SEP)
+    text = F.transform(_row(cols), lambda x: F.coalesce(x["value"].cast("string"), F.lit("None")))
+    return F.array_join(F.sort_array(text), SEP)
 
 
-def named_key(cols: list[str]) -> Column:
+def named_key(cols: list[str] | str) -> Column:
     """D2-D4 row key: sorted (column name, value) pairs."""
-    vals = [F.concat(F.lit(x + "="), F.coalesce(F.col(x).cast("string"), F.lit("None"))) for x in sorted(cols)]
-    return F.concat_ws(SEP, *vals)
+    pairs = F.transform(_row(cols), lambda x: F.concat(x["name"], F.lit("="), value_text(x["value"])))
+    return F.array_join(F.sort_array(pairs), SEP)
 
 
-def value_key(cols: list[str]) -> Column:
+def value_key(cols: list[str] | str) -> Column:
     """D5 row key: values in column order."""
-    return F.concat_ws(SEP, *[F.coalesce(F.col(x).cast("string"), F.lit("None")) for x in cols])
+    return F.array_join(F.transform(_row(cols), lambda x: value_text(x["value"])), SEP)
 
 
 def side_counts(rows: DataFrame, key: Column, question: str = "question", side: str = "side") -> DataFrame:
@@ -59,7 +89,7 @@ def _with_universe(stats: DataFrame, questions: DataFrame) -> DataFrame:
     return out.select("question", *[F.coalesce(F.col(z), F.lit(0)).cast("long").alias(z) for z in zero])
 
 
-def exact_set_match(rows: DataFrame, cols: list[str], questions: DataFrame) -> DataFrame:
+def exact_set_match(rows: DataFrame, cols: list[str] | str, questions: DataFrame) -> DataFrame:
     """Set of sorted stringified rows equal; both empty -> true, one empty -> false."""
     s = _with_universe(side_counts(rows, set_key(cols)), questions)
     both_empty = (F.col("gen_rows") == 0) & (F.col("gold_rows") == 0)
@@ -68,7 +98,7 @@ def exact_set_match(rows: DataFrame, cols: list[str], questions: DataFrame) -> D
     return s.select("question", (both_empty | (nonempty & same)).alias("exact_set_match"))
 
 
-def multiset_match(rows: DataFrame, cols: list[str], questions: DataFrame) -> DataFrame:
+def multiset_match(rows: DataFrame, cols: list[str] | str, questions: DataFrame) -> DataFrame:
     """Equal length and equal bag of rows; both empty -> true."""
     s = _with_universe(side_counts(rows, named_key(cols)), questions)
     both_empty = (F.col("gen_rows") == 0) & (F.col("gold_rows") == 0)
@@ -77,7 +107,7 @@ def multiset_match(rows: DataFrame, cols: list[str], questions: DataFrame) -> Da
     return s.select("question", (both_empty | (nonempty & bag)).alias("multiset_match"))
 
 
-def jaccard_match(rows: DataFrame, cols: list[str], questions: DataFrame) -> DataFrame:
+def jaccard_match(rows: DataFrame, cols: list[str] | str, questions: DataFrame) -> DataFrame:
     """D3: set equality, Jaccard of row sets, both row counts."""
     s = _with_universe(side_counts(rows, named_key(cols)), questions)
     same = (F.col("gen_set") == F.col("both_set")) & (F.col("gold_set") == F.col("both_set"))
@@ -88,7 +118,7 @@ def jaccard_match(rows: DataFrame, cols: list[str], questions: DataFrame) -> Dat
                     F.col("gen_rows").alias("result1_count"), F.col("gold_rows").alias("result2_count"))
 
 
-def overlap_prf(rows: DataFrame, cols: list[str], questions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+def overlap_prf(rows: DataFrame, cols: list[str] | str, questions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Bag equality, then precision / recall / F1 over row sets.
 
     With ``texts`` (question, gen_sql, gold_sql) also whether the normalized
@@ -113,7 +143,7 @@ def overlap_prf(rows: DataFrame, cols: list[str], questions: DataFrame, texts: D
     return out.join(same, "question", "left")
 
 
-def ordered_match(rows: DataFrame, cols: list[str], order: list[str], questions: DataFrame) -> DataFrame:
+def ordered_match(rows: DataFrame, cols: list[str] | str, order: list[str], questions: DataFrame) -> DataFrame:
     """Same rows in the same order, by values and by names with values; an empty side never matches.
 
     Counts and an order-free hash settle most questions; only rows of the
@@ -121,11 +151,12 @@ def ordered_match(rows: DataFrame, cols: list[str], order: list[str], questions:
     """
     keyed = rows.select("side", "question", value_key(cols).alias("k"), named_key(cols).alias("nk"), *order)
     gen, gold = F.col("side") == "gen", F.col("side") == "gold"
-    h = F.xxhash64("k").cast("decimal(38,0)")
+    def total(side, key):
+        return F.sum(F.when(side, F.xxhash64(key).cast("decimal(38,0)")))
     alike = keyed.groupBy("question").agg(
         F.count(F.when(gen, 1)).alias("ng"), F.count(F.when(gold, 1)).alias("no"),
-        F.sum(F.when(gen, h)).alias("hg"), F.sum(F.when(gold, h)).alias("ho"))
-    open_ = alike.where((F.col("ng") > 0) & (F.col("ng") == F.col("no")) & (F.col("hg") == F.col("ho"))).select("question")
+        (total(gen, "k") == total(gold, "k")).alias("values"), (total(gen, "nk") == total(gold, "nk")).alias("named"))
+    open_ = alike.where((F.col("ng") > 0) & (F.col("ng") == F.col("no")) & (F.col("values") | F.col("named"))).select("question")
     # both sides numbered in one pass (one range shuffle, one written copy)
     numbered = with_ordinal(keyed.join(open_, "question", "left_semi"), ["side", "question"], order)
     g = numbered.filter(gen).select("question", "ord", F.col("k").alias("kg"), F.col("nk").alias("nkg"))
@@ -141,20 +172,19 @@ def ordered_match(rows: DataFrame, cols: list[str], order: list[str], questions:
 # ---------------------------------------------------------------- registry
 
 def _inputs(spark, sf_dir):
-    from ..plans.derived import result_rows
+    from ..plans.derived import result_shapes
     from ..session import Tables
     t = Tables(spark, sf_dir)
-    return result_rows(t), t.supplier.select("s_suppkey")
+    return result_shapes(t), t.supplier.select("s_suppkey")
 
 
-ROW_COLS = ["l_partkey", "l_quantity"]
-ORDER = ["l_orderkey", "l_linenumber"]
+ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount"]
 
 
 def _q(fn, *extra):
     def run(spark, sf_dir):
         rows, qs = _inputs(spark, sf_dir)
-        return fn(rows, ROW_COLS, *extra, qs)
+        return fn(rows, "row", *extra, qs)
     run.__doc__ = fn.__doc__
     return run
 
@@ -165,13 +195,32 @@ def _q_overlap(spark, sf_dir):
     from ..session import Tables
     rows, qs = _inputs(spark, sf_dir)
     log = query_log(Tables(spark, sf_dir)).select(F.col("qid").alias("question"), "gen_sql", "gold_sql")
-    return overlap_prf(rows, ROW_COLS, qs, log.join(
+    return overlap_prf(rows, "row", qs, log.join(
         qs.select(F.col("s_suppkey").alias("question")), "question", "left_semi"))
 
 
+def _by_shape(side: str, shape: int, cells: list[str]) -> str:
+    return f"WHEN side = '{side}' AND shape = {shape} THEN [{', '.join(cells)}]"
+
+
 def _oracle_prefix():
-    from ..plans.derived import RESULT_ROWS_SQL
-    return f"WITH rr AS ({RESULT_ROWS_SQL}), qs AS (SELECT s_suppkey AS question FROM supplier)\n"
+    """Row keys written out for every shape of result: names, texts (D1) and typed values."""
+    from ..plans.derived import RESULT_SHAPES_SQL
+    p, q, whole = "CAST(l_partkey AS VARCHAR)", "CAST(l_quantity AS VARCHAR)", "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)"
+    disc = "CASE WHEN l_discount = 0 THEN '0' ELSE CAST(l_discount AS VARCHAR) END"
+    names = ["'l_partkey'", "'l_quantity'"]
+    return f"""WITH rs AS ({RESULT_SHAPES_SQL}), cells AS (SELECT *,
+  CASE {_by_shape("gen", 1, ["'part'", "'qty'"])} {_by_shape("gold", 2, [*names, "'l_discount'"])}
+       {_by_shape("gen", 5, names[::-1])} ELSE [{", ".join(names)}] END AS names,
+  CASE {_by_shape("gold", 2, [p, q, "CAST(l_discount AS VARCHAR)"])} {_by_shape("gold", 3, [p, whole])}
+       {_by_shape("gen", 5, [q, p])} ELSE [{p}, {q}] END AS texts,
+  CASE {_by_shape("gold", 2, [p, whole, disc])} {_by_shape("gen", 4, [f"chr(34) || {p} || chr(34)", whole])}
+       {_by_shape("gen", 5, [whole, p])} ELSE [{p}, {whole}] END AS typed FROM rs),
+rr AS (SELECT side, question, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, array_to_string(list_sort(texts), chr(1)) AS set_key,
+  array_to_string(list_sort(list_transform(range(1, len(names) + 1), lambda i: names[i] || '=' || typed[i])), chr(1)) AS named_key,
+  array_to_string(typed, chr(1)) AS value_key FROM cells),
+qs AS (SELECT s_suppkey AS question FROM supplier)
+"""
 
 
 def _stats_sql(key: str) -> str:
@@ -188,25 +237,22 @@ st AS (SELECT qs.question, coalesce(gen_set, 0) AS gen_set, coalesce(gold_set, 0
 """
 
 
-_SET_KEY = "array_to_string(list_sort([CAST(l_partkey AS VARCHAR), CAST(l_quantity AS VARCHAR)]), chr(1))"
-_NAMED_KEY = "'l_partkey=' || CAST(l_partkey AS VARCHAR) || chr(1) || 'l_quantity=' || CAST(l_quantity AS VARCHAR)"
-
 from ..plans import duck as D  # noqa: E402
 from ..plans.derived import QUERY_LOG_SQL  # noqa: E402
 
 ORACLES = {
-    "exact_set_match": _oracle_prefix() + _stats_sql(_SET_KEY) + """
+    "exact_set_match": _oracle_prefix() + _stats_sql("set_key") + """
 SELECT question, (gen_rows = 0 AND gold_rows = 0)
   OR (gen_rows > 0 AND gold_rows > 0 AND gen_set = both_set AND gold_set = both_set) AS exact_set_match FROM st""",
-    "multiset_match": _oracle_prefix() + _stats_sql(_NAMED_KEY) + """
+    "multiset_match": _oracle_prefix() + _stats_sql("named_key") + """
 SELECT question, (gen_rows = 0 AND gold_rows = 0)
   OR (gen_rows > 0 AND gold_rows > 0 AND gen_rows = gold_rows AND bag_diff = 0) AS multiset_match FROM st""",
-    "jaccard_match": _oracle_prefix() + _stats_sql(_NAMED_KEY) + """
+    "jaccard_match": _oracle_prefix() + _stats_sql("named_key") + """
 SELECT question, gen_set = both_set AND gold_set = both_set AS exact_match,
   round(CASE WHEN gen_set > 0 AND gold_set > 0 THEN both_set / (gen_set + gold_set - both_set)
              WHEN gen_set = both_set AND gold_set = both_set THEN 1.0 ELSE 0.0 END, 6) AS jaccard,
   gen_rows AS result1_count, gold_rows AS result2_count FROM st""",
-    "overlap_prf": _oracle_prefix() + _stats_sql(_NAMED_KEY) + f""",
+    "overlap_prf": _oracle_prefix() + _stats_sql("named_key") + f""",
 query_log AS ({QUERY_LOG_SQL}),
 tx AS (SELECT qid, {D.normalize_sql('gen_sql')} = {D.normalize_sql('gold_sql')} AS exact_sql_match FROM query_log)
 SELECT question, exact_sql_match, gen_rows = gold_rows AND bag_diff = 0 AS execution_match,
@@ -216,15 +262,13 @@ SELECT question, exact_sql_match, gen_rows = gold_rows AND bag_diff = 0 AS execu
              WHEN gen_rows = 0 AND gold_rows = 0 THEN 1.0 ELSE 0.0 END, 6) AS f1
 FROM (SELECT *, both_set / gen_set AS p, both_set / gold_set AS r FROM st) z LEFT JOIN tx ON qid = question""",
     "ordered_match": _oracle_prefix() + """
-, o AS (SELECT side, question, CAST(l_partkey AS VARCHAR) || chr(1) || CAST(l_quantity AS VARCHAR) AS k,
-               row_number() OVER (PARTITION BY side, question ORDER BY l_orderkey, l_linenumber) AS ord FROM rr),
-j AS (SELECT coalesce(g.question, d.question) AS question, g.k AS kg, d.k AS ko
+, o AS (SELECT side, question, value_key AS k, named_key AS nk,
+               row_number() OVER (PARTITION BY side, question ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount) AS ord FROM rr),
+j AS (SELECT coalesce(g.question, d.question) AS question, g.k AS kg, d.k AS ko, g.nk AS nkg, d.nk AS nko
       FROM (SELECT * FROM o WHERE side = 'gen') g
       FULL OUTER JOIN (SELECT * FROM o WHERE side = 'gold') d ON g.question = d.question AND g.ord = d.ord),
-pq AS (SELECT question, count(kg) AS ng, count(ko) AS no,
-              count(*) FILTER (WHERE kg IS NULL OR ko IS NULL OR kg <> ko) AS bad FROM j GROUP BY question)
-SELECT qs.question, coalesce(ng, 0) > 0 AND coalesce(no, 0) > 0 AND coalesce(bad, 0) = 0 AS ordered_match,
-  coalesce(ng, 0) > 0 AND coalesce(no, 0) > 0 AND coalesce(bad, 0) = 0 AS ordered_named_match  -- both sides have one set of names
+pq AS (SELECT question, bool_and(coalesce(kg = ko, false)) AS v, bool_and(coalesce(nkg = nko, false)) AS n FROM j GROUP BY question)
+SELECT qs.question, coalesce(v, false) AS ordered_match, coalesce(n, false) AS ordered_named_match
 FROM qs LEFT JOIN pq USING (question)""",
 }
 

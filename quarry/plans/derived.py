@@ -188,6 +188,18 @@ FROM lineitem WHERE l_linestatus = 'F'
 """
 
 
+# Results of several shapes: each question's statements name, order and type their own columns.
+# 0 same columns, other rows; 1 other names; 2 a column missing; 3 double and integer;
+# 4 text and number; 5 other order; 6 decimal and integer.
+RESULT_SHAPES_SQL = """
+SELECT 'gen' AS side, l_suppkey AS question, l_suppkey % 7 AS shape, l_partkey, l_quantity, l_discount, l_orderkey, l_linenumber
+FROM lineitem WHERE l_returnflag = 'R'
+UNION ALL
+SELECT 'gold' AS side, l_suppkey AS question, l_suppkey % 7 AS shape, l_partkey, l_quantity, l_discount, l_orderkey, l_linenumber
+FROM lineitem WHERE CASE WHEN l_suppkey % 7 = 0 THEN l_linestatus = 'F' ELSE l_returnflag = 'R' END
+"""
+
+
 def query_log(t: Tables) -> DataFrame:
     # Text functions are CPU-heavy: give them every core even when the
     # source is one file split (no-op on a many-split input).
@@ -203,5 +215,26 @@ def result_rows(t: Tables) -> DataFrame:
     return t.sql(RESULT_ROWS_SQL)
 
 
+def result_shapes(t: Tables) -> DataFrame:
+    """(side, question, row, sort columns): result rows that carry their own column names and types."""
+    from pyspark.sql import functions as F
+
+    from ..operators.compare import packed
+
+    def cells(**columns):
+        return packed({name: F.expr(sql) for name, sql in columns.items()})
+    two = cells(l_partkey="l_partkey", l_quantity="l_quantity")
+    gen, shape = F.col("side") == "gen", F.col("shape")
+    row = (F.when(gen & (shape == 1), cells(part="l_partkey", qty="l_quantity"))
+           .when(~gen & (shape == 2), cells(l_partkey="l_partkey", l_quantity="l_quantity", l_discount="l_discount"))
+           .when(~gen & (shape == 3), cells(l_partkey="l_partkey", l_quantity="CAST(l_quantity AS BIGINT)"))
+           .when(gen & (shape == 4), cells(l_partkey="CAST(l_partkey AS STRING)", l_quantity="l_quantity"))
+           .when(gen & (shape == 5), cells(l_quantity="l_quantity", l_partkey="l_partkey"))
+           .when(gen & (shape == 6), cells(l_partkey="CAST(l_partkey AS DECIMAL(12,2))", l_quantity="l_quantity"))
+           .otherwise(two))
+    return t.sql(RESULT_SHAPES_SQL).select(
+        "side", "question", row.alias("row"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
+
+
 def cte(name: str, sql: str) -> str:
     return f"{name} AS ({sql})"
