@@ -40,14 +40,19 @@ def _row(cols: list[str] | str) -> Column:
     return F.col(cols) if isinstance(cols, str) else packed({x: F.col(x) for x in cols})
 
 
-def value_text(value: Column) -> Column:
-    """A typed value as text, the same for equal values: text is quoted, numbers are not."""
-    j = F.to_json(value)
+def _json(cols: list[str] | str) -> Column:
+    """(name, json) of a row's cells: text is quoted there, numbers are not."""
+    return F.transform(_row(cols), lambda x: F.struct(x["name"].alias("name"), F.to_json(x["value"]).alias("json")))
+
+
+def value_text(j: Column) -> Column:
+    """The JSON of a typed value as text that is the same for equal values."""
     d = j.cast("double")
     whole = (F.abs(d) < 1e18) & (d == F.floor(d))
-    number = F.when(j.rlike("^-?[0-9]+$"), j).when(whole, d.cast("decimal(38,0)").cast("string")).otherwise(d.cast("string"))
-    return (F.when(value.isNull() | j.isNull() | (j == "null"), F.lit("null")).when(j.startswith('"'), j)
-            .when(j == "true", "1").when(j == "false", "0").otherwise(number))
+    return (F.when(j.isNull() | (j == "null"), F.lit("null")).when(j.startswith('"'), j)
+            .when(~j.contains(".") & ~j.contains("E"), F.when(j == "true", "1").when(j == "false", "0").otherwise(j))
+            .when(j.endswith(".0") & (j != "-0.0"), F.substr(j, F.lit(1), F.length(j) - 2))
+            .when(whole, d.cast("decimal(38,0)").cast("string")).otherwise(d.cast("string")))
 
 
 def set_key(cols: list[str] | str) -> Column:
@@ -58,13 +63,13 @@ def set_key(cols: list[str] | str) -> Column:
 
 def named_key(cols: list[str] | str) -> Column:
     """D2-D4 row key: sorted (column name, value) pairs."""
-    pairs = F.transform(_row(cols), lambda x: F.concat(x["name"], F.lit("="), value_text(x["value"])))
+    pairs = F.transform(_json(cols), lambda x: F.concat(x["name"], F.lit("="), value_text(x["json"])))
     return F.array_join(F.sort_array(pairs), SEP)
 
 
 def value_key(cols: list[str] | str) -> Column:
     """D5 row key: values in column order."""
-    return F.array_join(F.transform(_row(cols), lambda x: value_text(x["value"])), SEP)
+    return F.array_join(F.transform(_json(cols), lambda x: value_text(x["json"])), SEP)
 
 
 def side_counts(rows: DataFrame, key: Column, question: str = "question", side: str = "side") -> DataFrame:
@@ -149,7 +154,8 @@ def ordered_match(rows: DataFrame, cols: list[str] | str, order: list[str], ques
     Counts and an order-free hash settle most questions; only rows of the
     questions still open are numbered.
     """
-    keyed = rows.select("side", "question", value_key(cols).alias("k"), named_key(cols).alias("nk"), *order)
+    keyed = rows.select("side", "question", F.unhex(F.md5(value_key(cols))).alias("k"),
+                        F.unhex(F.md5(named_key(cols))).alias("nk"), *order)
     gen, gold = F.col("side") == "gen", F.col("side") == "gold"
     def total(side, key):
         return F.sum(F.when(side, F.xxhash64(key).cast("decimal(38,0)")))

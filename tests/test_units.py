@@ -149,15 +149,28 @@ def test_dense_local_topk_ties():
 
 
 def test_split_text_always_advances():
-    from quarry.operators.schema_docs import split_text
+    from quarry.operators.schema_docs import windows
     text = "a\n" + "x" * 600 + "\nend"
-    chunks = split_text(text, size=500, overlap=50)
+    chunks = [w.strip() for w in windows(text, size=500, overlap=50)]
     # the newline at position 1 would make the original step back before its start
     assert chunks[0] == "a"
     assert "".join(c for c in chunks).count("end") == 1
     assert len(chunks) < 10
 
 
+def test_chunks_stream_out_of_a_lateral_join(spark):
+    from quarry.operators.schema_docs import chunk_sliding
+    df = spark.createDataFrame([(1, "ab\ncdefgh ij"), (2, None), (3, ""), (4, " \n "), (5, "x" * 100_000)],
+                               "id long, text string")
+    out = chunk_sliding(df, "id", "text", size=5, overlap=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPythonUDTF" in plan and "pandas" not in plan.lower() and "Join" not in plan
+    rows = sorted(tuple(r) for r in out.collect())
+    assert [r[1:] for r in rows if r[0] == 1] == [(0, "ab"), (1, "b"), (2, "cdefg"), (3, "fgh i"), (4, "ij")]
+    assert {r[0] for r in rows} == {1, 5}
+    assert sum(r[0] == 5 for r in rows) == len(range(0, 100_000, 3))
+
+
 def test_vector_store_ids_and_last_wins(spark):
     from quarry.sources import files as FL
     a = spark.createDataFrame([(1, "one", "db", [1.0, 0.0]), (2, "two", "db", [0.0, 2.0])],
@@ -312,10 +325,10 @@ def test_functions_travel_by_value():
     import subprocess
     import sys
     from pyspark import cloudpickle
-    from quarry.operators.schema_docs import split_text
-    code = "import pickle, sys; f = pickle.loads(bytes.fromhex(sys.argv[1])); print(f('a\\nb'))"
-    data = cloudpickle.dumps(split_text)
-    assert pickle.loads(data)("a") == ["a"]
+    from quarry.operators.schema_docs import windows
+    code = "import pickle, sys; f = pickle.loads(bytes.fromhex(sys.argv[1])); print(list(f('a\\nb', 9, 0)))"
+    data = cloudpickle.dumps(windows)
+    assert list(pickle.loads(data)("a", 9, 0)) == ["a"]
     out = subprocess.run([sys.executable, "-c", code, data.hex()], capture_output=True, text=True, cwd="/", env={
         "PATH": "/usr/bin"})
     assert out.stdout.strip() == str(["a\nb"]), out.stderr
