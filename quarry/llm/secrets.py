@@ -1,19 +1,21 @@
 """Operator 7: secret scan by corpus-wide ownership frequency.
 
 Candidates are found with regular expressions in whole texts.  Each candidate
-value is hashed; over the corpus the distinct documents (repositories) and
-sources (owners) that hold it are counted.  A value held by many owners is a
-widely copied example; a value of one or two owners that looks random is a
-live credential.  Live values that the base patterns do not name, bare tokens
-of 20 or more characters mixing letters and digits, are added as spans of kind
-``owner``.
-
-All DataFrame operations.  Counting first makes (value, owner, document)
+value is hashed; over the corpus its distinct repositories (texts, so copies of
+a document are one) and owners (sources) are counted.  A value held by more
+than ``MAX_OWNERS`` owners is a widely copied example; one of fewer owners is
+theirs, in however many repositories, and counts as live.  Live values that the
+base patterns do not name are added as spans of kind ``owner``: bare tokens of
+20 or more characters that mix letters and digits and look random, changing
+between digits, small and capital letters once in four characters at least.
+
+All DataFrame operations.  Counting first makes (value, owner, repository)
 distinct, so a value held by a third of the corpus is combined before it
 meets; only live values are joined back, by a join that Spark may split.
 
 Defined results: null text is empty; a null source is an owner of its own;
-repeated rows count as one repository; a row without candidates has zero
+repeated rows count as one repository; very long texts are scanned whole; ties
+of spans go by kind as listed; other columns are not read; a row without candidates has zero
 counts and the hash of the empty string; an empty table gives no rows.
 """
 
@@ -29,9 +31,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 BARE = r"[A-Za-z0-9_-]{20,}"
-# a value held by more owners or documents than this is a copied example
+# a value held by more owners than this is a copied example
 MAX_OWNERS = 2
-MAX_DOCS = 20
+# characters for each run of one class (digits, small, capital letters) at most
+RUN = 4
 
 SPANS = "array<struct<start:bigint,end:bigint,kind:string,value:string>>"
 
@@ -64,10 +67,17 @@ def candidates(text: Column) -> dict[str, Column]:
         "access": F.filter(spans_of(text, ACCESS, "access"), lambda s: F.length(s["value"]) >= 18),
         "hex": spans_of(text, HEX, "hex"),
         "bare": F.filter(spans_of(text, BARE, "owner"), lambda s: (
-            s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))),
+            s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & (RUN * runs(s["value"]) >= F.length(s["value"])))),
     }
 
 
+def runs(value: Column) -> Column:
+    """Number of runs of digits, of small and of capital letters."""
+    for run, one in (("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0"), ("[_-]", "")):
+        value = F.regexp_replace(value, run, one)
+    return F.length(value)
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, comma-joined."""
     rank = lambda s: (F.when(s["kind"] == "assign", 0).when(s["kind"] == "access", 1)
@@ -78,7 +88,14 @@ def joined(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_docs: int = MAX_DOCS) -> DataFrame:
+def ownership(seen: DataFrame) -> DataFrame:
+    """(h, source, text_hash) -> h, n_owners, n_repos: a value's distinct owners and distinct repositories of theirs."""
+    held = seen.select("h", "source", "text_hash").distinct()
+    per_owner = held.groupBy("h", "source").agg(F.count(F.lit(1)).alias("n"))
+    return per_owner.groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
+
+
+def scan(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """Per row of (doc_id, text, source): counts, base spans, live values and added spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", "source", text.alias("text"), F.xxhash64(F.col("text")).alias("text_hash"))
@@ -92,10 +109,7 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_docs: int = MAX_DOCS
             .select("doc_id", "source", "text_hash", F.explode(F.concat(base, bare)).alias("s"))
             .select("doc_id", "source", "text_hash", "s.start", "s.end", "s.kind",
                     F.sha2(F.col("s.value").cast("binary"), 256).alias("h")))
-    held = seen.select("h", "source", "doc_id", "text_hash").distinct()
-    per_owner = held.groupBy("h", "source").agg(F.count(F.lit(1)).alias("n"))
-    owned = per_owner.groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_docs"))
-    live = owned.where((F.col("n_owners") <= max_owners) & (F.col("n_docs") <= max_docs)).select("h")
+    live = ownership(seen).where(F.col("n_owners") <= max_owners).select("h")
     found = (seen.join(live, "h").groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.struct("start", "end", "kind")).alias("live")))
     found = found.select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "live")
@@ -135,11 +149,12 @@ s AS (SELECT r, doc_id, source, t, kind, rk, e - length(m) AS b, e,
              CASE WHEN kind = 'assign' THEN regexp_extract(m, '{ASSIGN.replace("'", "''")}', 2) ELSE m END AS v FROM f),
 base AS (SELECT * FROM s WHERE (kind = 'assign' AND length(v) >= 12) OR (kind = 'access' AND length(v) >= 18) OR kind = 'hex'),
 bare AS (SELECT * FROM s WHERE kind = 'owner' AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+         AND {RUN} * length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+           v, '[a-z]+', 'a', 'g'), '[A-Z]+', 'A', 'g'), '[0-9]+', '0', 'g'), '[_-]', '', 'g')) >= length(v)
          AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = s.r AND base.b < s.e AND s.b < base.e)),
 seen AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
-owned AS (SELECT v, count(*) AS n_owners, sum(n) AS n_docs FROM (
-            SELECT v, source, count(DISTINCT (doc_id, t)) AS n FROM seen GROUP BY v, source) o GROUP BY v),
-live AS (SELECT v FROM owned WHERE n_owners <= {MAX_OWNERS} AND n_docs <= {MAX_DOCS}),
+owned AS (SELECT v, count(*) AS n_owners FROM (SELECT DISTINCT v, source FROM seen) o GROUP BY v),
+live AS (SELECT v FROM owned WHERE n_owners <= {MAX_OWNERS}),
 marked AS (SELECT seen.*, live.v IS NOT NULL AS alive FROM seen LEFT JOIN live ON seen.v = live.v),
 per AS (
   SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
