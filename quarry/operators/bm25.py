@@ -1,4 +1,6 @@
-"""BM25 sparse retrieval as an inverted-index join.
+"""BM25 sparse retrieval as an inverted-index join (E3, and E4 over small corpora).
+
+The kept index and its top-k over blocks are in ``sparse_index``.
 
 Instead of scoring every document for every query, the corpus is exploded
 into postings ``(doc, term, tf, dl)`` restricted to the query vocabulary,
@@ -148,8 +150,12 @@ def top_k(scored: DataFrame, k: int, part: str = "qid", score: str = "score",
 
 def sparse_topk(docs: DataFrame, did: str, dtext: str, queries: DataFrame, qid: str, qtext: str,
                 k: int = 5) -> DataFrame:
-    """Top-k documents by BM25 per query, positive scores only."""
-    return bm25_topk(tokens_of(docs, did, dtext), queries, qid, qtext, k)
+    """Top-k documents by BM25 per query, positive scores only, from an index of its own.
+
+    To search often, keep a ``SparseIndex`` and call its ``topk``.
+    """
+    from .sparse_index import SparseIndex
+    return SparseIndex(docs.sparkSession).add(docs, did, dtext).topk(queries, qid, qtext, k)
 
 
 # ---------------------------------------------------------------- registry
@@ -164,14 +170,15 @@ def _q_sparse_topk(spark, sf_dir):
 
 
 def _q_bm25_index(spark, sf_dir):
-    """Per term of the corpus, document frequency and total count, plus corpus statistics."""
+    """A kept index of two batches: document frequency and count of every term, plus statistics."""
     from ..session import Tables
-    t = Tables(spark, sf_dir)
-    tokens = tokens_of(t.documents, "doc_id", "text")
-    n_docs, avgdl = corpus_stats(tokens)
-    return (postings(tokens).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
-            .select("term", "df", "ctf", F.lit(n_docs).cast("long").alias("n_docs"),
-                    F.round(F.lit(avgdl), 6).alias("avgdl")))
+    from .sparse_index import SparseIndex
+    docs = Tables(spark, sf_dir).documents
+    odd = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
+    index = SparseIndex(spark).add(docs.where(~odd), "doc_id", "text").add(docs.where(odd), "doc_id", "text")
+    n_docs, avgdl = index.stats()
+    return index.terms().select("term", "df", "ctf", F.lit(n_docs).cast("long").alias("n_docs"),
+                                F.round(F.lit(avgdl), 6).alias("avgdl"))
 
 
 def _q_tokenize(spark, sf_dir):

@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bm25 import bm25_scores, bm25_topk, tokens_of, top_k
+from .bm25 import bm25_scores, tokens_of, top_k
 from .dense import bucket_vector, dense_topk, hashed_vector
+from .sparse_index import SparseIndex
 
 # Fusion weights.
 DENSE_WEIGHT = 0.6
@@ -27,8 +28,8 @@ def minmax_normalize(hits: DataFrame, part: str = "qid", score: str = "score", o
     return hits.withColumn(out, F.when(hi == lo, F.lit(1.0)).otherwise((F.col(score) - lo) / (hi - lo)))
 
 
-def sparse_side(tokens, queries, qid, qtext, k2):
-    return bm25_topk(tokens, queries, qid, qtext, k2)
+def sparse_side(index: SparseIndex, queries, qid, qtext, k2):
+    return index.topk(queries, qid, qtext, k2)
 
 
 def dense_side(tokens, queries, qid, qtext, k2):
@@ -51,9 +52,13 @@ def fuse(sparse2k: DataFrame, dense2k: DataFrame, k: int) -> DataFrame:
 def hybrid_topk(docs: DataFrame, did: str, dtext: str, queries: DataFrame, qid: str, qtext: str,
                 k: int = 5) -> DataFrame:
     """(qid, doc, score, dense_score, sparse_score, rank)."""
+    return hybrid_search(SparseIndex(docs.sparkSession).add(docs, did, dtext), queries, qid, qtext, k)
+
+
+def hybrid_search(index: SparseIndex, queries: DataFrame, qid: str, qtext: str, k: int = 5) -> DataFrame:
+    """E11 from a kept index: its blocks for one side, its tokens for the vectors of the other."""
     k2 = 2 * k
-    tokens = tokens_of(docs, did, dtext)  # the corpus is tokenized once for both sides
-    return fuse(sparse_side(tokens, queries, qid, qtext, k2), dense_side(tokens, queries, qid, qtext, k2), k)
+    return fuse(sparse_side(index, queries, qid, qtext, k2), dense_side(index.table("tokens"), queries, qid, qtext, k2), k)
 
 
 # ---------------------------------------------------------------- registry
@@ -73,8 +78,8 @@ def _q_hybrid(spark, sf_dir):
 
 def _q_minmax(spark, sf_dir):
     t = _t(spark, sf_dir)
-    tokens = tokens_of(t.documents, "doc_id", "text")
-    s = minmax_normalize(sparse_side(tokens, t.benchmark, "item_id", "text", 10))
+    index = SparseIndex(spark).add(t.documents, "doc_id", "text")
+    s = minmax_normalize(sparse_side(index, t.benchmark, "item_id", "text", 10))
     return s.select(F.col("qid").alias("item_id"), F.col("doc").alias("doc_id"),
                     F.round("norm", 6).alias("norm_score"))
 

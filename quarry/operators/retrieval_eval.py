@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sqltext import question_type
 from ..session import scratch_path
-from .bm25 import tokens_of
+from .sparse_index import SparseIndex
 from .hybrid import DENSE_WEIGHT, SPARSE_WEIGHT, dense_side, fuse, sparse_side
 
 # Method names in their report order.
@@ -32,14 +32,14 @@ def runs(t, k: int = 5, docs=None, did="doc_id", dtext="text", q=None, qid="item
     """Sparse, dense and hybrid top-k of every query.
 
     Each side is ranked once to 2k (what the fusion needs); the plain top-k
-    lists are the first k of those.  The corpus is tokenized once; the 2k
+    lists are the first k of those.  The corpus is indexed once; the 2k
     lists (#queries x 2k rows) are written and read by all three methods.
     """
     docs = t.documents if docs is None else docs
     q = t.benchmark if q is None else q
-    tokens = tokens_of(docs, did, dtext)
-    sp2 = _written(sparse_side(tokens, q, qid, qtext, 2 * k), "run_sparse")
-    de2 = _written(dense_side(tokens, q, qid, qtext, 2 * k), "run_dense")
+    index = SparseIndex(docs.sparkSession).add(docs, did, dtext)
+    sp2 = _written(sparse_side(index, q, qid, qtext, 2 * k), "run_sparse")
+    de2 = _written(dense_side(index.table("tokens"), q, qid, qtext, 2 * k), "run_dense")
     sp = sp2.filter(F.col("rank") <= k)
     de = de2.filter(F.col("rank") <= k)
     hy = fuse(sp2, de2, k)
