@@ -9,7 +9,7 @@ parser-based parts are re-aimed as regular expressions (see README).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col_, collapse_ws, contains_any, count_sub, starts_any, strip_ws
@@ -319,6 +319,31 @@ def relevant_tables(sql, table_names) -> Column:
     return F.sort_array(F.array_distinct(F.array_compact(F.array(*hits))))
 
 
+def named_tables(sql) -> Column:
+    """Lower-case words that a statement uses as ``from w``, ``join w``, ``w as`` or ``w.``; each once."""
+    low = F.lower(col_(sql))
+    # what follows or precedes is looked at, not consumed, so that uses may overlap
+    uses = [F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in (
+        r"\b(?:from|join)(?=\s+(\w+))", r"\b(\w+)(?=\s+as\b)", r"\b(\w+)(?=\.)")]
+    return F.array_distinct(F.concat(*uses))
+
+
+def relevant_tables_of(log: DataFrame, sql: str, catalog: DataFrame, key: str = "qid") -> DataFrame:
+    """C11 over many databases: (key, relevant_tables), the tables of the question's own database that its SQL names.
+
+    ``log`` has (key, db_id, sql), ``catalog`` one row a table (db_id, table) of
+    any number of databases.  Names are matched by a join on (db_id, name), so
+    the work grows with the names used and not with the tables known.  Table
+    names are words; other names are not found.  A null statement or database,
+    or a database that is not in the catalog, has no tables.
+    """
+    known = catalog.select("db_id", F.lower("table").alias("_name")).distinct()
+    used = log.select(key, "db_id", F.explode(named_tables(sql)).alias("_name")).join(known, ["db_id", "_name"])
+    found = used.groupBy(key).agg(F.sort_array(F.collect_set("_name")).alias("relevant_tables"))
+    none = F.array().cast("array<string>")
+    return log.select(key).join(found, key, "left").withColumn("relevant_tables", F.coalesce("relevant_tables", none))
+
+
 def ddl_table_names(text) -> Column:
     """Distinct names of ``CREATE TABLE x`` statements."""
     return F.sort_array(F.array_distinct(

@@ -200,6 +200,20 @@ FROM lineitem WHERE CASE WHEN l_suppkey % 7 = 0 THEN l_linestatus = 'F' ELSE l_r
 """
 
 
+# Catalog of several databases: each has its own part of the tables.
+DATABASES_SQL = """
+SELECT db_id, name AS "table" FROM (SELECT DISTINCT o_orderpriority AS db_id FROM orders) d CROSS JOIN (VALUES
+  ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'),
+  ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) v(name)
+WHERE (length(name) + CAST(substr(db_id, 1, 1) AS INT)) % 3 <> 0
+"""
+
+
+def databases(t: Tables) -> DataFrame:
+    """(db_id, table) of every database of the log."""
+    return t.sql(DATABASES_SQL.replace('"', "`"))
+
+
 def query_log(t: Tables) -> DataFrame:
     # Text functions are CPU-heavy: give them every core even when the
     # source is one file split (no-op on a many-split input).

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as SC
 from ..functions import sqltext as ST
-from ..session import TABLE_NAMES
 from . import duck as D
-from .derived import QUERY_LOG_SQL, query_log
+from .derived import DATABASES_SQL, QUERY_LOG_SQL, databases, query_log
 from .reg import Registry
 
 R = Registry()
@@ -126,19 +125,15 @@ def extract_columns(t):
         "qid", _join(c("c")).alias("columns"))
 
 
-_REL_ARMS = ", ".join(
-    rf"CASE WHEN regexp_matches(lower(gold_sql), '\bfrom\s+{n}\b|\bjoin\s+{n}\b|\b{n}\s+as\b|\b{n}\.') "
-    f"THEN '{n}' END" for n in TABLE_NAMES)
-
-
-@R.query("relevant_tables", QL + f"""
-SELECT qid, array_to_string(list_sort(list_distinct(list_filter([{_REL_ARMS}], lambda x: x IS NOT NULL))), ',')
-  AS relevant_tables FROM query_log""")
+@R.query("relevant_tables", QL + f""", databases AS ({DATABASES_SQL}),
+hit AS (SELECT qid, lower("table") AS name FROM query_log JOIN databases USING (db_id) WHERE regexp_matches(lower(gold_sql),
+  '\\bfrom\\s+' || lower("table") || '\\b|\\bjoin\\s+' || lower("table") || '\\b|\\b' || lower("table") || '\\s+as\\b|\\b' || lower("table") || '\\.'))
+SELECT qid, coalesce(names, '') AS relevant_tables FROM query_log LEFT JOIN (
+  SELECT qid, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM hit GROUP BY qid) h USING (qid)""")
 def relevant_tables(t):
-    # The table list is catalog metadata (bounded by the number of tables):
-    # one regex per known table inside a single projection, no join.
-    names = t.available()
-    return query_log(t).select("qid", _join(ST.relevant_tables("gold_sql", names)).alias("relevant_tables"))
+    """C11: the tables of the question's own database that its gold SQL names."""
+    found = ST.relevant_tables_of(query_log(t).select("qid", "db_id", "gold_sql"), "gold_sql", databases(t))
+    return found.select("qid", _join(c("relevant_tables")).alias("relevant_tables"))
 
 
 # ------------------------------------------------------------------ C13 - C19
