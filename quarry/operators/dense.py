@@ -16,10 +16,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import col_, tokenize
 from ..session import scratch_path
@@ -51,8 +55,8 @@ def _bincount_udf(dim: int):
 
 
 def hashed_vector(text, dim: int = DIM) -> Column:
-    """E5 built-in embedder: term counts hashed into ``dim`` buckets."""
-    return bucket_vector(tokenize(text), dim)
+    """E5 built-in embedder: term counts hashed into ``dim`` buckets; a null text counts as empty."""
+    return bucket_vector(tokenize(F.coalesce(col_(text), F.lit(""))), dim)
 
 
 def bucket_vector(tokens, dim: int = DIM) -> Column:
@@ -60,6 +64,45 @@ def bucket_vector(tokens, dim: int = DIM) -> Column:
     return _bincount_udf(dim)(token_buckets(tokens, dim))
 
 
+# Texts given to an embedder at once.
+EMBED_BATCH = 32
+
+
+def embedded(df: DataFrame, text: str, make: Callable[[], Callable] | None = None, batch: int = EMBED_BATCH,
+             out: str = "v") -> DataFrame:
+    """E5: ``df`` with a vector of each text; by default the hashed one, computed without a model.
+
+    ``make`` builds a model, a callable that turns a list of texts into as many
+    vectors.  It travels to the tasks and is called once in each, before its
+    first text; the model then gets lists of up to ``batch`` texts, whatever
+    the size of Arrow's batches.  A null text has a null vector from a model and
+    is not sent; a model that returns another number of vectors is an error.
+    """
+    if make is None:
+        return df.withColumn(out, hashed_vector(text))
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, T.ArrayType(T.DoubleType()))])
+    names = [f.name for f in schema.fields[:-1]]
+
+    def run(batches):
+        model = None
+        for b in batches:
+            texts = b.column(text).to_pylist()
+            at = [i for i, x in enumerate(texts) if x is not None]
+            vectors: list = [None] * len(texts)
+            for lo in range(0, len(at), batch):
+                own = at[lo:lo + batch]
+                model = model or make()
+                found = np.asarray(model([texts[i] for i in own]), dtype=np.float64)
+                if found.shape[:1] != (len(own),):
+                    raise ValueError(f"the model gave {len(found)} vectors for {len(own)} texts")
+                for i, v in zip(own, found, strict=True):
+                    vectors[i] = v
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(vectors, pa.list_(pa.float64()))],
+                                             names=[*names, out])
+
+    return df.mapInArrow(run, schema)
+
+
 def l2_norm(v) -> Column:
     return F.sqrt(F.aggregate(col_(v), F.lit(0.0), lambda acc, x: acc + x * x))
 
@@ -202,7 +245,7 @@ def _q_dense_threshold(spark, sf_dir):
 
 def _q_embed_text(spark, sf_dir):
     t = _t(spark, sf_dir)
-    v = spread(t.documents).select("doc_id", hashed_vector("text").alias("v"))
+    v = embedded(spread(t.documents).select("doc_id", "text"), "text")
     return v.select("doc_id",
                     F.aggregate("v", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_tokens"),
                     F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("nnz"),

@@ -9,11 +9,13 @@ missing scores as 0, and ranked again.  Every per-query list is bounded by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bm25 import bm25_scores, tokens_of, top_k
-from .dense import bucket_vector, dense_topk, hashed_vector
+from .dense import bucket_vector, dense_topk, embedded, hashed_vector
 from .sparse_index import SparseIndex
 
 # Fusion weights.
@@ -50,9 +52,15 @@ def fuse(sparse2k: DataFrame, dense2k: DataFrame, k: int) -> DataFrame:
 
 
 def hybrid_topk(docs: DataFrame, did: str, dtext: str, queries: DataFrame, qid: str, qtext: str,
-                k: int = 5) -> DataFrame:
-    """(qid, doc, score, dense_score, sparse_score, rank)."""
-    return hybrid_search(SparseIndex(docs.sparkSession).add(docs, did, dtext), queries, qid, qtext, k)
+                k: int = 5, embedder: Callable[[], Callable] | None = None) -> DataFrame:
+    """(qid, doc, score, dense_score, sparse_score, rank); ``embedder`` as in ``embedded``."""
+    index = SparseIndex(docs.sparkSession).add(docs, did, dtext)
+    if embedder is None:
+        return hybrid_search(index, queries, qid, qtext, k)
+    dv = embedded(docs.select(F.col(did).alias("doc"), F.col(dtext).alias("text")), "text", embedder)
+    qv = embedded(queries.select(F.col(qid).alias("qid"), F.col(qtext).alias("text")), "text", embedder)
+    dense = dense_topk(dv.select("doc", "v"), "doc", "v", qv.select("qid", F.col("v").alias("qv")), "qid", "qv", 2 * k)
+    return fuse(sparse_side(index, queries, qid, qtext, 2 * k), dense, k)
 
 
 def hybrid_search(index: SparseIndex, queries: DataFrame, qid: str, qtext: str, k: int = 5) -> DataFrame:

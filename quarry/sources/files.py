@@ -172,14 +172,15 @@ STORE_SCHEMA = "id string, seq long, content string, db_name string, vector arra
 
 
 def store_add(store: DataFrame | None, batch: DataFrame, id_col: str | None, content: str, db_name: str,
-              vec: str, order: str) -> DataFrame:
+              vec: str, order: str, base: int = 0) -> DataFrame:
     """Append a batch with unit vectors; a missing id becomes ``doc_<position>``.
 
     ``order`` is the batch's own row order (position = ordinal by it, computed
-    without a single-partition window).
+    without a single-partition window); positions start behind the store's, or
+    at ``base``.
     """
     last = None if store is None else store.agg(F.max("seq")).first()[0]
-    base = 0 if last is None else last + 1
+    base = base if last is None else last + 1
     # as many vectors as documents: a document without one is an error, not a gap
     vec = F.when(F.col(vec).isNull(), F.raise_error(F.lit("a document has no vector"))).otherwise(F.col(vec))
     b = batch.select((F.col(id_col).cast("string") if id_col else F.lit(None).cast("string")).alias("id"),
@@ -200,8 +201,9 @@ def store_get(store: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 def store_save(store: DataFrame, path: str) -> str:
     """Parquet, partitioned by database (partition pruning on load by db_name)."""
-    # a few files a database, however many tasks there are, and no database in one task
-    dealt = store.repartition("db_name", F.pmod(F.xxhash64("id"), F.lit(8)))
+    # no database in one task, and no more files of one than there are tasks
+    tasks = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = store.repartition("db_name", F.pmod(F.xxhash64("id"), F.lit(tasks)))
     dealt.write.mode("overwrite").partitionBy("db_name").parquet(path)
     return path
 

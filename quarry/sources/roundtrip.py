@@ -15,6 +15,7 @@ from ..plans.derived import EVAL_RESULTS_SQL, PIPELINES, QUERY_LOG_SQL, eval_res
 from ..plans.reports import ER, combined_totals, pipeline_summary, scored
 from ..session import TABLE_NAMES, Tables, scratch_path
 from . import files as FL
+from .vector_store import VectorStore
 
 
 def _t(spark, sf_dir):
@@ -134,10 +135,13 @@ def _q_result_csv(spark, sf_dir):
     return _read_csv(spark, FL.write_csv(res, scratch_path(spark, "result_csv")))
 
 
+def _labelled(t):
+    return t.embeddings.select("vec_id", F.concat(F.lit("label "), F.col("label").cast("string")).alias("content"),
+                               F.concat(F.lit("label_"), F.col("label").cast("string")).alias("db_name"), "embedding")
+
+
 def _store(t):
-    e = t.embeddings.select("vec_id", F.concat(F.lit("label "), F.col("label").cast("string")).alias("content"),
-                            F.concat(F.lit("label_"), F.col("label").cast("string")).alias("db_name"), "embedding")
-    return FL.store_add(None, e, "vec_id", "content", "db_name", "embedding", "vec_id")
+    return FL.store_add(None, _labelled(t), "vec_id", "content", "db_name", "embedding", "vec_id")
 
 
 def _q_store_roundtrip(spark, sf_dir):
@@ -165,26 +169,25 @@ def _q_store_load(spark, sf_dir):
                        F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("sum_v"))
 
 
-def _added(t):
-    s1 = _store(t)
-    b = t.benchmark.select("item_id", F.lit("bench").alias("db_name"), "text",
-                           hashed_vector("text").alias("v"))
-    s2 = FL.store_add(s1, b, None, "text", "db_name", "v", "item_id")
-    again = t.embeddings.select("vec_id", F.lit("v2").alias("content"), F.lit("label_again").alias("db_name"),
-                                "embedding")
-    return FL.store_add(s2, again, "vec_id", "content", "db_name", "embedding", "vec_id")
+def _added(spark, t):
+    """Three batches appended to a saved store, the last under ids of the first."""
+    store = VectorStore(spark)
+    store.add(_labelled(t), "vec_id", "content", "db_name", "embedding", "vec_id")
+    b = t.benchmark.select("item_id", F.lit("bench").alias("db_name"), "text", hashed_vector("text").alias("v"))
+    store.add(b, None, "text", "db_name", "v", "item_id")
+    again = t.embeddings.select("vec_id", F.lit("v2").alias("content"), F.lit("label_again").alias("db_name"), "embedding")
+    return VectorStore(spark, store.path).add(again, "vec_id", "content", "db_name", "embedding", "vec_id")
 
 
 def _q_store_add(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    g = FL.store_get(_added(t))
+    g = _added(spark, _t(spark, sf_dir)).get()
     return g.select("id", "seq", "db_name", F.md5("content").alias("content_md5"))
 
 
 def _q_store_get(spark, sf_dir):
     t = _t(spark, sf_dir)
     ids = t.embeddings.filter(F.col("label") == 3).select(F.col("vec_id").cast("string").alias("id"))
-    g = FL.store_get(_added(t), ids)
+    g = _added(spark, t).get(ids)
     return g.select("id", "seq", "content", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6)
                     .alias("sum_v"))
 
