@@ -380,9 +380,15 @@ WITH d AS (
   SELECT d, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
 ), q AS (SELECT row_number() OVER () AS q, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
 ), n AS (SELECT lang, sum(len(w)) AS n FROM q GROUP BY lang
-), e AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM q
-), g AS (SELECT lang, w[i:i + k - 1] AS g, k FROM e, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)
-), f AS (SELECT lang, g, k, count(*) AS f FROM g GROUP BY lang, g, k HAVING count(*) >= 30
+), t AS (SELECT q, lang, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM q
+), o AS (
+  SELECT lang, x AS a, lead(x, 1) OVER s AS b, lead(x, 2) OVER s AS c, lead(x, 3) OVER s AS d
+  FROM t WINDOW s AS (PARTITION BY q ORDER BY i)
+), f AS (
+  SELECT lang, [a] AS g, 1 AS k, count(*) AS f FROM o GROUP BY lang, a HAVING count(*) >= 30
+  UNION ALL SELECT lang, [a, b], 2, count(*) FROM o WHERE b IS NOT NULL GROUP BY lang, a, b HAVING count(*) >= 30
+  UNION ALL SELECT lang, [a, b, c], 3, count(*) FROM o WHERE c IS NOT NULL GROUP BY lang, a, b, c HAVING count(*) >= 30
+  UNION ALL SELECT lang, [a, b, c, d], 4, count(*) FROM o WHERE d IS NOT NULL GROUP BY lang, a, b, c, d HAVING count(*) >= 30
 ), longer AS (
   SELECT lang, sub, max(f) AS f FROM (
     SELECT lang, unnest([g[1:2], g[2:3], g[3:4], g[1:3], g[2:4]]) AS sub, k, f FROM f WHERE k > 2)
