@@ -1,4 +1,4 @@
-"""Training-data pipeline operators: ten corpus operators and their queries.
+"""Training-data pipeline operators: thirteen corpus operators and their queries.
 
 Nothing else in the library imports this subpackage.  Each module holds one
 operator with its own general interface and, at the end, the thin
