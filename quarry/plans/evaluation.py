@@ -105,16 +105,17 @@ ASK = "Generate a SQLite query to answer the following question."
 TASK = "Generate ONLY the SQL query (no explanations):"
 
 
-def generation_prompt(question, schema, plan, error=None, examples: str = "") -> F.Column:
-    """The prompt of the generating step; plan and earlier error are left out where absent."""
+def generation_prompt(question, schema, plan=None, error=None, examples: str | F.Column = "") -> F.Column:
+    """The prompt of the generating step; examples, plan and earlier error are left out where absent."""
     lines = [F.lit(ASK), F.lit(""), F.lit(RULE), F.lit("DATABASE SCHEMA:"), F.lit(RULE), schema, F.lit("")]
-    if examples:
-        lines += [F.lit(RULE), F.lit(examples), F.lit(RULE), F.lit("")]
-    lines += [F.when(plan.isNotNull(), F.concat_ws(
-        "\n", F.lit("QUERY ANALYSIS:"), F.concat(F.lit("- Query Type: "), plan["query_type"]),
-        F.concat(F.lit("- Complexity: "), F.coalesce(plan["complexity"].cast("string"), F.lit("simple"))),
-        F.concat(F.lit("- Required Tables: "), F.coalesce(F.array_join(plan["required_tables"], ", "), F.lit(""))),
-        F.lit("")))]
+    if isinstance(examples, F.Column) or examples:
+        lines += [F.lit(RULE), examples if isinstance(examples, F.Column) else F.lit(examples), F.lit(RULE), F.lit("")]
+    if plan is not None:
+        lines += [F.when(plan.isNotNull(), F.concat_ws(
+            "\n", F.lit("QUERY ANALYSIS:"), F.concat(F.lit("- Query Type: "), plan["query_type"]),
+            F.concat(F.lit("- Complexity: "), F.coalesce(plan["complexity"].cast("string"), F.lit("simple"))),
+            F.concat(F.lit("- Required Tables: "), F.coalesce(F.array_join(plan["required_tables"], ", "), F.lit(""))),
+            F.lit("")))]
     if error is not None:
         lines += [F.when(error.isNotNull(), F.concat(F.lit("⚠️ PREVIOUS ERROR - Please fix:\n"), error, F.lit("\n")))]
     lines += [F.lit(RULE), F.lit("YOUR TASK:"), F.lit(RULE), F.concat(F.lit("Question: "), question), F.lit(""), F.lit(TASK)]
@@ -148,5 +149,85 @@ def q_generation_prompt(t):
     return p.select("qid", F.length("p").cast("long").alias("n_chars"), F.md5("p").alias("prompt_md5"))
 
 
+# The lines of the planning prompt and the kinds of query it names.
+PLAN_HEAD = "Analyze the following natural language question and create a query plan.\n\nQuestion: "
+KINDS = ["SELECT", "COUNT", "AGGREGATE", "JOIN", "GROUPBY", "ORDERBY", "FILTER", "SUBQUERY", "COMPLEX"]
+PLAN_TAIL = f"""
+
+Determine:
+1. Query Type: One of {KINDS}
+2. Required Tables: List tables likely needed
+3. Required Columns: List columns likely needed
+4. Operations: List SQL operations needed (SELECT, WHERE, JOIN, GROUP BY, etc.)
+5. Complexity: Rate from 1-5 (1=simple, 5=very complex)
+
+Respond in this exact JSON format:
+{{
+    "query_type": "<primary query type>",
+    "required_tables": ["table1", "table2"],
+    "required_columns": ["col1", "col2"],
+    "operations": ["SELECT", "WHERE", "JOIN"],
+    "complexity": 3,
+    "reasoning": "Brief explanation of the plan"
+}}
+
+Only respond with the JSON, no other text."""
+
+
+def planning_prompt(question) -> F.Column:
+    """The prompt of the planning step."""
+    return F.concat(F.lit(PLAN_HEAD), question, F.lit(PLAN_TAIL))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_PLAN_SQL = f"{_quoted(PLAN_HEAD)} || question || {_quoted(PLAN_TAIL)}"
+
+
+@R.query("planning_prompt", f"""WITH query_log AS ({QUERY_LOG_SQL})
+SELECT qid, CAST(length({_PLAN_SQL}) AS BIGINT) AS n_chars, md5({_PLAN_SQL}) AS prompt_md5 FROM query_log""")
+def q_planning_prompt(t):
+    p = query_log(t).select("qid", planning_prompt(c("question")).alias("p"))
+    return p.select("qid", F.length("p").cast("long").alias("n_chars"), F.md5("p").alias("prompt_md5"))
+
+
+def few_shot_text(log: DataFrame) -> DataFrame:
+    """One row: an example of each hardness, the shortest gold SQL of its questions, numbered easy to hard."""
+    order = F.when(c("hardness") == "easy", 0).when(c("hardness") == "medium", 1).otherwise(2)
+    shots = log.select(ST.hardness("gold_sql").alias("hardness"), "question", "gold_sql").groupBy(order.alias("o")).agg(
+        F.min(F.struct(F.length("gold_sql").alias("size"), "gold_sql", "question")).alias("x"))
+    listed = F.sort_array(F.collect_list(F.struct("o", "x.question", "x.gold_sql")))  # a row a class
+    return shots.agg(F.array_join(F.transform(listed, lambda e, i: F.concat(
+        F.lit("Example "), (i + 1).cast("string"), F.lit(":\nQuestion: "), e["question"], F.lit("\nSQL: "), e["gold_sql"])),
+        "\n\n").alias("examples"))
+
+
+def _few_shot_sql() -> str:
+    from ..sources.catalog import COLS_CTE
+    nl = "chr(10)"
+    p = (f"concat_ws({nl}, '{ASK}', '', '{RULE}', 'DATABASE SCHEMA:', '{RULE}', st.schema_text, '', '{RULE}', examples, '{RULE}', '', "
+         f"'{RULE}', 'YOUR TASK:', '{RULE}', 'Question: ' || question, '', '{TASK}')")
+    return f"WITH query_log AS ({QUERY_LOG_SQL}),\n" + COLS_CTE + f""",
+h AS (SELECT CASE {D.hardness('gold_sql')} WHEN 'easy' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS o, question, gold_sql FROM query_log),
+pick AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY length(gold_sql), gold_sql, question) AS n FROM h),
+ex AS (SELECT o, question, gold_sql, row_number() OVER (ORDER BY o) AS i FROM pick WHERE n = 1),
+fs AS (SELECT string_agg('Example ' || i || ':' || {nl} || 'Question: ' || question || {nl} || 'SQL: ' || gold_sql,
+  {nl} || {nl} ORDER BY i) AS examples FROM ex)
+SELECT qid, CAST(length({p}) AS BIGINT) AS n_chars, md5({p}) AS prompt_md5 FROM query_log CROSS JOIN st CROSS JOIN fs"""
+
+
+@R.query("few_shot_prompt", _few_shot_sql())
+def q_few_shot_prompt(t):
+    """C27 with examples taken from the log, without a plan."""
+    from ..sources.catalog import schema_columns, schema_text
+    log = query_log(t)
+    one = schema_text(schema_columns(t)).select("schema_text").crossJoin(few_shot_text(log))  # one row
+    p = log.select("qid", "question").crossJoin(one).select("qid", generation_prompt(
+        c("question"), c("schema_text"), None, examples=c("examples")).alias("p"))
+    return p.select("qid", F.length("p").cast("long").alias("n_chars"), F.md5("p").alias("prompt_md5"))
+
+
 QUERIES = R.queries
 ORACLES = R.oracles
