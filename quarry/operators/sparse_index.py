@@ -40,6 +40,7 @@ from .bm25 import B, K1, SLACK, _written, postings, query_terms, top_k
 from .sizing import spread
 
 BLOCK = 128     # documents of a block
+SEGMENT = "segment int, docs long, length long"
 SEEDS = 8       # terms of a query that give its first bound
 
 
@@ -75,26 +76,43 @@ def _part(tf: Column, dl: Column, avgdl: float, k1: float = K1, b: float = B) ->
 
 
 class SparseIndex:
-    """A BM25 index kept in a folder that the driver and all executors share."""
+    """A BM25 index kept in a folder that the driver and all executors share.
+
+    An opened index shows the segments there were when it was first asked, and
+    those it adds itself.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or scratch_path(spark, "sparse-index")
+        self._rows: list | None = None
+        self._tables: dict[str, DataFrame] = {}
+
+    def _manifest(self) -> list:
+        """(segment, docs, length) of the complete segments: a row a batch, read once."""
+        if self._rows is None:
+            there = path_exists(self.spark, f"{self.path}/segments")
+            self._rows = self.spark.read.schema(SEGMENT).parquet(f"{self.path}/segments").collect() if there else []
+        return self._rows
+
+    def _changed(self) -> None:
+        self._rows, self._tables = None, {}
 
     def segments(self) -> list[int]:
         """Numbers of the complete segments; there is one for each batch added."""
-        if not path_exists(self.spark, f"{self.path}/segments"):
-            return []
-        return sorted(r[0] for r in self.spark.read.parquet(f"{self.path}/segments").select("segment").collect())
+        return sorted(r["segment"] for r in self._manifest())
 
     def table(self, name: str) -> DataFrame:
         """tokens (doc, toks), terms (term, df, ctf) or blocks of all segments, with ``segment``."""
-        paths = [f"{self.path}/{name}/segment={n}" for n in self.segments()]
-        if not paths:
-            raise ValueError(f"no documents in the index at {self.path}")
-        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*paths)
+        if name not in self._tables:
+            paths = [f"{self.path}/{name}/segment={n}" for n in self.segments()]
+            if not paths:
+                raise ValueError(f"no documents in the index at {self.path}")
+            self._tables[name] = self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*paths)
+        return self._tables[name]
 
     def add(self, docs: DataFrame, did: str, text: str) -> SparseIndex:
         """Add a batch of documents as a segment; the segments before it are neither read nor changed."""
+        self._changed()
         n = max(self.segments(), default=-1) + 1
         to = {name: f"{self.path}/{name}/segment={n}" for name in ("tokens", "terms", "blocks")}
         spread(docs).select(F.col(did).alias("doc"), tokenize(text).alias("toks")).write.mode("overwrite").parquet(to["tokens"])
@@ -105,15 +123,14 @@ class SparseIndex:
         count = F.aggregate("tfs", F.lit(0).cast("long"), lambda x, y: x + y)
         self.spark.read.parquet(to["blocks"]).groupBy("term").agg(
             F.sum("n").alias("df"), F.sum(count).alias("ctf")).write.mode("overwrite").parquet(to["terms"])
-        self.spark.createDataFrame([(n, docs_, length)], "segment int, docs long, length long").coalesce(1).write.mode(
-            "append").parquet(f"{self.path}/segments")
+        self.spark.createDataFrame([(n, docs_, length)], SEGMENT).coalesce(1).write.mode("append").parquet(
+            f"{self.path}/segments")
+        self._changed()
         return self
 
     def stats(self) -> tuple[int, float]:
         """Number of documents and their mean length."""
-        if not self.segments():
-            return 0, 0.0
-        n, length = self.spark.read.parquet(f"{self.path}/segments").agg(F.sum("docs"), F.sum("length")).head()
+        n, length = (sum(r[c] for r in self._manifest()) for c in ("docs", "length"))
         return n, length / n if n else 0.0
 
     def terms(self) -> DataFrame:
