@@ -127,3 +127,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(p))
+
+
+def path_state(spark: SparkSession, path: str) -> tuple[int, int, int] | None:
+    """Bytes, files and time of a file or folder; None where there is none."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    held = fs.getContentSummary(p)
+    return held.getLength(), held.getFileCount(), fs.getFileStatus(p).getModificationTime()

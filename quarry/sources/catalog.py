@@ -9,12 +9,11 @@ data tables.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.sizing import spread
 from ..session import TABLE_NAMES, Tables
+from .profile import column_profile, sample_texts, smallest_values
 
 DB_NAME = "tpch"
 
@@ -53,20 +52,6 @@ def schema_columns(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, COLUMNS_SCHEMA)
 
 
-def column_profile(t: Tables) -> DataFrame:
-    """(table, name, n_rows, n_nulls): rows and nulls of every column, one aggregate per table."""
-    out = None
-    for name in TABLE_NAMES:
-        cols = t[name].columns
-        one = t[name].agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(f"`{c}`").alias(f"k{i}")
-                                                              for i, c in enumerate(cols)])
-        long = one.select(F.lit(name).alias("table"), "n_rows", F.explode(F.array(*[
-            F.struct(F.lit(c).alias("name"), (F.col("n_rows") - F.col(f"k{i}")).alias("n_nulls"))
-            for i, c in enumerate(cols)])).alias("x")).select("table", "x.name", "n_rows", "x.n_nulls")
-        out = long if out is None else out.unionByName(long)
-    return out
-
-
 def profiled_columns(t: Tables) -> DataFrame:
     """A4 with the data's own counts: a column of a filled table without nulls reads as NOT NULL."""
     return schema_columns(t).drop("not_null").join(column_profile(t), ["table", "name"]).withColumn(
@@ -114,56 +99,33 @@ def fk_check(t: Tables) -> DataFrame:
     return out
 
 
-def _local_smallest(n: int, cols: list[str]):
-    """Per task: the n smallest distinct values of each column (bounded state per column)."""
-    def run(it):
-        best: dict = {c: set() for c in cols}
-        for pdf in it:
-            for c in cols:
-                b = best[c]
-                b.update(pdf[c].dropna().tolist())
-                if len(b) > 4 * n:
-                    best[c] = set(sorted(b)[:n])
-        rows_c, rows_v = [], []
-        for c in cols:
-            for v in sorted(best[c])[:n]:
-                rows_c.append(c)
-                rows_v.append(v)
-        yield pd.DataFrame({"column": pd.Series(rows_c, dtype="object"), "value": pd.Series(rows_v, dtype="object")})
-    return run
+def column_value_sample(t: Tables, n: int = SAMPLE_SIZE) -> DataFrame:
+    """The n smallest distinct values of every text column."""
+    text = {name: (t[name], [f.name for f in t[name].schema.fields if f.dataType.simpleString() in TEXT_TYPES])
+            for name in TABLE_NAMES}
+    return smallest_values({name: x for name, x in text.items() if x[1]}, n)
+
 
+# Tables whose rows stand in the schema context, and rows of each.
+CONTEXT_TABLES, CONTEXT_ROWS = 3, 2
 
-def column_value_sample(t: Tables, n: int = SAMPLE_SIZE) -> DataFrame:
-    """The n smallest distinct values of every text column.
 
-    One pass per table covers all its text columns; each task keeps only its
-    own n smallest distinct values per column (pre-aggregation before the
-    shuffle), so at most n rows per column per task are shuffled.
-    """
-    out = None
-    w = Window.partitionBy("table", "column").orderBy("value")
-    for name in TABLE_NAMES:
-        cols = [f.name for f in t[name].schema.fields if f.dataType.simpleString() in TEXT_TYPES]
-        if not cols:
-            continue
-        local = (spread(t[name]).select(*cols)
-                 .mapInPandas(_local_smallest(n, cols), "column string, value string"))
-        part = local.select(F.lit(name).alias("table"), "column", "value")
-        out = part if out is None else out.unionByName(part)
-    d = out.distinct()
-    return d.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")
-
-
-def schema_context(cols: DataFrame, spark) -> DataFrame:
-    """Schema text plus ``t.c -> t2.c2`` foreign-key lines."""
-    fk = foreign_keys_df(spark)
+def schema_context(cols: DataFrame, t: Tables) -> DataFrame:
+    """Schema text, ``t.c -> t2.c2`` foreign-key lines, and two sample rows of the first three tables by name."""
+    fk = foreign_keys_df(t.spark)
     lines = fk.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
         "i", F.concat("table", F.lit("."), "from_column", F.lit(" -> "), "to_table", F.lit("."), "to_column")
         .alias("l")))), lambda x: x["l"]), "\n").alias("fk_lines"))
+    shown = sorted(TABLE_NAMES)[:CONTEXT_TABLES]
+    rows = sample_texts(t, {name: PRIMARY_KEYS[name] for name in shown}, CONTEXT_ROWS)
+    part = F.concat(F.lit("\n\n-- "), "table", F.lit(" --\n"), F.array_join("rows", "\n"))
+    samples = rows.where(F.size("rows") > 0).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
+        "table", part.alias("part")))), lambda x: x["part"]), "").alias("samples"))
     st = schema_text(cols)
-    return st.crossJoin(lines).select("db_name", F.concat(
+    return st.crossJoin(lines).crossJoin(samples).select("db_name", F.concat(
         F.lit("=== DATABASE SCHEMA ===\n\n"), "schema_text",
-        F.lit("\n\n=== FOREIGN KEY RELATIONSHIPS ===\n\n"), "fk_lines").alias("context"))
+        F.lit("\n\n=== FOREIGN KEY RELATIONSHIPS ===\n\n"), "fk_lines",
+        F.lit("\n\n=== SAMPLE DATA ===\n"), "samples").alias("context"))
 
 
 # ---------------------------------------------------------------- registry
@@ -234,7 +196,7 @@ def _q_ddl_names(spark, sf_dir):
 
 def _q_context(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return schema_context(profiled_columns(t), spark)
+    return schema_context(profiled_columns(t), t)
 
 
 _NAMES_SQL = ", ".join(f"('{n}', {i})" for i, n in enumerate(TABLE_NAMES))
@@ -298,6 +260,51 @@ TEXT_COLUMNS = [
 _VALUES_UNION = " UNION ".join(
     f"SELECT '{tb}' AS \"table\", '{col}' AS \"column\", {col} AS value FROM {tb}" for tb, col in TEXT_COLUMNS)
 
+# Columns of the fixture tables with fractions, times and lists (from FIXTURES.md).
+FLOAT_COLUMNS = ("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount",
+                 "l_tax", "value")
+TIME_COLUMNS = ("o_orderdate", "l_shipdate", "ts")
+LIST_COLUMNS = ("embedding",)
+
+
+def _number_sql(x: str) -> str:
+    return (f"regexp_replace(regexp_replace(CAST(CAST(round(CAST({x} AS DOUBLE), 6) AS DECIMAL(38, 6)) AS VARCHAR), "
+            r"'0+$', ''), '\.$', '.0')")
+
+
+def _quoted_sql(c: str) -> str:
+    x = c
+    for raw, shown in ((92, "chr(92)"), (10, "'n'"), (13, "'r'"), (9, "'t'")):
+        x = f"replace({x}, chr({raw}), chr(92) || {shown})"
+    return (f"CASE WHEN instr({c}, chr(39)) = 0 THEN chr(39) || {x} || chr(39) "
+            f"WHEN instr({c}, chr(34)) = 0 THEN chr(34) || {x} || chr(34) "
+            f"ELSE chr(39) || replace({x}, chr(39), chr(92) || chr(39)) || chr(39) END")
+
+
+def _value_sql(table: str, c: str) -> str:
+    if c in LIST_COLUMNS:
+        body = f"'[' || array_to_string(list_transform({c}, lambda x: {_number_sql('x')}), ', ') || ']'"
+    elif c in FLOAT_COLUMNS:
+        body = _number_sql(c)
+    elif c in TIME_COLUMNS:
+        body = f"chr(39) || strftime({c}, '%Y-%m-%d %H:%M:%S') || chr(39)"
+    else:
+        body = _quoted_sql(c) if (table, c) in TEXT_COLUMNS else f"CAST({c} AS VARCHAR)"
+    return f"coalesce({body}, 'None')"
+
+
+def rows_sql(table: str, n: int) -> str:
+    """DuckDB SQL: (table, r, row_text) of the first ``n`` rows by key."""
+    text = " || ', ' || ".join(f"chr(39) || '{c}' || chr(39) || ': ' || {_value_sql(table, c)}"
+                               for c in TABLE_COLUMNS[table].split())
+    key = PRIMARY_KEYS[table]
+    there = " AND ".join(f"{k} IS NOT NULL" for k in key)
+    return (f"SELECT * FROM (SELECT '{table}' AS \"table\", row_number() OVER (ORDER BY {', '.join(key)}, row_text) AS r, "
+            f"row_text FROM (SELECT *, '{{' || {text} || '}}' AS row_text FROM {table} WHERE {there}) x) y WHERE r <= {n}")
+
+
+_CONTEXT_ROWS_SQL = " UNION ALL ".join(rows_sql(n, CONTEXT_ROWS) for n in sorted(TABLE_NAMES)[:CONTEXT_TABLES])
+
 
 ORACLES = {
     "scan_table": "SELECT * FROM customer",
@@ -316,10 +323,14 @@ SELECT count(*) AS num_tables, CAST(sum(c) AS BIGINT) AS total_columns, CAST(sum
     "ddl_table_names": "WITH " + PROFILED_CTE + r"""
 SELECT db_name, array_to_string(list_sort(list_distinct(regexp_extract_all(schema_text, '(?i)CREATE TABLE\s+(\w+)', 1))), ',') AS tables FROM st""",
     "schema_context_text": "WITH " + PROFILED_CTE + f""",
-fk AS (SELECT * FROM (VALUES {_FK_SQL}) v(i, t, fc, tt, tc))
+fk AS (SELECT * FROM (VALUES {_FK_SQL}) v(i, t, fc, tt, tc)),
+shown AS (SELECT "table", chr(10) || chr(10) || '-- ' || "table" || ' --' || chr(10)
+            || string_agg(row_text, chr(10) ORDER BY r) AS part FROM ({_CONTEXT_ROWS_SQL}) z GROUP BY "table")
 SELECT db_name, '=== DATABASE SCHEMA ===' || chr(10) || chr(10) || schema_text || chr(10) || chr(10)
   || '=== FOREIGN KEY RELATIONSHIPS ===' || chr(10) || chr(10)
-  || (SELECT string_agg(t || '.' || fc || ' -> ' || tt || '.' || tc, chr(10) ORDER BY i) FROM fk) AS context FROM st""",
+  || (SELECT string_agg(t || '.' || fc || ' -> ' || tt || '.' || tc, chr(10) ORDER BY i) FROM fk)
+  || chr(10) || chr(10) || '=== SAMPLE DATA ===' || chr(10)
+  || coalesce((SELECT string_agg(part, '' ORDER BY "table") FROM shown), '') AS context FROM st""",
 }
 
 
