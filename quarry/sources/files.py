@@ -30,13 +30,35 @@ def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
+# Place of an entry: its file, the part of the file a task reads, and its turn in that task.
+_PLACE = ("_file", "_part", "_turn")
+
+
+def read_first(spark: SparkSession, path: str, schema: str, limit: int | None = None,
+               multi_line: bool = False) -> DataFrame:
+    """Entries of JSON files, all or the first ``limit`` in file order, files by path.
+
+    A file holds JSON lines or, with ``multi_line``, one array.  A task gives
+    the entries of a part of a file as they stand in it, so only order within a
+    part is taken from the running number; each task keeps its first ``limit``.
+    """
+    entries = read_json(spark, path, schema, multi_line)
+    if limit is None:
+        return entries
+    placed = entries.select("*", F.col("_metadata.file_path").alias("_file"),
+                            F.col("_metadata.file_block_start").alias("_part"),
+                            F.monotonically_increasing_id().alias("_turn"))
+    return placed.orderBy(*_PLACE).limit(limit).drop(*_PLACE)
+
+
 def load_split(spark: SparkSession, path: str, known_dbs: DataFrame, limit: int | None = None,
                multi_line: bool = False) -> DataFrame:
-    """Questions of a split; the optional limit applies before dropping unknown databases."""
-    ex = read_json(spark, path, EXAMPLE_SCHEMA, multi_line)
+    """Questions of a split; the optional limit takes the first of the files, before unknown databases go.
+
+    As with the original, a limit of 0 is none.
+    """
+    ex = read_first(spark, path, EXAMPLE_SCHEMA, limit or None, multi_line)
     ex = ex.withColumn("hardness", F.coalesce("hardness", F.lit("unknown")))
-    if limit is not None:
-        ex = ex.limit(limit)
     return ex.join(known_dbs.select("db_id").distinct(), "db_id", "left_semi")
 
 
@@ -60,9 +82,9 @@ def write_json_array(df: DataFrame, order: str, path: str) -> str:
     return path
 
 
-def load_test_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Test cases; a missing query_type reads as 'unknown'."""
-    t = read_json(spark, path, TEST_CASE_SCHEMA)
+def load_test_cases(spark: SparkSession, path: str, limit: int | None = None, multi_line: bool = False) -> DataFrame:
+    """Test cases, all or the first of the files; a missing query_type reads as 'unknown'."""
+    t = read_first(spark, path, TEST_CASE_SCHEMA, limit or None, multi_line)
     return t.withColumn("query_type", F.coalesce("query_type", F.lit("unknown")))
 
 

@@ -47,6 +47,21 @@ def _q_load_split(spark, sf_dir):
     return FL.load_split(spark, base + "/dev", known)
 
 
+# Questions the limited split is read to.
+FIRST_QUESTIONS = 100
+
+
+def _q_load_split_limit(spark, sf_dir):
+    """The first hundred questions of a split in the order of its files, then those of known databases."""
+    t = _t(spark, sf_dir)
+    base = scratch_path(spark, "split")
+    by_id = query_log(t).select("qid", "db_id", "question", F.col("gold_sql").alias("query"),
+                                hardness("gold_sql").alias("hardness")).orderBy("qid")
+    FL.write_json(by_id.drop("qid"), base + "/dev")
+    FL.write_json_array(_schema_entries(t), "place", base + "/tables")
+    return FL.load_split(spark, base + "/dev", FL.load_schema_json(spark, base + "/tables"), FIRST_QUESTIONS)
+
+
 def _q_load_schema_json(spark, sf_dir):
     t = _t(spark, sf_dir)
     path = scratch_path(spark, "tables")
@@ -216,6 +231,9 @@ SELECT CAST(id AS VARCHAR) AS "ID", question AS "Question", hardness AS "Hardnes
 FROM er GROUP BY id, question, hardness, gold_sql""",
     "load_split": f"WITH query_log AS ({QUERY_LOG_SQL})\n" + f"""
 SELECT db_id, question, gold_sql AS query, {D.hardness('gold_sql')} AS hardness FROM query_log WHERE db_id <> '5-LOW'""",
+    "load_split_limit": f"WITH query_log AS ({QUERY_LOG_SQL})\n" + f"""
+SELECT db_id, question, gold_sql AS query, {D.hardness('gold_sql')} AS hardness
+FROM (SELECT * FROM query_log ORDER BY qid LIMIT {FIRST_QUESTIONS}) z WHERE db_id <> '5-LOW'""",
     "load_schema_json": f"WITH query_log AS ({QUERY_LOG_SQL})\n" + f"""
 SELECT db_id, unnest([{', '.join(f"'{n}'" for n in TABLE_NAMES)}]) AS table_name
 FROM (SELECT DISTINCT db_id FROM query_log WHERE db_id <> '5-LOW') z""",
@@ -289,6 +307,7 @@ QUALIFY label = 3""",
 
 QUERIES = {
     "load_split": _q_load_split,
+    "load_split_limit": _q_load_split_limit,
     "load_schema_json": _q_load_schema_json,
     "to_test_cases": _q_to_test_cases,
     "load_test_cases": _q_load_test_cases,
