@@ -21,7 +21,7 @@ counts and the hash of the empty string; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, table
@@ -37,23 +37,37 @@ MAX_OWNERS = 2
 RUN = 4
 
 SPANS = "array<struct<start:bigint,end:bigint,kind:string,value:string>>"
+PLACED = "array<struct<at:bigint,c:array<struct<m:string,g:string>>>>"
+
+
+# Matches of a text that are walked together: arrays grow by appending within
+# a chunk and by chunks, so the work follows the number of matches.
+CHUNK = 128
 
 
 def spans_of(text: Column, pattern: str, kind: str) -> Column:
     """All matches, leftmost and non-overlapping, as (start, end, kind, match)."""
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.lit(0).cast("long")
-    walk = F.aggregate(
-        F.arrays_zip(match.alias("m"), F.slice(gaps, F.lit(1), F.size(match)).alias("g")),
-        F.struct(zero.alias("at"), F.array().cast(SPANS).alias("out")),
+    pairs = F.arrays_zip(match.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(match)).alias("g"))
+    # a lambda's variable is computed once, an expression inside a lambda once an element
+    chunks = F.get(F.transform(F.array(pairs), lambda a: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(a) - 1) / CHUNK).cast("int")),
+        lambda i: F.slice(a, i * CHUNK + 1, CHUNK))), F.lit(0))
+    zero, ends = F.lit(0).cast("long"), lambda at, x: (at + F.length(x["g"]) + F.length(x["m"])).cast("long")
+    placed = F.aggregate(
+        chunks, F.struct(zero.alias("at"), F.array().cast(PLACED).alias("out")),
+        lambda a, c: F.struct(
+            F.aggregate(c, a["at"], ends).alias("at"),
+            F.array_append(a["out"], F.struct(a["at"].alias("at"), c.alias("c"))).alias("out")),
+        lambda a: a["out"])
+    walk = F.flatten(F.transform(placed, lambda p: F.aggregate(
+        p["c"], F.struct(p["at"].alias("at"), F.array().cast(SPANS).alias("out")),
         lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("at"),
+            ends(a["at"], x).alias("at"),
             F.array_append(a["out"], F.struct(
-                (a["at"] + F.length(x["g"])).cast("long").alias("start"),
-                (a["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("end"),
+                (a["at"] + F.length(x["g"])).cast("long").alias("start"), ends(a["at"], x).alias("end"),
                 F.lit(kind).alias("kind"), x["m"].alias("value"))).alias("out")),
-        lambda a: a["out"])
+        lambda a: a["out"])))
     return F.when(text.rlike(pattern), walk).otherwise(F.array().cast(SPANS))
 
 
@@ -95,6 +109,17 @@ def ownership(seen: DataFrame) -> DataFrame:
     return per_owner.groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
+def beside_base(seen: DataFrame) -> DataFrame:
+    """``seen`` without added spans that overlap a base span of their text: two sorted passes over the spans of a text."""
+    text = Window.partitionBy("doc_id", "text_hash")
+    is_base = F.col("kind") != "owner"
+    # both frames grow with the sort; ties of a start are in both
+    before = F.max(F.when(is_base, F.col("end"))).over(text.orderBy("start"))
+    after = F.min(F.when(is_base, F.col("start"))).over(text.orderBy(F.col("start").desc()))
+    apart = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
+    return seen.withColumn("apart", is_base | apart).where("apart").drop("apart")
+
+
 def scan(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """Per row of (doc_id, text, source): counts, base spans, live values and added spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -103,12 +128,11 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     d = d.select("doc_id", "source", "text_hash", *[v.alias(k) for k, v in c.items()])
     d = materialize(d, "secret-spans")
     base = F.concat("assign", "access", "hex")
-    # an added span may not overlap a base span
-    bare = F.filter("bare", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     seen = (d.where(F.size("assign") + F.size("access") + F.size("hex") + F.size("bare") > 0)
-            .select("doc_id", "source", "text_hash", F.explode(F.concat(base, bare)).alias("s"))
+            .select("doc_id", "source", "text_hash", F.explode(F.concat(base, "bare")).alias("s"))
             .select("doc_id", "source", "text_hash", "s.start", "s.end", "s.kind",
                     F.sha2(F.col("s.value").cast("binary"), 256).alias("h")))
+    seen = beside_base(seen)
     live = ownership(seen).where(F.col("n_owners") <= max_owners).select("h")
     found = (seen.join(live, "h").groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.struct("start", "end", "kind")).alias("live")))
