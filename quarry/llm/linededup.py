@@ -49,6 +49,14 @@ def visible_text(html: Column) -> Column:
     return t
 
 
+def between(lines: str, gone: str) -> Column:
+    """The lines at none of the positions ``gone``: the stretches between neighbouring positions, in order."""
+    at = F.array_sort(gone)
+    stretch = F.arrays_zip(F.concat(F.array(F.lit(-1)), at).alias("a"),
+                           F.concat(at, F.array(F.size(lines))).alias("b"))
+    return F.flatten(F.transform(stretch, lambda s: F.slice(lines, s["a"] + 2, s["b"] - s["a"] - 1)))
+
+
 def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
                      copies: bool = True) -> DataFrame:
     """(host, text, ...) -> the same columns with cleaned ``text``, and n_lines, n_dropped long.
@@ -82,8 +90,7 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
                .select(F.col("rid").alias("d1"), F.col("rid2").alias("d2"), "gone"))
     out = d.join(dropped, (F.col("rid") == F.col("d1")) & (F.col("rid2") == F.col("d2")), "left")
     gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
-    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x, i: ~F.array_contains(gone, i)))
+    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(between("lines", "gone"))
     back = {c: F.col(f"p{i}").alias(c) for i, c in enumerate(rest)}
     back |= {"host": F.col("host0").alias("host"),
              "text": F.when(F.col("lines").isNotNull(), F.concat_ws("\n", left)).alias("text")}

@@ -1,4 +1,5 @@
 import collections
+import time
 
 from quarry.llm import linededup
 from tests.llm.helpers import doc_rows, docs, empty_docs
@@ -54,3 +55,18 @@ def test_pages_and_empty(spark):
         linededup.visible_text(F.col("html")), linededup.host_of(F.col("url"))).head()
     assert [x for x in r[0].split("\n") if x.strip()] == ["One bold&two", "Three", "Four"] and r[1] == "ex.org"
     assert linededup.clean(empty_docs(spark)).collect() == []
+
+
+def test_time_follows_the_number_of_lines(spark):
+    def seconds(n):
+        text = "\n".join(f"line {i}" for i in range(n))
+        rows = [(i, "h", f"{text}\nown {i}") for i in range(4)]
+        df = spark.createDataFrame(rows, "page_id long, host string, text string")
+        start = time.time()
+        got = linededup.drop_boilerplate(df).collect()
+        assert [r["text"] for r in sorted(got, key=lambda r: r["page_id"])] == [f"own {i}" for i in range(4)]
+        return time.time() - start
+
+    seconds(100)
+    few, many = seconds(4_000), seconds(32_000)
+    assert many < 20 * few, (few, many)  # 64 times as long where each line meets all removed positions
