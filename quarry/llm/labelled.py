@@ -10,7 +10,6 @@ from quarry.llm.common import crc_mod, materialize
 # Labelled rows a classifier is fitted on, at most (about): a hash of the id
 # decides, so the sample is the same in every run.
 SAMPLE_ROWS = 20_000
-_FINE = 1_000_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold_mod: int, held: int,
@@ -26,7 +25,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold_mod: in
            .groupBy("doc_id").agg(F.max(label).cast("double").alias("y")))
     n = lab.count()
     if n > rows:
-        lab = lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(_FINE)) < int(_FINE * rows / n))
+        # the share of all 64-bit hashes, whatever the number of labels
+        lab = lab.where(F.xxhash64("doc_id") < F.lit((1 << 64) * rows // n - (1 << 63)))
     lab = lab.select(F.col("doc_id").alias("l_id"), "y")
     if n <= 4 * rows:  # its size is known, so it may be shared with every task
         lab = F.broadcast(lab)

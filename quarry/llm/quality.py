@@ -35,6 +35,9 @@ THRESHOLD = 0.3
 PAIRS = 6
 # Share of documents below the quantile threshold.
 DROP_SHARE = 0.1
+# Words a text is thought to have besides its own when the share of its most
+# frequent word is taken, so that short texts need no rule of their own.
+REPEAT_PRIOR = 10
 
 _RUN = re.compile(r"[^\w\s]{2,}")
 FEATURES = ("symbols", "bars", "exclaims", "double_marks", "capitals", "caps_words", "digits", "distinct_words",
@@ -67,7 +70,7 @@ def features_of(text: str) -> list[float]:
     return [sat(symbols * ch, 10), sat(text.count("|") * per, 3), sat(text.count("!") * per, 3),
             sat(len(_RUN.findall(text)) * per, 3), sat(upper * per, 2), sat(caps * per, 2),
             sat(sum(text.count(c) for c in "0123456789") * ch, 5), len(count) * per if n else 1.0,
-            sat(max(0.0, top * per - 0.1), 3) if n >= 20 else 0.0, len(pairs) / max(n - 1, 1) if n > 1 else 1.0,
+            sat(max(0.0, (top - 1) / (n + REPEAT_PRIOR) - 0.1), 3), len(pairs) / max(n - 1, 1) if n > 1 else 1.0,
             1.0 - len(set(lines)) / len(lines), sat(nolet * per, 3), min(1.0, letters * per / 12),
             min(1.0, math.log1p(chars / len(lines)) / 8), sat(marked * per, 3), min(1.0, math.log1p(n) / 9),
             1.0 if n < 5 else 0.0]

@@ -161,7 +161,7 @@ def features_of(text: str, lexicon: dict[str, float]) -> list[float]:
             max(weights, default=0.0), sum(weights) / len(weights) if weights else 0.0,
             math.log1p(mass), mass * per, math.log1p(near), near / total if total else 0.0, second * per, upper * ch, caps * per,
             marks * ch, punct * ch, mixed * per, math.log1p(hidden),
-            len(_SPACED.findall(text)) * per if mixed else 0.0,
+            len(_SPACED.findall(text)) * per,
             sum(1 for w in bad if _LONG.search(w)) * per, symbols * ch, math.log1p(n)]
 
 

@@ -116,3 +116,28 @@ def test_models_are_fitted_on_few_rows_of_a_label(spark):
     lab = spark.createDataFrame([(i, int(i >= 5000), int(i < 5000)) for i, *_ in rows], LABEL)
     assert toxicity.ToxicityModel.fit(d, lab).trees is not None
     assert quality.QualityModel.fit(d, lab).constant is None
+
+
+def test_spaced_letters_count_with_and_without_other_marks():
+    at = toxicity.FEATURES.index("spaced")
+    for text, want in (("you i d i o t today", 1 / 7), ("you i d i o t to-day", 1 / 7), ("you are kind today", 0.0)):
+        assert toxicity.features_of(text, {})[at] == pytest.approx(want)
+
+
+def test_repeated_word_has_one_rule_at_every_length():
+    at = quality.FEATURES.index("top_word")
+    for n in (0, 1, 5, 19, 20, 21, 400):
+        want = min(1.0, max(0.0, (n - 1) / (n + 10) - 0.1) * 3)
+        assert quality.features_of("word " * n)[at] == pytest.approx(want)
+        assert quality.features_of(" ".join(f"w{i}" for i in range(n)))[at] == 0.0
+
+
+def test_sample_bound_holds_for_any_number_of_labels(spark):
+    d = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(3000).selectExpr("id AS doc_id", "int(id % 2) AS toxic")
+    got = labelled_sample(d, labels, "toxic", 3, 1, rows=500)
+    n = got.count()
+    assert 400 < n < 600 and got.groupBy("doc_id").count().where("count > 1").count() == 0
+    for n, rows in ((10 ** 15, 20_000), (20_001, 20_000)):  # the share of hashes is neither empty nor out of range
+        bound = (1 << 64) * rows // n - (1 << 63)
+        assert -(1 << 63) < bound < 1 << 63
