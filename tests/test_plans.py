@@ -58,3 +58,10 @@ def test_bm25_scores_read_written_postings(spark):
     p = _plan(df)
     # the corpus is read once, for the index; ranking reads what is written
     assert "sparse-" in p and "documents.parquet" not in p  # paths are truncated in plan text
+
+
+def test_words_left_out_are_computed_once_a_statement(spark):
+    # the filter over a statement's words is given them, it does not hold their regular expressions
+    for key in ("compare_sql", "extract_columns"):
+        p = _optimized(Q[key](spark, SF_SMALL))
+        assert "array_contains(lambda" in p and "array_contains(concat(" not in p, key
