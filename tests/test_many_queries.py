@@ -79,3 +79,27 @@ def test_precision_of_repeated_questions_and_documents(spark):
     assert round(one["recall"], 6) == 0.666667
     assert (rows["hybrid", 1]["num_retrieved"], rows["hybrid", 1]["f1"], rows["dense", 2]["num_retrieved"]) == (1, 0.0, 1)
     assert rows["dense", 3]["num_retrieved"] == 0 and rows["sparse", None]["recall"] == 0.0
+
+
+def test_chunks_come_in_small_batches(spark):
+    docs = spark.createDataFrame([(1, "a\nb" * 900), (2, None), (3, " ")], "id long, t string")
+    from quarry.operators.schema_docs import chunk_sliding
+    got = chunk_sliding(docs, "id", "t")
+    plan = _plans(got)[1]
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+
+
+def test_terms_are_counted_where_the_documents_are(spark, monkeypatch):
+    # documents are shuffled whole, once; over more tasks the more tokens there are
+    monkeypatch.setattr(B, "COUNTED", 5)
+    tokens = B.tokens_of(_few(spark)[0], "id", "t")
+    n, mean = B.corpus_stats(tokens)
+    post = B.postings(tokens, round(n * mean))
+    assert _plans(post)[1].count("Exchange") == 1 and f"], {-(-round(n * mean) // 5)}" in _plans(post)[0]
+    assert post.agg(F.sum("tf")).head()[0] == round(n * mean)
+
+
+def test_buckets_are_counted_over_arrow_buffers(spark):
+    v = spark.createDataFrame([(i, ["a"] * i if i % 3 else None) for i in range(600)], "id long, toks array<string>")
+    got = v.coalesce(1).select("id", D.bucket_vector("toks").alias("v"))
+    assert all(sum(r["v"]) == (r["id"] if r["id"] % 3 else 0) and len(r["v"]) == D.DIM for r in got.collect())
