@@ -11,11 +11,15 @@ an interval in both; adding a word at either end is a step of the backward
 search in one transform and a shift in the other, done for many phrases of one
 length at once, and gives the phrase's counts with each extension.
 
-First every shard extends its words to the right: the pairs.  Pairs are summed
-over the shards; each shard hears which of its pairs are frequent, extends them
-to the right and then to the left, and keeps only phrases all of whose pairs
-are frequent.  Those are summed again.  So a rare pair costs one row a shard,
-and longer phrases are counted only where they can be frequent.  Sums are exact.
+First every shard extends its words to the right: the pairs.  It deals them by
+hash to as many buckets as its language has shards and sends each bucket one
+packet, the numbers and counts of its pairs packed by column.  A bucket adds up
+the packets of all shards and answers each with one bit a pair: frequent or
+not.  The shard then extends its frequent pairs to the right and then to the
+left, keeps only phrases all of whose pairs are frequent, and these are added up
+in buckets likewise.  So a rare phrase costs a few packed bytes a shard and no
+row of its own, only frequent ones become rows, and longer phrases are counted
+only where they can be frequent.  Sums are exact.
 
 A phrase lies inside a longer frequent one exactly if it has a one-word
 extension as frequent as the longer one, so extensions by one word decide what
@@ -27,10 +31,13 @@ phrase itself.  A very long text is a piece of its own size.  An empty table
 gives no rows.  Other columns, whatever their names, are not read.
 
 Scale: a shard is bounded, so a language on a third of all rows has a third of
-the shards; every table between is keyed by word, pair, phrase or shard, with
-one row a shard (words: a piece) at most for a key, so neither a word, a pair
-nor a language gathers in one task.  Only the table of languages is numbered in
-one task.  Nothing is collected or broadcast by this code.
+the shards and of the buckets; a bucket holds about ``SHARD_WORDS`` packed
+phrases, dealt by the hash of the whole phrase.  Every table between is keyed by
+word, bucket, phrase or shard, with one row a shard (words: a piece) at most for
+a key, so neither a word, a pair nor a language gathers in one task.  Packets
+are as many as shards times buckets of a language, and never more than phrases.
+Only the table of languages is numbered in one task.  Nothing is collected or
+broadcast by this code.
 """
 
 from __future__ import annotations
@@ -81,6 +88,16 @@ def unpacked(data: bytes, kind, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
+def packed_rows(columns: list[np.ndarray]) -> bytes:
+    """Columns of long numbers; the first bytes of a column's numbers lie together, then the second ones and so on."""
+    return packed(np.stack(columns).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1))
+
+
+def unpacked_rows(data: bytes, columns: int, n: int) -> np.ndarray:
+    turned = unpacked(data, np.uint8, columns * n * 8).reshape(columns, 8, n).transpose(0, 2, 1)
+    return np.ascontiguousarray(turned).view(np.int64).reshape(columns, n)
+
+
 class Piece:
     def __init__(self):
         self.words, self.text = Words({b".": 0}), array("i", [0])
@@ -138,6 +155,11 @@ def transform(t: np.ndarray) -> np.ndarray:
     return t[by_next_words(t) - 1]
 
 
+def groups(size: np.ndarray) -> list[int]:
+    """Where to cut the intervals so that each part has about ``ROWS`` rows."""
+    return [0, *np.flatnonzero(np.diff((np.cumsum(size) - 1) // ROWS)) + 1, len(size)] if len(size) else []
+
+
 class FMIndex:
     """One transform with its counts: steps of the backward search for many intervals at once."""
 
@@ -164,8 +186,7 @@ class FMIndex:
 
         Yields (which interval, word, count, count of smaller words and ends in the interval), words in order.
         """
-        cuts = [0, *np.flatnonzero(np.diff((np.cumsum(size) - 1) // ROWS)) + 1, len(low)] if len(low) else []
-        for i, j in itertools.pairwise(cuts):
+        for i, j in itertools.pairwise(groups(size)):
             ends = np.cumsum(size[i:j])
             rows = np.repeat(low[i:j] - (ends - size[i:j]), size[i:j]) + np.arange(ends[-1])
             owner = np.repeat(np.arange(i, j), size[i:j])
@@ -177,18 +198,22 @@ class FMIndex:
             real = word > 0
             yield owner[real], word[real], n[real], below[real]
 
-    def extend(self, low: np.ndarray, other: np.ndarray, size: np.ndarray, keep) -> list[np.ndarray]:
+    def extensions(self, low: np.ndarray, size: np.ndarray, keep) -> list[np.ndarray]:
+        """All at once, as ``counts`` has them, those that ``keep``."""
+        found = [(np.zeros(0, np.int64),) * 4]
+        for owner, word, n, below in self.counts(low, size):
+            ok = keep(owner, word)
+            found.append((owner[ok], word[ok], n[ok], below[ok]))
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+    def extend(self, low: np.ndarray, other: np.ndarray, size: np.ndarray, keep) -> tuple[np.ndarray, ...]:
         """The extensions (which interval, word, count) that ``keep``, and their intervals.
 
         ``other`` holds the starts in the opposite transform.  Returns (which
         interval, word, count, low, other).
         """
-        found = [(np.zeros(0, np.int64),) * 5]
-        for owner, word, n, below in self.counts(low, size):
-            ok = keep(owner, word)
-            owner, word, n, below = owner[ok], word[ok], n[ok], below[ok]
-            found.append((owner, word, n, self.start[word] + self.before(word, low[owner]), other[owner] + below))
-        return [np.concatenate(x) for x in zip(*found, strict=True)]
+        owner, word, n, below = self.extensions(low, size, keep)
+        return owner, word, n, self.start[word] + self.before(word, low[owner]), other[owner] + below
 
 
 class Phrases:
@@ -212,18 +237,23 @@ class Phrases:
                 return np.zeros(len(a), bool)
             key = a * (self.sigma + 1) + b
             return frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
-        at = self.left.start[1:]
-        a, b, n, back, low = self.right.extend(at, at, self.left.count[1:], lambda own, w: known(own + 1, w))
-        a += 1
-        own, c, n, back, low = self.right.extend(back, low, n, lambda own, w: known(b[own], w))
-        three = (a[own], b[own], c)
-        own, first, m, _, _ = self.left.extend(low, back, n, lambda own, w: known(w, three[0][own]))
-        rows = (*three, np.zeros_like(c), n), (first, *(x[own] for x in three), m)
-        return [np.concatenate(x) for x in zip(*rows, strict=True)]
+        found = [(np.zeros(0, np.int32),) * 4 + (np.zeros(0, np.int64),)]
+        for i, j in itertools.pairwise(groups(self.left.count[1:])):  # some first words at a time
+            at = self.left.start[i + 1:j + 1]
+            a, b, n, back, low = self.right.extend(at, at, self.left.count[i + 1:j + 1], lambda own, w, i=i: known(own + i + 1, w))
+            a += i + 1
+            own, c, n, below = self.right.extensions(back, n, lambda own, w, b=b: known(b[own], w))
+            three = a[own], b[own], c
+            own, first, m, _ = self.left.extensions(low[own] + below, n, lambda own, w, a=three[0]: known(w, a[own]))
+            found.append((*(x.astype(np.int32) for x in (*three, np.zeros_like(c))), n))
+            found.append((*(x.astype(np.int32) for x in (first, *(x[own] for x in three))), m))
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
 def indexes(pieces_: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(shard, ids, size, ahead, back): both transforms of every shard; ids[i] is the number for good of its word i + 1.
+    """(shard, base, shards, ids, words, size, ahead, back): both transforms of every shard.
+
+    ids[i] is the number for good of its word i + 1; its language has the shards from ``base`` on.
 
     ``numbers``: (shard, piece, j, id) of the frequent words of every piece.
     """
@@ -240,13 +270,13 @@ def indexes(pieces_: DataFrame, numbers: DataFrame) -> DataFrame:
             text.append(new[t])
         t = np.concatenate(text)
         t = t[np.r_[True, (t[1:] != 0) | (t[:-1] != 0)]]  # one end is enough
-        return pa.table({"shard": parts.column("shard")[:1], "ids": pa.array([packed(ids)]), "words": pa.array([len(ids)], pa.int64()),
+        return pa.table({**{c: parts.column(c)[:1] for c in ("shard", "base", "shards")}, "ids": pa.array([packed(ids)]), "words": pa.array([len(ids)], pa.int64()),
                          "size": pa.array([len(t)], pa.int64()), "ahead": pa.array([packed(transform(t))]),
                          "back": pa.array([packed(transform(t[::-1]))])})
 
     numbers = numbers.select(*(F.col(c).alias(c) for c in ("shard", "piece", "j", "id")))  # of their own in the plan
-    return pieces_.select("shard", "piece", "size", "text").groupBy("shard").cogroup(numbers.groupBy("shard")).applyInArrow(
-        run, "shard long, ids binary, words long, size long, ahead binary, back binary")
+    return pieces_.select("shard", "base", "shards", "piece", "size", "text").groupBy("shard").cogroup(numbers.groupBy("shard")).applyInArrow(
+        run, "shard long, base long, shards long, ids binary, words long, size long, ahead binary, back binary")
 
 
 def opened(row: dict) -> tuple[np.ndarray, Phrases]:
@@ -256,42 +286,126 @@ def opened(row: dict) -> tuple[np.ndarray, Phrases]:
     return np.r_[0, unpacked(row["ids"], np.int64, n)], Phrases(ahead, back, n)
 
 
+W = ("w1", "w2", "w3", "w4")
+PACKET = "shard long, bucket long, n long, data binary"
+
+
+def dealt(ids: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, which rows) of the buckets that have rows, by hash of the numbers for good of a phrase; rows in order."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for x in columns:
+        h ^= ids[x].astype(np.uint64)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    at = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(at, kind="stable")
+    ends = np.cumsum(np.bincount(at, minlength=buckets))
+    for b, (i, j) in enumerate(itertools.pairwise([0, *ends.tolist()])):
+        if i < j:
+            yield b, order[i:j]
+
+
+def packets(shard: int, base: int, buckets: int, ids: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+    """One row for every bucket: the numbers for good and the counts of its phrases."""
+    rows = [(shard, base + b, len(at), packed_rows([*(ids[x[at]] for x in columns), n[at]]))
+            for b, at in dealt(ids, columns, buckets)]
+    kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary()
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                                      names=["shard", "bucket", "n", "data"])
+
+
+def all_pairs(phrases: Phrases) -> list[np.ndarray]:
+    """(first, second, count) of all pairs of words of a shard, in order."""
+    return [np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 3, *phrases.pairs(), strict=True)]
+
+
 def pair_counts(index: DataFrame) -> DataFrame:
-    """(shard, w1, w2, f): the pairs of every shard."""
+    """(shard, bucket, n, data): the pairs of every shard, a packet for every bucket."""
 
     def run(batches):
         for b in batches:
             for at in range(b.num_rows):
                 r = b.slice(at, 1).to_pylist()[0]
                 ids, phrases = opened(r)
-                for a, c, n in phrases.pairs():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(n), r["shard"])), *(pa.array(x) for x in (ids[a], ids[c], n))],
-                        names=["shard", "w1", "w2", "f"])
+                a, c, n = all_pairs(phrases)
+                yield packets(r["shard"], r["base"], r["shards"], ids, [a, c], n)
 
-    return index.mapInArrow(run, "shard long, w1 long, w2 long, f long")
+    return index.mapInArrow(run, PACKET)
 
 
-def longer_counts(index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(w1, w2, w3, w4, f): the longer phrases of every shard whose pairs are all frequent; w4 is 0 where there are three.
+def frequent_pairs(row: dict, ids: np.ndarray, phrases: Phrases, bits: dict[int, bytes]) -> np.ndarray:
+    """Sorted keys of a shard's pairs whose bit is set; ``bits`` by bucket, a bit a pair of the packet."""
+    a, c, _ = all_pairs(phrases)
+    often = np.zeros(len(a), bool)
+    for b, at in dealt(ids, [a, c], row["shards"]):
+        if b in bits:
+            often[at] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(at))
+    return a[often] * len(ids) + c[often]
 
-    ``pairs``: (shard, w1, w2) of the frequent pairs in every shard.
+
+def longer_counts(index: DataFrame, answers: DataFrame) -> DataFrame:
+    """(shard, bucket, n, data): packets of the longer phrases of every shard whose pairs are all frequent.
+
+    ``answers``: (shard, bucket, often) to the packets of pairs, a bit a pair; w4 is 0 where there are three words.
     """
 
-    def run(rows: pa.Table, pairs: pa.Table) -> pa.Table:
-        if not len(rows) or not len(pairs):
-            return pa.table({c: pa.array([], pa.int64()) for c in (*W, "f")})
-        ids, phrases = opened(rows.to_pylist()[0])
-        a, b = (np.searchsorted(ids, pairs.column(c).to_numpy()) for c in ("w1", "w2"))
-        *w, n = phrases.longer(np.sort(a * len(ids) + b))
-        found = pa.table({c: pa.array(x) for c, x in zip((*W, "f"), (*(ids[x] for x in w), n), strict=True)})
-        return pa.Table.from_batches(found.to_batches(1 << 16), found.schema)  # sent in small batches
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(rows) or not len(answers):
+            return pa.table({c: pa.array([], t) for c, t in (("shard", pa.int64()), ("bucket", pa.int64()),
+                                                             ("n", pa.int64()), ("data", pa.binary()))})
+        r = rows.to_pylist()[0]
+        ids, phrases = opened(r)
+        bits = {x["bucket"] - r["base"]: x["often"] for x in answers.select(["bucket", "often"]).to_pylist()}
+        *w, n = phrases.longer(frequent_pairs(r, ids, phrases, bits))
+        # there may be more longer phrases than pairs, and they have more words
+        return pa.Table.from_batches([packets(r["shard"], 4 * r["base"], 4 * r["shards"], ids, w, n)])
 
-    return index.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(
-        run, "w1 long, w2 long, w3 long, w4 long, f long")
+    return index.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, PACKET)
 
 
-W = ("w1", "w2", "w3", "w4")
+def numbered(x: np.ndarray) -> np.ndarray:
+    """Equal numbers get the same number, from 0 as they are met."""
+    return pa.array(x).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def sums(sent: DataFrame, least: int, words: int, answer: bool = False) -> DataFrame:
+    """(w1..w4, f) of the frequent phrases of ``words`` columns in all packets, absent words 0.
+
+    If ``answer``, also a row (shard, bucket, often) for every packet that has some: a bit a phrase, in its order.
+    """
+    kinds = [("shard", pa.int64()), ("bucket", pa.int64()), ("often", pa.binary()), *((c, pa.int64()) for c in (*W, "f"))]
+
+    def run(rows: pa.Table) -> pa.Table:
+        size = rows.column("n").to_pylist()
+        ends = np.cumsum(size)
+        *w, n = x = np.empty((words + 1, ends[-1]), np.int64)
+        for d, m, end in zip(rows.column("data"), size, ends, strict=True):
+            x[:, end - m:end] = unpacked_rows(d.as_py(), words + 1, m)
+        code = numbered(w[0])
+        for x in w[1:]:
+            x = numbered(x)
+            code = numbered(code * (x.max() + 1) + x)
+        total, at = np.zeros((2, code.max() + 1), np.int64)
+        np.add.at(total, code, n)
+        at[code] = np.arange(len(code))
+        often = total >= least
+        at = at[often]
+        none = np.zeros(len(at), np.int64)
+        found = pa.table({c: pa.array(x) for c, x in zip((*W, "f"), (
+            *(x[at] for x in w), *[none] * (DEPTH - words), total[often]), strict=True)})
+        parts = found.to_batches(1 << 16)  # sent in small batches
+        if answer:
+            bits = np.split(often[code], ends[:-1])
+            some = [(s, b, np.packbits(x).tobytes()) for s, b, x in zip(
+                rows.column("shard").to_pylist(), rows.column("bucket").to_pylist(), bits, strict=True) if x.any()]
+            parts.append(pa.RecordBatch.from_pydict({c: [x[i] for x in some] for i, c in enumerate(("shard", "bucket", "often"))},
+                                                    schema=pa.schema(kinds[:3])))
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(
+            [p.column(c) if c in p.schema.names else pa.nulls(p.num_rows, t) for c, t in kinds], names=[c for c, _ in kinds])
+            for p in parts], pa.schema(kinds))
+
+    return sent.groupBy("bucket").applyInArrow(
+        run, "shard long, bucket long, often binary, w1 long, w2 long, w3 long, w4 long, f long")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, size: int = SHARD_WORDS,
@@ -305,7 +419,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, size: int = SHARD_WORDS,
     totals = materialize(totals.withColumn("base", F.coalesce(F.sum("shards").over(before), F.lit(0))), "phrase-langs")
     shard = (F.col("base") + F.pmod(F.xxhash64("piece"), F.col("shards"))).alias("shard")
     parts = parts.join(totals.select("lang", "shards", "base"), "lang").select(
-        shard, "piece", "lang", "words", "counts", "size", "text")
+        shard, "base", "shards", "piece", "lang", "words", "counts", "size", "text")
     each = parts.select("shard", "piece", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("j", "x")).select(
         "shard", "piece", "lang", F.col("j").cast("long").alias("j"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     words = materialize(each.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
@@ -313,12 +427,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, size: int = SHARD_WORDS,
     own = each.drop("c").join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "piece", "j", "id")
     index = materialize(indexes(parts, own), "phrase-index")
     drop_tables(docs.sparkSession, used)  # all that follows reads the index
-    total = F.sum("f").over(Window.partitionBy("w1", "w2"))  # a row a shard at most
-    pairs = materialize(pair_counts(index).withColumn("f", total).where(F.col("f") >= least), "phrase-pairs")
-    longer = longer_counts(index, pairs.select("shard", "w1", "w2")).groupBy(*W).agg(F.sum("f").alias("f")).where(
-        F.col("f") >= least)
-    none = F.lit(0).cast("long")
-    two = pairs.select("w1", "w2", "f").distinct().select("w1", "w2", none.alias("w3"), none.alias("w4"), "f")
+    pairs = materialize(sums(pair_counts(index), least, 2, answer=True), "phrase-pairs")
+    answers = pairs.where(F.col("shard").isNotNull()).select("shard", "bucket", "often")
+    longer = sums(longer_counts(index, answers), least, DEPTH).select(*W, "f")
+    two = pairs.where(F.col("shard").isNull()).select(*W, "f")
     return totals.select("lang", "n"), words, materialize(two.unionByName(longer), "phrases")
 
 

@@ -108,3 +108,29 @@ def test_scores_beyond_64_bits(spark):
     score = big.select(F.expr("CAST(2000000 AS DECIMAL(10,0)) * CAST(f AS DECIMAL(20,0)) DIV "
                               "(CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0)))")).head()[0]
     assert score == 2000000 * 9 * 10**18 // (18 * 10**18 + 6)
+
+
+def test_shards_send_packets_and_no_row_a_phrase(spark, monkeypatch):
+    sent = {}
+    for name in ("pair_counts", "longer_counts"):
+        def kept(*a, made=getattr(co, name), name=name):
+            sent[name] = made(*a)
+            return sent[name]
+        monkeypatch.setattr(co, name, kept)
+    _, _, phrases = co.phrase_counts(docs(spark, text_rows(3, 300)), least=2, piece=300)
+    assert phrases.count() > 1000
+    assert sent["pair_counts"].count() <= 4  # a shard and a bucket for each of four languages
+    assert sent["longer_counts"].count() <= 16
+
+
+def test_packets_hold_every_row_once():
+    rnd = np.random.default_rng(5)
+    ids = np.r_[0, np.sort(rnd.integers(1, 1 << 62, 99))]
+    cols, n = [rnd.integers(0, 100, 1000) for _ in range(2)], rnd.integers(1, 1 << 40, 1000)
+    sent = co.packets(3, 70, 7, ids, cols, n).to_pylist()
+    assert [r["bucket"] for r in sent] == list(range(70, 77)) and {r["shard"] for r in sent} == {3}
+    got = np.concatenate([co.unpacked_rows(r["data"], 3, r["n"]) for r in sent], axis=1)
+    assert sorted(zip(*got.tolist(), strict=True)) == sorted(zip(*(ids[x].tolist() for x in cols), n.tolist(), strict=True))
+    for bucket, at in co.dealt(ids, cols, 7):
+        assert (np.diff(at) > 0).all() and sent[bucket]["n"] == len(at)
+    assert co.packets(0, 0, 5, ids, [x[:0] for x in cols], n[:0]).num_rows == 0
