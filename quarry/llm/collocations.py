@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import collecting, drop_tables, materialize, table
+from quarry.llm.common import collecting, drop_tables, materialize, small_batches, table
 from quarry.operators.ordinal import with_ordinal
 
 LEAST = 30            # occurrences of a phrase
@@ -62,6 +62,7 @@ SHARD_WORDS = 1 << 21
 PIECE_WORDS = 1 << 20
 ROWS = 1 << 18        # of a transform, extended at once
 DEPTH = 4             # words of a phrase
+BATCH_BYTES = 4 << 20  # of texts or indexes sent to Python at once
 # Every piece end becomes the first of them, every tab a space; upper case becomes lower.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes(b"."[0] if c in ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -171,10 +172,8 @@ class FMIndex:
     @functools.cached_property
     def places(self) -> np.ndarray:
         """Where every word stands in the transform: word * length + row, ascending."""
-        at = np.argsort(self.bwt, kind="stable")
-        out = self.bwt[at].astype(np.int64)
-        out *= len(at)
-        out += at
+        out = np.repeat(np.arange(self.sigma + 1) * len(self.bwt), self.count)
+        out += np.argsort(self.bwt, kind="stable")
         return out
 
     def before(self, word: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -411,6 +410,7 @@ def sums(sent: DataFrame, least: int, words: int, answer: bool = False) -> DataF
 def phrase_counts(docs: DataFrame, least: int = LEAST, size: int = SHARD_WORDS,
                   piece: int = PIECE_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, n), (id, lang, word, f) of the frequent words and (w1..w4, f) of the frequent phrases, absent words 0."""
+    small_batches(docs.sparkSession, size=BATCH_BYTES)
     with collecting(used := []):
         parts = materialize(pieces(docs, piece), "phrase-pieces")
     totals = parts.groupBy("lang").agg(F.sum("total").alias("n"), F.sum("size").alias("s"))
