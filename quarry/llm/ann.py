@@ -379,7 +379,8 @@ def search_cells(cells: DataFrame, blocks: DataFrame, share, width: int, k: int)
                     yield pa.RecordBatch.from_arrays([pa.array([q[a].tobytes() for a in names], pa.binary()), hits],
                                                      names=["v", "hits"])
 
-    return blocks.join(cells, "cell").mapInArrow(run, f"v binary, hits {HITS}")
+    # a few queries make a row in every cell they visit, which Spark takes for a handful: neither side is sent to the driver
+    return blocks.join(cells.hint("merge"), "cell").mapInArrow(run, f"v binary, hits {HITS}")
 
 
 def padded(width: int):

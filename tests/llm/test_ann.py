@@ -108,3 +108,19 @@ def test_first_bound_is_never_above_the_true_one():
     x, q = rnd.normal(size=(300, 8)), rnd.normal(size=(20, 8))
     ix.seeds = x[:100]
     assert (ix.first_bound(q, 21) <= np.sort(q @ x.T, axis=1)[:, -21]).all()
+
+
+def test_queries_in_their_cells_are_not_broadcast(spark, tmp_path):
+    ix = ann.Index(4, np.eye(4))
+    share = spark.sparkContext.broadcast(ix)
+    cells = [(c, np.eye(4)[c:c + 1].tobytes()) for c in range(4)]
+    spark.createDataFrame(cells, "cell long, x binary").write.parquet(str(tmp_path / "cells"))
+    spark.createDataFrame([(np.ones(4).tobytes(),)], "v binary").write.parquet(str(tmp_path / "asks"))
+    one = F.lit(np.zeros(1, np.int64).tobytes())
+    kept = spark.read.parquet(str(tmp_path / "cells")).select(
+        "cell", "x", one.alias("l"), F.lit(np.ones(1, np.int64).tobytes()).alias("n_ids"), one.alias("ids"),
+        F.array("x").alias("blocks"))
+    blocks = ann.probed(spark.read.parquet(str(tmp_path / "asks")), share, 4, 1)
+    assert blocks.count() >= 1
+    plan = ann.search_cells(kept, blocks, share, 4, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
