@@ -103,3 +103,23 @@ def test_buckets_are_counted_over_arrow_buffers(spark):
     v = spark.createDataFrame([(i, ["a"] * i if i % 3 else None) for i in range(600)], "id long, toks array<string>")
     got = v.coalesce(1).select("id", D.bucket_vector("toks").alias("v"))
     assert all(sum(r["v"]) == (r["id"] if r["id"] % 3 else 0) and len(r["v"]) == D.DIM for r in got.collect())
+
+
+def test_written_blocks_are_read_a_few_at_a_time(spark, monkeypatch):
+    # Spark reads the rows of a row group together, whatever their size
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(D, "GROUP", 40)
+    vectors = spark.range(0, 1000, 1, 1).select("id", F.array(F.col("id") + 1.0, F.lit(1.0)).alias("v"))
+    files = D.vector_blocks(vectors, "id", "v", 10).inputFiles()
+    groups = [m.row_group(i).num_rows for f in files for m in [pq.read_metadata(f.removeprefix("file:"))] for i in range(m.num_row_groups)]
+    assert sum(groups) == 100 and max(groups) == 4
+
+
+def test_dense_hits_of_one_block_are_dealt_by_query(spark, monkeypatch):
+    monkeypatch.setattr(D, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(Z, "PER_TASK", 10)
+    vectors = spark.range(40).select("id", F.array(F.col("id") + 1.0, F.lit(1.0)).alias("v"))
+    qs = spark.range(0, 300, 1, 1).select(F.col("id").alias("q"), F.array(F.lit(1.0), F.col("id") + 1.0).alias("qv"))
+    got = D.dense_topk(vectors, "id", "v", qs, "q", "qv", 3)
+    assert "RepartitionByExpression [qid" in _plans(got)[0] and "], 30" in _plans(got)[0]
+    assert got.groupBy("qid").agg(F.count("doc").alias("n"), F.max("rank").alias("r")).where("n = 3 AND r = 3").count() == 300
